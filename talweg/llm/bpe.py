@@ -4,9 +4,10 @@ The merges of a pre-token are taken in order of rank, and of position within a r
 rank; a bitmap of the filled buckets, with two levels of summaries above it, gives the next rank by three find-first-set
 steps, whatever the length of the pre-token. Tokens are a linked list over the bytes. A merge touches its two
 neighbours only; entries of pairs that are gone are recognised when they come up and skipped. A pre-token of n bytes
-costs O(n) queue steps, and many pre-tokens share one run of the queue: their lists are simply not linked.
+costs O(n) queue steps. Short pre-tokens share one run of the queue, their lists not being linked to each other, and a
+bucket is then merged as an array.
 
-Results per pre-token are kept in a bounded memo in each Python worker; texts come in as Arrow batches, whole.
+Results per word are kept in a bounded memo in each Python worker; texts come in as Arrow batches, whole.
 
 Defined results: a null text counts as empty and gives no ids; repeated rows are encoded alike; an empty table gives no
 rows; strings of special tokens are ordinary text; further columns pass through `encode`, except those named like its
@@ -18,6 +19,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces
+
 
 class RankQueue:
     """Buckets by rank under a bitmap of three levels of 64-way words."""
@@ -48,6 +53,22 @@ class RankQueue:
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Pushes positions by their ranks; negative ranks stay out."""
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks, 0, sorter=order) :]
+        if not len(order):
+            return
+        sorted_ranks, places = ranks[order], positions[order].tolist()
+        cuts = np.flatnonzero(sorted_ranks[1:] != sorted_ranks[:-1]) + 1
+        ends = [*cuts.tolist(), len(places)]
+        at = 0
+        for rank, end in zip(sorted_ranks[np.append(0, cuts)].tolist(), ends, strict=True):
+            self.push(rank, places[at])
+            if end - at > 1:
+                self.buckets[rank] += places[at + 1 : end]
+            at = end
+
     def pop(self) -> tuple[int, list[int]]:
         """The lowest rank and its positions; the queue must not be empty."""
         b = (self.top & -self.top).bit_length() - 1
@@ -65,112 +86,198 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+#: Pre-tokens up to this many bytes share one run of the queue, whose buckets are then merged as arrays.
+SHORT = 64
+#: Buckets up to this many entries are merged one by one.
+FEW = 8
+
+
 class Encoder:
     """Encodes and decodes by a table of ranks (token bytes to id, lower merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000, memo_bytes: int = 48) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000) -> None:
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        #: A space next to other white space: there a pre-token may cross a space.
-        self.crossed = regex.compile(r" \s|\s ").search
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        #: Pairs of token ids to the id of their merge; filled as pairs come up.
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.memo: dict[str, bytes] = {}
-        self.memo_size, self.memo_bytes = memo, memo_bytes
-
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token."""
-        ranks, tokens, pairs, single = self.ranks, self.tokens, self.pairs, self.single
-        out: list[list[int]] = [[]] * len(pieces)
-        ids: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for k, piece in enumerate(pieces):
-            whole = ranks.get(piece)
-            if whole is not None:
-                out[k] = [whole]
-                continue
-            starts.append((k, len(ids)))
-            ids += [single[b] for b in piece]
-            ids.append(-1)  # not linked across
+        #: White space other than the plain space, for a look at what stands beside a space.
+        self.crossed = re.compile(r" \s|[^\S ] ").search
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.tokens = {i: t for t, i in ranks.items()}
+        #: Every pair of tokens whose bytes together are a token, with that token's rank.
+        self.pairs = {(ranks[t[:c]], ranks[t[c:]]): r for t, r in ranks.items() for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks}
+        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.merged = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.fromiter(self.pairs.values(), np.int64, len(keys))[order], -1)
+        top = max(self.tokens) + 1
+        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(top)])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
+        #: Words (text up to the next space) to their ids: at the start of a text, and after a space.
+        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.memo_size = memo
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; -1 where they don't merge."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
+
+    def merge_one(self, piece: bytes) -> bytes:
+        """The packed ids of one pre-token, of any length."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return whole.to_bytes(4, "little")
+        rank_of = self.pairs.get
+        ids = [*self.single[np.frombuffer(piece, np.uint8)].tolist(), -1]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * (n + 1)
+        waiting = [-1] * n
         queue = RankQueue()
-        push, none = queue.push, -1
-
-        def rank_of(a: int, b: int) -> int:
-            if a < 0 or b < 0:
-                return none
-            r = pairs.get((a, b))
-            if r is None:
-                r = pairs[a, b] = ranks.get(tokens[a] + tokens[b], none)
-            return r
-
-        for i in range(n - 1):
-            r = rank_of(ids[i], ids[i + 1])
-            if r >= 0:
+        push = queue.push
+        for i in range(n - 2):
+            if (r := rank_of((ids[i], ids[i + 1]), -1)) >= 0:
                 waiting[i] = r
                 push(r, i)
         while queue.top:
             r, bucket = queue.pop()
             bucket.sort()
-            for i in bucket:
+            for at, i in enumerate(bucket):
                 if waiting[i] != r:
                     continue  # stale: the pair has changed or gone since
                 j = after[i]
                 k = after[j]
-                ids[i], waiting[j] = r, none
+                ids[i], waiting[j], ids[j] = r, -1, -2
                 after[i], before[k] = k, i
-                waiting[i] = new = rank_of(r, ids[k])
-                if new >= 0:
-                    push(new, i)
-                h = before[i]
-                if h >= 0:
-                    waiting[h] = new = rank_of(ids[h], r)
+                waiting[i] = low = rank_of((r, ids[k]), -1)
+                if low >= 0:
+                    push(low, i)
+                if (h := before[i]) >= 0:
+                    waiting[h] = new = rank_of((ids[h], r), -1)
                     if new >= 0:
                         push(new, h)
-        for k, i in starts:
-            found = []
-            while ids[i] >= 0:
-                found.append(ids[i])
-                i = after[i]
-            out[k] = found
+                        low = new if low < 0 else min(low, new)
+                if 0 <= low < r:  # a lower rank has come up: it goes before the rest of this one
+                    for rest in bucket[at + 1 :]:
+                        push(r, rest)
+                    break
+        found = np.array(ids)
+        return found[found >= 0].astype("<u4").tobytes()
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of short pre-tokens. Of a popped bucket each pre-token merges its first pair; its others go back."""
+        sizes = np.array([len(p) for p in pieces])
+        ends = np.cumsum(sizes + 1)
+        raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+        n = len(raw)
+        ids = self.single[raw]
+        ids[ends - 1] = -1  # lists are not linked across these
+        word = np.repeat(np.arange(len(pieces)), sizes + 1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting = np.full(n, -1)
+        waiting[:-1] = self.ranks_of(ids[:-1], ids[1:])
+        queue = RankQueue()
+        push, pair = queue.push, self.pairs.get
+        queue.push_all(waiting, np.arange(n))
+        while queue.top:
+            r, bucket = queue.pop()
+            if len(bucket) <= FEW:
+                last = -1
+                for i in sorted(bucket):
+                    if waiting[i] != r:
+                        continue
+                    if word[i] == last:
+                        push(r, i)
+                        continue
+                    last = word[i]
+                    j = after[i]
+                    k, h = after[j], before[i]
+                    ids[i], ids[j], waiting[j] = r, -2, -1
+                    after[i], before[k] = k, i
+                    waiting[i] = new = pair((r, int(ids[k])), -1)
+                    if new >= 0:
+                        push(new, i)
+                    if h >= 0:
+                        waiting[h] = new = pair((int(ids[h]), r), -1)
+                        if new >= 0:
+                            push(new, int(h))
+                continue
+            at = np.array(bucket)
+            at = np.sort(at[waiting[at] == r])
+            of = word[at]
+            first = np.append(True, of[1:] != of[:-1])[: len(at)]
+            if not first.all():
+                queue.push_all(np.full(len(at), r)[~first], at[~first])
+                at = at[first]
+            j = after[at]
+            k, h = after[j], before[at]
+            ids[at], ids[j], waiting[j] = r, -2, -1
+            after[at], before[k] = k, at
+            waiting[at] = right = self.ranks_of(np.full(len(at), r), ids[k])
+            left = self.ranks_of(np.where(h >= 0, ids[h], -1), np.full(len(at), r))
+            waiting[h[h >= 0]] = left[h >= 0]
+            queue.push_all(np.append(right, left), np.append(at, h))
+        alive = ids >= 0
+        at = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        packed = ids[alive].astype("<u4").tobytes()
+        return [packed[x:y] for x, y in itertools.pairwise([0, *at])]
+
+    def words(self, text: str) -> tuple[str, list[str]] | None:
+        """The text cut at its spaces; None where other white space stands beside one, so that a pre-token may cross it.
+
+        Elsewhere a pre-token starts at every space and none crosses it.
+        """
+        if text[-1:].isspace() or self.crossed(text):
+            return None
+        first, *rest = text.split(" ")
+        return first, rest
+
+    def learn(self, texts: list[str]) -> list[bytes | None]:
+        """Puts the words of the texts into the memo; encodes what can't be cut into words."""
+        new: tuple[set[str], set[str]] = (set(), set())
+        uncut: list[tuple[int, list[str]]] = []
+        for i, t in enumerate(texts):
+            if (cut := self.words(t)) is None:
+                uncut.append((i, self.split(t)))
+            else:
+                new[0].add(cut[0])
+                new[1].update(cut[1])
+        if sum(map(len, self.memo)) + sum(len(x - m.keys()) for x, m in zip(new, self.memo, strict=True)) > self.memo_size:
+            self.memo = ({}, {})
+        missing = [list(x - m.keys()) for x, m in zip(new, self.memo, strict=True)]
+        inner = self.split("".join([" " + w for w in missing[1]]))  # a word starts where a pre-token starts with a space
+        starts = [self.split(w) for w in missing[0]]
+        distinct = list({*inner, *(m for p in starts for m in p), *(m for _, p in uncut for m in p)})
+        coded = dict(zip(distinct, self.merge([m.encode() for m in distinct]), strict=True))
+        bounds = [*(i for i, m in enumerate(inner) if m[0] == " "), len(inner)]
+        values = [coded[m] for m in inner]
+        self.memo[1].update((w, values[x] if y == x + 1 else b"".join(values[x:y])) for w, (x, y) in zip(missing[1], itertools.pairwise(bounds), strict=True))
+        self.memo[0].update((w, b"".join([coded[m] for m in p])) for w, p in zip(missing[0], starts, strict=True))
+        out: list[bytes | None] = [None] * len(texts)
+        for i, p in uncut:
+            out[i] = b"".join([coded[m] for m in p])
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, packed."""
+        known = self.ranks
+        short = [p for p in pieces if len(p) <= SHORT and p not in known]
+        merged = dict(zip(short, self.merge_many(short), strict=True)) if short else {}
+        return [x if (x := merged.get(p)) is not None else self.merge_one(p) for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out = self.learn(texts)
+        starts, inner = self.memo
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                first, *rest = t.split(" ")
+                out[i] = starts[first] + b"".join(map(inner.__getitem__, rest))
+        return out
 
-        Where no white space stands beside a space, a pre-token starts at every space and none crosses it, so the text is
-        looked up word by word; elsewhere by the pattern.
-        """
-        parts = self.split(text) if self.crossed(text) else chunks(text)
-        memo = self.memo
-        if new := [p for p in dict.fromkeys(parts) if p not in memo]:
-            found = self.of_parts(new)
-            if len(memo) + len(new) > self.memo_size:
-                memo.clear()
-            short = {p: v for p, v in found.items() if len(p) <= self.memo_bytes}
-            if len(memo) + len(short) <= self.memo_size:
-                memo.update(short)
-            get = memo.get
-            return b"".join([v if (v := get(p)) is not None else found[p] if p in found else self.of_parts([p])[p] for p in parts])
-        return b"".join(map(memo.__getitem__, parts))
-
-    def of_parts(self, parts: list[str]) -> dict[str, bytes]:
-        split = [[m.encode() for m in self.split(p)] for p in parts]
-        flat = iter(self.merge([m for s in split for m in s]))
-        return {p: np.array([i for _ in s for i in next(flat)], "<u4").tobytes() for p, s in zip(parts, split, strict=True)}
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut before every space."""
-    first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's bytes end."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.offsets[ids] - ends + sizes, sizes) + np.arange(total)].tobytes(), ends
 
 
 @functools.lru_cache(2)
@@ -199,20 +306,16 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where, rule)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                counts, shas, backs, packed = [], [], [], []
-                for t in b.column("_t").to_pylist():
-                    data = e.encode(t or "")
-                    ids = np.frombuffer(data, "<u4")
-                    packed.append(ids)
-                    counts.append(len(ids))
-                    shas.append(hashlib.sha256(data).hexdigest())
-                    backs.append(hashlib.sha256(e.decode(ids)).hexdigest())
-                values = pa.array(np.concatenate(packed).astype("<i4") if packed else np.array([], "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype("<i4")), values)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], lists, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())], names=[*kept, *new.names])
+        for b in pieces(batches, "_t"):
+            coded = e.encode([t or "" for t in b.column("_t").to_pylist()])
+            ends = np.cumsum([0, *[len(c) // 4 for c in coded]])
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            back, at = e.decode(ids)
+            cuts = np.append(0, at)[ends].tolist()
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(ids.astype("<i4")))
+            view = memoryview(back)
+            new_columns = [lists, pa.array(np.diff(ends), pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(view[x:y]).hexdigest() for x, y in itertools.pairwise(cuts)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new_columns], names=[*kept, *new.names])
 
     return docs.select(*kept, F.col(text).alias("_t")).mapInArrow(run, schema)
 
@@ -227,7 +330,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where, rule)
         for b in batches:
-            back = [None if x is None else e.decode(np.array(x, "<i4")) for x in b.column("_ids").to_pylist()]
+            back = [None if x is None else e.decode(np.array(x, "<i4"))[0] for x in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(back, pa.binary())], names=[*kept, "decoded"])
 
     return rows.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)

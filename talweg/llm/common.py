@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +78,14 @@ def count_words(text: Column) -> Column:
 def without(text: Column, chars: str) -> Column:
     """Code points of a text that are none of `chars`."""
     return F.length(F.translate(text, chars, ""))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about `most` bytes of text: enough for array operations to pay, few enough for memory."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if b.num_rows else np.array([], np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
