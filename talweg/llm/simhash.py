@@ -134,5 +134,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", max_bits: int = 3) -> D
     return fps.join(of_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, text: str = "text", max_bits: int = 3, small: int = 500_000) -> DataFrame:
+    """`docs` with one document of each group of near duplicates, that of the smallest doc_id; null doc_ids stay.
+
+    Up to `small` dropped doc_ids are broadcast, so that texts stay where they are; more are joined by a shuffle.
+    """
+    found = written(near_duplicates(docs, text, max_bits), "simhash-groups")
+    dropped = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "simhash-dropped")
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    return kept.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else kept
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"))
