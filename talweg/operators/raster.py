@@ -24,8 +24,8 @@ def target_grid(ring: Column, cell: float) -> Column:
 
 
 def mosaic(parts: DataFrame) -> DataFrame:
-    """Cells (row, col, z, priority) of overlapping tiles: the first valid one of each place."""
-    return valid(parts).groupBy("row", "col").agg(F.min_by("z", "priority").alias("z"))
+    """Cells (row, col, z, priority) of overlapping tiles: the first valid one of each place, the lowest among equals."""
+    return valid(parts).groupBy("row", "col").agg(F.min_by("z", F.struct("priority", "z")).alias("z"))
 
 
 def cell_of(x: Column, y: Column, x0: float, y0: float, cell: float) -> Column:

@@ -68,7 +68,7 @@ def stop(source: str) -> str:
 
 RANK = "row_number() OVER (PARTITION BY request ORDER BY complete DESC, per_mille, date DESC, place)"
 USABLE = f"""(SELECT * REPLACE (row_number() OVER (PARTITION BY request ORDER BY scene_cloud, scene) AS place) FROM
-    (SELECT *, max(CAST(complete AS INT)) OVER (PARTITION BY request) AS some FROM {SCENES} WHERE scene_cloud < 30) WHERE some = 0 OR complete QUALIFY place <= 5)"""
+    (SELECT *, max(CAST(complete AS INT)) OVER (PARTITION BY request) AS anyfull FROM {SCENES} WHERE scene_cloud < 30) WHERE anyfull = 0 OR complete QUALIFY place <= 5)"""
 
 DEM = "dem AS (SELECT CAST(l_orderkey % 40 AS INT) AS row, CAST(l_partkey % 40 AS INT) AS col, min(CAST(round(l_extendedprice) AS BIGINT)) * {} AS z FROM lineitem GROUP BY 1, 2)"
 NB = "nb(k, dr, dc) AS (VALUES " + ", ".join(f"({k}, {r}, {c})" for k, (r, c) in enumerate(NEIGHBOURS)) + ")"
@@ -79,7 +79,7 @@ FILL = """f(row, col, v) USING KEY (row, col) AS (SELECT row, col, z FROM seed U
 D8 = """edge AS (SELECT a.row, a.col, CAST(a.row AS BIGINT) * 4294967296 + a.col AS node, b.down FROM f a LEFT JOIN
     (SELECT row, col, down FROM (SELECT p.row, p.col, CAST(q.row AS BIGINT) * 4294967296 + q.col AS down, row_number() OVER (PARTITION BY p.row, p.col ORDER BY (p.v - q.v) / CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2e0) ELSE 1e0 END DESC, k) AS i
         FROM f p CROSS JOIN nb JOIN f q ON q.row = p.row + dr AND q.col = p.col + dc WHERE p.v > q.v) WHERE i = 1) b ON a.row = b.row AND a.col = b.col)"""
-ACC = "way(node, at) AS (SELECT node, node FROM edge UNION ALL SELECT w.node, e.down FROM way w JOIN edge e ON e.node = w.at WHERE e.down IS NOT NULL), flow AS (SELECT e.row, e.col, e.node, e.down, n.acc FROM edge e JOIN (SELECT at, count(*) AS acc FROM way GROUP BY at) n ON n.at = e.node), outlet AS (SELECT node FROM flow ORDER BY acc DESC, node LIMIT 1)"
+ACC = "way(node, spot) AS (SELECT node, node FROM edge UNION ALL SELECT w.node, e.down FROM way w JOIN edge e ON e.node = w.spot WHERE e.down IS NOT NULL), flow AS (SELECT e.row, e.col, e.node, e.down, n.acc FROM edge e JOIN (SELECT spot, count(*) AS acc FROM way GROUP BY spot) n ON n.spot = e.node), outlet AS (SELECT node FROM flow ORDER BY acc DESC, node LIMIT 1)"
 GRID = f"WITH RECURSIVE {DEM.format(1048576)}, {NB}, {SEEDS}, {FILL}"
 FLOW = f"{GRID}, {D8}, {ACC}"
 SAMPLES = "(SELECT c_custkey AS id, c_custkey * 37 % 4000 / 100e0 + 0.005e0 AS u, c_custkey * 53 % 4000 / 100e0 + 0.005e0 AS v FROM customer)"
@@ -140,13 +140,13 @@ ORACLES = {
     "fill_int": f"{GRID} SELECT d.row, d.col, d.z, f.v AS f FROM dem d JOIN f ON f.row = d.row AND f.col = d.col",
     "d8_int": f"{GRID}, {D8} SELECT row, col, down FROM edge",
     "flow_accumulation": f"{FLOW} SELECT row, col, acc FROM flow",
-    "upstream_basin": f"{FLOW} SELECT w.node FROM way w JOIN outlet o ON w.at = o.node",
-    "drains_to": f"{FLOW} SELECT s.node AS source, o.node AS target, EXISTS (SELECT 1 FROM way w WHERE w.node = s.node AND w.at = o.node) AS drains FROM flow s, outlet o WHERE s.row * s.col % 7 = 0",
+    "upstream_basin": f"{FLOW} SELECT w.node FROM way w JOIN outlet o ON w.spot = o.node",
+    "drains_to": f"{FLOW} SELECT s.node AS source, o.node AS target, EXISTS (SELECT 1 FROM way w WHERE w.node = s.node AND w.spot = o.node) AS drains FROM flow s, outlet o WHERE s.row * s.col % 7 = 0",
     "main_channel": f"{FLOW}, best AS (SELECT down, node FROM flow WHERE down IS NOT NULL QUALIFY row_number() OVER (PARTITION BY down ORDER BY acc DESC, node) = 1), up(node, step) AS (SELECT node, CAST(0 AS BIGINT) FROM outlet UNION ALL SELECT b.node, step + 1 FROM up JOIN best b ON b.down = up.node JOIN flow g ON g.node = b.node WHERE g.acc >= 5) SELECT node, step FROM up",
     "snap_outlet": f"{FLOW} SELECT row_number() OVER (ORDER BY d, acc DESC, row, col) AS place, row, col, acc, round(d, 6) AS distance_m FROM (SELECT *, sqrt(CAST((row - 20) * (row - 20) + (col - 20) * (col - 20) AS DOUBLE)) AS d FROM flow) WHERE acc >= 5 AND d <= 6",
     "mask_dilation": f"WITH {DEM.format(1)} SELECT DISTINCT d.row + dr AS row, d.col + dc AS col FROM dem d, range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE z < 1200 AND dr * dr + dc * dc <= 4",
-    "raster_mosaic": "SELECT CAST(l_orderkey % 60 AS INT) AS row, CAST(l_partkey % 60 AS INT) AS col, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS z FROM lineitem WHERE l_quantity >= 10 GROUP BY 1, 2",
-    "bilinear_sample": f"""WITH {DEM.format(1)} SELECT id, round(sum(w * z) / sum(w), 4) AS z FROM (SELECT id, CAST(floor(v - 0.5e0) AS INT) + r AS row, CAST(floor(u - 0.5e0) AS INT) + c AS col,
+    "raster_mosaic": "SELECT CAST(l_orderkey % 60 AS INT) AS row, CAST(l_partkey % 60 AS INT) AS col, arg_min(l_extendedprice, (l_orderkey * 10 + l_linenumber, l_extendedprice)) AS z FROM lineitem WHERE l_quantity >= 10 GROUP BY 1, 2",
+    "bilinear_sample": f"""WITH {DEM.format(1)} SELECT id, round(sum(w * z) / sum(w), 7) AS z FROM (SELECT id, CAST(floor(v - 0.5e0) AS INT) + r AS row, CAST(floor(u - 0.5e0) AS INT) + c AS col,
         CASE r WHEN 1 THEN v - 0.5e0 - floor(v - 0.5e0) ELSE 1 - (v - 0.5e0 - floor(v - 0.5e0)) END * CASE c WHEN 1 THEN u - 0.5e0 - floor(u - 0.5e0) ELSE 1 - (u - 0.5e0 - floor(u - 0.5e0)) END AS w FROM {SAMPLES}, range(0, 2) a(r), range(0, 2) b(c)) k JOIN dem USING (row, col) WHERE w > 0 GROUP BY id""",
     "nearest_sample": f"WITH {DEM.format(1)} SELECT id, z FROM {SAMPLES} s JOIN dem ON row = floor(v) AND col = floor(u)",
     "polygon_mask": f"WITH {DEM.format(1)} SELECT row, col, z FROM dem WHERE {in_ring([(3.2, 3.1), (36.3, 8.4), (30.7, 35.2), (18.1, 17.3), (5.4, 30.6)], '(col + 0.5e0)', '(39.5e0 - row)')}",

@@ -246,7 +246,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
-    return raster.bilinear(samples(spark, d), dem(spark, d, 1)).select("id", F.round("z", 4).alias("z"))
+    return raster.bilinear(samples(spark, d), dem(spark, d, 1)).select("id", F.round("z", 7).alias("z"))
 
 
 def nearest_sample(spark: SparkSession, d: str) -> DataFrame:
