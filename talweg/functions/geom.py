@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -10,6 +11,21 @@ from pyspark.sql import functions as F
 POINTS = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bound(f):
+    """Binds the first argument of a ring function, so that nested calls don't compute it again and again."""
+
+    @functools.wraps(f)
+    def with_ring(ring: Column, *rest, **named) -> Column:
+        return let(ring, lambda r: f(r, *rest, **named))
+
+    return with_ring
+
+
 def point(x, y) -> Column:
     return F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, Column) else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y"))
 
@@ -23,30 +39,34 @@ def following(ring: Column) -> Column:
     return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
 
 
+@bound
 def signed_area(ring: Column) -> Column:
     cross = F.zip_with(ring, following(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2
 
 
+@bound
 def area(ring: Column) -> Column:
     """Shoelace area. The ring is moved to its first point, which keeps large coordinates from eating digits."""
-    first = F.get(ring, F.lit(0))
-    near = F.transform(ring, lambda p: point(p["x"] - first["x"], p["y"] - first["y"]))
+    near = let(F.get(ring, F.lit(0)), lambda first: F.transform(ring, lambda p: point(p["x"] - first["x"], p["y"] - first["y"])))
     return F.when(F.size(ring) >= 3, F.abs(signed_area(near))).otherwise(0.0)
 
 
+@bound
 def length(line: Column, closed: bool = False) -> Column:
     ends = following(line) if closed else F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0)))
     starts = line if closed else F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
     return F.aggregate(F.zip_with(starts, ends, lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(0.0), lambda s, v: s + v)
 
 
+@bound
 def bounds(ring: Column) -> Column:
     """struct<west, south, east, north>."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
 
 
+@bound
 def centroid(ring: Column) -> Column:
     cross = F.zip_with(ring, following(ring), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
     total = lambda of: F.aggregate(cross, F.lit(0.0), lambda s, v: s + of(v))
@@ -71,6 +91,7 @@ def segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column,
     return F.hypot(px - x0 - t * dx, py - y0 - t * dy)
 
 
+@bound
 def densify(ring: Column, step: float) -> Column:
     """The ring with points every `step` or less along its edges."""
 
@@ -81,6 +102,7 @@ def densify(ring: Column, step: float) -> Column:
     return F.flatten(F.zip_with(ring, following(ring), split))
 
 
+@bound
 def half_plane(ring: Column, axis: str, limit: Column, keep_above: bool) -> Column:
     """Sutherland-Hodgman: the part of a ring on one side of a line along an axis."""
     other = "y" if axis == "x" else "x"
@@ -98,7 +120,7 @@ def half_plane(ring: Column, axis: str, limit: Column, keep_above: bool) -> Colu
 def clip_to_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """The ring inside a box. Its area is exact for any simple ring; rings that fall apart stay joined along the box."""
     for axis, limit, above in (("x", west, True), ("x", east, False), ("y", south, True), ("y", north, False)):
-        ring = F.transform(F.array(half_plane(ring, axis, limit, above)), lambda r: r)[0]
+        ring = half_plane(ring, axis, limit, above)
     return ring
 
 
@@ -106,6 +128,7 @@ def overlap_area(ring: Column, west: Column, south: Column, east: Column, north:
     return area(clip_to_box(ring, west, south, east, north))
 
 
+@bound
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point is inside, by ray casting; points on the edge may go either way."""
     crossed = F.zip_with(ring, following(ring), lambda a, b: F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.coalesce(F.try_divide(y - a["y"], b["y"] - a["y"]), F.lit(0.0)) + a["x"]), 1).otherwise(0))
@@ -116,13 +139,13 @@ def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, ring: Column) -
     """struct<t0, t1>, the part of a segment inside a convex ring (Cyrus-Beck); null where none of it is."""
     orient = F.when(signed_area(ring) >= 0, 1.0).otherwise(-1.0)
 
-    def bound(a: Column, b: Column) -> Column:
+    def limit(a: Column, b: Column) -> Column:
         nx, ny = orient * (a["y"] - b["y"]), orient * (b["x"] - a["x"])
         den, num = nx * (x1 - x0) + ny * (y1 - y0), nx * (a["x"] - x0) + ny * (a["y"] - y0)
         t = F.try_divide(num, den)
         return F.struct(F.when(den > 0, t).when((den == 0) & (num > 0), 2.0).otherwise(0.0).alias("lo"), F.when(den < 0, t).otherwise(1.0).alias("hi"))
 
-    limits = F.zip_with(ring, following(ring), bound)
+    limits = F.zip_with(ring, following(ring), limit)
     lo = F.greatest(F.lit(0.0), F.array_max(F.transform(limits, lambda v: v["lo"])))
     hi = F.least(F.lit(1.0), F.array_min(F.transform(limits, lambda v: v["hi"])))
     return F.when(lo < hi, F.struct(lo.alias("t0"), hi.alias("t1")))

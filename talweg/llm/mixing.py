@@ -95,7 +95,8 @@ def served(end, partial: bool):
 def stream(mixed: DataFrame, most: int = 2) -> DataFrame:
     """The mix as the sequence that training reads: one row per pass taken, range-sorted over the cluster by virtual finish time."""
     times = F.expr(f"filter(transform(sequence(0, {most - 1}), k -> struct(k AS epoch, virtual_finish + k * source_size / target AS at, greatest(0, least(size, taken - k * size)) AS words)), x -> x.words > 0)")
-    return mixed.select("*", F.explode(times).alias("_e")).select(*mixed.columns, "_e.epoch", "_e.at", "_e.words").orderBy("at", "source", "doc_id", "epoch")
+    kept = [c for c in mixed.columns if c not in ("epoch", "at", "words")]
+    return mixed.select("*", F.explode(times).alias("_e")).select(*kept, "_e.epoch", "_e.at", "_e.words").orderBy("at", "source", "doc_id", "epoch")
 
 
 def query(docs: DataFrame) -> DataFrame:
