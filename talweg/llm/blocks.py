@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt(rows: DataFrame, cell: str, by: Column, block: int, home: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, cell: str, by: Column, block: int) -> DataFrame:
     """`rows` with `_i` <= `_j`, the pair of blocks of the cell, and `_side`: 0 in block i, 1 in block j, 2 where they are the same.
 
     Cells up to `block` rows are one block. The sizes of the larger ones come from a count with map-side combining and
-    are joined back; the optimizer may broadcast them, as long as they are under its size limit. `home`: false for rows
-    that only need comparing with rows for which it is true; cells are sized by all rows.
+    are joined back; the optimizer may broadcast them, as long as they are under its size limit.
     """
     large = rows.groupBy(cell).count().where(F.col("count") > block).select(cell, F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
     own = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(F.pmod(by, F.col("_blocks")).cast("int"))

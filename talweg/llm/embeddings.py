@@ -27,8 +27,8 @@ from .components import components
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>, null where the vector links with nothing)."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v (the vector in its own type, null where it links with nothing)."""
+    v = F.col("embedding")
     fine = F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, v).alias("v"))
 
@@ -79,79 +79,100 @@ def visits(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.n
 
 
 def assigned(points: DataFrame, centroids: dict[int, np.ndarray], least: float) -> DataFrame:
-    """(rep, n, v, cell, home): a row for the home cell and one for each cell visited."""
+    """(rep, n, v, cell, home): a row for the home cell and one for each cell visited. Vectors travel as they came."""
+    kind = dict(points.dtypes)["v"]
+    element = pa.float32() if kind == "array<float>" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 rep, n, vs = b.column("rep").to_numpy(), b.column("n").to_numpy(), b.column("v").to_pylist()
-                for d in {len(v) for v in vs}:
+                for d in sorted({len(v) for v in vs}):
                     own = np.array([i for i, v in enumerate(vs) if len(v) == d])
-                    x = unit([vs[i] for i in own])
+                    raw = np.array([vs[i] for i in own], element.to_pandas_dtype())
                     c = centroids.get(d)
-                    home, i, j = visits(x, c if c is not None else np.ones((1, d)) / math.sqrt(d), least)
+                    home, i, j = visits(unit(raw), c if c is not None else np.ones((1, d)) / math.sqrt(d), least)
                     rows, cell = np.append(np.arange(len(own)), i), np.append(home, j)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * d), pa.array(x[rows].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[own][rows]), pa.array(n[own][rows]), flat, pa.array(d * 100_000 + cell), pa.array(home[rows] + d * 100_000)], names=["rep", "n", "v", "cell", "home"])
-
-    return points.mapInArrow(run, "rep long, n long, v array<double>, cell long, home long")
+                    for x in range(0, len(rows), 8192):
+                        part = rows[x : x + 8192]
+                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(raw[part].ravel(), element))
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[own][part]), pa.array(n[own][part]), flat, pa.array(d * 100_000 + cell[x : x + 8192]), pa.array(home[part] + d * 100_000)], names=["rep", "n", "v", "cell", "home"])
+
+    return points.mapInArrow(run, f"rep long, n long, v {kind}, cell long, home long")
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """`rows` with the tasks that they take part in: (_kind, _p, _q).
+
+    Kind 0 compares a block of vectors at home (p) with a block of visitors (q), and for q = 0 with itself; kind 1 compares
+    two blocks at home (p < q). Visitors are never compared with each other. Most cells are one task, and only rows of
+    larger cells, whose counts are joined back, are repeated.
+    """
+    here = F.col("cell") == F.col("home")
+    sizes = rows.groupBy("cell").agg(F.count_if(here).alias("h"), F.count_if(~here).alias("g"))
+    large = sizes.where((F.col("h") > block) | (F.col("g") > 8 * block)).select("cell", F.ceil(F.col("h") / block).cast("int").alias("_nh"), F.greatest(F.lit(1), F.ceil(F.col("g") / (8 * block))).cast("int").alias("_ng"))
+    one = F.lit(1)
+    placed = rows.join(large, "cell", "left").select(*rows.columns, here.alias("_here"), F.greatest(one, F.coalesce("_nh", one)).alias("_nh"), F.coalesce("_ng", one).alias("_ng"))
+    own = F.when(F.col("_here"), F.pmod(F.xxhash64("rep"), F.col("_nh"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("_ng"))).cast("int")
+    task = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.cast("int").alias("p"), q.cast("int").alias("q"))
+    o = F.col("_own")
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    at_home = F.concat(F.transform(count(F.col("_ng")), lambda k: task(0, o, k)), F.transform(F.filter(count(F.col("_nh")), lambda j: j != o), lambda j: task(1, F.least(o, j), F.greatest(o, j))))
+    tasks = F.when(F.col("_here"), at_home).otherwise(F.transform(count(F.col("_nh")), lambda i: task(0, i, o)))
+    out = placed.withColumn("_own", own).select(*rows.columns, "_own", F.explode(tasks).alias("_t"))
+    return out.select(*rows.columns, "_own", F.col("_t.kind").alias("_kind"), F.col("_t.p").alias("_p"), F.col("_t.q").alias("_q"))
 
 
 def links(points: DataFrame, centroids: dict[int, np.ndarray], least: float, block: int) -> DataFrame:
     """Rows (a, b, n): a point's links as a count n with b null, and forest links (a, b) with n 0."""
-    keys = ["cell", "_i", "_j"]
-
-    def found(rep: np.ndarray, n: np.ndarray, x: np.ndarray, cell: np.ndarray, home: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pairs of a block pair: of points at home here each once, and of visitors with those at home, unless the pair is met in the other's cell too and that has the lower number."""
-        here = cell == home
-        left, right = np.flatnonzero((side != 1)), np.flatnonzero((side != 0))
-        a_all, b_all = [], []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            i, j = np.nonzero(x[rows] @ x[right].T >= least)
-            i, j = rows[i], right[j]
-            ok = (rep[i] < rep[j]) | (side[i] != side[j])
-            ok &= (here[i] | here[j]) & (rep[i] != rep[j])
-            i, j = i[ok], j[ok]
-            cross = np.flatnonzero(here[i] != here[j])
-            if len(cross):
-                host, guest = np.where(here[i], i, j)[cross], np.where(here[i], j, i)[cross]
-                keep = np.ones(len(i), bool)
-                d = x.shape[1] * 100_000
-                own, other = home[host] - d, home[guest] - d
-                keep[cross] = (own < other) | ~crosses(x[host], centroids[x.shape[1]], own, other, least)
-                i, j = i[keep], j[keep]
-            a_all.append(i)
-            b_all.append(j)
-        return np.concatenate(a_all or [np.array([], int)]), np.concatenate(b_all or [np.array([], int)])
+    keys = ["cell", "_kind", "_p", "_q"]
+
+    def close(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(left[at : at + 512][i], right[j]) for at in range(0, len(left), 512) for i, j in [np.nonzero(x[left[at : at + 512]] @ x[right].T >= least)]]
+        return np.concatenate([f[0] for f in found] or [np.array([], int)]), np.concatenate([f[1] for f in found] or [np.array([], int)])
+
+    def pairs(x: np.ndarray, cell: np.ndarray, home: np.ndarray, own: np.ndarray, kind: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of a task. A visitor's pair is left to the other cell where it is met there too and that has the lower number."""
+        if kind:
+            return close(x, np.flatnonzero(own == p), np.flatnonzero(own == q))
+        host, guest = np.flatnonzero(cell == home), np.flatnonzero(cell != home)
+        i, j = close(x, host, guest)
+        if len(i):
+            d = x.shape[1]
+            mine, other = home[i] - d * 100_000, home[j] - d * 100_000
+            keep = (mine < other) | ~crosses(x[i], centroids[d], mine, other, least)
+            i, j = i[keep], j[keep]
+        if q == 0:
+            a, b = close(x, host, host)
+            i, j = np.append(i, a[a < b]), np.append(j, b[a < b])
+        return i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in blocks.grouped(batches, keys, 4096):
-            cols = [t.column(c).to_numpy() for c in ("rep", "n", "cell", "home", "_side")]
+            rep, n, cell, home, own, kind, p, q = (t.column(c).to_numpy() for c in ("rep", "n", "cell", "home", "_own", "_kind", "_p", "_q"))
             vs = t.column("v").combine_chunks()
             vs = vs.chunk(0) if isinstance(vs, pa.ChunkedArray) else vs
             offsets, flat = vs.offsets.to_numpy(), vs.values.to_numpy()
             for at, to in zip(starts[:-1], starts[1:], strict=True):
                 if to - at < 2:
                     continue
-                rep, n, cell, home, side = (c[at:to] for c in cols)
-                x = flat[offsets[at] : offsets[to]].reshape(to - at, -1)
-                i, j = found(rep, n, x, cell, home, side)
+                s = slice(at, to)
+                x = unit(flat[offsets[at] : offsets[to]].reshape(to - at, -1))
+                i, j = pairs(x, cell[s], home[s], own[s], kind[at], p[at], q[at])
                 if not len(i):
                     continue
-                count = np.zeros(to - at, np.int64)
-                np.add.at(count, i, n[j])
-                np.add.at(count, j, n[i])
+                count = np.bincount(i, n[s][j], to - at).astype(np.int64) + np.bincount(j, n[s][i], to - at).astype(np.int64)
                 some = np.flatnonzero(count)
                 a, b = blocks.forest(i, j, to - at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(rep[some], rep[a])), pa.array([*[None] * len(some), *rep[b].tolist()], pa.int64()), pa.array(np.append(count[some], np.zeros(len(a), np.int64)))], names=["a", "b", "n"])
+                of = rep[s]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(of[some], of[a])), pa.array([*[None] * len(some), *of[b].tolist()], pa.int64()), pa.array(np.append(count[some], np.zeros(len(a), np.int64)))], names=["a", "b", "n"])
 
-    rows = blocks.dealt(assigned(points, centroids, least), "cell", F.xxhash64("rep"), block)
+    rows = dealt(assigned(points, centroids, least), block)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 1024, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 2048, sample: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of `vectors`."""
     rows = written(usable(vectors).withColumn("h", F.xxhash64("v")), "vectors")
     points = written(rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "points")
