@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labels: int
                 total += f.T @ np.hstack([f, b.column("_y").to_numpy(zero_copy_only=False)[:, None]])
         yield pa.RecordBatch.from_pydict({"i": list(range(width)), "row": total.tolist()}, schema=pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))]))
 
-    parted = rows.where(~F.col("_cal")).select("_x", "_y").mapInArrow(parts, "i int, row array<double>")
-    system = parted.collect()  # width rows from each of eight partitions: the size is fixed
+    parted = rows.where(~F.col("_cal")).select("_x", "_y").coalesce(8).mapInArrow(parts, "i int, row array<double>")
+    system = parted.collect()  # width rows from each of at most eight partitions, however many the session deals: the size is fixed
     gram = np.zeros((width, width + 1))
     for i in range(width):
         gram[i] = np.sum(sorted((r["row"] for r in system if r["i"] == i)), axis=0)
