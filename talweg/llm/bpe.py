@@ -272,12 +272,15 @@ class Encoder:
                 out[i] = starts[first] + b"".join(map(inner.__getitem__, rest))
         return out
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bytes of all ids, and where each id's bytes end."""
+    def decode(self, ids: np.ndarray, most: int = 131_072) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's bytes end. `most` ids are spread out at a time, which bounds the index arrays."""
         sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.bytes[np.repeat(self.offsets[ids] - ends + sizes, sizes) + np.arange(total)].tobytes(), ends
+        parts = []
+        for at in range(0, len(ids), most):
+            n = sizes[at : at + most]
+            ends = np.cumsum(n)
+            parts.append(self.bytes[np.repeat(self.offsets[ids[at : at + most]] - ends + n, n) + np.arange(int(ends[-1]))].tobytes())
+        return b"".join(parts), np.cumsum(sizes)
 
 
 @functools.lru_cache(2)
@@ -293,20 +296,22 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, carry: list[str] | None = None, piece: int = 4_000_000) -> DataFrame:
     """`docs` with `ids` (array<int>), n_tokens and the digests of the ids and of the decoded bytes.
 
-    `path` is where every worker finds the vocabulary, an installed file that is read only.
+    `path` is where every worker finds the vocabulary, an installed file that is read only. `carry` names the columns of
+    `docs` that the result keeps, all by default: the text itself need not travel back. `piece` bounds the bytes of text
+    that a worker takes at a time; a longer text is taken alone and whole.
     """
     where, rule = default_vocabulary()
     where, rule = path or where, pattern or rule
     new = T.StructType.fromDDL("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    kept = [c for c in docs.columns if c not in new.names]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in new.names]
     schema = T.StructType([*docs.select(*kept).schema.fields, *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where, rule)
-        for b in pieces(batches, "_t"):
+        for b in pieces(batches, "_t", piece):
             coded = e.encode([t or "" for t in b.column("_t").to_pylist()])
             ends = np.cumsum([0, *[len(c) // 4 for c in coded]])
             ids = np.frombuffer(b"".join(coded), "<u4")
@@ -337,5 +342,5 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs.select("doc_id", "text"), carry=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
