@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids."""
     ship(spark)
-    return bpe.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs.select("doc_id", "source", "text"), carry=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
