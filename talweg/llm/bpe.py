@@ -90,12 +90,14 @@ class RankQueue:
 SHORT = 64
 #: Buckets up to this many entries are merged one by one.
 FEW = 8
+#: So many short pre-tokens share a run, which bounds its arrays.
+GROUP = 16_384
 
 
 class Encoder:
     """Encodes and decodes by a table of ranks (token bytes to id, lower merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         #: White space other than the plain space, for a look at what stands beside a space.
@@ -259,7 +261,10 @@ class Encoder:
         """The ids of each pre-token, packed."""
         known = self.ranks
         short = [p for p in pieces if len(p) <= SHORT and p not in known]
-        merged = dict(zip(short, self.merge_many(short), strict=True)) if short else {}
+        merged: dict[bytes, bytes] = {}
+        for at in range(0, len(short), GROUP):
+            part = short[at : at + GROUP]
+            merged.update(zip(part, self.merge_many(part), strict=True))
         return [x if (x := merged.get(p)) is not None else self.merge_one(p) for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -296,7 +301,7 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, carry: list[str] | None = None, piece: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, carry: list[str] | None = None, piece: int = 1_000_000) -> DataFrame:
     """`docs` with `ids` (array<int>), n_tokens and the digests of the ids and of the decoded bytes.
 
     `path` is where every worker finds the vocabulary, an installed file that is read only. `carry` names the columns of
