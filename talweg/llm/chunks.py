@@ -1,21 +1,24 @@
 """Operator 5, substring deduplication by content-defined chunks.
 
-A gear hash rolls over the UTF-8 bytes of a text: each step shifts it by one bit and adds a value of the new byte. Where
-five of its bits are zero a chunk may end, so ends depend on the last bytes only and an insertion moves no later one.
-Chunks have at least `least` and at most `most` bytes. A chunk whose 128-bit digest is met in more than one document is
-repeated; repeated chunks that follow each other form a passage, and passages of `passage` bytes or more count. The
-first place of a chunk (smallest doc_id, then offset) keeps it, all others lose it.
-
-Digests are counted with map-side combining and joined back by equality, a join that the optimizer splits where a digest
-is hot; only repeated chunks are gathered by document.
-
-Defined results: null and empty texts have no chunk; documents without a repeated passage give no row; repeats inside
-one document only are left alone; rows that repeat a doc_id count as one document, its spans merged; an empty table
-gives no rows; further columns are ignored by `passages` and passed through by `remove`.
+A gear hash rolls over the UTF-8 bytes of a text: each step shifts it by one bit and adds a value of the new byte. A
+chunk has `passage` bytes and starts where the hash of its first 17 bytes is the smallest (the last of equal ones) of
+some `every` places in a row; each text's first and last chunk are added. Starts depend on the bytes there only, never on
+an earlier chunk, so two texts that share `passage` + `every` - 1 bytes, 97 by default, share a chunk, whatever stands
+around them. (50 words have 99 bytes or more.) A chunk whose 96-bit digest is met in more than one document is repeated;
+repeated chunks that overlap or touch form a passage, and each of its chunks is a whole copy of `passage` bytes. The first
+place of a chunk (smallest doc_id, then offset) keeps it, all others lose what no such first chunk covers.
+
+Chunks are dealt into buckets by digest, packed by columns, in one exchange: an occurrence takes some 20 bytes, also where
+a digest is hot. A bucket is sorted by digest; only repeated chunks leave it and are gathered by document.
+
+Defined results: null texts and texts under `passage` bytes have no chunk; documents without a repeated passage give no
+row; repeats inside one document only are left alone; rows that repeat a doc_id count as one document, its spans merged;
+an empty table gives no rows; further columns are ignored by `passages` and passed through by `remove`.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ WINDOW = 32
 GEAR = np.array([0, *(xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFFFFFF for b in range(1, 256))], np.uint32)
 #: Five bits that the last 17 bytes reach.
 MASK = np.uint32(0x1F << 12)
+#: The bits that the last 17 bytes make up.
+REACH, LOW = 17, np.uint32((1 << 17) - 1)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -44,7 +49,7 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(texts: list[bytes], least: int, most: int) -> list[list[int]]:
-    """Where the chunks of each text end."""
+    """Ends of disjoint chunks of each text; a forced end depends on the chunk before it, so `passages` goes by `starts`."""
     pad = b"\0" * WINDOW  # of gear value 0, so that no window reaches into the next text
     data = np.frombuffer(pad.join([*texts, b""]), np.uint8)
     found = (np.flatnonzero((gear_hash(data) & MASK) == 0) + 1).tolist()
@@ -72,50 +77,123 @@ def cuts(texts: list[bytes], least: int, most: int) -> list[list[int]]:
     return out
 
 
-def chunks(docs: DataFrame, text: str = "text", least: int = 24, most: int = 256) -> DataFrame:
-    """(doc_id, place, size, high, low): every chunk, by its byte offset, its size and the halves of its digest."""
+def starts(texts: list[bytes], passage: int, every: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one string, where the chunks start in it, and for each chunk its text and its offset there."""
+    pad = b"\0" * max(passage, every, WINDOW)
+    joined = pad.join([b"", *texts, b""])
+    n, sizes = len(joined), np.array([len(t) for t in texts])
+    at = len(pad) + np.cumsum(sizes + len(pad)) - sizes - len(pad)
+    first, last = at[sizes >= passage], (at + sizes - passage)[sizes >= passage]
+    edge = np.zeros(n, np.int8)
+    edge[first] = 1
+    edge[last + 1] -= 1
+    valid = np.cumsum(edge, dtype=np.int8) > 0
+    h = gear_hash(np.frombuffer(joined, np.uint8)) & LOW
+    low = (h[REACH - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(n, REACH - 1, -1, dtype=np.uint64)
+    width = 1
+    while width < every:
+        step = min(width, every - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    whole = valid[: len(low)] & valid[every - 1 :][: len(low)]
+    chosen = np.zeros(n, bool)
+    chosen[n - (low[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    chosen[first] = chosen[last] = True
+    found = np.flatnonzero(chosen)
+    of = np.searchsorted(at, found, "right") - 1
+    # An empty text starts where no chunk can, so the last text that starts at or before a chunk holds it.
+    return joined, found, of, found - at[of]
+
+
+#: An occurrence of a chunk: 96 bits of its digest, its document and its offset there.
+CHUNK = {"high": np.int64, "low": np.int32, "doc_id": np.int64, "place": np.int32}
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns as planes of their bytes, which compress well where values are near each other."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def unpacked(data: list[bytes]) -> list[np.ndarray]:
+    width = sum(np.dtype(d).itemsize for d in CHUNK.values())
+    rows = np.concatenate([np.frombuffer(d, np.uint8).reshape(width, -1).T for d in data])
+    ends = np.cumsum([np.dtype(d).itemsize for d in CHUNK.values()])
+    return [np.ascontiguousarray(rows[:, y - np.dtype(d).itemsize : y]).view(d)[:, 0] for d, y in zip(CHUNK.values(), ends, strict=True)]
+
+
+def chunks(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18, buckets: int = 4096) -> DataFrame:
+    """(bucket, data): every chunk, packed with the others of its bucket."""
+    if passage < REACH:
+        raise ValueError(f"passages have {REACH} bytes at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in pieces(batches, "_t", 4_000_000):
-            texts = [t or b"" for t in b.column("_t").cast(pa.binary()).to_pylist()]
-            ends = cuts(texts, least, most)
-            counts = np.array([len(e) for e in ends])
-            starts = [[0, *e[:-1]] if e else [] for e in ends]
-            made = b"".join([digest(t[x:y]) for t, s, e in zip(texts, starts, ends, strict=True) for x, y in zip(s, e, strict=True)])
-            halves = np.frombuffer(made, ">i8").astype(np.int64).reshape(-1, 2)
-            place = np.array([x for s in starts for x in s], np.int32)
-            size = np.array([y for e in ends for y in e], np.int32) - place
-            ids = b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), counts)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(size), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "place", "size", "high", "low"])
+            joined, found, of, place = starts(b.column("_t").cast(pa.binary()).to_pylist(), passage, every)
+            if not len(found):
+                continue
+            made = np.frombuffer(b"".join([digest(joined[x : x + passage]) for x in found.tolist()]), np.dtype([("high", "<i8"), ("low", "<i4"), ("rest", "<u4")]))
+            bucket = made["rest"] % buckets
+            order = np.argsort(bucket, kind="stable")
+            columns = [c[order].astype(d) for c, d in zip((made["high"], made["low"], b.column("doc_id").to_numpy()[of], place), CHUNK.values(), strict=True)]
+            keys, cut = np.unique(bucket[order], return_index=True)
+            data = [packed([c[x:y] for c in columns]) for x, y in itertools.pairwise([*cut.tolist(), len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull())
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, place int, size int, high long, low long")
-
-
-def passages(docs: DataFrame, text: str = "text", least: int = 24, most: int = 256, passage: int = 80) -> DataFrame:
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "bucket int, data binary")
+
+
+def repeats(dealt: DataFrame) -> DataFrame:
+    """(doc_id, at): every occurrence of a chunk that more than one document holds; `at` is twice its offset, and one more for the first."""
+
+    def run(t: pa.Table) -> pa.Table:
+        high, low, doc, place = unpacked(t.column("data").to_pylist())
+        order = np.lexsort((place, doc, low, high))
+        high, low, doc, place = (c[order] for c in (high, low, doc, place))
+        begin = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+        size = np.diff([*begin, len(doc)])
+        head = np.repeat(begin, size)
+        many = np.repeat(doc[begin] != doc[begin + size - 1], size)
+        first = (doc == doc[head]) & (place == place[head])
+        return pa.table({"doc_id": doc[many], "at": 2 * place[many].astype(np.int64) + first[many]})
+
+    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, at long")
+
+
+def spans(place: np.ndarray, first: np.ndarray, passage: int) -> tuple[int, int, list[tuple[int, int, bool]]]:
+    """Of a document's repeated chunks: the passages, their bytes, and their parts (start, end, whether a first chunk covers it)."""
+    points = np.unique(np.concatenate([place, place + passage]))
+    depth = np.zeros((2, len(points)), np.int64)
+    for k in (0, 1):
+        p = place[first == k]
+        np.add.at(depth[k], np.searchsorted(points, p), 1)
+        np.add.at(depth[k], np.searchsorted(points, p + passage), -1)
+    other, own = depth.cumsum(axis=1) > 0
+    state = np.where(own, 2, np.where(other, 1, 0))
+    cut = np.flatnonzero(np.diff(state, prepend=-1))
+    parts = [(int(points[i]), int(points[j]), bool(state[i] == 2)) for i, j in zip(cut[:-1], cut[1:]) if state[i]]
+    n = sum(i == 0 or parts[i - 1][1] < x[0] for i, x in enumerate(parts))
+    return n, sum(y - x for x, y, _ in parts), parts
+
+
+def passages(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18) -> DataFrame:
     """One row per document that holds repeated passages: doc_id, n_passages, repeated_bytes, removed_bytes and `spans`
-    (start, end, first: byte offsets of runs of chunks, and whether they are kept as the first of their kind)."""
-    all_chunks = chunks(docs, text, least, most)
-    met = all_chunks.groupBy("high", "low").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"))
-    repeated = met.where(F.col("first.doc_id") != F.col("last")).select("high", "low", "first")
-    # Read anew rather than shared: the chunks of all texts are larger than what it costs to cut them again.
-    placed = chunks(docs, text, least, most).join(repeated, ["high", "low"]).select("doc_id", F.struct("place", (F.col("place") + F.col("size")).alias("to"), ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.place") == F.col("place"))).alias("first")).alias("c"))
-    ordered = placed.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    runs = F.expr("""
-        aggregate(cs, cast(array() AS array<struct<start:int,to:int,parts:array<struct<start:int,end:int,first:boolean>>>>), (runs, c) ->
-            if(size(runs) > 0 AND element_at(runs, -1).to >= c.place,
-               concat(slice(runs, 1, size(runs) - 1), array(struct(element_at(runs, -1).start AS start, greatest(element_at(runs, -1).to, c.to) AS to,
-                   concat(element_at(runs, -1).parts, array(struct(c.place AS start, c.to AS end, c.first AS first))) AS parts))),
-               concat(runs, array(struct(c.place AS start, c.to AS to, array(struct(c.place AS start, c.to AS end, c.first AS first)) AS parts)))))
-    """)
-    long_runs = ordered.select("doc_id", F.filter(runs, lambda r: r["to"] - r["start"] >= passage).alias("runs")).where(F.size("runs") > 0)
-    total = lambda xs, of: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + of(x))
-    out = long_runs.select("doc_id", "runs", F.flatten(F.transform("runs", lambda r: r["parts"])).alias("spans"))
-    return out.select(
-        "doc_id", F.size("runs").cast("long").alias("n_passages"), total(F.col("runs"), lambda r: r["to"] - r["start"]).alias("repeated_bytes"),
-        total(F.filter("spans", lambda x: ~x["first"]), lambda x: x["end"] - x["start"]).alias("removed_bytes"), "spans",
-    )
+    (start, end, first: byte offsets of parts of passages, and whether they are kept as the first of their kind)."""
+    ordered = repeats(chunks(docs, text, passage, every)).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                at = np.unique(b.column("at")[i].values.to_numpy())
+                n, size, parts = spans(at >> 1, (at & 1) == 1, passage)
+                out.append((n, size, sum(y - x for x, y, kept in parts if not kept), [{"start": x, "end": y, "first": kept} for x, y, kept in parts]))
+            columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
+            made = pa.array([x[3] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, made], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "spans"])
+
+    return ordered.mapInArrow(run, "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, spans array<struct<start:int,end:int,first:boolean>>")
 
 
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:

@@ -119,6 +119,26 @@ def test_chunks(spark, empty):
     assert len({c - 2 for c in moved[0]} & set(moved[1])) > len(moved[1]) // 2 and chunks.query(empty).count() == 0
 
 
+def test_chunks_find_every_shared_passage(spark):
+    """Runs of one word at other offsets, and passages of 50 words of any length, against all windows of 80 bytes."""
+    r = random.Random(4)
+    texts = []
+    for i in range(40):
+        shared = ["river " * r.randint(60, 90), " ".join(r.choices("abcdefghij", k=50)), prose(r, 51)][i % 3]
+        texts += [prose(r, r.randint(0, 40)) + shared + prose(r, r.randint(0, 40)) for _ in range(2)]
+    texts += [prose(r, 12)[:85]] * 2 + [prose(r, 100) for _ in range(20)]
+    held = {}
+    for i, t in enumerate(texts):
+        for x in range(len(t) - 79):
+            held.setdefault(t[x : x + 80], set()).add(i)
+    got = {x["doc_id"]: x["spans"] for x in chunks.passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        true = {y for x in range(len(t) - 79) if len(held[t[x : x + 80]]) > 1 for y in range(x, x + 80)}
+        said = {y for x in got.get(i, []) for y in range(x["start"], x["end"])}
+        assert said <= true and len(true - said) <= 2 * 17 * len(got.get(i, [])) and (i >= 82 or i in got)
+    assert any(x["first"] for x in got[80]) and not any(x["first"] for x in got[81])
+
+
 def test_warc(spark):
     pages = [(1, "http://b.a/x?q#f", "<p>é</p>"), (2, None, None), (3, "http://c.a", "<p>é</p>"), (4, "http://b.a/x?q", ""), (5, "https://B.a/x?q", "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
