@@ -215,10 +215,20 @@ def upstream_basin(spark: SparkSession, d: str) -> DataFrame:
     return hydro.upstream(f.select("node", "down"), outlet(f)).select("node")
 
 
+def drains(f: DataFrame, sources: DataFrame) -> DataFrame:
+    pairs = sources.select(F.col("node").alias("source")).crossJoin(F.broadcast(outlet(f).withColumnRenamed("node", "target")))  # one target row
+    return hydro.drains_to(f.select("node", "down"), pairs)
+
+
 def drains_to(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that the SQL asks about; `drains_to_every` has all."""
     f = flow(spark, d)
-    pairs = f.where((F.col("row") * F.col("col")) % 7 == 0).select(F.col("node").alias("source")).crossJoin(F.broadcast(outlet(f).withColumnRenamed("node", "target")))  # one target row
-    return hydro.drains_to(f.select("node", "down"), pairs)
+    return drains(f, f.where((F.col("row") * F.col("col")) % 7 == 0))
+
+
+def drains_to_every(spark: SparkSession, d: str) -> DataFrame:
+    f = flow(spark, d)
+    return drains(f, f)
 
 
 def main_channel(spark: SparkSession, d: str) -> DataFrame:
@@ -270,3 +280,5 @@ ALL = [
     drains_to, main_channel, snap_outlet, mask_dilation, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, zonal_class_pct,
 ]
 QUERIES = {f.__name__: f for f in ALL}
+#: Registered without SQL; held against a plain version in tests.
+WITHOUT_SQL = {"drains_to_every": drains_to_every}

@@ -29,3 +29,19 @@ def test_entry_lists_every_query_with_sql():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_drains_to_every_cell(spark, sf):
+    import __spark_entry__
+    from talweg.plans.queries import flow
+
+    down = {r["node"]: r["down"] for r in flow(spark, sf).select("node", "down").collect()}
+
+    def way(n):
+        while n is not None:
+            yield n
+            n = down[n]
+
+    got = __spark_entry__.queries()["drains_to_every"](spark, sf).collect()
+    assert sorted(r["source"] for r in got) == sorted(down) and len({r["target"] for r in got}) == 1
+    assert all(r["drains"] == (r["target"] in way(r["source"])) for r in got)
