@@ -1,8 +1,8 @@
 """Operator 8, secret scans: candidates by pattern, false positives removed by a random forest, in built-in functions.
 
-A candidate is a run of 16 or more key characters with a digit, inside a word. Its features are its length and make-up,
-its character transitions, how much of it dictionary words cover, whether it stands in a path, and its neighbouring
-words. The forest is trained on labelled findings and becomes one SQL expression, so that finding, scoring and redacting
+A candidate is a run of 16 or more key characters inside a word, or a run of any length and make-up that a key name and an
+assignment, "Bearer" or a known prefix point to. Its features are its length and make-up, its character transitions, how
+much of it dictionary words cover, whether it stands in a path, quotes or an assignment, and its neighbouring words. The forest is trained on labelled findings and becomes one SQL expression, so that finding, scoring and redacting
 are a projection of each document's own row: no exchange, no Python on the executors.
 
 Training reads a bounded table of findings (label 0 or 1, word, before_2, before_1, after). The tables here hold no such
@@ -28,11 +28,37 @@ from .common import let, words_of
 RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 KEYS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)"
 BENIGN = r"(?i)(commit|sha\d*|md5|checksum|digest|uuid|guid|hash|revision|etag|version|build|order|invoice|example|image|serial|tracking)"
-PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|glpat-|xox[bp]-|sk_live_|sk-|AIza|eyJ)"
+PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|glpat-|xox[bp]-|sk_live_|sk-|AIza|eyJ)"
+PREFIXES = "^" + PREFIX
+#: A key name and what may follow it up to its assignment.
+NAMED = r"(?i)(?:token|secret|passw|passphrase|pwd|api.?key|access.?key|auth(?!or)|credential|private.?key)[A-Za-z0-9_.\-]*[\"'\])]*"
 #: Common words that secrets seldom hold.
 DICTIONARY = "the and for you that with this from have not are was will your about example sample test demo user name file data page index image public static assets content article section chapter version release download report document summary order number house world people service product company system network language history".split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
-FEATURES = ["length", "distinct", "digits", "upper", "lower", "changes", "hex", "pairs", "dictionary", "path", "keyed", "benign", "prefix", "assigned"]
+#: Syllables of English, German, French and Spanish words, for words in capitals.
+SYLLABLES = "ment tion que aire elle eux vich pa ait schung auf sch heit keit lich ung der die ein ver dad cion ando mente por ble ness ing ship con pre able est ich leai aus les des est ois".split()
+FEATURES = ["length", "distinct", "digits", "upper", "lower", "changes", "hex", "pairs", "dictionary", "path", "keyed", "benign", "prefix", "assigned", "quoted", "symbols"]
+
+
+def pointed(x: Column, before_2: Column, before_1: Column) -> Column:
+    """The run in a word that a key name with an assignment, "Bearer" or a known prefix points to; empty if there is none."""
+    inside = F.regexp_extract(x, NAMED + "[=:]+>?[\"'`]*([^\"'`]+)", 1)
+    ahead = before_1.rlike(NAMED + "[=:]+>?$") | (before_1.rlike("^[=:]+>?$") & before_2.rlike(NAMED + "$")) | before_1.rlike("(?i)^[\"'`]?bearer$") | (before_1.rlike(NAMED + "$") & x.rlike("^[=:]"))
+    after = F.when(ahead, F.regexp_extract(x, "^[=:>\"'`(\\[{]*([^\"'`]+)", 1)).otherwise("")
+    prefixed = F.regexp_extract(x, f"(?:^|[^A-Za-z0-9])({PREFIX}[^\"'`,;()<>]+)", 1)
+    found = F.when(inside != "", inside).when(after != "", after).otherwise(prefixed)
+    return F.when(x.rlike("[\"'`][,;.)}\\]]*$"), found).otherwise(F.regexp_replace(found, "(?<=[^.,;:)}\\]])[.,;:)}\\]]+$", ""))
+
+
+def runs_of(x: Column, before_2: Column, before_1: Column) -> Column:
+    """array<string>: the candidates of a word, the one pointed to first; of two that overlap the longer one."""
+    long_ = F.when(F.length(x) >= 16, F.regexp_extract_all(x, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def both(p: Column) -> Column:
+        covered = F.exists(long_, lambda r: F.contains(r, p) & (F.length(r) > F.length(p)))
+        return F.when((p == "") | covered, long_).otherwise(F.concat(F.array(p), F.filter(long_, lambda r: ~F.contains(p, r))))
+
+    return let(pointed(x, before_2, before_1), both)
 
 
 def candidates(text: Column) -> Column:
@@ -40,10 +66,10 @@ def candidates(text: Column) -> Column:
 
     def look(w: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            runs = F.filter(F.regexp_extract_all(x, F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]"))
             near = lambda k: F.coalesce(F.get(w, i + k), F.lit(""))
-            made = F.transform(runs, lambda r: F.struct(r.alias("run"), F.call_function("substring_index", x, r, F.lit(1)).alias("lead"), near(-2).alias("before_2"), near(-1).alias("before_1"), near(1).alias("after"), i.cast("long").alias("word_no")))
-            return F.when((F.length(x) >= 16) & x.rlike("[0-9]"), made)
+            made = F.transform(runs_of(x, near(-2), near(-1)), lambda r: F.struct(r.alias("run"), F.call_function("substring_index", x, r, F.lit(1)).alias("lead"), near(-2).alias("before_2"), near(-1).alias("before_1"), near(1).alias("after"), i.cast("long").alias("word_no")))
+            hint = x.rlike(f"[=:]|{PREFIX}") | near(-1).rlike("(?i)[=:]>?$|bearer$")
+            return F.when((F.length(x) >= 16) | hint, made)
 
         return F.flatten(F.array_compact(F.transform(w, one)))
 
@@ -63,6 +89,7 @@ def features(c: Column) -> Column:
         share(f"(?i)({'|'.join(PAIRS)})"), 1 - F.length(F.regexp_replace(run, f"(?i)({'|'.join(DICTIONARY)})", "")) / n,
         flag(lead.rlike(r"[/\\]") | run.rlike("/.*/")), flag(near.rlike(KEYS)), flag(F.concat_ws(" ", near, c["after"]).rlike(BENIGN)), flag(run.rlike(PREFIXES)),
         flag(lead.rlike("[=:]\\s*[\"']?$") | (lead.rlike("^[\"']?$") & c["before_1"].rlike("[=:]$"))),
+        flag(lead.rlike("[\"'`]$")), share("[^A-Za-z0-9]"),
     ]
     return F.struct(*[v.alias(k) for k, v in zip(FEATURES, values, strict=True)])
 
@@ -115,7 +142,7 @@ class Forest:
 def fit(findings: DataFrame, trees: int = 11, depth: int = 5, max_findings: int = 20_000, seed: int = 3) -> Forest:
     """A forest from labelled findings (word, before_2, before_1, after, label); at most `max_findings` of them are taken."""
     word = F.coalesce("word", F.lit(""))
-    run = F.regexp_extract(word, RUN, 0)
+    run = F.coalesce(F.get(runs_of(word, F.coalesce("before_2", F.lit("")), F.coalesce("before_1", F.lit(""))), 0), F.lit(""))
     c = F.struct(run.alias("run"), F.when(run == "", "").otherwise(F.call_function("substring_index", word, run, F.lit(1))).alias("lead"), *[F.coalesce(k, F.lit("")).alias(k) for k in ("before_2", "before_1", "after")])
     rows = findings.where(F.col("label").isin(0, 1)).select(c.alias("c"), "label").where("c.run <> ''").orderBy(F.xxhash64("c"), "label").limit(max_findings).select(features(F.col("c")).alias("f"), "label").collect()
     x, y = np.array([list(r["f"]) for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["label"] for r in rows], float)
@@ -135,8 +162,12 @@ def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
     upper = lambda k: "".join(r.choices(string.ascii_uppercase + "234567", k=k))
     plain = lambda: "".join(r.choices(PAIRS, k=r.randint(1, 4)))
     name = lambda: r.choice(["token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "pwd", "private_key"])
+    heading = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(4, 8))).upper()
+    letters = lambda k: "".join(r.choices(string.ascii_letters, k=k))
+    short = lambda: r.choice([lambda: mixed(r.randint(8, 15)), lambda: letters(r.randint(8, 15)), lambda: "".join(r.choices(string.ascii_letters + string.digits + "!@#$%^&*.?+", k=r.randint(6, 24))), lambda: plain() + r.choice(["", "!", "#", "@"]) + str(r.randint(0, 9999)) + r.choice(["", "!", "$"])])()
+    word = lambda: r.choice([plain, lambda: r.choice(DICTIONARY), lambda: plain().capitalize()])()
     quote = lambda s: r.choice(['"%s"', "'%s'", "%s", '"%s",'])  % s
-    key = lambda: r.choice([lambda: hexes(r.choice([18, 20, 24, 32, 40, 64])), lambda: mixed(r.randint(16, 64)), lambda: "ghp_" + mixed(36), lambda: "sk_live_" + mixed(24), lambda: upper(r.randint(20, 32))])()
+    key = lambda: r.choice([lambda: hexes(r.choice([18, 20, 24, 32, 40, 64])), lambda: mixed(r.randint(16, 64)), lambda: "ghp_" + mixed(36), lambda: "sk_live_" + mixed(24), lambda: upper(r.randint(20, 32)), lambda: letters(r.randint(16, 40)), short])()
     benign = lambda: r.choice(["commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "revision", "etag", "build", "order", "serial"])
     found = [
         lambda: (plain(), plain(), f"{name()}{r.choice('=:')}{quote(key())}", plain()),
@@ -144,6 +175,10 @@ def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
         lambda: (plain(), name() + r.choice(["=", ":"]), quote(key()), plain()),
         lambda: (plain(), plain(), r.choice(["AKIA", "ASIA"]) + upper(16), plain()),
         lambda: (plain(), plain(), r.choice(["ghp_", "gho_"]) + mixed(36), plain()),
+        lambda: (plain(), plain(), r.choice(["AKIA", "ASIA"]) + "".join(r.choices(string.ascii_uppercase, k=16)), plain()),
+        lambda: (name(), r.choice("=:"), quote(short()), plain()),
+        lambda: (plain(), plain(), f"{name()}{r.choice('=:')}{quote(short())}", plain()),
+        lambda: (plain(), name() + r.choice("=:"), r.choice(['"%s"', "'%s'"]) % r.choice([short(), plain() + plain()]), plain()),
         lambda: (r.choice(["Authorization:", plain()]), "Bearer", mixed(r.randint(24, 80)), plain()),
     ]
     false = [
@@ -156,6 +191,19 @@ def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
         lambda: (plain(), plain(), plain() + plain() + plain() + plain() + plain() + str(r.randint(1, 9)) + plain(), plain()),
         lambda: (name(), "=", quote(r.choice(["your-api-key-goes-here-1", "xxxxxxxxxxxxxxxxxxxx1", "example-example-example-1", "00000000000000000000", "1234567890123456", "test-user-password-123"])), plain()),
         lambda: (plain(), plain(), hexes(r.choice([32, 40])), plain()),
+        lambda: (plain(), plain(), "".join(plain() for _ in range(8)) + r.choice(["", ",", "."]), plain()),
+        lambda: (plain(), plain(), "".join(plain() for _ in range(8)).upper(), plain()),
+        lambda: (plain(), plain(), heading(), plain()),
+        lambda: (plain(), plain(), heading(), heading()),
+        lambda: (plain(), plain(), "".join(plain().capitalize() for _ in range(7)), plain()),
+        lambda: (plain(), plain(), r.choice("-_/").join(word() for _ in range(r.randint(5, 7))), plain()),
+        lambda: (plain(), plain(), r.choice("-_/+") * r.randint(16, 60), plain()),
+        lambda: (plain(), plain(), r.choice(["aws_secret_access_key", "my_client_secret_token", "default_auth_token_name", "user_password_reset_form"]) + r.choice(["", "="]), plain()),
+        lambda: (plain(), name() + ":", word(), plain()),
+        lambda: (name(), r.choice("=:"), word(), plain()),
+        lambda: (plain(), r.choice(["bearer", "Bearer"]), word(), plain()),
+        lambda: (plain(), plain(), "sk-" + word(), plain()),
+        lambda: (name(), "=", r.choice(["None", "null", "true", "required", '"${PASSWORD}"', "<token>", "{{secret}}", "********", "os.environ[", "getenv(", "config.password", "str,", "self.token"]), plain()),
     ]
     rows = [(*r.choice(found if i % 2 else false)(), i % 2) for i in range(n)]
     return spark.createDataFrame(rows, "before_2 string, before_1 string, word string, after string, label int")
@@ -176,10 +224,12 @@ def findings(docs: DataFrame, forest: Forest, text: str = "text", least: float =
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret of a text replaced by `mark`, longer ones first."""
+    """`docs` with every secret of a text replaced by `mark`, longer ones first; those under 16 characters not inside other words."""
     runs = F.transform(scan(F.col(text), forest, least), lambda x: x["run"])
     longest = F.array_sort(F.array_distinct(runs), lambda a, b: F.length(b) - F.length(a))
-    new = F.aggregate(longest, F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
+    literal = lambda x: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    put = mark.replace("\\", r"\\").replace("$", r"\$")
+    new = F.aggregate(longest, F.col(text), lambda t, x: F.when(F.length(x) >= 16, F.replace(t, x, F.lit(mark))).otherwise(F.regexp_replace(t, literal(x), F.lit(put))))
     return docs.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 

@@ -206,6 +206,25 @@ def test_secrets(spark, empty):
     assert red[1] == 'x token = "[SECRET]" y' and red[3] is None and key in red[2] and secrets.query(empty).count() == 0
 
 
+def test_secrets_without_digits_or_length(spark):
+    """Digitless keys, short passwords and other symbols are candidates, and the forest tells most of them from words."""
+    r = random.Random(12)
+    letters = lambda k, of="ABCDEFGHIJKLMNOPQRSTUVWXYZ": "".join(r.choices(of, k=k))
+    odd = lambda: "x" + "".join(r.choices("abcXYZ019!@#$%^&*", k=11)) + "Z"
+    true = {i: x for i, x in enumerate([*("AKIA" + letters(16) for _ in range(20)), *(letters(30, "abcdefghijkABCDEFGHIJKqzQZ") for _ in range(20)), *("Hk7" + letters(7, "qzxQZX482") for _ in range(20)), *(odd() for _ in range(20))])}
+    frame = lambda i, x: f"see {x} there" if i < 20 else [f'x password = "{x}" y', f"x api_key='{x}' y", f'x "secret": "{x}", y'][i % 3]
+    false = ["internationalization characteristically", "author: Smith and password: required", "see https://www.example.com/the/long/article/section", "-------------------- ====================", "the bearer of this; sk-learn", "token = None", "some_very_long_identifier_name"]
+    rows = [(i, frame(i, x)) for i, x in true.items()] + [(1000 + i, x) for i, x in enumerate(false)]
+    docs = spark.createDataFrame([*rows, (2000, 'pwd = "Xq9!k" but Xq9!kk and aXq9!k stay')], "doc_id long, text string")
+    runs = {x["doc_id"]: x["runs"] for x in docs.select("doc_id", secrets.candidates(F.col("text"))["run"].alias("runs")).collect()}
+    assert all(x in runs[i] for i, x in true.items())
+    forest = secrets.fit(secrets.example_findings(spark))
+    got = {(x["doc_id"], x["run"]) for x in secrets.findings(docs, forest).collect()}
+    assert sum((i, x) in got for i, x in true.items()) >= 76 and not [x for x in got if 1000 <= x[0] < 2000]
+    red = {x["doc_id"]: x["text"] for x in secrets.redact(docs, forest).collect()}
+    assert red[2000] == 'pwd = "[SECRET]" but Xq9!kk and aXq9!k stay' and all(x not in red[i] for i, x in true.items() if (i, x) in got)
+
+
 def test_bpe(docs, rows, empty):
     import public_tokenizers
     import tiktoken
