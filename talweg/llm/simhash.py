@@ -53,15 +53,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and with `digest` content, a digest of the text."""
+    further = ["content"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [signed(fingerprint(x)) for x in b.column("_t").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *[b.column(k) for k in further]], names=["doc_id", "fp", *further])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, fp long")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t"), *[F.xxhash64(F.col(text)).alias(k) for k in further])
+    return taken.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{k} long" for k in further]]))
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -135,15 +137,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", max_bits: int = 3) -> D
 
 
 def keep_one(docs: DataFrame, text: str = "text", max_bits: int = 3, small: int = 500_000) -> DataFrame:
-    """`docs` with one document of each group of near duplicates, that of the smallest doc_id; null doc_ids stay.
+    """`docs` with one row of each group of near duplicates, one of the smallest doc_id; all rows of null doc_id stay.
 
-    Up to `small` dropped doc_ids are broadcast, so that texts stay where they are; more are joined by a shuffle.
+    Groups are linked by fingerprints and rows go by doc_id and text, so that different texts of one doc_id are documents
+    of their own. Up to `small` dropped rows are broadcast, so that texts stay where they are; more are joined by a shuffle.
     """
-    found = written(near_duplicates(docs, text, max_bits), "simhash-groups")
-    dropped = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "simhash-dropped")
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= small else dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else kept
+    fps = written(fingerprints(docs.where(F.col("doc_id").isNotNull()), text, digest=True), "simhash")
+    points = written(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "content")).alias("lead")), "simhash-points")
+    roots = components(links(points.select("fp", F.col("fp").alias("rep")), max_bits))
+    rooted = written(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("component")), "simhash-groups")
+    best = rooted.groupBy("component").agg(F.min("lead").alias("best"))
+    judged = fps.join(rooted.join(best, "component").select("fp", "best"), "fp").withColumn("kept", F.struct("doc_id", "content") == F.col("best"))
+    rows = written(judged.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "simhash-dropped")
+    dropped = rows.where("not kept").select("_id", "_content")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_content": F.xxhash64(F.col(text))})
+    kept = keyed.join(F.broadcast(dropped) if dropped.count() <= small else dropped, ["_id", "_content"], "left_anti")
+    if rows.where("kept").limit(1).count():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["_id", "_content"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

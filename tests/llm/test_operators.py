@@ -187,6 +187,17 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash.keep_one(docs).where("doc_id = 10").count() == 1
 
 
+def test_keep_one_goes_by_rows(spark):
+    """Null doc_ids all stay beside repeated rows, and different texts of one doc_id are told apart."""
+    r = random.Random(9)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, a), (None, b), (3, c), (3, d), (4, d), (5, b), (5, c), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for small in (500_000, 0):
+        got = Counter((x["doc_id"], x["text"]) for x in simhash.keep_one(docs, small=small).collect())
+        assert got == Counter([(1, a), (None, a), (None, a), (None, b), (3, c), (3, d), (5, b), (6, None)])
+
+
 def test_popcounts_bound_bits():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**63, 5000).astype(np.uint64), r.integers(0, 2**63, 5000).astype(np.uint64)
