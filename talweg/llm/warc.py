@@ -42,7 +42,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def url_key(url: str | None) -> str:
+def plain_key(url: str | None) -> str:
     """The URL as a sort key: host labels in reverse, then port, path and query; scheme and fragment go."""
     if not url:
         return ""
@@ -53,6 +53,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(name.split("."))) + colon + port + ")" + path
 
 
+def url_key(url: str | None) -> str:
+    """The sort key as index lines hold it: tabs and newlines are escaped before anything is sorted or looked up."""
+    return plain_key(url).replace("\t", "%09").replace("\n", "%0A")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     head = HTTP % len(payload)
     block = head + payload if refers_to is None else head
@@ -144,7 +149,7 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, level:
             if out is None:
                 fs.create_dir(folder, recursive=True)
                 out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-            raw = packed("\n".join("\t".join(map(str, [k.replace("\t", "%09").replace("\n", "%0A"), *rest])) for k, *rest in part).encode(), 6)
+            raw = packed("\n".join("\t".join(map(str, line)) for line in part).encode(), 6)
             out.write(raw)
             yield pa.RecordBatch.from_pydict({"first": [part[0][0]], "last": [part[-1][0]], "file": [name], "offset": [offset], "length": [len(raw)]})
             offset += len(raw)

@@ -152,6 +152,12 @@ def test_warc(spark):
     assert warc.query(df.where("false")).count() == 0
 
 
+def test_warc_finds_tabs_and_newlines(spark):
+    urls = ["http://a.b/x\ty", "http://a.b/x\nz", "http://a.b/x", "http://a.b/x y", "http://a.b/x!"]
+    archive = warc.write(spark.createDataFrame([(i, u, str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string"))
+    assert [[warc.parse(x)[2] for x in warc.find(archive, u)] for u in urls] == [[str(i).encode()] for i in range(len(urls))]
+
+
 def test_components(spark):
     r = random.Random(9)
     for _ in range(3):
