@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import in_tasks, pieces
 
 
 class RankQueue:
@@ -100,6 +100,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        #: Only this pattern is known to start a pre-token at every lone space; texts under others are never cut into words.
+        self.cuttable = pattern == default_vocabulary()[1]
         #: White space other than the plain space, for a look at what stands beside a space.
         self.crossed = re.compile(r" \s|[^\S ] ").search
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
@@ -226,7 +228,7 @@ class Encoder:
 
         Elsewhere a pre-token starts at every space and none crosses it.
         """
-        if text[-1:].isspace() or self.crossed(text):
+        if not self.cuttable or text[-1:].isspace() or self.crossed(text):
             return None
         first, *rest = text.split(" ")
         return first, rest
@@ -327,7 +329,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
             new_columns = [lists, pa.array(np.diff(ends), pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(view[x:y]).hexdigest() for x, y in itertools.pairwise(cuts)], pa.string())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new_columns], names=[*kept, *new.names])
 
-    return docs.select(*kept, F.col(text).alias("_t")).mapInArrow(run, schema)
+    return in_tasks(docs.select(*kept, F.col(text).alias("_t")), run, schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -343,7 +345,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
             back = [None if x is None else e.decode(np.array(x, "<i4"))[0] for x in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(back, pa.binary())], names=[*kept, "decoded"])
 
-    return rows.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return in_tasks(rows.select(*kept, F.col(ids).alias("_ids")), run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

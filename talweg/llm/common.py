@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +17,44 @@ from pyspark.sql import functions as F
 #: What separates words: the space and the controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, whatever folder they start in."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(p for p in (ROOT, env.get("PYTHONPATH")) if p)
+    """Let Python workers import this package wherever they run: Spark sends them a ZIP of its modules, once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="talweg-"), "talweg_modules.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(PACKAGE):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(PACKAGE)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def in_tasks(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`rows` through a function of Arrow batches, whose modules the workers get along."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one of our own where that is unset and all is one machine."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="talweg-")
         spark.sparkContext.setCheckpointDir(set_to)
     elif not spark.sparkContext.getCheckpointDir():
@@ -42,6 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+_written: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -51,9 +74,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what `written` has left in the shared folder; for when the results that read it have been saved."""
+    while _written:
+        drop_tree(spark, _written.pop())
+
+
 def drop_tree(spark: SparkSession, path: str) -> None:
     """Remove a folder of `work_dir` by Spark's own file system."""
     jvm = spark.sparkContext._jvm
