@@ -10,7 +10,9 @@ Documents with one fingerprint are one point, so copies are never paired. Cells
 gives back a spanning forest of its links: groups of near copies cost no row per pair, and no link is lost.
 
 Defined results: a null or empty text has no shingle and fingerprint 0, which links like any other; fewer words than
-a shingle make one shingle; repeated rows of a doc_id share its component; an empty table gives no rows.
+a shingle make one shingle; each row of a repeated doc_id is linked by its own text; a null doc_id links like any other
+but is no smallest one (component_id is null where a group has no other); an empty table gives no rows; further columns
+are ignored by `near_duplicates` and pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import written
+from .common import in_tasks, pieces, written
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -58,12 +60,12 @@ def fingerprints(docs: DataFrame, text: str = "text", digest: bool = False) -> D
     further = ["content"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "_t"):
             fps = [signed(fingerprint(x)) for x in b.column("_t").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *[b.column(k) for k in further]], names=["doc_id", "fp", *further])
 
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t"), *[F.xxhash64(F.col(text)).alias(k) for k in further])
-    return taken.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{k} long" for k in further]]))
+    return in_tasks(taken, run, ", ".join(["doc_id long", "fp long", *[f"{k} long" for k in further]]))
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -124,16 +126,22 @@ def links(points: DataFrame, max_bits: int = 3, block: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
     pairs = blocks.dealt(cells(points), "cell", F.xxhash64("fp"), block)
-    return pairs.select("rep", "fp", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return in_tasks(pairs.select("rep", "fp", *keys).repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
+
+
+def groups(points: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, lead, component) of the points (fp, lead): fingerprints are linked by themselves, whatever the documents' ids."""
+    points = written(points, "simhash-points")
+    roots = components(links(points.select("fp", F.col("fp").alias("rep")), max_bits))
+    return written(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("component")), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable), one row per row of `docs`."""
     fps = written(fingerprints(docs, text), "simhash")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
-    roots = components(links(points, max_bits))
-    of_point = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(of_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = groups(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), max_bits)
+    least = rooted.groupBy("component").agg(F.min("lead").alias("component_id"))
+    return fps.join(rooted.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", max_bits: int = 3, small: int = 500_000) -> DataFrame:
@@ -143,9 +151,7 @@ def keep_one(docs: DataFrame, text: str = "text", max_bits: int = 3, small: int
     of their own. Up to `small` dropped rows are broadcast, so that texts stay where they are; more are joined by a shuffle.
     """
     fps = written(fingerprints(docs.where(F.col("doc_id").isNotNull()), text, digest=True), "simhash")
-    points = written(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "content")).alias("lead")), "simhash-points")
-    roots = components(links(points.select("fp", F.col("fp").alias("rep")), max_bits))
-    rooted = written(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("component")), "simhash-groups")
+    rooted = groups(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "content")).alias("lead")), max_bits)
     best = rooted.groupBy("component").agg(F.min("lead").alias("best"))
     judged = fps.join(rooted.join(best, "component").select("fp", "best"), "fp").withColumn("kept", F.struct("doc_id", "content") == F.col("best"))
     rows = written(judged.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "simhash-dropped")
