@@ -1,14 +1,17 @@
 """Operator 10, embedding near-duplicates: spherical k-means cells, blocked cosine products, one representative a group.
 
 Equal vectors are one point with a count. Centroids are fitted on a bounded sample (`sample` vectors, by hash); every
-vector is assigned to the cell of its nearest centroid. So that no pair is lost at a border, a vector also visits each
+vector is assigned to the cell of its nearest centroid. From a few hundred cells on a vector visits about as many of them
+however many there are, so the number of cells starts there and grows with the table only from a million vectors on. So that no pair is lost at a border, a vector also visits each
 cell whose bisecting plane is within half of the largest chord of a link: of two linked vectors in different cells the
 segment between them crosses that plane, so one of the two lies that near to it and visits the other's cell. Recall is
 therefore 1 by construction, whatever the centroids. Within a cell, blocks of unit vectors are multiplied in double
 precision; a task gives back counts of links per point and a spanning forest, never a row per pair.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, also not
-with their copies; vectors of different lengths are not compared; repeated rows of a vec_id are rows of their own; an empty table gives no rows; further columns are ignored.
+with their copies; vectors of different lengths are not compared; repeated rows of a vec_id are rows of their own; a null
+vec_id links like any other but is no smallest one (component_id is null where a group has no other, and that row is
+kept); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import written
+from .common import in_tasks, written
 from .components import components
 
 
@@ -58,7 +61,7 @@ def fit(points: DataFrame, n: int, sample: int = 20_000, seed: int = 5) -> dict[
     by: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: r["rep"]):
         by.setdefault(len(r["v"]), []).append(r["v"])
-    k = max(1, min(1024, math.isqrt(n) // 2))
+    k = max(1, min(n // 40, 512) if n < 1_048_576 else min(4096, n // 2048))
     return {d: spherical_kmeans(unit(v), max(1, k * len(v) // len(rows)), seed=seed) for d, v in by.items()}
 
 
@@ -99,7 +102,7 @@ def assigned(points: DataFrame, centroids: dict[int, np.ndarray], least: float)
                         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(raw[part].ravel(), element))
                         yield pa.RecordBatch.from_arrays([pa.array(rep[own][part]), pa.array(n[own][part]), flat, pa.array(d * 100_000 + cell[x : x + 8192]), pa.array(home[part] + d * 100_000)], names=["rep", "n", "v", "cell", "home"])
 
-    return points.mapInArrow(run, f"rep long, n long, v {kind}, cell long, home long")
+    return in_tasks(points, run, f"rep long, n long, v {kind}, cell long, home long")
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -129,7 +132,16 @@ def links(points: DataFrame, centroids: dict[int, np.ndarray], least: float, blo
     keys = ["cell", "_kind", "_p", "_q"]
 
     def close(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [(left[at : at + 512][i], right[j]) for at in range(0, len(left), 512) for i, j in [np.nonzero(x[left[at : at + 512]] @ x[right].T >= least)]]
+        """Pairs by products in single precision with a margin, each found pair then by its product in double precision."""
+        single = x.astype(np.float32)
+        other, found = single[right].T, []
+        for at in range(0, len(left), 512):
+            part = left[at : at + 512]
+            i, j = np.nonzero(single[part] @ other >= np.float32(least - 1e-5 - 4e-7 * x.shape[1]))
+            for y in range(0, len(i), 65_536):
+                a, b = part[i[y : y + 65_536]], right[j[y : y + 65_536]]
+                sure = (x[a] * x[b]).sum(axis=1) >= least
+                found.append((a[sure], b[sure]))
         return np.concatenate([f[0] for f in found] or [np.array([], int)]), np.concatenate([f[1] for f in found] or [np.array([], int)])
 
     def pairs(x: np.ndarray, cell: np.ndarray, home: np.ndarray, own: np.ndarray, kind: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,21 +181,37 @@ def links(points: DataFrame, centroids: dict[int, np.ndarray], least: float, blo
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(of[some], of[a])), pa.array([*[None] * len(some), *of[b].tolist()], pa.int64()), pa.array(np.append(count[some], np.zeros(len(a), np.int64)))], names=["a", "b", "n"])
 
     rows = dealt(assigned(points, centroids, least), block)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
+    return in_tasks(rows.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 2048, sample: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of `vectors`."""
     rows = written(usable(vectors).withColumn("h", F.xxhash64("v")), "vectors")
-    points = written(rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "points")
+    points = written(rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "points")
     found = written(links(points, fit(points, points.count(), sample), least, block), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    known = points.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("h", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    rooted = written(points.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "h", "v", "n", "least", F.coalesce("root", "rep").alias("component")), "vector-groups")
+    least_of = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = rooted.join(counts, "rep", "left").join(least_of, "component").select("h", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = rows.where("v IS NOT NULL").join(known, ["h", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors.select("vec_id", "embedding"))
+
+
+#: The same in DuckDB SQL over all pairs, which only small tables allow; groups by the smallest vec_id reached, round by round.
+ORACLE = """
+WITH RECURSIVE usable AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.n AS a, b.n AS b FROM usable a JOIN usable b ON a.n <> b.n AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached(n, m) AS (SELECT n, n FROM usable UNION SELECT r.n, l.b FROM reached r JOIN links l ON l.a = r.m),
+grouped AS (SELECT r.n, min(o.vec_id) AS component_id FROM reached r JOIN usable o ON o.n = r.m GROUP BY r.n),
+counted AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, g.component_id, e.vec_id IS NOT DISTINCT FROM g.component_id AS kept FROM usable e JOIN grouped g USING (n) LEFT JOIN counted c USING (n)
+UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings
+    WHERE NOT (embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+"""
