@@ -5,13 +5,16 @@ chunk has `passage` bytes and starts where the hash of its first 17 bytes is the
 some `every` places in a row; each text's first and last chunk are added. Starts depend on the bytes there only, never on
 an earlier chunk, so two texts that share `passage` + `every` - 1 bytes, 97 by default, share a chunk, whatever stands
 around them. (50 words have 99 bytes or more.) A chunk whose 96-bit digest is met in more than one document is repeated;
-repeated chunks that overlap or touch form a passage, and each of its chunks is a whole copy of `passage` bytes. The first
+repeated chunks that overlap or touch form a passage, and each of its chunks is a whole copy of `passage` bytes. Passages
+count from `words` words on, 50 by default: what the chunks show of a shared passage may lack `every` - 1 bytes, or nine
+short words, at each end and a word cut at its start, so the words shown must be 32 at least; every shared passage of over
+50 words is found, and single lines that many documents share, such as license lines, are left alone. The first
 place of a chunk (smallest doc_id, then offset) keeps it, all others lose what no such first chunk covers.
 
 Chunks are dealt into buckets by digest, packed by columns, in one exchange: an occurrence takes some 20 bytes, also where
 a digest is hot. A bucket is sorted by digest; only repeated chunks leave it and are gathered by document.
 
-Defined results: null texts and texts under `passage` bytes have no chunk; documents without a repeated passage give no
+Defined results: null texts, texts under `passage` bytes and rows of a null doc_id have no chunk; documents without a repeated passage give no
 row; repeats inside one document only are left alone; rows that repeat a doc_id count as one document, its spans merged;
 an empty table gives no rows; further columns are ignored by `passages` and passed through by `remove`.
 """
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_tasks, pieces, ship
 
 WINDOW = 32
 #: The gear values, by a rule: 32 bits of the XXH64 of each byte.
@@ -105,8 +108,18 @@ def starts(texts: list[bytes], passage: int, every: int) -> tuple[bytes, np.ndar
     return joined, found, of, found - at[of]
 
 
-#: An occurrence of a chunk: 96 bits of its digest, its document and its offset there.
-CHUNK = {"high": np.int64, "low": np.int32, "doc_id": np.int64, "place": np.int32}
+#: An occurrence of a chunk: 96 bits of its digest, its document, its offset there, the words begun before it and in it.
+CHUNK = {"high": np.int64, "low": np.int32, "doc_id": np.int64, "place": np.int32, "word": np.int32, "words": np.uint8}
+#: Whether a byte separates words.
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def words_begun(joined: bytes) -> np.ndarray:
+    """For each position of texts in one string, the words that begin before it; a text's first word begins after its padding."""
+    space = SPACE[np.frombuffer(joined, np.uint8)] | (np.frombuffer(joined, np.uint8) == 0)
+    begin = ~space
+    begin[1:] &= space[:-1]
+    return np.append(0, np.cumsum(begin, dtype=np.int32))
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -132,33 +145,37 @@ def chunks(docs: DataFrame, text: str = "text", passage: int = 80, every: int =
             joined, found, of, place = starts(b.column("_t").cast(pa.binary()).to_pylist(), passage, every)
             if not len(found):
                 continue
+            begun = words_begun(joined)
+            before = begun[found] - begun[found - place]
+            inside = begun[found + passage] - begun[found]
             made = np.frombuffer(b"".join([digest(joined[x : x + passage]) for x in found.tolist()]), np.dtype([("high", "<i8"), ("low", "<i4"), ("rest", "<u4")]))
             bucket = made["rest"] % buckets
             order = np.argsort(bucket, kind="stable")
-            columns = [c[order].astype(d) for c, d in zip((made["high"], made["low"], b.column("doc_id").to_numpy()[of], place), CHUNK.values(), strict=True)]
+            columns = [c[order].astype(d) for c, d in zip((made["high"], made["low"], b.column("doc_id").to_numpy()[of], place, before, np.minimum(inside, 255)), CHUNK.values(), strict=True)]
             keys, cut = np.unique(bucket[order], return_index=True)
             data = [packed([c[x:y] for c in columns]) for x, y in itertools.pairwise([*cut.tolist(), len(order)])]
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull())
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "bucket int, data binary")
+    return in_tasks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")), run, "bucket int, data binary")
 
 
 def repeats(dealt: DataFrame) -> DataFrame:
-    """(doc_id, at): every occurrence of a chunk that more than one document holds; `at` is twice its offset, and one more for the first."""
+    """(doc_id, at, word, words): every occurrence of a chunk that more than one document holds; `at` is twice its offset, and one more for the first."""
 
     def run(t: pa.Table) -> pa.Table:
-        high, low, doc, place = unpacked(t.column("data").to_pylist())
-        order = np.lexsort((place, doc, low, high))
-        high, low, doc, place = (c[order] for c in (high, low, doc, place))
+        columns = unpacked(t.column("data").to_pylist())
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        high, low, doc, place, word, words = (c[order] for c in columns)
         begin = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
         size = np.diff([*begin, len(doc)])
         head = np.repeat(begin, size)
         many = np.repeat(doc[begin] != doc[begin + size - 1], size)
         first = (doc == doc[head]) & (place == place[head])
-        return pa.table({"doc_id": doc[many], "at": 2 * place[many].astype(np.int64) + first[many]})
+        return pa.table({"doc_id": doc[many], "at": 2 * place[many].astype(np.int64) + first[many], "word": word[many], "words": words[many].astype(np.int32)})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, at long")
+    ship(dealt.sparkSession)
+    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, at long, word int, words int")
 
 
 def spans(place: np.ndarray, first: np.ndarray, passage: int) -> tuple[int, int, list[tuple[int, int, bool]]]:
@@ -177,23 +194,38 @@ def spans(place: np.ndarray, first: np.ndarray, passage: int) -> tuple[int, int,
     return n, sum(y - x for x, y, _ in parts), parts
 
 
-def passages(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18) -> DataFrame:
+def long_enough(place: np.ndarray, word: np.ndarray, words: np.ndarray, passage: int, least: int) -> np.ndarray:
+    """Which of a document's repeated chunks, in order of place, lie in a passage that shows `least` words or more."""
+    begin = np.append(True, place[1:] > place[:-1] + passage)[: len(place)]
+    run = np.cumsum(begin) - 1
+    heads = np.flatnonzero(begin)
+    shown = np.maximum.reduceat(word + words, heads) - word[heads]
+    return shown[run] >= least
+
+
+def passages(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18, words: int = 50) -> DataFrame:
     """One row per document that holds repeated passages: doc_id, n_passages, repeated_bytes, removed_bytes and `spans`
     (start, end, first: byte offsets of parts of passages, and whether they are kept as the first of their kind)."""
-    ordered = repeats(chunks(docs, text, passage, every)).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    ordered = repeats(chunks(docs, text, passage, every)).groupBy("doc_id").agg(F.collect_list(F.struct("at", "word", "words")).alias("held"))
+    least = words + 1 - 2 * (every // 2) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, held = [], []
             for i in range(b.num_rows):
-                at = np.unique(b.column("at")[i].values.to_numpy())
-                n, size, parts = spans(at >> 1, (at & 1) == 1, passage)
+                rows = b.column("held")[i].values
+                at, once = np.unique(rows.field("at").to_numpy(), return_index=True)
+                fine = long_enough(at >> 1, *(rows.field(c).to_numpy()[once] for c in ("word", "words")), passage, least)
+                if not fine.any():
+                    continue
+                n, size, parts = spans(at[fine] >> 1, (at[fine] & 1) == 1, passage)
+                held.append(i)
                 out.append((n, size, sum(y - x for x, y, kept in parts if not kept), [{"start": x, "end": y, "first": kept} for x, y, kept in parts]))
             columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
             made = pa.array([x[3] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, made], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(held, pa.int32())), *columns, made], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "spans"])
 
-    return ordered.mapInArrow(run, "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, spans array<struct<start:int,end:int,first:boolean>>")
+    return in_tasks(ordered, run, "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, spans array<struct<start:int,end:int,first:boolean>>")
 
 
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
