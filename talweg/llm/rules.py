@@ -16,16 +16,29 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import SPACES, let, words_of
 
 SYMBOLS = "[#*$%&|<>]"
-#: A line of text ends in one of these, closing marks left aside.
-TERMINAL = [".", "!", "?", "…", ":", ";"]
-CLOSING = "\"'”’»)]"
-NAVIGATION = r"(?i)^\W*(home|menu|log ?in|sign ?(in|up)|next|previous|back to top|contact|about( us)?|search|share|sitemap)(\W+(home|menu|log ?in|sign ?(in|up)|next|previous|contact|about( us)?|search|share|sitemap))*\W*$"
+#: A line of text ends in one of these, closing marks left aside: Latin and Greek, wide forms, Arabic, Indic, Armenian, Ethiopic.
+TERMINAL = ".!?…:;‽" + "。！？：；" + "؟۔؛" + "।॥" + "։" + "።"
+CLOSING = "\"'”’»)]}“‘" + "」』）】》〉"
+#: Words of menus, in lower case, in English, French, German and Spanish; a line of nothing else is navigation.
+NAVIGATION_WORDS = [
+    "home", "menu", "log ?in", "log ?out", "sign ?(?:in|up)", "register", "next", "previous", "back", "back to top", "contact", "contact us", "about", "about us", "search", "share", "sitemap", "read more", "skip to content", "subscribe",
+    "accueil", "connexion", "se connecter", "s['’]inscrire", "suivant", "précédent", "retour", "haut de page", "contactez-nous", "à propos", "rechercher", "recherche", "partager", "plan du site", "lire la suite",
+    "startseite", "menü", "anmelden", "abmelden", "registrieren", "weiter", "zurück", "nach oben", "kontakt", "über uns", "suche", "teilen", "impressum", "mehr lesen", "weiterlesen",
+    "inicio", "menú", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver", "volver arriba", "contacto", "acerca de", "sobre nosotros", "buscar", "compartir", "mapa del sitio", "leer más",
+]
+NAVIGATION = r"^[\x00-\x2f:-@\[-`{-~»›·•]*(?:" + "|".join(NAVIGATION_WORDS) + r")(?:[\x00-\x2f:-@\[-`{-~»›·•]+(?:" + "|".join(NAVIGATION_WORDS) + r"))*[\x00-\x2f:-@\[-`{-~»›·•]*$"
 #: A bar between words, as in menus and bread crumbs.
 BARS = r"[|»>]\s"
-BOILERPLATE = ["licensed under", "all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "enable javascript", "lorem ipsum", "subscribe to our", "click here"]
+#: Phrases of notices, in lower case, in the same languages.
+BOILERPLATE = [
+    "licensed under", "all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "subscribe to our", "click here",
+    "tous droits réservés", "conditions d'utilisation", "conditions générales", "politique de confidentialité", "utilise des cookies", "cliquez ici", "abonnez-vous",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "klicken sie hier", "newsletter abonnieren",
+    "todos los derechos reservados", "términos de uso", "términos y condiciones", "política de privacidad", "utiliza cookies", "haga clic aquí", "suscríbete",
+]
 #: Up to so many distinct repeated windows are looked up one by one; beyond that, positions are sorted.
 FEW = 8
 
@@ -78,11 +91,12 @@ def line_counts(text: Column) -> Column:
 def line_passes(line: Column, symbols: Column, max_symbols: float = 0.05) -> Column:
     """False for a line that a rule removes. Blank lines pass: they carry no words to lose."""
     chars = F.length(line)
-    end = F.right(F.rtrim(line, F.lit(CLOSING + " \t\r\x0b\x0c")), F.lit(1))
-    punctuation = end.isin(TERMINAL) & (symbols <= max_symbols * chars) & ~((chars > 20) & (F.upper(line) == line) & (F.lower(line) != line))
-    navigation = ((chars < 120) & line.rlike(NAVIGATION)) | ((symbols > 0) & (F.regexp_count(line, F.lit(BARS)) >= 3))
-    boilerplate = let(F.lower(line), lambda low: any_of(low.contains(x) for x in BOILERPLATE))
-    return (end == "") | (punctuation & ~navigation & ~boilerplate)
+    end = F.right(F.rtrim(line, F.lit(CLOSING + SPACES)), F.lit(1))
+    shouted = (chars > 20) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
+    punctuation = end.isin(*TERMINAL) & (symbols <= max_symbols * chars) & ~shouted
+    bars = (symbols > 0) & (F.regexp_count(line, F.lit(BARS)) >= 3)
+    worded = let(F.lower(line), lambda low: ((chars < 120) & low.rlike(NAVIGATION)) | any_of(low.contains(x) for x in BOILERPLATE))
+    return (end == "") | (punctuation & ~bars & ~worded)
 
 
 def any_of(tests) -> Column:
@@ -108,3 +122,26 @@ def clean(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_p
 def query(docs: DataFrame) -> DataFrame:
     """The contract's columns, for every document."""
     return clean(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: The same in DuckDB SQL: windows as rows that are counted, lines as lists that are filtered.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, string_split(t, chr(10)) AS lines FROM d),
+placed AS (SELECT n, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+triples AS (SELECT n, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM placed WINDOW o AS (PARTITION BY n ORDER BY i)),
+again AS (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS k FROM triples WHERE c IS NOT NULL),
+repeated AS (SELECT n, count(DISTINCT i + j) AS n_repeat_words FROM again, range(3) r(j) WHERE k > 1 GROUP BY n),
+judged AS (SELECT n, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS solid, array_to_string(list_filter(lines, lambda x: rtrim(x, {quoted(CLOSING)} || ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''
+    OR (contains({quoted(TERMINAL)}, right(rtrim(x, {quoted(CLOSING)} || ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)) AND len(regexp_extract_all(x, '{SYMBOLS}')) <= 0.05e0 * length(x)
+        AND NOT (length(x) > 20 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}')) AND NOT (len(regexp_extract_all(x, '{SYMBOLS}')) > 0 AND len(regexp_extract_all(x, '{BARS}')) >= 3)
+        AND NOT (length(x) < 120 AND regexp_matches(lower(x), {quoted(NAVIGATION)})) AND NOT ({" OR ".join(f"contains(lower(x), {quoted(p)})" for p in BOILERPLATE)}))), chr(10)) AS clean FROM w),
+counted AS (SELECT w.doc_id, t, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
+    CAST(len(solid) - len(list_distinct(solid)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(length(clean) AS BIGINT) AS left_chars FROM w JOIN judged USING (n) LEFT JOIN repeated USING (n))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_chars >= 0.5e0 * length(t) AS kept, left_chars FROM counted
+"""
