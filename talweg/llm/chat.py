@@ -7,8 +7,9 @@ the first character of each such string in them, and the text is rendered and pa
 The parser drops one backslash from every escaped string, so escaping is reversible for any text.
 
 Defined results: null texts and null roles count as empty strings; turns are ordered by (turn, role, text), nulls
-first, so repeated and tied rows keep a fixed order; rows of a null conv_id form one conversation; an empty table
-gives no rows; further columns are ignored. A conversation is rendered by one task, since its text is one value.
+first, so repeated and tied rows keep a fixed order; rows of a null conv_id form one conversation; a conversation -7 of
+the table stays apart from the one that the query adds; an empty table gives no rows (but that one); further columns are
+ignored, whatever their names. A conversation is rendered by one task, since its text is one value.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_tasks
+
 #: Fixed values of the template.
 OPEN = {"system": "<<SYS>>", "user": "[INST] ", "assistant": ""}
 CLOSE = {"system": "<</SYS>>", "user": " [/INST]", "assistant": "</s>"}
@@ -86,19 +89,19 @@ def format_turns(turns: list[Turn]) -> tuple[str, list[tuple[int, int]], int]:
             return text, spans, rounds
         conflicts = {i for i, t in enumerate(turns) if i not in escaped and parse(render([t], set())[0]) != [t]}
         escaped |= conflicts or set(range(len(turns)))
-    raise ValueError("a conversation can't be rendered reversibly")
+    raise AssertionError("escaping every turn is reversible for any text")
 
 
-def by_conversation(convs: DataFrame) -> DataFrame:
-    """conv_id and its ordered turns."""
+def by_conversation(convs: DataFrame, *apart: str) -> DataFrame:
+    """conv_id and its ordered turns; `apart` names columns that keep conversations of one conv_id apart."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return convs.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return convs.groupBy("conv_id", *apart).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, rounds long"
 
 
-def format_chats(convs: DataFrame) -> DataFrame:
+def format_chats(convs: DataFrame, *apart: str) -> DataFrame:
     """One row per conversation: its text, the loss mask as code-point spans of the text and the rounds that it took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def format_chats(convs: DataFrame) -> DataFrame:
                 schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rounds", pa.int64())]),
             )
 
-    return by_conversation(convs).withColumn("conv_id", F.col("conv_id").cast("long")).mapInArrow(run, FORMATTED)
+    return in_tasks(by_conversation(convs, *apart).withColumn("conv_id", F.col("conv_id").cast("long")).select("conv_id", "turns"), run, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rounds long")
+    return in_tasks(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rounds long")
 
 
 #: The contract's conversation of nothing but control strings.
@@ -140,4 +143,21 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 def query(convs: DataFrame) -> DataFrame:
     probe = convs.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(convs.select("conv_id", "turn", "role", "text").unionByName(probe)))
+    asked = convs.select("conv_id", "turn", "role", "text", F.lit(False).alias("_probe")).unionByName(probe.withColumn("_probe", F.lit(True)))
+    return read_back(format_chats(asked, "_probe"))
+
+
+#: The same in DuckDB SQL. A turn conflicts if it holds an escaped control string, its own closing, or an opening at the start of an assistant's text.
+CONTROLS = r"(?:<\\*(?:</?SYS>>|/SYS>>|/s>|\|turn:|\|end\|>)|\[\\*/?INST\]|\|\\*>)"
+ORACLE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', true), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', true)),
+framed AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '' ELSE '<|turn:' || role || '|>' END AS opening,
+    CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '<|end|>' END AS closing FROM t),
+judged AS (SELECT *, strpos(text || closing, closing) <= length(text) OR regexp_matches(text, '(?:[<\[|]\\+(?:<?/?SYS>>|/s>|\|turn:|\|end\|>|/?INST\]|>))')
+    OR (role = 'assistant' AND (starts_with(text, '<<SYS>>') OR starts_with(text, '[INST] ') OR starts_with(text, '<|turn:'))) AS conflict FROM framed),
+sized AS (SELECT *, length(opening) + length(text) + length(closing) + CASE WHEN conflict THEN len(regexp_extract_all(text, '{CONTROLS}')) ELSE 0 END AS chars FROM judged),
+grouped AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(1 + max(CAST(conflict AS INT)) AS BIGINT) AS rounds FROM sized GROUP BY conv_id, probe)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, rounds FROM grouped
+"""
