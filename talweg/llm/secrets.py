@@ -1,15 +1,18 @@
 """Operator 8, secret scans: candidates by pattern, false positives removed by a random forest, in built-in functions.
 
 A candidate is a run of 16 or more key characters inside a word, or a run of any length and make-up that a key name and an
-assignment, "Bearer" or a known prefix point to. Its features are its length and make-up, its character transitions, how
-much of it dictionary words cover, whether it stands in a path, quotes or an assignment, and its neighbouring words. The forest is trained on labelled findings and becomes one SQL expression, so that finding, scoring and redacting
-are a projection of each document's own row: no exchange, no Python on the executors.
+assignment, "Bearer" or a known prefix point to. Its features are its length and make-up, the mean log-odds of its
+character transitions (learnt from the labelled findings), how much of it dictionary words cover (the words that most
+documents of the corpus hold, counted over all of it), whether it stands in a path, quotes or an assignment, and its
+neighbouring words. The forest is trained on labelled findings and becomes one SQL expression, so that finding, scoring
+and redacting are a projection of each document's own row: no exchange, no Python on the executors.
 
 Training reads a bounded table of findings (label 0 or 1, word, before_2, before_1, after). The tables here hold no such
 labels, so `example_findings` makes them by rule; `fit` takes any others.
 
 Defined results: a null or empty text has no candidates and stays as it is; the same secret twice gives two findings;
-repeated rows are scanned alike; an empty table gives no rows; further columns pass through `redact`.
+repeated rows are scanned alike; an empty table gives no rows; without labelled findings of both kinds nothing is taken for
+a secret; a corpus without words leaves the dictionary empty; further columns pass through `redact`.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|glpat-|xox[bp]-|sk_live_|sk-|AIza|eyJ)"
 PREFIXES = "^" + PREFIX
 #: A key name and what may follow it up to its assignment.
 NAMED = r"(?i)(?:token|secret|passw|passphrase|pwd|api.?key|access.?key|auth(?!or)|credential|private.?key)[A-Za-z0-9_.\-]*[\"'\])]*"
-#: Common words that secrets seldom hold.
+#: Characters as transitions see them: letters without their case, digits as one, all others as one.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0-"
+#: Words, letter pairs and syllables that example findings are made of.
 DICTIONARY = "the and for you that with this from have not are was will your about example sample test demo user name file data page index image public static assets content article section chapter version release download report document summary order number house world people service product company system network language history".split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 #: Syllables of English, German, French and Spanish words, for words in capitals.
 SYLLABLES = "ment tion que aire elle eux vich pa ait schung auf sch heit keit lich ung der die ein ver dad cion ando mente por ble ness ing ship con pre able est ich leai aus les des est ois".split()
-FEATURES = ["length", "distinct", "digits", "upper", "lower", "changes", "hex", "pairs", "dictionary", "path", "keyed", "benign", "prefix", "assigned", "quoted", "symbols"]
+FEATURES = ["length", "distinct", "digits", "upper", "lower", "changes", "hex", "transitions", "dictionary", "path", "keyed", "benign", "prefix", "assigned", "quoted", "symbols"]
 
 
 def pointed(x: Column, before_2: Column, before_1: Column) -> Column:
@@ -76,8 +81,52 @@ def candidates(text: Column) -> Column:
     return let(words_of(text), look)
 
 
-def features(c: Column) -> Column:
+def dictionary(docs: DataFrame, text: str = "text", size: int = 1000) -> tuple[str, ...]:
+    """The `size` words of 4 to 14 letters that most documents hold; counted over all texts with map-side combining."""
+    words = F.array_distinct(F.filter(words_of(F.lower(text)), lambda w: w.rlike("^[a-z]{4,14}$")))
+    counted = docs.select(F.explode(words).alias("w")).groupBy("w").count().where("count > 1")
+    return tuple(r["w"] for r in counted.orderBy(F.desc("count"), "w").limit(size).collect())
+
+
+def symbol(ch: str) -> int:
+    """The place of a character in ALPHABET."""
+    return ALPHABET.index(ch) if ch in ALPHABET[:26] else 26 if ch.isdigit() else 27
+
+
+def transition_odds(runs: list[str], labels: list[int]) -> tuple[float, ...]:
+    """For every pair of characters the log of how much likelier it is in secrets than in other runs, smoothed by one."""
+    n = len(ALPHABET)
+    counts = np.ones((2, n * n))
+    for run, label in zip(runs, labels, strict=True):
+        at = [symbol(ch) for ch in run.lower()]
+        np.add.at(counts[int(label)], np.array(at[:-1], int) * n + np.array(at[1:], int), 1)
+    share = counts / counts.sum(axis=1, keepdims=True)
+    return tuple(np.log(share[1] / share[0]).round(4).tolist())
+
+
+@dataclasses.dataclass(frozen=True)
+class Known:
+    """What features are measured by: the dictionary and the log-odds of transitions."""
+
+    words: tuple[str, ...]
+    odds: tuple[float, ...]
+
+
+def transitions(run: Column, odds: tuple[float, ...]) -> Column:
+    """The mean log-odds of the transitions of a run."""
+    table, low, n = F.lit(list(odds)), F.lower(run), len(ALPHABET)
+
+    def symbol_of(i: Column) -> Column:
+        ch = F.substring(low, i, F.lit(1))
+        return F.when(ch.rlike("[a-z]"), F.ascii(ch) - 97).when(ch.rlike("[0-9]"), 26).otherwise(27)
+
+    total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, symbol_of(i) * n + symbol_of(i + 1)), F.lit(0.0)))
+    return F.when(F.length(run) > 1, total / (F.length(run) - 1)).otherwise(0.0)
+
+
+def features(c: Column, known: Known) -> Column:
     """The features of a candidate, as a struct of doubles."""
+    listed = F.lit(f"({'|'.join(sorted(known.words, key=lambda w: (-len(w), w)))})")
     run, lead = c["run"], c["lead"]
     n = F.length(run).cast("double")
     share = lambda rx: F.regexp_count(run, F.lit(rx)) / n
@@ -86,7 +135,7 @@ def features(c: Column) -> Column:
     values = [
         n, F.size(F.array_distinct(F.split(run, ""))).cast("double"), share("[0-9]"), share("[A-Z]"), share("[a-z]"),
         share("(?<=[a-z])(?=[0-9A-Z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[A-Za-z0-9])(?=[_/+-])"), flag(run.rlike("^[0-9a-f]+$")),
-        share(f"(?i)({'|'.join(PAIRS)})"), 1 - F.length(F.regexp_replace(run, f"(?i)({'|'.join(DICTIONARY)})", "")) / n,
+        transitions(run, known.odds), 1 - F.length(F.regexp_replace(F.lower(run), listed, F.lit(""))) / n if known.words else F.lit(0.0),
         flag(lead.rlike(r"[/\\]") | run.rlike("/.*/")), flag(near.rlike(KEYS)), flag(F.concat_ws(" ", near, c["after"]).rlike(BENIGN)), flag(run.rlike(PREFIXES)),
         flag(lead.rlike("[=:]\\s*[\"']?$") | (lead.rlike("^[\"']?$") & c["before_1"].rlike("[=:]$"))),
         flag(lead.rlike("[\"'`]$")), share("[^A-Za-z0-9]"),
@@ -134,27 +183,40 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, lea
 @dataclasses.dataclass(frozen=True)
 class Forest:
     trees: tuple[Node, ...]
+    known: Known
+
+    def score(self, c: Column) -> Column:
+        """The share of the trees that take a candidate for a secret; 0 without trees."""
+        if not self.trees:
+            return F.lit(0.0)
+        return let(features(c, self.known), self.vote)
 
-    def score(self, f: Column) -> Column:
+    def vote(self, f: Column) -> Column:
         return functools.reduce(lambda a, b: a + b, [t.expression(f) for t in self.trees]) / len(self.trees)
 
 
-def fit(findings: DataFrame, trees: int = 11, depth: int = 5, max_findings: int = 20_000, seed: int = 3) -> Forest:
+def fit(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), trees: int = 25, depth: int = 7, max_findings: int = 20_000, seed: int = 3) -> Forest:
     """A forest from labelled findings (word, before_2, before_1, after, label); at most `max_findings` of them are taken."""
     word = F.coalesce("word", F.lit(""))
     run = F.coalesce(F.get(runs_of(word, F.coalesce("before_2", F.lit("")), F.coalesce("before_1", F.lit(""))), 0), F.lit(""))
     c = F.struct(run.alias("run"), F.when(run == "", "").otherwise(F.call_function("substring_index", word, run, F.lit(1))).alias("lead"), *[F.coalesce(k, F.lit("")).alias(k) for k in ("before_2", "before_1", "after")])
-    rows = findings.where(F.col("label").isin(0, 1)).select(c.alias("c"), "label").where("c.run <> ''").orderBy(F.xxhash64("c"), "label").limit(max_findings).select(features(F.col("c")).alias("f"), "label").collect()
+    rows = findings.where(F.col("label").isin(0, 1)).select(c.alias("c"), "label").where("c.run <> ''").orderBy(F.xxhash64("c"), "label").limit(max_findings).select("c", "label").collect()
+    labels = [r["label"] for r in rows]
+    known = Known(words, transition_odds([r["c"]["run"] for r in rows], labels))
+    if len(set(labels)) < 2:
+        return Forest((), known)
+    taken = findings.sparkSession.createDataFrame([(*r["c"], r["label"]) for r in rows], "run string, lead string, before_2 string, before_1 string, after string, label int")
+    rows = taken.select(features(F.struct("run", "lead", "before_2", "before_1", "after"), known).alias("f"), "label").collect()
     x, y = np.array([list(r["f"]) for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["label"] for r in rows], float)
     rng = np.random.default_rng(seed)
     grown = []
     for _ in range(trees):
         pick = rng.integers(0, len(y), len(y))
         grown.append(grow(x[pick], y[pick], depth, rng))
-    return Forest(tuple(grown))
+    return Forest(tuple(grown), known)
 
 
-def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
+def example_findings(spark: SparkSession, n: int = 6000, seed: int = 11) -> DataFrame:
     """Labelled findings by rule: keys in their usual settings against hashes, names, numbers, paths and placeholders."""
     r = random.Random(seed)
     hexes = lambda k: "".join(r.choices("0123456789abcdef", k=k))
@@ -180,6 +242,9 @@ def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
         lambda: (plain(), plain(), f"{name()}{r.choice('=:')}{quote(short())}", plain()),
         lambda: (plain(), name() + r.choice("=:"), r.choice(['"%s"', "'%s'"]) % r.choice([short(), plain() + plain()]), plain()),
         lambda: (r.choice(["Authorization:", plain()]), "Bearer", mixed(r.randint(24, 80)), plain()),
+        lambda: (plain(), name() + r.choice("=:"), r.choice(['"%s"', "'%s'"]) % (plain() * r.randint(2, 3)), plain()),
+        lambda: ("PRIVATE", "KEY-----", mixed(64), mixed(64)),
+        lambda: (mixed(64), mixed(64), mixed(64), r.choice([mixed(64), "-----END"])),
     ]
     false = [
         lambda: (plain(), benign(), hexes(r.choice([32, 40, 64])), plain()),
@@ -195,6 +260,8 @@ def example_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Data
         lambda: (plain(), plain(), "".join(plain() for _ in range(8)).upper(), plain()),
         lambda: (plain(), plain(), heading(), plain()),
         lambda: (plain(), plain(), heading(), heading()),
+        lambda: (plain(), plain(), heading().capitalize() + r.choice(["", ",", "."]), plain()),
+        lambda: (plain(), plain(), heading().lower() + r.choice(["", ",", "."]), plain()),
         lambda: (plain(), plain(), "".join(plain().capitalize() for _ in range(7)), plain()),
         lambda: (plain(), plain(), r.choice("-_/").join(word() for _ in range(r.randint(5, 7))), plain()),
         lambda: (plain(), plain(), r.choice("-_/+") * r.randint(16, 60), plain()),
@@ -214,7 +281,7 @@ FINDING = ["run", "word_no", "score"]
 
 def scan(text: Column, forest: Forest, least: float = 0.5) -> Column:
     """array<struct<run, word_no, score>>: the candidates of a text that the forest takes for secrets."""
-    scored = F.transform(candidates(text), lambda c: let(features(c), lambda f: F.struct(c["run"].alias("run"), c["word_no"].alias("word_no"), forest.score(f).alias("score"))))
+    scored = F.transform(candidates(text), lambda c: F.struct(c["run"].alias("run"), c["word_no"].alias("word_no"), forest.score(c).alias("score")))
     return F.filter(scored, lambda x: x["score"] >= least)
 
 
@@ -235,5 +302,5 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", least: float = 0
 
 def query(docs: DataFrame) -> DataFrame:
     """Findings by digest: the secrets themselves stay out of results."""
-    found = findings(docs.select("doc_id", "text"), fit(example_findings(docs.sparkSession)))
+    found = findings(docs.select("doc_id", "text"), fit(example_findings(docs.sparkSession), dictionary(docs)))
     return found.select("doc_id", "word_no", F.length("run").cast("long").alias("secret_chars"), F.sha2(F.encode("run", "UTF-8"), 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
