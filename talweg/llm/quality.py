@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import in_tasks, let, ship, words_of
 
 STATS = ["log_words", "word_length", "symbols", "marks", "upper", "spaces", "line_length", "distinct_words", "distinct_lines"]
 
@@ -83,6 +83,7 @@ class Model:
     def apply(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """`docs` with `score`, every whole text being scored."""
         model = self
+        ship(docs.sparkSession)
 
         @F.pandas_udf("double")
         def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labels: int
         rows.unpersist()
         return Model(np.zeros(d), np.ones(d), omega, phase, np.zeros(width), (np.array([0.0]), np.array([0.5])))
     mean = np.array([sums[f"m{i}"] for i in range(d)])
-    scale = np.array([sums[f"s{i}"] or 1.0 for i in range(d)])
+    scale = np.array([sums[f"s{i}"] for i in range(d)])
+    scale = np.where(scale > 1e-9 * np.maximum(1, np.abs(mean)), scale, 1.0)  # a constant statistic varies by rounding only
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width + 1))
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labels: int
                 total += f.T @ np.hstack([f, b.column("_y").to_numpy(zero_copy_only=False)[:, None]])
         yield pa.RecordBatch.from_pydict({"i": list(range(width)), "row": total.tolist()}, schema=pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))]))
 
-    parted = rows.where(~F.col("_cal")).select("_x", "_y").coalesce(8).mapInArrow(parts, "i int, row array<double>")
+    parted = in_tasks(rows.where(~F.col("_cal")).select("_x", "_y").coalesce(8), parts, "i int, row array<double>")
     system = parted.collect()  # width rows from each of at most eight partitions, however many the session deals: the size is fixed
     gram = np.zeros((width, width + 1))
     for i in range(width):
