@@ -62,4 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of those that SQL expresses; the others are held against plain versions in tests.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": rules.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op10_embedding_dedup": embeddings.ORACLE,
+}
