@@ -2,7 +2,12 @@
 
 Every stage works on all that the one before it kept, and its decisions take effect: rejected documents go, one document
 of each group of near duplicates stays, secrets are blotted out, sources are brought to their targets by dropping and
-repeating whole documents, and what is left is encoded. Null and empty texts get the results that each operator states.
+repeating whole documents, and what is left is encoded.
+
+Defined results: nulls in any column, empty and very long texts get the results that each operator states (a null doc_id
+is a document of its own and stays); of repeated rows and ties of a group the first by doc_id and text stays; documents
+without words are never taken by the mix; columns beyond those of documents are dropped at the first stage, whatever
+their names; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import bpe, mixing, quality, secrets, simhash
-from talweg.llm.common import ship, table, written
+from talweg.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,25 +31,23 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
-    ship(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their secrets."""
-    forest = secrets.fit(secrets.example_findings(spark))
+    forest = secrets.fit(secrets.example_findings(spark), secrets.dictionary(docs))
     return secrets.redact(docs.select(*COLUMNS), forest).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it."""
-    mixed = mixing.mix(docs.select(*COLUMNS), partial=False).where("taken > 0")
+    mixed = mixing.mix(docs.select(*COLUMNS), packet=None).where("taken > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size AS int)"))).alias("_pass")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids."""
-    ship(spark)
     return bpe.encode(docs.select("doc_id", "source", "text"), carry=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
@@ -55,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
     ("tokens", encode),
 ]
-#: The stages learn, cluster and encode: SQL does not express them. tests/llm/test_pipeline.py has a brute-force version.
+#: The stages learn, cluster and encode: SQL does not express them. tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
