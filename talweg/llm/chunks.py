@@ -4,15 +4,16 @@ A gear hash rolls over the UTF-8 bytes of a text: each step shifts it by one bit
 chunk has `passage` bytes and starts where the hash of its first 17 bytes is the smallest (the last of equal ones) of
 some `every` places in a row; each text's first and last chunk are added. Starts depend on the bytes there only, never on
 an earlier chunk, so two texts that share `passage` + `every` - 1 bytes, 97 by default, share a chunk, whatever stands
-around them. (50 words have 99 bytes or more.) A chunk whose 96-bit digest is met in more than one document is repeated;
+around them. (50 words have 99 bytes or more.) A chunk whose 88-bit digest (100 bits with its bucket) is met in more than one document is repeated;
 repeated chunks that overlap or touch form a passage, and each of its chunks is a whole copy of `passage` bytes. Passages
 count from `words` words on, 50 by default: what the chunks show of a shared passage may lack `every` - 1 bytes, or nine
 short words, at each end and a word cut at its start, so the words shown must be 32 at least; every shared passage of over
 50 words is found, and single lines that many documents share, such as license lines, are left alone. The first
 place of a chunk (smallest doc_id, then offset) keeps it, all others lose what no such first chunk covers.
 
-Chunks are dealt into buckets by digest, packed by columns, in one exchange: an occurrence takes some 20 bytes, also where
-a digest is hot. A bucket is sorted by digest; only repeated chunks leave it and are gathered by document.
+Chunks are dealt into buckets by digest, packed by columns, in one exchange. Of a digest that several documents of a
+piece of some megabytes hold, one occurrence a piece goes to its bucket. Buckets grow in number with the documents and
+are sorted by digest; only repeated chunks leave them and are gathered by document.
 
 Defined results: null texts, texts under `passage` bytes and rows of a null doc_id have no chunk; documents without a repeated passage give no
 row; repeats inside one document only are left alone; rows that repeat a doc_id count as one document, its spans merged;
@@ -108,8 +109,11 @@ def starts(texts: list[bytes], passage: int, every: int) -> tuple[bytes, np.ndar
     return joined, found, of, found - at[of]
 
 
-#: An occurrence of a chunk: 96 bits of its digest, its document, its offset there, the words begun before it and in it.
-CHUNK = {"high": np.int64, "low": np.int32, "doc_id": np.int64, "place": np.int32, "word": np.int32, "words": np.uint8}
+#: An occurrence of a chunk: 88 bits of its digest, its document, its offset there, the words begun before it (modulo 256)
+#: and those begun in it, 128 more where the chunk is known to be repeated.
+CHUNK = {"high": np.int64, "low": np.uint16, "lower": np.uint8, "doc_id": np.int64, "place": np.int32, "word": np.uint8, "words": np.uint8}
+#: One whose chunk is known to be repeated and to come first elsewhere.
+KNOWN = {k: CHUNK[k] for k in ("doc_id", "place", "word", "words")}
 #: Whether a byte separates words.
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
@@ -127,17 +131,33 @@ def packed(columns: list[np.ndarray]) -> bytes:
     return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
 
 
-def unpacked(data: list[bytes]) -> list[np.ndarray]:
-    width = sum(np.dtype(d).itemsize for d in CHUNK.values())
+def unpacked(data: list[bytes], kinds: dict) -> list[np.ndarray]:
+    width = sum(np.dtype(d).itemsize for d in kinds.values())
     rows = np.concatenate([np.frombuffer(d, np.uint8).reshape(width, -1).T for d in data])
-    ends = np.cumsum([np.dtype(d).itemsize for d in CHUNK.values()])
-    return [np.ascontiguousarray(rows[:, y - np.dtype(d).itemsize : y]).view(d)[:, 0] for d, y in zip(CHUNK.values(), ends, strict=True)]
+    ends = np.cumsum([np.dtype(d).itemsize for d in kinds.values()])
+    return [np.ascontiguousarray(rows[:, y - np.dtype(d).itemsize : y]).view(d)[:, 0] for d, y in zip(kinds.values(), ends, strict=True)]
 
 
-def chunks(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18, buckets: int = 4096) -> DataFrame:
-    """(bucket, data): every chunk, packed with the others of its bucket."""
+def ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences (columns of CHUNK) by digest, document and place; for each the first of its digest, and whether that is repeated."""
+    order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    high, low, lower, doc = columns[:4]
+    begin = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (lower[1:] != lower[:-1])]))
+    size = np.diff([*begin, len(doc)])
+    sure = np.maximum.reduceat(columns[6], begin) >= 128
+    return columns, np.repeat(begin, size), np.repeat(sure | (doc[begin] != doc[begin + size - 1]), size), order
+
+
+def chunks(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18, buckets: int | None = None) -> DataFrame:
+    """(bucket, data): every chunk, packed with the others of its bucket.
+
+    A piece of texts that holds a chunk in several documents sends on its first place there only; its others are known to
+    be repeated and not to be first, and go to buckets of their own, so that a frequent digest fills no bucket.
+    """
     if passage < REACH:
         raise ValueError(f"passages have {REACH} bytes at least")
+    buckets = buckets or min(1 << 22, max(4096, docs.count() // 500))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -148,31 +168,41 @@ def chunks(docs: DataFrame, text: str = "text", passage: int = 80, every: int =
             begun = words_begun(joined)
             before = begun[found] - begun[found - place]
             inside = begun[found + passage] - begun[found]
-            made = np.frombuffer(b"".join([digest(joined[x : x + passage]) for x in found.tolist()]), np.dtype([("high", "<i8"), ("low", "<i4"), ("rest", "<u4")]))
-            bucket = made["rest"] % buckets
-            order = np.argsort(bucket, kind="stable")
-            columns = [c[order].astype(d) for c, d in zip((made["high"], made["low"], b.column("doc_id").to_numpy()[of], place, before, np.minimum(inside, 255)), CHUNK.values(), strict=True)]
-            keys, cut = np.unique(bucket[order], return_index=True)
-            data = [packed([c[x:y] for c in columns]) for x, y in itertools.pairwise([*cut.tolist(), len(order)])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+            made = np.frombuffer(b"".join([digest(joined[x : x + passage]) for x in found.tolist()]), np.dtype([("high", "<i8"), ("low", "<u2"), ("lower", "u1"), ("none", "u1"), ("rest", "<u4")]))
+            values = (made["high"], made["low"], made["lower"], b.column("doc_id").to_numpy()[of], place, before % 256, np.minimum(inside, 127))
+            columns, head, many, order = ordered([c.astype(d) for c, d in zip(values, CHUNK.values(), strict=True)])
+            known = many & ((columns[3] != columns[3][head]) | (columns[4] != columns[4][head]))
+            columns[6] = np.where(many, columns[6] | 128, columns[6]).astype(np.uint8)
+            bucket = (made["rest"] % buckets).astype(np.int32)[order]
+            keys, data = [], []
+            if known.any():
+                keys.append(buckets + int(made["rest"][0] >> 2))
+                data.append(packed([columns[i][known] for i in range(3, 7)]))
+            rest = np.flatnonzero(~known)
+            rest = rest[np.argsort(bucket[rest], kind="stable")]
+            own, cut = np.unique(bucket[rest], return_index=True)
+            keys += own.tolist()
+            data += [packed([c[rest[x:y]] for c in columns]) for x, y in itertools.pairwise([*cut.tolist(), len(rest)])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull())
-    return in_tasks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")), run, "bucket int, data binary")
+    dealt = in_tasks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")), run, "bucket int, data binary")
+    return dealt.withColumn("known", F.col("bucket") >= buckets)
 
 
 def repeats(dealt: DataFrame) -> DataFrame:
     """(doc_id, at, word, words): every occurrence of a chunk that more than one document holds; `at` is twice its offset, and one more for the first."""
 
     def run(t: pa.Table) -> pa.Table:
-        columns = unpacked(t.column("data").to_pylist())
-        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-        high, low, doc, place, word, words = (c[order] for c in columns)
-        begin = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-        size = np.diff([*begin, len(doc)])
-        head = np.repeat(begin, size)
-        many = np.repeat(doc[begin] != doc[begin + size - 1], size)
-        first = (doc == doc[head]) & (place == place[head])
-        return pa.table({"doc_id": doc[many], "at": 2 * place[many].astype(np.int64) + first[many], "word": word[many], "words": words[many].astype(np.int32)})
+        data = t.column("data").to_pylist()
+        if t.column("known")[0].as_py():
+            doc, place, word, words = unpacked(data, KNOWN)
+            at = 2 * place.astype(np.int64)
+        else:
+            columns, head, many, _ = ordered(unpacked(data, CHUNK))
+            doc, place, word, words = (c[many] for c in columns[3:])
+            at = 2 * place.astype(np.int64) + ((columns[3] == columns[3][head]) & (columns[4] == columns[4][head]))[many]
+        return pa.table({"doc_id": doc, "at": at, "word": word.astype(np.int32), "words": (words & 127).astype(np.int32)})
 
     ship(dealt.sparkSession)
     return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, at long, word int, words int")
@@ -199,8 +229,10 @@ def long_enough(place: np.ndarray, word: np.ndarray, words: np.ndarray, passage:
     begin = np.append(True, place[1:] > place[:-1] + passage)[: len(place)]
     run = np.cumsum(begin) - 1
     heads = np.flatnonzero(begin)
-    shown = np.maximum.reduceat(word + words, heads) - word[heads]
-    return shown[run] >= least
+    step = np.append(0, (word[1:] - word[:-1]) % 256)  # fewer than 256 words begin within a chunk
+    step[begin] = 0
+    shown = np.cumsum(step) + words
+    return (np.maximum.reduceat(shown, heads) - np.cumsum(step)[heads])[run] >= least
 
 
 def passages(docs: DataFrame, text: str = "text", passage: int = 80, every: int = 18, words: int = 50) -> DataFrame:
