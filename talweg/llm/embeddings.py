@@ -61,7 +61,7 @@ def fit(points: DataFrame, n: int, sample: int = 20_000, seed: int = 5) -> dict[
     by: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: r["rep"]):
         by.setdefault(len(r["v"]), []).append(r["v"])
-    k = max(1, min(n // 40, 512) if n < 1_048_576 else min(4096, n // 2048))
+    k = max(1, min(n // 20, 256) if n < 1_048_576 else min(4096, n // 4096))
     return {d: spherical_kmeans(unit(v), max(1, k * len(v) // len(rows)), seed=seed) for d, v in by.items()}
 
 
@@ -184,10 +184,12 @@ def links(points: DataFrame, centroids: dict[int, np.ndarray], least: float, blo
     return in_tasks(rows.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 2048, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int | None = None, sample: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of `vectors`."""
     rows = written(usable(vectors).withColumn("h", F.xxhash64("v")), "vectors")
     points = written(rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "points")
+    size = points.agg(F.max(F.size("v"))).first()[0]
+    block = block or max(512, 524_288 // (size or 1))  # 4 MB of a block at home in double precision, whatever the vectors' length
     found = written(links(points, fit(points, points.count(), sample), least, block), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
