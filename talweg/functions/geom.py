@@ -124,8 +124,76 @@ def clip_to_box(ring: Column, west: Column, south: Column, east: Column, north:
     return ring
 
 
+@bound
 def overlap_area(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
-    return area(clip_to_box(ring, west, south, east, north))
+    """The area of a simple ring within a box: along every edge the height above the box's south side, kept within the box,
+    is integrated over the part of the edge between its west and east sides."""
+    into = lambda v, lo, hi: F.greatest(lo, F.least(hi, v))
+
+    def strip(q: Column) -> Column:
+        lo, hi = F.least(q["y0"], q["y1"]), F.greatest(q["y0"], q["y1"])
+        a, b = into(lo, south, north), into(hi, south, north)
+        mean = ((b - a) * ((a + b) / 2 - south) + F.greatest(F.lit(0.0), hi - F.greatest(lo, north)) * (north - south)) / (hi - lo)
+        return q["dx"] * F.when(hi > lo, mean).otherwise(a - south)
+
+    def edge(a: Column, b: Column) -> Column:
+        x0, x1 = into(a["x"], west, east), into(b["x"], west, east)
+        at = lambda x: a["y"] + (x - a["x"]) / (b["x"] - a["x"]) * (b["y"] - a["y"])
+        return F.when(x0 == x1, 0.0).otherwise(let(F.struct((x1 - x0).alias("dx"), at(x0).alias("y0"), at(x1).alias("y1")), strip))
+
+    return F.abs(F.aggregate(F.zip_with(ring, following(ring), edge), F.lit(0.0), lambda s, v: s + v))
+
+
+@bound
+def edge_meets(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether an edge of a ring has a point in a box or on its sides."""
+
+    def slab(start: Column, step: Column, lo: Column, hi: Column, last: bool) -> Column:
+        a, b = F.try_divide(lo - start, step), F.try_divide(hi - start, step)
+        inside = start.between(lo, hi)
+        return F.when(step == 0, F.when(inside, 1.0).otherwise(-1.0) if last else F.when(inside, 0.0).otherwise(2.0)).otherwise(F.greatest(a, b) if last else F.least(a, b))
+
+    def meets(a: Column, b: Column) -> Column:
+        first = F.greatest(F.lit(0.0), slab(a["x"], b["x"] - a["x"], west, east, False), slab(a["y"], b["y"] - a["y"], south, north, False))
+        last = F.least(F.lit(1.0), slab(a["x"], b["x"] - a["x"], west, east, True), slab(a["y"], b["y"] - a["y"], south, north, True))
+        return first <= last
+
+    return F.exists(F.zip_with(ring, following(ring), meets), lambda m: m)
+
+
+def meet(p: Column, q: Column, r: Column, radius: Column) -> Column:
+    """The corner of the lines at `radius` outside of the edges p-q and q-r of a ring that turns left."""
+    ux, uy = (q["x"] - p["x"]) / F.hypot(q["x"] - p["x"], q["y"] - p["y"]), (q["y"] - p["y"]) / F.hypot(q["x"] - p["x"], q["y"] - p["y"])
+    vx, vy = (r["x"] - q["x"]) / F.hypot(r["x"] - q["x"], r["y"] - q["y"]), (r["y"] - q["y"]) / F.hypot(r["x"] - q["x"], r["y"] - q["y"])
+    k = radius / (1 + ux * vx + uy * vy)
+    return point(q["x"] + k * (uy + vy), q["y"] - k * (ux + vx))
+
+
+def buffered(ring: Column, radius: Column, per_quarter: int = 16, mitre: bool = False) -> Column:
+    """All within `radius` of a convex ring: its edges moved outwards, joined by arcs or, with `mitre`, by corners."""
+    turned = let(ring, lambda r: F.when(signed_area(r) >= 0, r).otherwise(F.reverse(r)))
+    turn = math.pi / (2 * per_quarter)
+
+    def corners(r: Column) -> Column:
+        n = F.size(r)
+        trio = lambda i, q: (F.get(r, F.pmod(i - 1, n)), q, F.get(r, F.pmod(i + 1, n)))
+        if mitre:
+            return F.transform(r, lambda q, i: meet(*trio(i, q), radius))
+
+        def arc(p: Column, q: Column, s: Column) -> Column:
+            start = F.atan2(q["y"] - p["y"], q["x"] - p["x"]) - math.pi / 2
+            bend = F.pmod(F.atan2(s["y"] - q["y"], s["x"] - q["x"]) - math.pi / 2 - start, F.lit(2 * math.pi))
+            steps = F.when((bend > 1e-9) & (bend < math.pi + 1e-9), F.ceil(bend / turn)).otherwise(0).cast("int")
+            return let(F.struct(start.alias("a"), bend.alias("b"), steps.alias("n")), lambda g: F.transform(F.sequence(F.lit(0), g["n"]), lambda k: point(q["x"] + radius * F.cos(g["a"] + F.when(g["n"] > 0, g["b"] * k / g["n"]).otherwise(0.0)), q["y"] + radius * F.sin(g["a"] + F.when(g["n"] > 0, g["b"] * k / g["n"]).otherwise(0.0)))))
+
+        return F.flatten(F.transform(r, lambda q, i: arc(*trio(i, q))))
+
+    return let(let(turned, distinct_corners), corners)
+
+
+def distinct_corners(ring: Column) -> Column:
+    """The ring without points that repeat the one before."""
+    return F.filter(ring, lambda p, i: let(F.get(ring, F.pmod(i - 1, F.size(ring))), lambda q: (p["x"] != q["x"]) | (p["y"] != q["y"])))
 
 
 @bound

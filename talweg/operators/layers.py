@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import geom, text
 from ..schemas import PLACES, WATERCOURSES, WATERWAYS
+from ..session import checkpointed
 
 
 def inside(points: DataFrame, ring: list[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
@@ -49,21 +50,43 @@ def cascade(levels: list[tuple[DataFrame, str, str | None]], chosen: DataFrame)
     return out
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str = "id", name: str = "name", reach: float = 50_000.0, cell: float = 50_000.0) -> DataFrame:
-    """(key, name, place_id, distance): the nearest place within `reach` of each point; the lowest place_id among equals.
+def nearest(points: DataFrame, places: DataFrame, key: str = "id", name: str = "name", cell: float = 20_000.0) -> DataFrame:
+    """(key, name, place_id, distance): the nearest place of each point, however far; the lowest place_id among equals.
 
-    Places are found in the grid cells around a point, an equality join in place of all pairs.
+    Places are found in the grid cells around a point, an equality join in place of all pairs. Within one cell's length a
+    find is sure; points without one ask again on a grid of eight times the cell, until none is left. Points without
+    finite coordinates, and all points where there are no places, give no row.
     """
-    k = int(-(-reach // cell))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1)])
+    left = points.select(key, "x", "y").where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & ~F.isnan("x") & ~F.isnan("y"))
+    there = checkpointed(places.select("place_id", name, F.col("x").alias("px"), F.col("y").alias("py")))
+    edges = there.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    found = None
+    while True:
+        best = checkpointed(within(left, there, key, name, cell))
+        sure = best.where(F.col("distance") <= cell)
+        found = sure if found is None else found.unionByName(sure)
+        left = checkpointed(left.join(sure.select(key), key, "left_anti"))
+        rest = left.agg(F.count("*"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+        if edges[0] is None or not rest[0] or cell > 4 * (rest[1] + max(map(abs, edges))):
+            return found
+        cell *= 8
+
+
+def within(points: DataFrame, places: DataFrame, key: str, name: str, cell: float) -> DataFrame:
+    """The best place of each point among those in its grid cell and the eight around it."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     asked = points.select(key, "x", "y", F.explode(steps).alias("s")).select(key, "x", "y", (F.floor(F.col("x") / cell) + F.col("s.i")).alias("gx"), (F.floor(F.col("y") / cell) + F.col("s.j")).alias("gy"))
-    there = places.select("place_id", name, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
+    dealt = places.select("*", F.floor(F.col("px") / cell).alias("gx"), F.floor(F.col("py") / cell).alias("gy"))
     d = F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
-    pairs = asked.join(there, ["gx", "gy"]).select(key, "place_id", name, d.alias("distance")).where(F.col("distance") <= reach)
-    best = pairs.groupBy(key).agg(F.min_by(F.struct(name, "place_id", "distance"), F.struct("distance", "place_id")).alias("b"))
+    best = asked.join(dealt, ["gx", "gy"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("place_id"), F.col(name))).alias("b"))
     return best.select(key, f"b.{name}", "b.place_id", "b.distance")
 
 
+def by_distance(places: DataFrame, x: float, y: float) -> DataFrame:
+    """`places` (x, y) with dist_m from a point, to a tenth of a metre, the nearest first."""
+    return places.withColumn("dist_m", F.round(F.hypot(F.col("x") - x, F.col("y") - y), 1)).orderBy("dist_m")
+
+
 def gazetteer(rows: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Settlements, waters and relief of a box, with the kind in words and whether it is a watercourse."""
     kept = rows.where(F.col("class").isin("P", "H", "T") & F.col("lon").between(west, east) & F.col("lat").between(south, north))

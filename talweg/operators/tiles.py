@@ -28,14 +28,18 @@ def preliminary_aoi(requests: DataFrame, params: Parameters = Parameters()) -> D
 
 
 def enlarged(ring: Column, factor: float) -> Column:
-    """A box ring grown on all sides by the equal-area radius times (factor - 1)."""
-    r, b = F.sqrt(geom.area(ring) / F.pi()) * (factor - 1), geom.bounds(ring)
-    return geom.box(b["west"] - r, b["south"] - r, b["east"] + r, b["north"] + r)
+    """All within the equal-area radius times (factor - 1) of a convex ring."""
+    return geom.let(ring, lambda r: geom.buffered(r, F.sqrt(geom.area(r) / F.pi()) * (factor - 1)))
+
+
+def two_point_box(x: Column, y: Column, hx: Column, hy: Column, margin: float = 0.0) -> Column:
+    """The rectangle of two points with a margin."""
+    return geom.box(F.least(x, hx) - margin, F.least(y, hy) - margin, F.greatest(x, hx) + margin, F.greatest(y, hy) + margin)
 
 
 def to_lonlat(aois: DataFrame, step: float = 250.0) -> DataFrame:
     """`aois` with `ring_ll`: the ring in degrees, with points every 250 m so that its edges stay where they are."""
-    ring = F.when(F.col("epsg") == 4326, F.col("ring")).otherwise(geom.densify(F.col("ring"), step))
+    ring = F.when(crs.is_geographic(F.col("epsg")), F.col("ring")).otherwise(geom.densify(F.col("ring"), step))
     turned = F.transform(ring, lambda p: crs.to_lonlat(p["x"], p["y"], F.col("epsg")))
     return aois.withColumn("ring_ll", F.transform(turned, lambda p: geom.point(p["lon"], p["lat"])))
 
@@ -59,7 +63,7 @@ def select(aois: DataFrame, catalogue: DataFrame | None = None, key: str = "id",
     rows = aois.select(key, F.col("ring_ll"), geom.area(F.col("ring_ll")).alias("total"), geom.bounds(F.col("ring_ll")).alias("b"))
     tiles = rows.select(key, "ring_ll", "total", "b", F.explode(candidates(F.col("b"), size)).alias("t"))
     w, s = F.col("t.lon0").cast("double"), F.col("t.lat0").cast("double")
-    inter = tiles.select(key, "total", "t.lat0", "t.lon0", geom.overlap_area(F.col("ring_ll"), w, s, w + size, s + size).alias("inter"), ((F.col("b.west") <= w + size) & (F.col("b.east") >= w) & (F.col("b.south") <= s + size) & (F.col("b.north") >= s) & F.exists("ring_ll", lambda p: p["x"].between(w, w + size) & p["y"].between(s, s + size))).alias("meets"))
+    inter = tiles.select(key, "total", "t.lat0", "t.lon0", geom.overlap_area(F.col("ring_ll"), w, s, w + size, s + size).alias("inter"), geom.edge_meets(F.col("ring_ll"), w, s, w + size, s + size).alias("meets"))
     if catalogue is not None:
         inter = inter.join(catalogue.select("lat0", "lon0", F.lit(True).alias("exists")).distinct(), ["lat0", "lon0"], "left")
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import crs
+from ..functions import crs, geom
 from ..schemas import COUNTRIES, REGIONS
 
 TOLERANCE_DEG = 1.5
@@ -22,20 +22,20 @@ def country_test(lon: Column, lat: Column, country: str) -> Column:
 
 def point_error(x: Column, y: Column, epsg: Column, country: str = "PER") -> Column:
     """number, range, area_of_use or country; null where the point is fine."""
-    ll = crs.to_lonlat(x, y, epsg)
     meridian = crs.central_meridian(epsg)
     south, north = F.when(crs.is_south(epsg), -80.0).otherwise(0.0), F.when(crs.is_south(epsg), 0.0).otherwise(84.0)
-    ranged = F.when(epsg == 4326, x.between(-180, 180) & y.between(-90, 90)).otherwise(x.between(100_000, 900_000) & y.between(0, 10_000_000))
-    used = (epsg == 4326) | in_box(ll["lon"], ll["lat"], meridian - 3 - TOLERANCE_DEG, south - TOLERANCE_DEG, meridian + 3 + TOLERANCE_DEG, north + TOLERANCE_DEG)
+    ranged = F.when(crs.is_geographic(epsg), x.between(-180, 180) & y.between(-90, 90)).otherwise(x.between(100_000, 900_000) & y.between(0, 10_000_000))
+    used = lambda ll: crs.is_geographic(epsg) | in_box(ll["lon"], ll["lat"], meridian - 3 - TOLERANCE_DEG, south - TOLERANCE_DEG, meridian + 3 + TOLERANCE_DEG, north + TOLERANCE_DEG)
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return F.when(bad(x) | bad(y), "number").when(~ranged, "range").when(~used, "area_of_use").when(~country_test(ll["lon"], ll["lat"], country), "country")
+    placed = lambda ll: F.when(~used(ll), "area_of_use").when(~country_test(ll["lon"], ll["lat"], country), "country")
+    return F.when(bad(x) | bad(y), "number").when(~ranged, "range").otherwise(geom.let(crs.to_lonlat(x, y, epsg), placed))
 
 
 def validate(requests: DataFrame, country: str = "PER") -> DataFrame:
     """`requests` (x, y, epsg, head_x, head_y) with distance_m, `error` (outlet first, then headwater, then distance) and `warning`."""
     x, y, hx, hy, e = (F.col(c) for c in ("x", "y", "head_x", "head_y", "epsg"))
     planar = F.hypot(hx - x, hy - y)
-    d = F.when(e == 4326, F.hypot((hx - x) * 111_320 * F.cos(F.radians(y)), (hy - y) * 110_570)).otherwise(planar)
+    d = F.when(crs.is_geographic(e), F.hypot((hx - x) * 111_320 * F.cos(F.radians(y)), (hy - y) * 110_570)).otherwise(planar)
     far = F.when(d < 60, "same_point").when(d > 1_000_000, "too_far")
     head = F.when(hx.isNotNull() | hy.isNotNull(), point_error(hx, hy, e, country))
     error = F.coalesce(point_error(x, y, e, country), head, far)
@@ -64,5 +64,5 @@ def suggest_zone(points: DataFrame, catalogue: DataFrame | None = None, key: str
 def river_region(lon: Column, lat: Column, forced: Column | None = None) -> Column:
     """The region of the river network: forced, South America by its short cut, or the one box that holds the point; null if not exactly one does."""
     hits = F.filter(F.array(*[F.when(in_box(lon, lat, *r[1:]), r[0]) for r in REGIONS]), lambda r: r.isNotNull())
-    found = F.when((lon <= -32) & (lat < 5), "sa").when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+    found = F.when((lon <= -32) & (lat < 5) & F.array_contains(hits, "sa"), "sa").when(F.size(hits) == 1, F.get(hits, F.lit(0)))
     return found if forced is None else F.coalesce(F.lower(forced), found)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import crs
-from ..schemas import COUNTRIES, NEIGHBOURS, PLACE_CLASSES, REGIONS, SHEET_LETTERS, UTM_BASES
+from ..schemas import COUNTRIES, NEIGHBOURS, PLACE_CLASSES, REGIONS, SHEET_LETTERS
 
 P = "(SELECT c_custkey AS id, CAST(300000 + c_custkey * 7919 % 400000 AS DOUBLE) AS x, CAST(8600000 + c_custkey * 104729 % 400000 AS DOUBLE) AS y FROM customer)"
 R = f"(SELECT *, CASE WHEN id % 3 <> 0 THEN x + (id % 7 - 3) * 2000.0 END AS hx, CASE WHEN id % 3 <> 0 THEN y + (id % 5 - 3) * 3000.0 END AS hy, CASE WHEN id % 6 = 0 THEN CAST(id % 500 + 1 AS DOUBLE) END AS a FROM {P})"
@@ -93,12 +93,16 @@ def in_ring(ring: list[tuple[float, float]], x: str, y: str) -> str:
 ORACLES = {
     "utm_inverse": f"SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM {lonlat(P)}",
     "utm_round_trip": f"SELECT id, true AS same FROM {P}",
-    "system_resolution": f"""SELECT id, CASE WHEN error IS NULL THEN code END AS resolved_epsg, error FROM (SELECT *, CASE WHEN epsg IS NULL AND (zone IS NULL OR h IS NULL) THEN 'missing' WHEN epsg IS NULL AND NOT zone BETWEEN 1 AND 60 THEN 'zone'
-        WHEN epsg IS NULL AND base IS NULL THEN 'datum' WHEN code <> 4326 AND NOT utm THEN 'not_utm' WHEN epsg IS NOT NULL AND utm AND zone <> own_zone THEN 'zone_mismatch' WHEN epsg IS NOT NULL AND utm AND h <> own THEN 'hemisphere_mismatch' END AS error FROM
-        (SELECT *, code BETWEEN 32601 AND 32660 OR code BETWEEN 32701 AND 32760 OR code BETWEEN 31978 AND 31985 AS utm, CASE WHEN code BETWEEN 31978 AND 31985 THEN code - 31960 ELSE code % 100 END AS own_zone, CASE WHEN code BETWEEN 32701 AND 32760 OR code BETWEEN 31978 AND 31985 THEN 'S' ELSE 'N' END AS own FROM
-        (SELECT r.*, b.base, coalesce(epsg, b.base + zone) AS code FROM (SELECT *, upper(substr(hemisphere, 1, 1)) AS h FROM (SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 4 = 0 THEN 32700 + c_custkey % 70 WHEN c_custkey % 4 = 1 THEN 4326 END AS INT) AS epsg, CAST(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 65 END AS INT) AS zone,
-            CASE WHEN c_custkey % 5 <> 0 THEN CASE c_custkey % 3 WHEN 0 THEN 'south' WHEN 1 THEN 'N' ELSE 'sur' END END AS hemisphere, CASE c_custkey % 3 WHEN 0 THEN 'WGS84' WHEN 1 THEN 'SIRGAS2000' ELSE 'WGS84' END AS datum FROM customer)) r
-        LEFT JOIN (VALUES {", ".join(map(str, UTM_BASES))}) b(datum, h, base) ON b.datum = r.datum AND b.h = r.h)))""",
+    # the rule of the codes written anew, each known system as a row
+    "system_resolution": """WITH known(code, zone, h) AS (SELECT 32600 + z, z, 'N' FROM range(1, 61) r(z) UNION ALL SELECT 32700 + z, z, 'S' FROM range(1, 61) r(z) UNION ALL SELECT 31965 + i, 11 + i, 'N' FROM range(0, 12) r(i)
+            UNION ALL SELECT 31977 + i, 17 + i, 'S' FROM range(0, 9) r(i) UNION ALL SELECT 24817 + i, 17 + i, 'N' FROM range(0, 5) r(i) UNION ALL SELECT 24877 + i, 17 + i, 'S' FROM range(0, 6) r(i) UNION ALL VALUES (4326, NULL, NULL), (4674, NULL, NULL)),
+        asked AS (SELECT k AS id, CASE WHEN k % 4 = 0 THEN 32700 + k % 70 WHEN k % 8 = 1 THEN 4326 WHEN k % 8 = 5 THEN 31960 + k % 40 END AS epsg, CASE WHEN k % 3 <> 0 THEN k % 65 END AS zone,
+            CASE WHEN k % 5 <> 0 THEN CASE k % 7 WHEN 0 THEN 'south' WHEN 1 THEN 'N' WHEN 2 THEN ' sur' WHEN 3 THEN 'X' WHEN 4 THEN 'S' END END AS hemisphere, CASE k % 6 WHEN 1 THEN 'SIRGAS2000' WHEN 2 THEN 'PSAD56' WHEN 3 THEN 'NAD27' ELSE 'WGS84' END AS datum FROM (SELECT c_custkey AS k FROM customer)),
+        lettered AS (SELECT *, upper(trim(hemisphere)[1:1]) AS h FROM asked),
+        coded AS (SELECT *, coalesce(epsg, CASE WHEN datum = 'WGS84' AND h = 'N' THEN 32600 WHEN datum = 'WGS84' AND h = 'S' THEN 32700 WHEN datum = 'SIRGAS2000' AND h = 'S' THEN 31960 WHEN datum = 'PSAD56' AND h = 'S' THEN 24860 END + zone) AS code FROM lettered),
+        judged AS (SELECT c.id, c.code, CASE WHEN c.hemisphere IS NOT NULL AND c.h NOT IN ('N', 'S') THEN 'hemisphere' WHEN c.zone IS NOT NULL AND c.zone NOT BETWEEN 1 AND 60 THEN 'zone' WHEN c.epsg IS NULL AND (c.zone IS NULL OR c.h IS NULL) THEN 'missing'
+            WHEN c.code IS NULL THEN 'datum' WHEN k.code IS NULL THEN 'not_utm' WHEN k.zone <> c.zone THEN 'zone_mismatch' WHEN k.h <> c.h THEN 'hemisphere_mismatch' END AS error FROM coded c LEFT JOIN known k ON k.code = c.code)
+        SELECT id, CAST(CASE WHEN error IS NULL THEN code END AS INT) AS resolved_epsg, error FROM judged""",
     "tile_code_names": f"SELECT id, {label('lat0', 'N', 'S', 2)} || {label('lon0', 'E', 'W', 3)} AS code, {NAME} AS name, 'https://tiles.example/' || {NAME} || '/' || {NAME} || '.tif' AS url FROM {TILES}",
     "hack_radius": "SELECT c_custkey AS id, round(1.78e0 * pow(abs(c_acctbal) + 1, 0.49e0), 6) AS km, CASE WHEN (abs(c_acctbal) + 1) * 10 > 20000 THEN 90 ELSE 30 END AS metres FROM customer",
     "aoi_preliminary": f"SELECT id, method, round(m, 4) AS margin_m, round(least(x, coalesce(hx, x)) - m, 3) AS west, round(least(y, coalesce(hy, y)) - m, 3) AS south, round(greatest(x, coalesce(hx, x)) + m, 3) AS east, round(greatest(y, coalesce(hy, y)) + m, 3) AS north FROM {AOI}",
@@ -116,11 +120,11 @@ ORACLES = {
     "zone_suggestion": f"""SELECT c.c_custkey AS id, CAST(best AS INT) AS zone FROM customer c LEFT JOIN (SELECT id, arg_min(zone, abs(zone - own) * 100 + zone) AS best FROM {lonlat(f"(SELECT id, x, y, 15 + id % 4 AS own, zone FROM {P}, range(1, 61) z(zone) WHERE zone <> 15 + id % 4 AND abs(zone - 15 - id % 4) <= 3)", "zone", "id, own, zone")} t
         JOIN {CATALOGUE} k ON k.lat0 = floor(t.lat) AND k.lon0 = floor(t.lon) WHERE {PERU} GROUP BY id) b ON b.id = c.c_custkey""",
     "on_land": f"SELECT p.id, k.lat0 IS NOT NULL AS on_land FROM {lonlat(P)} p LEFT JOIN {CATALOGUE} k ON k.lat0 = floor(p.lat) AND k.lon0 = floor(p.lon)",
-    "region_lookup": f"""SELECT id, CASE WHEN id % 19 = 0 THEN 'sa' WHEN lon <= -32 AND lat < 5 THEN 'sa' WHEN n = 1 THEN one END AS region FROM (SELECT p.id, any_value(lon) AS lon, any_value(lat) AS lat, count(r.region) AS n, min(r.region) AS one FROM
+    "region_lookup": f"""SELECT id, CASE WHEN id % 19 = 0 THEN 'sa' WHEN lon <= -32 AND lat < 5 AND insa THEN 'sa' WHEN n = 1 THEN one END AS region FROM (SELECT p.id, any_value(lon) AS lon, any_value(lat) AS lat, count(r.region) AS n, min(r.region) AS one, bool_or(r.region = 'sa') AS insa FROM
         (SELECT c_custkey AS id, CAST(c_custkey * 37 % 360 - 180 AS DOUBLE) + 0.5e0 AS lon, CAST(c_custkey * 53 % 140 - 58 AS DOUBLE) + 0.5e0 AS lat FROM customer) p LEFT JOIN (VALUES {", ".join(map(str, REGIONS))}) r(region, w, s, e, n) ON lon BETWEEN w AND e AND lat BETWEEN s AND r.n GROUP BY p.id)""",
     "admin_cascade": "SELECT n_name, count(*) AS n, min(c_custkey) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3) GROUP BY n_name",
     "nearest_named": f"""SELECT id, b.place_id, b.name, round(b.d, 1) AS distance_m FROM (SELECT id, arg_min({{'place_id': place_id, 'name': name, 'd': d}}, (d, place_id)) AS b FROM (SELECT p.id, s.place_id, s.name, sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) AS d FROM {P} p,
-        (SELECT s_suppkey AS place_id, s_name AS name, CAST(300000 + s_suppkey * 6151 % 400000 AS DOUBLE) AS x, CAST(8600000 + s_suppkey * 92821 % 400000 AS DOUBLE) AS y FROM supplier) s) WHERE d <= 50000 GROUP BY id)""",
+        (SELECT s_suppkey AS place_id, s_name AS name, CAST(300000 + s_suppkey * 6151 % 400000 AS DOUBLE) AS x, CAST(8600000 + s_suppkey * 92821 % 400000 AS DOUBLE) AS y FROM supplier) s) GROUP BY id)""",
     "gazetteer_box": f"""SELECT geonameid, CASE class {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PLACE_CLASSES.items())} END AS kind, code = 'STM' AS watercourse FROM (SELECT s_suppkey AS geonameid, substr('PHTS', CAST(s_suppkey % 4 AS INT) + 1, 1) AS class, CASE s_suppkey % 3 WHEN 0 THEN 'STM' WHEN 1 THEN 'PPL' ELSE 'MT' END AS code,
         -82e0 + s_suppkey * 7 % 150 / 10e0 AS lon, -19e0 + s_suppkey * 3 % 200 / 10e0 AS lat FROM supplier) WHERE class <> 'S' AND lon BETWEEN -80 AND -70 AND lat BETWEEN -15 AND -2""",
     "points_in_ring": f"SELECT id FROM {P} WHERE {in_ring([(350000.5, 8650000.5), (650000.5, 8700000.5), (600000.5, 8950000.5), (500000.5, 8750000.5), (380000.5, 8900000.5)], 'x', 'y')}",

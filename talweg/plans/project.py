@@ -39,7 +39,7 @@ def analyse(request: DataFrame, params: Parameters = Parameters(), catalogue: Da
     if checked["error"]:
         raise InputError(checked["error"])
     aoi = tiles.to_lonlat(tiles.preliminary_aoi(request, params))
-    padded = tiles.to_lonlat(aoi.withColumn("ring", grown(params.relleno_tiles_m)))
+    padded = tiles.to_lonlat(aoi.withColumn("ring", geom.buffered(F.col("ring"), F.lit(params.relleno_tiles_m))))
     metres = aoi.select(tiles.dem_metres(geom.area(F.col("ring")) / 1e6, params).alias("m")).first()["m"]
     names, plans, failures = active_providers(params), {}, {}
     for name in names:
@@ -51,11 +51,6 @@ def analyse(request: DataFrame, params: Parameters = Parameters(), catalogue: Da
     return Plan(aoi, tiles.select(padded, catalogue), metres, names, failures, plans, [checked["warning"]] if checked["warning"] else [])
 
 
-def grown(margin: float):
-    b = geom.bounds(F.col("ring"))
-    return geom.box(b["west"] - margin, b["south"] - margin, b["east"] + margin, b["north"] + margin)
-
-
 def delineate_growing(read_cells: Callable[[tuple[float, float, float, float]], tuple[DataFrame, tuple[float, float], float]], box: tuple[float, float, float, float], outlet: tuple[float, float], headwater: tuple[float, float] | None = None, params: Parameters = Parameters()) -> tuple[hydro.Delineation, tuple[float, float, float, float], int]:
     """Delineates within a box (west, south, east, north) and enlarges it until the basin fits or the limit is reached.
 

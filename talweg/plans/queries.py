@@ -26,8 +26,8 @@ def utm_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def system_resolution(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     asked = table(spark, d, "customer").select(
-        k.alias("id"), F.when(k % 4 == 0, (32700 + k % 70).cast("int")).when(k % 4 == 1, F.lit(4326)).alias("epsg"), F.when(k % 3 != 0, (k % 65).cast("int")).alias("zone"),
-        F.when(k % 5 != 0, F.get(F.array(F.lit("south"), F.lit("N"), F.lit("sur")), (k % 3).cast("int"))).alias("hemisphere"), F.get(F.array(F.lit("WGS84"), F.lit("SIRGAS2000"), F.lit(None)), (k % 3).cast("int")).alias("datum"),
+        k.alias("id"), F.when(k % 4 == 0, (32700 + k % 70).cast("int")).when(k % 8 == 1, F.lit(4326)).when(k % 8 == 5, (31960 + k % 40).cast("int")).alias("epsg"), F.when(k % 3 != 0, (k % 65).cast("int")).alias("zone"),
+        F.when(k % 5 != 0, F.get(F.array(F.lit("south"), F.lit("N"), F.lit(" sur"), F.lit("X"), F.lit("S")), (k % 7).cast("int"))).alias("hemisphere"), F.get(F.array(F.lit("WGS84"), F.lit("SIRGAS 2000"), F.lit("psad-56"), F.lit("NAD27"), F.lit(None)), (k % 6).cast("int")).alias("datum"),
     )
     return crs.resolve_system(asked, utm_bases(spark)).select("id", "resolved_epsg", "error")
 

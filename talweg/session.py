@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,13 +17,13 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
 
 
 def checkpointed(df, eager: bool = True):
-    """`df` with its lineage cut by a reliable checkpoint in the folder that `spark.checkpoint.dir` names, or in one of our own where that is unset."""
+    """`df` with its lineage cut by a reliable checkpoint in the folder that `spark.checkpoint.dir` names, or in a local one where that is unset and all is one machine."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named:
-            import tempfile
-
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="talweg-")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager)
