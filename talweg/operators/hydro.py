@@ -1,15 +1,19 @@
 """Flow over an elevation grid kept as a cell table (row, col, z); a cell without a row is invalid.
 
-Filling and flow directions run as array kernels on square blocks that also get the cells around them. Filling has one
-fixpoint whatever the order, so blocks repeat with fresh borders until none changes. Accumulation, basins and channels
-follow pointers by doubling: a chain of n cells takes log2(n) rounds of joins, each cut from its lineage by a checkpoint.
+All work goes by square blocks. Filling has one fixpoint whatever the order: blocks are filled by themselves, and those whose
+neighbours changed at the border are filled again. Accumulation and basins are solved within blocks first; what is left
+are the cells where flow enters a block, a small table whose pointers are followed by doubling, and a last pass brings
+the answer back to all cells. Channels follow pointers by doubling: log2(length) rounds, each cut by a checkpoint.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import heapq
+import itertools
 import math
+import operator
 
 import numpy as np
 import pandas as pd
@@ -55,9 +59,10 @@ def seeds(cells: DataFrame, block: int = 256) -> DataFrame:
     return around(cells.select("row", "col"), block).groupBy("br", "bc").applyInPandas(kernel, "row int, col int")
 
 
-def fill(cells: DataFrame, block: int = 256, whole: bool = False, max_rounds: int = 1000) -> DataFrame:
+def fill(cells: DataFrame, block: int = 256, whole: bool = False) -> DataFrame:
     """`row, col, z, f`: depressions filled to their lowest way out, each step of the way up by the least amount: the next
-    double, or 1 with `whole` for elevations in integers."""
+    double, or 1 with `whole` for elevations in integers. Ends when no border changes, after as many rounds as the
+    longest way out crosses blocks."""
     kind = "long" if whole else "double"
     far = np.iinfo(np.int64).max if whole else np.inf
     up = (lambda v: v + 1) if whole else (lambda v: math.nextafter(v, math.inf))
@@ -66,100 +71,192 @@ def fill(cells: DataFrame, block: int = 256, whole: bool = False, max_rounds: in
         r, c = frame(pdf, block)
         own, z, old = pdf["own"].to_numpy(), pdf["z"].to_numpy(), pdf["f"].to_numpy()
         n = block + 4
-        at = {int(k): i for i, k in enumerate(r * n + c)}
-        steps = [dr * n + dc for dr, dc in NEIGHBOURS]
-        spots = (r * n + c).tolist()
-        f, zs, mine = old.tolist(), z.tolist(), own.tolist()
-        heap = []
-        for i, k in enumerate(spots):
-            if mine[i] and any(k + s not in at for s in steps):
-                f[i] = zs[i]
-            if f[i] != far:
-                heap.append((f[i], i))
+        there = np.zeros((n, n), bool)
+        there[r, c] = True
+        rim = own & ~np.logical_and.reduce([there[r + dr, c + dc] for dr, dc in NEIGHBOURS])
+        start = np.where(rim, z, old)
+        # all cells on one padded line; places without a cell, and those of other blocks, are never lowered
+        zs, f, mine = [far] * (n * n), [far] * (n * n), bytearray(n * n)
+        for k, zi, fi, o in zip((r * n + c).tolist(), z.tolist(), start.tolist(), own.tolist(), strict=True):
+            zs[k], f[k], mine[k] = zi, fi, o
+        heap = [(fi, k) for k, fi in zip((r * n + c).tolist(), start.tolist(), strict=True) if fi != far]
         heapq.heapify(heap)
+        steps = [dr * n + dc for dr, dc in NEIGHBOURS]
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            v, i = heapq.heappop(heap)
-            if v > f[i]:
+            v, k = pop(heap)
+            if v > f[k]:
                 continue
             step = up(v)
             for s in steps:
-                j = at.get(spots[i] + s)
-                if j is not None and mine[j]:
-                    new = max(zs[j], step)
+                j = k + s
+                if mine[j]:
+                    new = zs[j] if zs[j] > step else step
                     if new < f[j]:
                         f[j] = new
-                        heapq.heappush(heap, (new, j))
+                        push(heap, (new, j))
         out = pdf.loc[own, ["row", "col", "z"]].copy()
-        out["f"] = np.array(f, old.dtype)[own]
+        out["f"] = np.array([f[k] for k in (r * n + c)[own].tolist()], old.dtype)
         out["changed"] = out["f"].to_numpy() != old[own]
         return out
 
     state = cells.select("row", "col", F.col("z").cast(kind).alias("z")).withColumn("f", F.lit(int(far) if whole else float("inf")).cast(kind))
-    for _ in range(max_rounds):
-        done = checkpointed(around(state, block).groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
-        state = done.drop("changed")
-        if done.where("changed").limit(1).count() == 0:
+    woken = None
+    for rounds in itertools.count():
+        dealt = around(state, block)
+        dealt = dealt if woken is None else dealt.join(woken, ["br", "bc"], "left_semi")
+        done = checkpointed(dealt.groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
+        fresh = done.drop("changed")
+        state = fresh if woken is None else state.join(fresh.select("row", "col"), ["row", "col"], "left_anti").unionByName(fresh)
+        if woken is not None and rounds % 8 == 0:
+            state = checkpointed(state)
+        woken = checkpointed(around(done.where("changed").select("row", "col"), block).where("NOT own").select("br", "bc").distinct())
+        if woken.limit(1).count() == 0:
             return state
-    raise RuntimeError(f"filling: no end after {max_rounds} rounds")
+    raise AssertionError
 
 
 def directions(filled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = 256) -> DataFrame:
     """(row, col, f, node, down): down is the neighbour of the steepest descent, the first in order among equals, null without one."""
-    diagonal = math.hypot(dx, dy)
-    spans = [dy if dc == 0 else dx if dr == 0 else diagonal for dr, dc in NEIGHBOURS]
+    reach = np.array([math.hypot(dr * dy, dc * dx) for dr, dc in NEIGHBOURS])[:, None]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
         r, c = frame(pdf, block)
-        f = np.full((block + 4, block + 4), np.nan)
-        base = pdf["f"].min()
-        f[r, c] = pdf["f"] - base  # differences of whole elevations stay exact
-        best, down = np.zeros(len(pdf)), np.full(len(pdf), -1)
-        for k, ((dr, dc), span) in enumerate(zip(NEIGHBOURS, spans, strict=True)):
-            slope = (f[r, c] - f[r + dr, c + dc]) / span
-            better = np.nan_to_num(slope, nan=-1) > best
-            best[better], down[better] = slope[better], k
-        move = np.array([*NEIGHBOURS, (0, 0)])[down]
-        row, col = pdf["row"].to_numpy().astype(np.int64), pdf["col"].to_numpy().astype(np.int64)
-        target = pd.array((row + move[:, 0]) * ROW + col + move[:, 1], dtype="Int64")
-        target[down < 0] = pd.NA
-        out = pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "f": pdf["f"], "node": row * ROW + col, "down": target})
-        return out[pdf["own"].to_numpy()]
+        grid = np.full((block + 4, block + 4), np.nan)
+        grid[r, c] = pdf["f"] - pdf["f"].min()  # differences of whole elevations stay exact
+        mine = pdf["own"].to_numpy()
+        r, c, out = r[mine], c[mine], pdf.loc[mine, ["row", "col", "f"]].copy()
+        descent = (grid[r, c] - np.stack([grid[r + dr, c + dc] for dr, dc in NEIGHBOURS])) / reach
+        descent = np.where(np.isnan(descent), -np.inf, descent)
+        choice = descent.argmax(axis=0)
+        here = out["row"].to_numpy().astype(np.int64) * ROW + out["col"].to_numpy()
+        target = here + np.array([dr * ROW + dc for dr, dc in NEIGHBOURS])[choice]
+        out["node"] = here
+        out["down"] = pd.array(target, dtype="Int64").copy()
+        out.loc[descent.max(axis=0) <= 0, "down"] = pd.NA
+        return out
 
     kind = dict(filled.dtypes)["f"]
     return around(filled.select("row", "col", "f"), block).groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, f {kind}, node long, down long")
 
 
-def accumulation(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, down, acc): the cells that drain through each, itself included. A round doubles the reach of every pointer."""
-    state = edges.select("node", "down", F.col("down").alias("jump"), F.lit(1).cast("long").alias("acc"))
-    for _ in range(max_rounds):
+def in_block(node_: Column, block: int) -> Column:
+    """The block of a node, as one number."""
+    return F.floor(node_ / ROW / block).cast("long") * ROW + F.floor(F.pmod(node_, F.lit(ROW)) / block).cast("long")
+
+
+def linked(node_: np.ndarray, down: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """For the cells of a block in order of `node_`: the place of the cell below each, -1 where that is none of them; and whether there is any below."""
+    some = down.notna().to_numpy()
+    to = down.fillna(-1).to_numpy().astype(np.int64)
+    at = np.minimum(np.searchsorted(node_, to), len(node_) - 1)
+    return np.where(some & (node_[at] == to), at, -1), some
+
+
+def summed(below: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weights of all cells of a block that drain through each, itself included: level by level from the ridges down."""
+    total = weight.copy()
+    waiting = np.bincount(below[below >= 0], minlength=len(below))
+    front = np.flatnonzero(waiting == 0)
+    seen = 0
+    while len(front):
+        seen += len(front)
+        front = front[below[front] >= 0]
+        to = below[front]
+        np.add.at(total, to, total[front])
+        np.subtract.at(waiting, to, 1)
+        to = np.unique(to)
+        front = to[waiting[to] == 0]
+    if seen < len(below):
+        raise ValueError("the pointers have a cycle")
+    return total
+
+
+def last_of(below: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The last cell of each cell's way down within its block, or the first where `stop` holds."""
+    at = np.arange(len(below))
+    jump = np.where(stop | (below < 0), at, below)
+    for _ in range(len(below).bit_length() + 1):
+        ahead = jump[jump]
+        if (ahead == jump).all():
+            return jump
+        jump = ahead
+    raise ValueError("the pointers have a cycle")
+
+
+def accumulation(edges: DataFrame, block: int = 256) -> DataFrame:
+    """(node, down, acc): the cells that drain through each, itself included."""
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        below, _ = linked(pdf["node"].to_numpy(), pdf["down"])
+        acc = summed(below, np.ones(len(pdf), np.int64))
+        return pd.DataFrame({"node": pdf["node"], "down": pdf["down"].astype("Int64"), "acc": acc, "leaves": pdf["down"].astype("Int64")[last_of(below, np.zeros(len(pdf), bool))].to_numpy(), "_b": pdf["_b"]})
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        below, _ = linked(pdf["node"].to_numpy(), pdf["down"])
+        more = summed(below, pdf["more"].fillna(0).to_numpy().astype(np.int64))
+        return pd.DataFrame({"node": pdf["node"], "down": pdf["down"].astype("Int64"), "acc": pdf["acc"] + more})
+
+    keyed = edges.select("node", "down", in_block(F.col("node"), block).alias("_b"))
+    local = checkpointed(keyed.groupBy("_b").applyInPandas(first, "node long, down long, acc long, leaves long, _b long"))
+    entered = checkpointed(local.where(in_block(F.col("down"), block) != F.col("_b")).groupBy(F.col("down").alias("node")).agg(F.sum("acc").alias("weight")))
+    if entered.limit(1).count() == 0:
+        return local.select("node", "down", "acc")
+    between = entered.join(local.select("node", F.col("leaves").alias("down")), "node")
+    more = doubled_sums(between)
+    return local.join(more, "node", "left").select("node", "down", "acc", "more", "_b").groupBy("_b").applyInPandas(second, "node long, down long, acc long")
+
+
+def doubled_sums(edges: DataFrame) -> DataFrame:
+    """(node, more): the weights of all nodes whose pointers lead to each, itself included. A round doubles the reach of every
+    pointer; nodes that have reached an end leave the joins."""
+    state = edges.select("node", F.col("down").alias("jump"), F.col("weight").alias("more"))
+    while True:
         state = checkpointed(state)
-        if state.where("jump IS NOT NULL").limit(1).count() == 0:
-            return state.select("node", "down", "acc")
-        gained = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("node")).agg(F.sum("acc").alias("more"))
-        ahead = state.where("jump IS NOT NULL").select(F.col("node").alias("jump"), F.col("jump").alias("next"))
-        state = state.join(gained, "node", "left").join(ahead, "jump", "left").select("node", "down", F.col("next").alias("jump"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
-    raise RuntimeError("accumulation: the pointers have a cycle")
+        open_ = state.where("jump IS NOT NULL")
+        if open_.limit(1).count() == 0:
+            return state.select("node", "more")
+        gained = open_.groupBy(F.col("jump").alias("node")).agg(F.sum("more").alias("gain"))
+        ahead = open_.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
+        moved = open_.join(ahead, "jump", "left").select("node", F.col("next").alias("jump"), "more").unionByName(state.where("jump IS NULL"))
+        state = moved.join(gained, "node", "left").select("node", "jump", (F.col("more") + F.coalesce("gain", F.lit(0))).alias("more"))
 
 
-def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 60) -> DataFrame:
+def upstream(edges: DataFrame, outlets: DataFrame, block: int = 256) -> DataFrame:
     """(node, outlet): every cell that drains through an outlet (node), itself included; the first outlet on its way counts."""
-    marks = outlets.select(F.col("node").alias("outlet")).distinct()
-    state = edges.join(marks, edges["node"] == marks["outlet"], "left").select("node", F.when(F.col("outlet").isNull(), F.col("down")).alias("jump"), "outlet")
-    for _ in range(max_rounds):
-        state = checkpointed(state)
-        if state.where("jump IS NOT NULL").limit(1).count() == 0:
-            return state.where("outlet IS NOT NULL").select("node", "outlet")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        node_, stop = pdf["node"].to_numpy(), pdf["mark"].to_numpy().astype(bool)
+        below, _ = linked(node_, pdf["down"])
+        last = last_of(below, stop)
+        met = stop[last]
+        outlet, leaves = pd.array(node_[last], dtype="Int64"), pdf["down"].astype("Int64").array[last].copy()
+        outlet[~met], leaves[met] = pd.NA, pd.NA
+        return pd.DataFrame({"node": node_, "outlet": outlet, "leaves": leaves})
+
+    marks = outlets.select("node", F.lit(True).alias("mark")).distinct()
+    keyed = edges.select("node", "down").join(marks, "node", "left").select("node", "down", F.coalesce("mark", F.lit(False)).alias("mark"), in_block(F.col("node"), block).alias("_b"))
+    local = checkpointed(keyed.groupBy("_b").applyInPandas(run, "node long, outlet long, leaves long"))
+    here = local.where("outlet IS NOT NULL").select("node", "outlet")
+    leaving = local.where("leaves IS NOT NULL")
+    state = checkpointed(leaving.select(F.col("leaves").alias("node")).distinct().join(local, "node").select("node", F.col("leaves").alias("jump"), "outlet"))
+    while state.where("jump IS NOT NULL").limit(1).count():
+        open_ = state.where("jump IS NOT NULL")
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("outlet").alias("met"))
-        state = state.join(ahead, "jump", "left").select("node", F.when(F.col("met").isNull(), F.col("next")).alias("jump"), F.coalesce("outlet", "met").alias("outlet"))
-    raise RuntimeError("upstream: the pointers have a cycle")
+        state = checkpointed(open_.join(ahead, "jump", "left").select("node", F.col("next").alias("jump"), F.col("met").alias("outlet")).unionByName(state.where("jump IS NULL")))
+    entered = state.where("outlet IS NOT NULL").select(F.col("node").alias("leaves"), "outlet")
+    return here.unionByName(leaving.select("node", "leaves").join(entered, "leaves").select("node", "outlet"))
 
 
-def downstream(edges: DataFrame, start: DataFrame, max_rounds: int = 60) -> DataFrame:
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(start, node, step): the way down from each start (node), itself first."""
     path = start.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("step"))
     jumps = edges.where("down IS NOT NULL").select("node", F.col("down").alias("jump"))
-    for k in range(max_rounds):
+    for k in range(63):  # a grid has fewer cells than 2**63
         path, jumps = checkpointed(path), checkpointed(jumps)
         further = path.join(jumps, "node").select("start", F.col("jump").alias("node"), (F.col("step") + (1 << k)).alias("step"))
         if further.limit(1).count() == 0:
@@ -171,17 +268,24 @@ def downstream(edges: DataFrame, start: DataFrame, max_rounds: int = 60) -> Data
 
 
 def drains_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`pairs` (source, target) with drains: whether the way down from source meets target; a cell meets itself."""
+    """`pairs` (source, target) with drains: whether the way down from source meets target; a cell meets itself.
+
+    Pairs that ask about one target are answered by its basin; for several targets the ways down are joined.
+    """
+    targets = pairs.select("target").distinct().limit(2).collect()
+    if len(targets) == 1:
+        basin = upstream(edges, pairs.select(F.col("target").alias("node")).distinct()).select(F.col("node").alias("source"), F.lit(True).alias("_met"))
+        return pairs.join(basin, "source", "left").select(*pairs.columns, F.col("_met").isNotNull().alias("drains"))
     ways = downstream(edges, pairs.select(F.col("source").alias("node")).distinct()).select(F.col("start").alias("source"), F.col("node").alias("target"), F.lit(True).alias("_met"))
     return pairs.join(ways, ["source", "target"], "left").select(*pairs.columns, F.col("_met").isNotNull().alias("drains"))
 
 
-def main_channel(flow: DataFrame, outlet: int, threshold: int, max_rounds: int = 60) -> DataFrame:
+def main_channel(flow: DataFrame, outlet: int, threshold: int) -> DataFrame:
     """(node, step): the channel from an outlet up, each time to the child of most accumulation (the lowest number among
     equals) while that reaches the threshold. `flow` has node, down, acc."""
     child = flow.where("down IS NOT NULL").groupBy("down").agg(F.max_by(F.struct("node", "acc"), F.struct("acc", -F.col("node"))).alias("c")).where(F.col("c.acc") >= threshold)
     state = child.select(F.col("c.node").alias("node"), F.col("down").alias("jump"), F.lit(1).cast("long").alias("step"))
-    for _ in range(max_rounds):
+    for _ in range(64):
         state = checkpointed(state)
         open_ = state.where(F.col("jump") != outlet)
         if open_.limit(1).count() == 0:
@@ -260,43 +364,80 @@ class Delineation:
     mask: DataFrame
     channel: DataFrame
     warnings: list[str]
+    origin: tuple[float, float] = (0.0, 0.0)
+    cell: float = 1.0
 
     @property
     def truncated(self) -> bool:
         return self.edge_cells > 0
 
+    def polygon(self) -> list[tuple[float, float]]:
+        """The basin's outline in the grid's coordinates."""
+        return [(self.origin[0] + c * self.cell, self.origin[1] - r * self.cell) for c, r in ring(self.mask)]
+
+    def channel_points(self) -> DataFrame:
+        """(step, x, y): the main channel's cell centres from the outlet up."""
+        r, c = F.floor(F.col("node") / ROW), F.pmod("node", F.lit(ROW))
+        return self.channel.select("step", (self.origin[0] + (c + 0.5) * self.cell).alias("x"), (self.origin[1] - (r + 0.5) * self.cell).alias("y"))
+
+
+@dataclasses.dataclass(frozen=True)
+class Grid:
+    """Where cells lie: the north-west corner and the size of a cell, rows going south."""
+
+    origin: tuple[float, float]
+    cell: float
+
+    def place(self, point: tuple[float, float]) -> tuple[int, int]:
+        return math.floor((self.origin[1] - point[1]) / self.cell), math.floor((point[0] - self.origin[0]) / self.cell)
+
+    def centre(self, row: int, col: int) -> tuple[float, float]:
+        return self.origin[0] + (col + 0.5) * self.cell, self.origin[1] - (row + 0.5) * self.cell
+
+
+#: What a delineation may warn of, by name, in the order of its report.
+NOTES = {
+    "fallback": "no channel in reach of the outlet: the cell of most accumulation was taken",
+    "outside": "the headwater is outside the grid",
+    "apart": "the headwater does not drain to the outlet",
+    "low": "the headwater is not above the outlet",
+}
+
+
+def met_on_the_way(arrows: DataFrame, start: int, candidates: list) -> object | None:
+    """The most preferred candidate cell that the way down from `start` meets."""
+    spark = arrows.sparkSession
+    asked = spark.createDataFrame([(start, c["node"]) for c in candidates], "source long, target long")
+    met = {r["target"] for r in drains_to(arrows, asked).where("drains").collect()}
+    return next((c for c in candidates if c["node"] in met), None)
+
 
 def delineate(cells: DataFrame, origin: tuple[float, float], cell: float, outlet: tuple[float, float], headwater: tuple[float, float] | None = None, channel_km2: float = 0.1, snap_m: float = 150.0, block: int = 256) -> Delineation:
     """The basin that drains through an outlet (x, y) over a grid whose north-west corner is `origin`, rows going south."""
-    place = lambda x, y: (math.floor((origin[1] - y) / cell), math.floor((x - origin[0]) / cell))
-    r0, c0 = place(*outlet)
-    at = lambda r, c: (F.col("row") == r) & (F.col("col") == c)
-    if cells.where(at(r0, c0)).limit(1).count() == 0:
+    grid, notes = Grid(origin, cell), set()
+    spots = {"outlet": grid.place(outlet)} | ({"headwater": grid.place(headwater)} if headwater else {})
+    wanted = [(F.col("row") == r) & (F.col("col") == c) for r, c in spots.values()]
+    heights = {(r["row"], r["col"]): r["z"] for r in cells.where(functools.reduce(operator.or_, wanted)).collect()}
+    if spots["outlet"] not in heights:
         raise ValueError("the outlet is outside the grid or on a cell without data")
-    filled = fill(cells, block)
-    arrows = checkpointed(directions(filled, cell, cell, block))
-    flow = checkpointed(accumulation(arrows).join(arrows.select("node", "row", "col"), "node"))
-    threshold, warnings = max(2, round(channel_km2 * 1e6 / cell**2)), []
-    near = snap_candidates(flow, r0, c0, threshold, snap_m, cell, cell).orderBy("place").collect()
-    if near[0]["fallback"]:
-        warnings.append("no channel in reach of the outlet: the cell of most accumulation was taken")
-    chosen, drains, head_z = near[0], None, None
-    if headwater is not None:
-        r, c = place(*headwater)
-        head = cells.where(at(r, c)).first()
-        if head is None:
-            warnings.append("the headwater is outside the grid")
-        else:
-            way = {x["node"] for x in downstream(arrows, arrows.where(at(r, c)).select("node")).join(F.broadcast(flow.sparkSession.createDataFrame([(n["node"],) for n in near], "node long")), "node", "left_semi").collect()}
-            met = next((n for n in near if n["node"] in way), None)
-            drains, head_z, chosen = met is not None, head["z"], met or chosen
-            if not drains:
-                warnings.append("the headwater does not drain to the outlet")
-    mask = checkpointed(upstream(arrows, flow.where(F.col("node") == chosen["node"]).select("node")).join(arrows.select("node", "row", "col"), "node").select("node", "row", "col"))
-    edge = mask.join(seeds(cells, block), ["row", "col"], "left_semi").count()
-    outlet_z = cells.where(at(chosen["row"], chosen["col"])).first()["z"]
-    if drains and head_z <= outlet_z:
-        warnings.append("the headwater is not above the outlet")
-    centre = (origin[0] + (chosen["col"] + 0.5) * cell, origin[1] - (chosen["row"] + 0.5) * cell)
-    shift = math.hypot(centre[0] - outlet[0], centre[1] - outlet[1])
-    return Delineation((chosen["row"], chosen["col"]), shift, mask.count() * cell**2 / 1e6, edge, drains, float(outlet_z), mask, main_channel(flow, chosen["node"], threshold), warnings)
+    arrows = checkpointed(directions(fill(cells, block), cell, cell, block))
+    flow = checkpointed(accumulation(arrows, block).join(arrows.select("node", "row", "col"), "node"))
+    threshold = max(2, round(channel_km2 * 1e6 / cell**2))
+    near = snap_candidates(flow, *spots["outlet"], threshold, snap_m, cell, cell).orderBy("place").collect()
+    notes |= {"fallback"} if near[0]["fallback"] else set()
+    chosen, drains = near[0], None
+    if headwater and spots["headwater"] not in heights:
+        notes.add("outside")
+    elif headwater:
+        r, c = spots["headwater"]
+        found = met_on_the_way(arrows, r * ROW + c, near)
+        drains, chosen = found is not None, found or chosen
+    here = (chosen["row"], chosen["col"])
+    z = heights[here] if here in heights else cells.where((F.col("row") == here[0]) & (F.col("col") == here[1])).first()["z"]
+    notes |= {"apart"} if drains is False else {"low"} if drains and heights[spots["headwater"]] <= z else set()
+    basin = upstream(arrows, flow.where(F.col("node") == chosen["node"]).select("node"), block)
+    mask = checkpointed(basin.join(arrows.select("node", "row", "col"), "node").select("node", "row", "col"))
+    return Delineation(
+        here, math.dist(grid.centre(*here), outlet), mask.count() * cell**2 / 1e6, mask.join(seeds(cells, block), ["row", "col"], "left_semi").count(), drains, float(z), mask,
+        main_channel(flow, chosen["node"], threshold), [text for name, text in NOTES.items() if name in notes], origin, cell,
+    )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIDE, UNIT = 40, 1048576
+UNIT = 1048576
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,16 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return lat.select(F.col("lat0").cast("int").alias("lat0"), lon).where((F.col("lat0") * 31 + F.col("lon0")) % 5 != 0)
 
 
+def side(rows: int) -> int:
+    """The side of the grid of a table: about ten rows for each cell, 40 at least."""
+    return max(40, math.isqrt(rows // 10) // 8 * 8)
+
+
 def dem(spark: SparkSession, sf_dir: str, unit: int = UNIT) -> DataFrame:
-    """(row, col, z): a square grid of whole elevations; places without a row are holes."""
+    """(row, col, z): a square grid of whole elevations that grows with the table; places without a row are holes."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col")).agg((F.min(F.round("l_extendedprice").cast("long")) * unit).alias("z"))
+    width = side(li.count())
+    return li.groupBy((F.col("l_orderkey") % width).cast("int").alias("row"), (F.col("l_partkey") % width).cast("int").alias("col")).agg((F.min(F.round("l_extendedprice").cast("long")) * unit).alias("z"))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

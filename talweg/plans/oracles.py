@@ -70,7 +70,8 @@ RANK = "row_number() OVER (PARTITION BY request ORDER BY complete DESC, per_mill
 USABLE = f"""(SELECT * REPLACE (row_number() OVER (PARTITION BY request ORDER BY scene_cloud, scene) AS place) FROM
     (SELECT *, max(CAST(complete AS INT)) OVER (PARTITION BY request) AS anyfull FROM {SCENES} WHERE scene_cloud < 30) WHERE anyfull = 0 OR complete QUALIFY place <= 5)"""
 
-DEM = "dem AS (SELECT CAST(l_orderkey % 40 AS INT) AS row, CAST(l_partkey % 40 AS INT) AS col, min(CAST(round(l_extendedprice) AS BIGINT)) * {} AS z FROM lineitem GROUP BY 1, 2)"
+WIDTH = "(SELECT greatest(40, CAST(floor(sqrt(count(*) // 10)) AS BIGINT) // 8 * 8) FROM lineitem)"
+DEM = f"dem AS (SELECT CAST(l_orderkey % {WIDTH} AS INT) AS row, CAST(l_partkey % {WIDTH} AS INT) AS col, min(CAST(round(l_extendedprice) AS BIGINT)) * {{}} AS z FROM lineitem GROUP BY 1, 2)"
 NB = "nb(k, dr, dc) AS (VALUES " + ", ".join(f"({k}, {r}, {c})" for k, (r, c) in enumerate(NEIGHBOURS)) + ")"
 SEEDS = "seed AS (SELECT d.row, d.col, any_value(d.z) AS z FROM dem d CROSS JOIN nb LEFT JOIN dem o ON o.row = d.row + dr AND o.col = d.col + dc GROUP BY d.row, d.col HAVING count(o.row) < 8)"
 FILL = """f(row, col, v) USING KEY (row, col) AS (SELECT row, col, z FROM seed UNION
@@ -145,7 +146,7 @@ ORACLES = {
     "d8_int": f"{GRID}, {D8} SELECT row, col, down FROM edge",
     "flow_accumulation": f"{FLOW} SELECT row, col, acc FROM flow",
     "upstream_basin": f"{FLOW} SELECT w.node FROM way w JOIN outlet o ON w.spot = o.node",
-    "drains_to": f"{FLOW} SELECT s.node AS source, o.node AS target, EXISTS (SELECT 1 FROM way w WHERE w.node = s.node AND w.spot = o.node) AS drains FROM flow s, outlet o WHERE s.row * s.col % 7 = 0",
+    "drains_to": f"{FLOW} SELECT s.node AS source, o.node AS target, EXISTS (SELECT 1 FROM way w WHERE w.node = s.node AND w.spot = o.node) AS drains FROM flow s, outlet o ",
     "main_channel": f"{FLOW}, best AS (SELECT down, node FROM flow WHERE down IS NOT NULL QUALIFY row_number() OVER (PARTITION BY down ORDER BY acc DESC, node) = 1), up(node, step) AS (SELECT node, CAST(0 AS BIGINT) FROM outlet UNION ALL SELECT b.node, step + 1 FROM up JOIN best b ON b.down = up.node JOIN flow g ON g.node = b.node WHERE g.acc >= 5) SELECT node, step FROM up",
     "snap_outlet": f"{FLOW} SELECT row_number() OVER (ORDER BY d, acc DESC, row, col) AS place, row, col, acc, round(d, 6) AS distance_m FROM (SELECT *, sqrt(CAST((row - 20) * (row - 20) + (col - 20) * (col - 20) AS DOUBLE)) AS d FROM flow) WHERE acc >= 5 AND d <= 6",
     "mask_dilation": f"WITH {DEM.format(1)} SELECT DISTINCT d.row + dr AS row, d.col + dc AS col FROM dem d, range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE z < 1200 AND dr * dr + dc * dc <= 4",

@@ -34,7 +34,7 @@ def test_projection_of_a_known_place(spark):
 def test_systems(spark):
     rows = [(None, 18, "S", "WGS84"), (None, 18, "south", "PSAD56"), (32718, 17, None, None), (4326, None, None, None), (3857, None, None, None), (None, 99, "S", None)]
     got = [(r["resolved_epsg"], r["error"]) for r in crs.resolve_system(spark.createDataFrame(rows, "epsg int, zone int, hemisphere string, datum string").coalesce(1), utm_bases(spark)).collect()]
-    assert sorted(got, key=str) == sorted([(32718, None), (None, "datum"), (None, "zone_mismatch"), (4326, None), (None, "not_utm"), (None, "zone")], key=str)
+    assert sorted(got, key=str) == sorted([(32718, None), (24878, None), (None, "zone_mismatch"), (4326, None), (None, "not_utm"), (None, "zone")], key=str)
 
 
 def test_point_checks(spark):
@@ -151,7 +151,7 @@ def test_layers(spark):
     kept = layers.cascade([(top, "a", None), (low, "b", "a_of")], spark.createDataFrame([(2,)], "k int"))
     assert [x.collect()[0][0] for x in kept] == [2, 20]
     places = spark.createDataFrame([(1, "near", 10.0, 0.0), (2, "far", 30.0, 0.0), (3, "tie", -10.0, 0.0)], "place_id long, name string, x double, y double")
-    assert layers.nearest(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), places, reach=50.0, cell=20.0).first()["name"] == "near"
+    assert layers.nearest(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), places, cell=20.0).first()["name"] == "near"
     e = spark.createDataFrame([("way", 1, '{"waterway":"river","name":"R"}', [(0.0, 0.0), (2.0, 2.0)]), ("way", 2, '{"waterway":"river"}', [(0.0, 0.0)]), ("node", 3, '{"place":"town"}', None)], "kind string, osm_id long, tags string, line array<struct<x:double,y:double>>")
     water, towns = layers.map_features(e)
     assert [(r["osm_id"], r["name"]) for r in water.collect()] == [(1, "R")] and towns.first()["name"] == ""
@@ -214,3 +214,81 @@ def test_http(spark):
     server.shutdown()
     assert got == {f"{base}/good": ("downloaded", 4), f"{base}/none": ("failed", None)}
     assert web.first_answer(["a", "b"], "q", ask=lambda m, d: {"m": m} if m == "b" else (_ for _ in ()).throw(OSError("x"))) == {"m": "b"}
+
+
+def test_flow_in_blocks_equals_plain_walks(spark):
+    r = random.Random(6)
+    z = {(i, j): float(r.randint(0, 30)) for i in range(30) for j in range(30) if r.random() > 0.04}
+    cells = spark.createDataFrame([(*k, v) for k, v in z.items()], "row int, col int, z double")
+    f = heap_fill(z)
+    down = {}
+    for (i, j), v in f.items():
+        best = max(((v - f[i + a, j + b]) / math.hypot(a, b), -k, (i + a, j + b)) for k, (a, b) in enumerate(hydro.NEIGHBOURS) if (i + a, j + b) in f) if any((i + a, j + b) in f for a, b in hydro.NEIGHBOURS) else (0, 0, None)
+        down[i, j] = best[2] if best[0] > 0 else None
+    ways = {}
+    for k in f:
+        ways[k], at = [k], down[k]
+        while at is not None:
+            ways[k].append(at)
+            at = down[at]
+    number = lambda k: k[0] * hydro.ROW + k[1]
+    for block in (7, 64):
+        arrows = hydro.directions(hydro.fill(cells, block), block=block).persist()
+        assert {r["node"]: r["down"] for r in arrows.collect()} == {number(k): v and number(v) for k, v in down.items()}
+        acc = {r["node"]: r["acc"] for r in hydro.accumulation(arrows, block).collect()}
+        assert acc == {number(k): sum(k in w for w in ways.values()) for k in f}
+        outlets = sorted(f, key=lambda k: (-acc[number(k)], k))[:6]
+        got = {r["node"]: r["outlet"] for r in hydro.upstream(arrows, spark.createDataFrame([(number(k),) for k in outlets], "node long"), block).collect()}
+        assert got == {number(k): number(next(c for c in w if c in outlets)) for k, w in ways.items() if any(c in outlets for c in w)}
+
+
+def test_pointers_with_a_cycle_fail(spark):
+    with pytest.raises(Exception, match="cycle"):
+        hydro.accumulation(spark.createDataFrame([(0, 1), (1, 0)], "node long, down long")).count()
+
+
+def test_systems_by_rule(spark):
+    rows = [(None, 17, "S", "SIRGAS 2000"), (31977, 17, "sur", None), (4326, 99, None, None), (4326, None, "X", None), (4674, 18, "S", None), (None, 18, "N", "SIRGAS2000"), (24878, None, None, None), (31970, 16, "N", None)]
+    got = [(r["resolved_epsg"], r["error"]) for r in crs.resolve_system(spark.createDataFrame(rows, "epsg int, zone int, hemisphere string, datum string").coalesce(1), utm_bases(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(31977, None), (31977, None), (None, "zone"), (None, "hemisphere"), (4674, None), (None, "datum"), (24878, None), (31970, None)], key=str)
+    old, new = (one(spark, crs.to_lonlat(F.lit(OUTLET[0]), F.lit(OUTLET[1]), F.lit(e))) for e in (24878, 32718))
+    away = math.hypot((old["lon"] - new["lon"]) * 109_300, (old["lat"] - new["lat"]) * 110_600)
+    assert 350 < away < 520 and old["lat"] < new["lat"]
+
+
+def test_regions_need_their_box(spark):
+    assert [one(spark, validate.river_region(F.lit(x), F.lit(y))) for x, y in ((-150.0, -40.0), (-100.0, 0.0), (-75.0, -11.0), (-80.0, 10.0))] == [None, None, "sa", None]
+
+
+def test_nearest_of_far_and_lonely_points(spark):
+    r = random.Random(8)
+    places = [(i, f"p{i}", r.uniform(0, 1e5), r.uniform(0, 1e5)) for i in range(60)]
+    points = [(i, r.uniform(-2e5, 3e5), r.uniform(-2e5, 3e5)) for i in range(80)] + [(900, 5e7, 0.0), (901, float("nan"), 1.0)]
+    got = {x["id"]: x["place_id"] for x in layers.nearest(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(places, "place_id long, name string, x double, y double"), cell=500.0).collect()}
+    assert got == {i: min(places, key=lambda p: (math.hypot(p[2] - x, p[3] - y), p[0]))[0] for i, x, y in points if i != 901}
+    assert layers.nearest(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame([], "place_id long, name string, x double, y double")).count() == 0
+
+
+def test_growth_and_contact(spark):
+    square = geom.box(*[F.lit(float(v)) for v in (0, 0, 10, 10)])
+    round_, mitre = one(spark, geom.area(geom.buffered(square, F.lit(2.0), 64))), one(spark, geom.buffered(square, F.lit(2.0), mitre=True))
+    assert abs(round_ - (100 + 80 + 4 * math.pi)) < 1e-2 and {(p["x"], p["y"]) for p in mitre} == {(-2, -2), (12, -2), (12, 12), (-2, 12)}
+    circle = geom.circle(F.lit(0.0), F.lit(0.0), F.lit(5.0))
+    assert abs(one(spark, geom.area(tiles.enlarged(circle, 1.6))) / one(spark, geom.area(circle)) - 2.56) < 0.01
+    along = geom.box(*[F.lit(float(v)) for v in (-1, 10, 11, 20)])
+    assert [one(spark, geom.edge_meets(r, *[F.lit(float(v)) for v in (0, 0, 10, 10)])) for r in (along, geom.box(*[F.lit(float(v)) for v in (-1, 10.1, 11, 20)]))] == [True, False]
+    r = random.Random(3)
+    for _ in range(5):
+        pts = [(r.uniform(-3, 3), r.uniform(-3, 3)) for _ in range(3)]
+        ring = F.array(*[geom.point(*p) for p in pts])
+        w, s = r.uniform(-2, 0), r.uniform(-2, 0)
+        side = [F.lit(v) for v in (w, s, w + 2.5, s + 2.0)]
+        assert abs(one(spark, geom.overlap_area(ring, *side)) - one(spark, geom.area(geom.clip_to_box(ring, *side)))) < 1e-12
+
+
+def test_plan_of_a_corridor_leaves_out_the_corner_tile(spark):
+    """The area is padded as it is, not by its rectangle."""
+    a = spark.range(1).select("id", F.lit(32718).alias("epsg"), geom.capsule(*[F.lit(float(v)) for v in (401_000, 8_717_000, 564_000, 8_883_000)], F.lit(9_000.0)).alias("ring"))
+    padded = tiles.to_lonlat(a.withColumn("ring", geom.buffered(F.col("ring"), F.lit(100.0))))
+    got = {(x["lat0"], x["lon0"]): x["status"] for x in tiles.select(padded).collect()}
+    assert len(got) == 4 and sum(s == "needed" for s in got.values()) == 3
