@@ -79,7 +79,9 @@ def fill(cells: DataFrame, block: int = 256, whole: bool = False) -> DataFrame:
         zs, f, mine = [far] * (n * n), [far] * (n * n), bytearray(n * n)
         for k, zi, fi, o in zip((r * n + c).tolist(), z.tolist(), start.tolist(), own.tolist(), strict=True):
             zs[k], f[k], mine[k] = zi, fi, o
-        heap = [(fi, k) for k, fi in zip((r * n + c).tolist(), start.tolist(), strict=True) if fi != far]
+        # the block's own cells have settled among themselves before: only its first rim and what neighbours bring can lower any
+        bring = (start != far) & (~own | (rim & (old == far)))
+        heap = list(zip(start[bring].tolist(), (r * n + c)[bring].tolist(), strict=True))
         heapq.heapify(heap)
         steps = [dr * n + dc for dr, dc in NEIGHBOURS]
         pop, push = heapq.heappop, heapq.heappush
