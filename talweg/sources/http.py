@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+#: Some servers answer 406 to a request without one.
+AGENT = "talweg/0.2 (Spark data source)"
 SCHEMA = "url string, content binary, bytes long, sha256 string, state string, error string"
 
 
@@ -23,7 +25,7 @@ def fetch(url: str, expected: int | None = None, attempts: int = 3, pause: float
     body = bytearray()
     for attempt in range(1, attempts + 1):
         try:
-            request = urllib.request.Request(url, headers={"Range": f"bytes={len(body)}-"} if body else {})
+            request = urllib.request.Request(url, headers={"User-Agent": AGENT} | ({"Range": f"bytes={len(body)}-"} if body else {}))
             with urllib.request.urlopen(request, timeout=60) as answer:
                 if body and answer.status != 206:
                     body.clear()
@@ -34,8 +36,10 @@ def fetch(url: str, expected: int | None = None, attempts: int = 3, pause: float
                 raise OSError("the body is empty or of another size")
             return bytes(body)
         except urllib.error.HTTPError as e:
-            if e.code == 416 and body:
+            if e.code == 416 and body and expected in (None, len(body)):
                 return bytes(body)
+            if e.code == 416:
+                body.clear()
             if e.code == 404 or attempt == attempts:
                 raise
         except OSError:
@@ -90,7 +94,7 @@ def head(urls: DataFrame) -> DataFrame:
             rows = []
             for url in b.column("url").to_pylist():
                 try:
-                    with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=30) as a:
+                    with urllib.request.urlopen(urllib.request.Request(url, method="HEAD", headers={"User-Agent": AGENT}), timeout=30) as a:
                         n = a.headers.get("Content-Length")
                         rows.append((url, int(n) if a.status == 200 and n else None, a.status == 200))
                 except (OSError, ValueError):
@@ -104,7 +108,7 @@ def post(url: str, data: str | dict, timeout: float = 60.0) -> dict:
     """A JSON answer: text goes as the form field `data`, a dict as a JSON body."""
     body = urllib.parse.urlencode({"data": data}).encode() if isinstance(data, str) else json.dumps(data).encode()
     kind = "application/x-www-form-urlencoded" if isinstance(data, str) else "application/json"
-    with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": kind}), timeout=timeout) as answer:
+    with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": kind, "User-Agent": AGENT}), timeout=timeout) as answer:
         return json.loads(answer.read())
 
 
