@@ -195,7 +195,7 @@ class Forest:
         return functools.reduce(lambda a, b: a + b, [t.expression(f) for t in self.trees]) / len(self.trees)
 
 
-def fit(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), trees: int = 25, depth: int = 7, max_findings: int = 20_000, seed: int = 3) -> Forest:
+def fit(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), trees: int = 15, depth: int = 6, max_findings: int = 20_000, seed: int = 3) -> Forest:
     """A forest from labelled findings (word, before_2, before_1, after, label); at most `max_findings` of them are taken."""
     word = F.coalesce("word", F.lit(""))
     run = F.coalesce(F.get(runs_of(word, F.coalesce("before_2", F.lit("")), F.coalesce("before_1", F.lit(""))), 0), F.lit(""))
