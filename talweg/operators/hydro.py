@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schemas import NEIGHBOURS
-from ..session import checkpointed
+from ..session import checkpointed, ship
 
 ROW = 1 << 32
 
@@ -35,6 +35,7 @@ def node(row: Column | str = "row", col: Column | str = "col") -> Column:
 
 def around(cells: DataFrame, block: int) -> DataFrame:
     """Every cell in its block, and again in each block that it borders: columns br, bc and own."""
+    ship(cells.sparkSession)  # the blocks go to Python workers
     size = F.lit(block)
     targets = F.array_distinct(F.array(*[F.struct(F.floor((F.col("row") + r) / size).cast("int").alias("br"), F.floor((F.col("col") + c) / size).cast("int").alias("bc")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
     dealt = cells.select(*cells.columns, F.explode(targets).alias("_b"))
@@ -202,6 +203,7 @@ def accumulation(edges: DataFrame, block: int = 256) -> DataFrame:
         more = summed(below, pdf["more"].fillna(0).to_numpy().astype(np.int64))
         return pd.DataFrame({"node": pdf["node"], "down": pdf["down"].astype("Int64"), "acc": pdf["acc"] + more})
 
+    ship(edges.sparkSession)
     keyed = edges.select("node", "down", in_block(F.col("node"), block).alias("_b"))
     local = checkpointed(keyed.groupBy("_b").applyInPandas(first, "node long, down long, acc long, leaves long, _b long"))
     entered = checkpointed(local.where(in_block(F.col("down"), block) != F.col("_b")).groupBy(F.col("down").alias("node")).agg(F.sum("acc").alias("weight")))
@@ -241,6 +243,7 @@ def upstream(edges: DataFrame, outlets: DataFrame, block: int = 256) -> DataFram
         return pd.DataFrame({"node": node_, "outlet": outlet, "leaves": leaves})
 
     marks = outlets.select("node", F.lit(True).alias("mark")).distinct()
+    ship(edges.sparkSession)
     keyed = edges.select("node", "down").join(marks, "node", "left").select("node", "down", F.coalesce("mark", F.lit(False)).alias("mark"), in_block(F.col("node"), block).alias("_b"))
     local = checkpointed(keyed.groupBy("_b").applyInPandas(run, "node long, outlet long, leaves long"))
     here = local.where("outlet IS NOT NULL").select("node", "outlet")

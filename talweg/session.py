@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever they run: Spark sends them a ZIP of its modules, once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        path = os.path.join(tempfile.mkdtemp(prefix="talweg-"), "talweg_package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(PACKAGE):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(PACKAGE)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName("talweg")
     settings = {

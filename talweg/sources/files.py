@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 GAZETTEER = "geonameid long, name string, asciiname string, alternatenames string, lat double, lon double, class string, code string, country string, cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population long, elevation int, dem int, timezone string, modified string"
 
 
-def archive_members(spark: SparkSession, path: str, pattern: str = ".*", only_first: bool = False) -> DataFrame:
-    """(archive, member, content) of the ZIP files at `path` whose member names match, without regard to case; a broken archive gives none."""
+def archive_members(spark: SparkSession, path: str, pattern: str = ".*", only_first: bool = False, skip_broken: bool = False) -> DataFrame:
+    """(archive, member, content) of the ZIP files at `path` whose member names match, without regard to case.
+
+    A broken archive is an error that names it, so that it can be fetched again; with `skip_broken` it gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(pattern, re.IGNORECASE)
@@ -28,11 +33,12 @@ def archive_members(spark: SparkSession, path: str, pattern: str = ".*", only_fi
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
                         names = [n for n in z.namelist() if wanted.search(n)]
                         rows += [(where, n, z.read(n)) for n in (names[:1] if only_first else names)]
-                except zipfile.BadZipFile:
-                    continue
+                except zipfile.BadZipFile as e:
+                    if not skip_broken:
+                        raise zipfile.BadZipFile(f"{where}: {e}") from e
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
+    return ship(spark).read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 #: Some servers answer 406 to a request without one.
 AGENT = "talweg/0.2 (Spark data source)"
 SCHEMA = "url string, content binary, bytes long, sha256 string, state string, error string"
@@ -101,6 +103,7 @@ def head(urls: DataFrame) -> DataFrame:
                     rows.append((url, None, False))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["url", "bytes", "exists"])
 
+    ship(urls.sparkSession)
     return urls.select("url").mapInArrow(run, "url string, bytes long, exists boolean")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import checkpointed, ship
 from .http import AGENT
 
 # TIFF field types and tags.
@@ -180,7 +181,7 @@ class TiffSource(DataSource):
 
 def read(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """The valid cells of files within a box in their own coordinates."""
-    spark.dataSource.register(TiffSource)
+    ship(spark).dataSource.register(TiffSource)
     asked = spark.read.format("geotiff").option("paths", json.dumps(paths))
     return (asked.option("box", json.dumps(list(box))) if box else asked).load()
 
@@ -219,7 +220,7 @@ def write(cells: DataFrame, path: str, width: int, height: int, x0: float, y1: f
     """
     across, down = -(-width // tile), -(-height // tile)
     form = np.dtype(kind)
-    spark = cells.sparkSession
+    spark = ship(cells.sparkSession)
 
     def pack(z: np.ndarray) -> bytes:
         if not colours:
@@ -235,8 +236,6 @@ def write(cells: DataFrame, path: str, width: int, height: int, x0: float, y1: f
 
     inside = cells.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("row", "col", F.col("z").cast("double").alias("z"))
     number = F.floor(F.col("row") / tile) * across + F.floor(F.col("col") / tile)
-    from ..session import checkpointed
-
     full = checkpointed(inside.withColumn("tile", number).groupBy("tile").applyInArrow(lambda t: packed(t), "tile long, data binary"))
     sizes = dict(full.select("tile", F.octet_length("data")).collect())  # a number for each tile of 65,536 cells
     blank = pack(np.full((tile, tile), nodata, form))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import ship
 from .files import short_names
 from .rasters import read_range
 
@@ -261,7 +262,7 @@ class PackageSource(DataSource):
 def read(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, layer: str | None = None) -> DataFrame:
     """A layer by its file name: .gpkg, .shp or .zip."""
     source = PackageSource if path.lower().endswith(".gpkg") else ShapeSource
-    spark.dataSource.register(source)
+    ship(spark).dataSource.register(source)
     options = {"box": json.dumps(list(box))} if box else {}
     options |= ({"columns": json.dumps(columns)} if columns is not None else {}) | ({"layer": layer} if layer else {})
     return spark.read.format(source.name()).options(**options).load(path)
@@ -294,6 +295,7 @@ def write(df: DataFrame, path: str, epsg: int, kind: str = "gpkg", layer: str |
         finally:
             shutil.rmtree(folder)
 
+    ship(df.sparkSession)
     n = sum(r["n"] for r in ordered.coalesce(1).mapInArrow(run, "n long").collect())
     return (path if n else None), n
 
