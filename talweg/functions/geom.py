@@ -217,3 +217,64 @@ def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, ring: Column) -
     lo = F.greatest(F.lit(0.0), F.array_max(F.transform(limits, lambda v: v["lo"])))
     hi = F.least(F.lit(1.0), F.array_min(F.transform(limits, lambda v: v["hi"])))
     return F.when(lo < hi, F.struct(lo.alias("t0"), hi.alias("t1")))
+
+
+def edges(ring: Column, closed: bool = True) -> Column:
+    """array<struct<a, b>>: the edges of a ring, or of a line."""
+    ends = following(ring) if closed else F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
+    starts = ring if closed else F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def within_parts(parts: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a polygon of several rings: holes count as outside."""
+    return F.aggregate(parts, F.lit(0), lambda s, ring: s + contains(ring, x, y).cast("int")) % 2 == 1
+
+
+def cross(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether two segments have a point in common; segments on one line are left to tests of their ends."""
+    side = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    return (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0) & ((side(a, b, c) != 0) | (side(a, b, d) != 0))
+
+
+def intersects(kind: Column, parts: Column, ring: Column) -> Column:
+    """Whether a point, line or polygon (parts: lists of points) meets a simple ring."""
+
+    def meets(r: Column) -> Column:
+        vertex = F.exists(F.flatten(parts), lambda p: contains(r, p["x"], p["y"]))
+        around = (kind == "polygon") & F.exists(F.slice(r, 1, 1), lambda p: within_parts(parts, p["x"], p["y"]))
+        crossing = lambda es: F.exists(parts, lambda line: F.exists(edges(line, False), lambda e: F.exists(es, lambda f: cross(e["a"], e["b"], f["a"], f["b"]))))
+        return vertex | around | ((kind != "point") & let(edges(r), crossing))
+
+    return let(ring, meets)
+
+
+def clipped_lines(parts: Column, ring: Column) -> Column:
+    """The parts of lines inside a simple ring, convex or not, as lines; what leaves the ring and comes back falls apart."""
+
+    def inner(a: Column, b: Column, r: Column, es: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+
+        def at(e: Column) -> Column:
+            ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+            den = dx * ey - dy * ex
+            t = F.try_divide((e["a"]["x"] - a["x"]) * ey - (e["a"]["y"] - a["y"]) * ex, den)
+            s = F.try_divide((e["a"]["x"] - a["x"]) * dy - (e["a"]["y"] - a["y"]) * dx, den)
+            return F.when(s.between(0, 1) & (t > 0) & (t < 1), t)
+
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(es, at), lambda t: t.isNotNull()))))
+        spans = let(cuts, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+        kept = F.filter(spans, lambda v: contains(r, a["x"] + dx * (v["p"] + v["q"]) / 2, a["y"] + dy * (v["p"] + v["q"]) / 2))
+        end = lambda t: F.when(t == 1.0, point(b["x"], b["y"])).otherwise(point(a["x"] + dx * t, a["y"] + dy * t))
+        return F.transform(kept, lambda v: F.array(end(v["p"]), end(v["q"])))
+
+    def joined(pieces: Column) -> Column:
+        def add(lines: Column, piece: Column) -> Column:
+            last = F.element_at(lines, -1)
+            goes_on = F.when(F.size(lines) > 0, F.element_at(last, -1) == piece[0]).otherwise(False)
+            return F.when(goes_on, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat(last, F.slice(piece, 2, 1))))).otherwise(F.concat(lines, F.array(piece)))
+
+        return F.aggregate(pieces, F.array().cast(f"array<{POINTS}>"), add)
+
+    cut = lambda r, es: F.flatten(F.transform(parts, lambda line: joined(F.flatten(F.transform(edges(line, False), lambda e: inner(e["a"], e["b"], r, es))))))
+    return let(ring, lambda r: let(edges(r), lambda es: cut(r, es)))

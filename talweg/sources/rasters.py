@@ -118,8 +118,8 @@ def layout(path: str, ahead: int = 65_536) -> Layout:
     return found
 
 
-def unpack(data: bytes, a: Layout) -> np.ndarray:
-    """The first band of a block, in rows and columns."""
+def unpack(data: bytes, a: Layout, band: int = 0) -> np.ndarray:
+    """A band of a block, in rows and columns."""
     raw = zlib.decompress(data) if a.compression != 1 else data
     kind = np.dtype(a.kind)
     rows = len(raw) // (a.block_width * a.samples * kind.itemsize)
@@ -128,12 +128,12 @@ def unpack(data: bytes, a: Layout) -> np.ndarray:
         for c in range(a.samples, planes.shape[1]):
             planes[:, c] += planes[:, c - a.samples]
         z = planes.reshape(rows, kind.itemsize, -1).transpose(0, 2, 1).copy().view(kind.newbyteorder(">"))[..., 0]
-        return z.reshape(rows, a.block_width, a.samples)[:, :, 0]
+        return z.reshape(rows, a.block_width, a.samples)[:, :, band]
     z = np.frombuffer(raw, kind).reshape(rows, a.block_width, a.samples)
     if a.predictor == 2:
         whole = np.dtype(f"{a.kind[0]}u{kind.itemsize}")
         z = np.cumsum(z.view(whole), axis=1, dtype=whole.newbyteorder("=")).view(kind.newbyteorder("="))
-    return z[:, :, 0]
+    return z[:, :, band]
 
 
 class TilePartition(InputPartition):
@@ -145,6 +145,7 @@ class TiffReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.box, self.group = json.loads(options.get("box", "null")), int(options.get("tiles", 16))
+        self.band = int(options.get("band", 0))
 
     def partitions(self) -> list[InputPartition]:
         found = []
@@ -159,7 +160,7 @@ class TiffReader(DataSourceReader):
         a = layout(partition.path)
         r0, r1, c0, c1 = a.window(self.box)
         for i in partition.blocks:
-            z = unpack(read_range(partition.path, a.offsets[i], a.lengths[i]), a)
+            z = unpack(read_range(partition.path, a.offsets[i], a.lengths[i]), a, self.band)
             row, col = np.indices(z.shape)
             row, col, z = row.ravel() + i // a.across() * a.block_height, col.ravel() + i % a.across() * a.block_width, z.ravel().astype(float)
             keep = (row >= r0) & (row < r1) & (col >= c0) & (col < c1) & np.isfinite(z) & (z != (np.nan if a.nodata is None else a.nodata))
@@ -179,21 +180,21 @@ class TiffSource(DataSource):
         return TiffReader(self.options)
 
 
-def read(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """The valid cells of files within a box in their own coordinates."""
+def read(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None, band: int = 0) -> DataFrame:
+    """The valid cells of a band of files within a box in their own coordinates."""
     ship(spark).dataSource.register(TiffSource)
-    asked = spark.read.format("geotiff").option("paths", json.dumps(paths))
+    asked = spark.read.format("geotiff").option("paths", json.dumps(paths)).option("band", band)
     return (asked.option("box", json.dumps(list(box))) if box else asked).load()
 
 
-def header(width: int, height: int, tile: int, lengths: list[int], kind: str, x0: float, y1: float, cell: float, epsg: int, nodata: float, colours: dict[int, tuple[int, int, int]] | None) -> bytes:
-    """The header of a tiled, deflated file of one band whose tiles follow it in order."""
+def header(width: int, height: int, tile: int, lengths: list[int], kind: str, x0: float, y1: float, cell: float, epsg: int, nodata: float, colours: dict[int, tuple[int, int, int]] | None, bands: int = 1) -> bytes:
+    """The header of a tiled, deflated file whose tiles follow it in order."""
     form = np.dtype(kind)
     sample = {"u": 1, "i": 2, "f": 3}[form.kind]
     model = (1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg)
     fields: list[tuple[int, int, bytes]] = [
-        (WIDTH, 4, struct.pack("<I", width)), (HEIGHT, 4, struct.pack("<I", height)), (BITS, 3, struct.pack("<H", form.itemsize * 8)), (COMPRESSION, 3, struct.pack("<H", 8)), (262, 3, struct.pack("<H", 3 if colours else 1)), (SAMPLES, 3, struct.pack("<H", 1)),
-        (PREDICTOR, 3, struct.pack("<H", 1 if colours else 2)), (TILE_WIDTH, 3, struct.pack("<H", tile)), (TILE_HEIGHT, 3, struct.pack("<H", tile)), (TILES, 16, b"\0" * 8 * len(lengths)), (TILE_BYTES, 4, struct.pack(f"<{len(lengths)}I", *lengths)), (FORMAT, 3, struct.pack("<H", sample)),
+        (WIDTH, 4, struct.pack("<I", width)), (HEIGHT, 4, struct.pack("<I", height)), (BITS, 3, struct.pack(f"<{bands}H", *[form.itemsize * 8] * bands)), (COMPRESSION, 3, struct.pack("<H", 8)), (262, 3, struct.pack("<H", 3 if colours else 2 if bands == 3 else 1)), (SAMPLES, 3, struct.pack("<H", bands)),
+        (PREDICTOR, 3, struct.pack("<H", 1 if colours else 2)), (TILE_WIDTH, 3, struct.pack("<H", tile)), (TILE_HEIGHT, 3, struct.pack("<H", tile)), (TILES, 16, b"\0" * 8 * len(lengths)), (TILE_BYTES, 4, struct.pack(f"<{len(lengths)}I", *lengths)), (FORMAT, 3, struct.pack(f"<{bands}H", *[sample] * bands)),
         (SCALE, 12, struct.pack("<3d", cell, cell, 0)), (TIE, 12, struct.pack("<6d", 0, 0, 0, x0, y1, 0)), (GEO_KEYS, 3, struct.pack("<16H", *model)), (NODATA, 2, f"{nodata:g}".encode() + b"\0"),
     ]
     if colours:
@@ -212,8 +213,8 @@ def header(width: int, height: int, tile: int, lengths: list[int], kind: str, x0
     return struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(fields)) + entries + struct.pack("<Q", 0) + rest
 
 
-def write(cells: DataFrame, path: str, width: int, height: int, x0: float, y1: float, cell: float, epsg: int, nodata: float = -9999.0, kind: str = "<f4", colours: dict[int, tuple[int, int, int]] | None = None, tile: int = 256) -> str:
-    """Cells (row, col, z) as one file. Tiles are packed by tasks; one task strings them together, as a file has one end.
+def write(cells: DataFrame, path: str, width: int, height: int, x0: float, y1: float, cell: float, epsg: int, nodata: float = -9999.0, kind: str = "<f4", colours: dict[int, tuple[int, int, int]] | None = None, tile: int = 256, bands: tuple[str, ...] = ("z",)) -> str:
+    """Cells (row, col and the columns of `bands`) as one file. Tiles are packed by tasks; one task strings them together, as a file has one end.
 
     Cells outside the grid are left out, places without a cell hold `nodata`, never 0. The file appears under its name only when
     it is whole.
@@ -229,18 +230,18 @@ def write(cells: DataFrame, path: str, width: int, height: int, x0: float, y1: f
         return zlib.compress(z.tobytes(), 6)
 
     def packed(t: pa.Table) -> pa.Table:
-        z = np.full((tile, tile), nodata, form)
-        row, col, v = (t.column(c).to_numpy() for c in ("row", "col", "z"))
-        z[row % tile, col % tile] = v
+        z = np.full((tile, tile, len(bands)), nodata, form)
+        row, col = t.column("row").to_numpy(), t.column("col").to_numpy()
+        z[row % tile, col % tile] = np.stack([t.column(b).to_numpy() for b in bands], axis=-1)
         return pa.table({"tile": pa.array([int(row[0] // tile * across + col[0] // tile)], pa.int64()), "data": pa.array([pack(z)], pa.binary())})
 
-    inside = cells.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("row", "col", F.col("z").cast("double").alias("z"))
+    inside = cells.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("row", "col", *[F.col(b).cast("double").alias(b) for b in bands])
     number = F.floor(F.col("row") / tile) * across + F.floor(F.col("col") / tile)
     full = checkpointed(inside.withColumn("tile", number).groupBy("tile").applyInArrow(lambda t: packed(t), "tile long, data binary"))
     sizes = dict(full.select("tile", F.octet_length("data")).collect())  # a number for each tile of 65,536 cells
-    blank = pack(np.full((tile, tile), nodata, form))
+    blank = pack(np.full((tile, tile, len(bands)), nodata, form))
     lengths = [sizes.get(i, len(blank)) for i in range(across * down)]
-    head = header(width, height, tile, lengths, kind, x0, y1, cell, epsg, nodata, colours)
+    head = header(width, height, tile, lengths, kind, x0, y1, cell, epsg, nodata, colours, len(bands))
 
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")

@@ -44,13 +44,14 @@ def local(path: str) -> str:
 class Shape:
     """The three files of a Shapefile, read by ranges; those of an archive are unpacked in memory."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, layer: str | None = None) -> None:
         self.path, self.held = path, {}
         if path.lower().endswith(".zip"):
             with zipfile.ZipFile(io.BytesIO(read_range(path, 0, 1 << 40))) as z:
-                inner = next((n for n in sorted(z.namelist()) if n.lower().endswith(".shp")), None)
+                wanted = f"{layer.lower()}.shp" if layer else ".shp"
+                inner = next((n for n in sorted(z.namelist()) if (n.rsplit("/", 1)[-1].lower() == wanted if layer else n.lower().endswith(wanted))), None)
                 if inner is None:
-                    raise ValueError(f"{path} holds no Shapefile")
+                    raise ValueError(f"{path} holds no Shapefile{f' {layer}' if layer else ''}")
                 for n in z.namelist():
                     if n.rsplit(".", 1)[0] == inner.rsplit(".", 1)[0]:
                         self.held[n.rsplit(".", 1)[-1].lower()] = z.read(n)
@@ -132,11 +133,11 @@ class LayerReader(DataSourceReader):
 
 class ShapeReader(LayerReader):
     def partitions(self) -> list[InputPartition]:
-        n = Shape(self.path).fields()[0]
+        n = Shape(self.path, self.layer).fields()[0]
         return [Part(0, n)] if self.path.lower().endswith(".zip") else self.parts(n)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        s = Shape(self.path)
+        s = Shape(self.path, self.layer)
         _, start, width, fields = s.fields()
         wanted = [next(f for f in fields if f[0] == name) for name in self.names]
         for a in range(partition.first, partition.last, 2048):
@@ -159,7 +160,7 @@ class ShapeSource(DataSource):
 
     def schema(self) -> str:
         wanted = json.loads(self.options.get("columns", "null"))
-        return ", ".join([GEOMETRY, *[f"`{f[0]}` {f[1]}" for f in Shape(self.options["path"]).fields()[3] if wanted is None or f[0] in wanted]])
+        return ", ".join([GEOMETRY, *[f"`{f[0]}` {f[1]}" for f in Shape(self.options["path"], self.options.get("layer")).fields()[3] if wanted is None or f[0] in wanted]])
 
     def reader(self, schema: StructType) -> ShapeReader:
         return ShapeReader(self.options, schema)
