@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, chunks, embeddings, mixing, quality, rules, secrets, simhash, warc
+from . import bpe, centroids, chat, chunks, contamination, divergence, embeddings, mixing, quality, rules, secrets, simhash, warc
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.query(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.query(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_decontamination": op13_decontamination,
 }
 #: DuckDB SQL of those that SQL expresses; the others are held against plain versions in tests.
 ORACLES: dict[str, str] = {
@@ -69,4 +84,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op10_embedding_dedup": embeddings.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_decontamination": contamination.ORACLE,
 }
