@@ -95,12 +95,18 @@ def shares(n: np.ndarray, total: np.ndarray, v: int) -> np.ndarray:
     return out + 1
 
 
+def joined(rows: DataFrame, few: DataFrame, on: list[str], by: str, ways: int = 64) -> DataFrame:
+    """`rows` with what `few` has for their keys; rows of one key are spread by `by` over `ways` copies of its row."""
+    salted = few.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")).join(salted, [*on, "_way"]).drop("_way")
+
+
 def vocabulary(counts: DataFrame, least_docs: int, chunk: int) -> DataFrame:
     """(lang, term, lang_n, chunk, place): the terms kept, each with a place in a chunk of about `chunk` terms."""
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     kept = written(kept.select("lang", "term", "lang_n"), "vocabulary")
     sizes = kept.groupBy("lang").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
+    dealt = joined(kept, sizes, ["lang"], "term").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
     place = F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1
     return dealt.select("lang", "term", "lang_n", "chunk", place.alias("place"))
 
@@ -169,7 +175,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, chunk: int = CHU
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     stats = written(groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "v", "lang_total")]), "groups")
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
-    more = kept.join(stats, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
+    more = joined(kept, stats, ["lang", "source"], "term").select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     terms = ranked(more).where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     # A language without kept terms still has one span, of none.
