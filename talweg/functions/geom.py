@@ -169,28 +169,64 @@ def meet(p: Column, q: Column, r: Column, radius: Column) -> Column:
     return point(q["x"] + k * (uy + vy), q["y"] - k * (ux + vx))
 
 
-def buffered(ring: Column, radius: Column, per_quarter: int = 16, mitre: bool = False) -> Column:
-    """All within `radius` of a convex ring: its edges moved outwards, joined by arcs or, with `mitre`, by corners."""
+def is_convex(ring: Column) -> Column:
+    """Whether a ring turns to one side only."""
+
+    def turns(r: Column) -> Column:
+        n = F.size(r)
+
+        def bend(p: Column, q: Column, s: Column) -> Column:
+            sine = ((q["x"] - p["x"]) * (s["y"] - q["y"]) - (q["y"] - p["y"]) * (s["x"] - q["x"])) / (F.hypot(q["x"] - p["x"], q["y"] - p["y"]) * F.hypot(s["x"] - q["x"], s["y"] - q["y"]))
+            return F.when(sine > 1e-9, 1).when(sine < -1e-9, -1).otherwise(0)  # corners of round shapes may be straight but for rounding
+
+        return F.transform(r, lambda q, i: bend(F.get(r, F.pmod(i - 1, n)), q, F.get(r, F.pmod(i + 1, n))))
+
+    return let(let(ring, distinct_corners), lambda r: let(turns(r), lambda t: ~(F.array_contains(t, 1) & F.array_contains(t, -1))))
+
+
+def offset_curve(ring: Column, radius: Column, per_quarter: int = 16) -> Column:
+    """The line at `radius` outside of a simple ring: edges moved outwards, joined by arcs at corners that turn left and by way of
+    the corner itself at those that turn right. Of rings that aren't convex it may cross itself; the buffer is where it winds at least once."""
     turned = let(ring, lambda r: F.when(signed_area(r) >= 0, r).otherwise(F.reverse(r)))
     turn = math.pi / (2 * per_quarter)
 
     def corners(r: Column) -> Column:
         n = F.size(r)
         trio = lambda i, q: (F.get(r, F.pmod(i - 1, n)), q, F.get(r, F.pmod(i + 1, n)))
-        if mitre:
-            return F.transform(r, lambda q, i: meet(*trio(i, q), radius))
 
         def arc(p: Column, q: Column, s: Column) -> Column:
             start = F.atan2(q["y"] - p["y"], q["x"] - p["x"]) - math.pi / 2
             bend = F.pmod(F.atan2(s["y"] - q["y"], s["x"] - q["x"]) - math.pi / 2 - start, F.lit(2 * math.pi))
-            steps = F.when((bend > 1e-9) & (bend < math.pi + 1e-9), F.ceil(bend / turn)).otherwise(0).cast("int")
-            return let(F.struct(start.alias("a"), bend.alias("b"), steps.alias("n")), lambda g: F.transform(F.sequence(F.lit(0), g["n"]), lambda k: point(q["x"] + radius * F.cos(g["a"] + F.when(g["n"] > 0, g["b"] * k / g["n"]).otherwise(0.0)), q["y"] + radius * F.sin(g["a"] + F.when(g["n"] > 0, g["b"] * k / g["n"]).otherwise(0.0)))))
+            steps = F.when((bend > 1e-9) & (bend < math.pi + 1e-9), F.ceil(bend / turn - 1e-9)).otherwise(0).cast("int")
+            spot = lambda a: point(q["x"] + radius * F.cos(a), q["y"] + radius * F.sin(a))
+            along = lambda g: F.transform(F.sequence(F.lit(0), g["n"]), lambda k: spot(g["a"] + F.when(g["n"] > 0, g["b"] * k / g["n"]).otherwise(0.0)))
+            inward = lambda g: F.array(spot(g["a"]), point(q["x"], q["y"]), spot(g["a"] + g["b"]))
+            right = lambda g: (g["b"] >= math.pi + 1e-9) & (g["b"] < 2 * math.pi - 1e-9)
+            return let(F.struct(start.alias("a"), bend.alias("b"), steps.alias("n")), lambda g: F.when(right(g), inward(g)).otherwise(along(g)))
 
         return F.flatten(F.transform(r, lambda q, i: arc(*trio(i, q))))
 
     return let(let(turned, distinct_corners), corners)
 
 
+def buffered(ring: Column, radius: Column, per_quarter: int = 16, mitre: bool = False) -> Column:
+    """All within `radius` of a convex ring: its edges moved outwards, joined by arcs or, with `mitre`, by corners.
+
+    Another ring is an error; `overlay.buffered` takes rings of any shape.
+    """
+
+    def moved(r: Column) -> Column:
+        n = F.size(r)
+        return F.transform(r, lambda q, i: meet(F.get(r, F.pmod(i - 1, n)), q, F.get(r, F.pmod(i + 1, n)), radius))
+
+    def grown(r: Column) -> Column:
+        if not mitre:
+            return offset_curve(r, radius, per_quarter)
+        return let(let(F.when(signed_area(r) >= 0, r).otherwise(F.reverse(r)), distinct_corners), moved)
+
+    return let(ring, lambda r: F.when(is_convex(r), grown(r)).otherwise(F.raise_error(F.lit("buffered: the ring is not convex")).cast(POINTS)))
+
+
 def distinct_corners(ring: Column) -> Column:
     """The ring without points that repeat the one before."""
     return F.filter(ring, lambda p, i: let(F.get(ring, F.pmod(i - 1, F.size(ring))), lambda q: (p["x"] != q["x"]) | (p["y"] != q["y"])))

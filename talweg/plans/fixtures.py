@@ -36,6 +36,36 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), geom.box(w, s, w + (k % 9 + 1) / 4.0, s + (k % 7 + 1) / 4.0).alias("ring_ll"))
 
 
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, kind, parts): customers as notched pentagons of 1 to 5 km, some of 60 km more, that overlap here and there."""
+    from ..functions import geom
+
+    k = F.col("c_custkey")
+    x, y = 300000 + k * 7919 % 400000, 8600000 + k * 104729 % 400000
+    s = (k * 131 % 1000 + 200) * 4 + F.when(k % 97 == 0, 60000).otherwise(0)
+    corners = [(x - s + 0.5, y - s + 0.25), (x + s + 0.125, y - s / 2 + 0.5), (x + s / 4 + 0.25, y + 0.75), (x + s + 0.5, y + s + 0.125), (x - s / 2 + 0.75, y + s + 0.625)]
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("polygon").alias("kind"), F.array(F.array(*[geom.point(a, b) for a, b in corners])).alias("parts"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, kind, parts): parts of the table `part` as points over the same ground."""
+    from ..functions import geom
+
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.lit("point").alias("kind"), F.array(F.array(geom.point((300000 + k * 6151 % 400000).cast("double"), (8600000 + k * 92821 % 400000).cast("double")))).alias("parts"))
+
+
+def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ring, radius): customers as L-shaped rings of 400 to 1600 m."""
+    from ..functions import geom
+
+    k = F.col("c_custkey")
+    x, y, s = k * 7919 % 400000, k * 104729 % 400000, k * 37 % 1200 + 400
+    a = F.floor(s / 3)
+    corners = [(x, y), (x + s, y), (x + s, y + a), (x + a, y + a), (x + a, y + s), (x, y + s)]
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.array(*[geom.point(p.cast("double"), q.cast("double")) for p, q in corners]).alias("ring"), (k % 90 + 10).cast("double").alias("radius"))
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """(lat0, lon0): tiles of the region but for a fifth of them."""
     lat, lon = spark.range(-90, 90).withColumnRenamed("id", "lat0"), F.explode(F.sequence(F.lit(-180), F.lit(179))).alias("lon0")

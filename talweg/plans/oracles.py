@@ -91,6 +91,29 @@ def in_ring(ring: list[tuple[float, float]], x: str, y: str) -> str:
     return "(" + " + ".join(f"CASE WHEN ({num(a[1])} > {y}) <> ({num(b[1])} > {y}) AND {x} < ({num(b[0])} - {num(a[0])}) * (({y} - {num(a[1])}) / ({num(b[1])} - {num(a[1])})) + {num(a[0])} THEN 1 ELSE 0 END" for a, b in edges) + ") % 2 = 1"
 
 
+AREAS = """(SELECT id, x - s + 0.5e0 AS x1, y - s + 0.25e0 AS y1, x + s + 0.125e0 AS x2, y - s / 2e0 + 0.5e0 AS y2, x + s / 4e0 + 0.25e0 AS x3, y + 0.75e0 AS y3, x + s + 0.5e0 AS x4, y + s + 0.125e0 AS y4, x - s / 2e0 + 0.75e0 AS x5, y + s + 0.625e0 AS y5, s FROM
+    (SELECT c_custkey AS id, 300000 + c_custkey * 7919 % 400000 AS x, 8600000 + c_custkey * 104729 % 400000 AS y, (c_custkey * 131 % 1000 + 200) * 4 + CASE WHEN c_custkey % 97 = 0 THEN 60000 ELSE 0 END AS s FROM customer))"""
+PLACES = "(SELECT p_partkey AS id, CAST(300000 + p_partkey * 6151 % 400000 AS DOUBLE) AS x, CAST(8600000 + p_partkey * 92821 % 400000 AS DOUBLE) AS y FROM part)"
+PENTAGON = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1)]
+
+
+def in_area(a: str, x: str, y: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN ({a}.y{i} > {y}) <> ({a}.y{j} > {y}) AND {x} < ({a}.x{j} - {a}.x{i}) * (({y} - {a}.y{i}) / ({a}.y{j} - {a}.y{i})) + {a}.x{i} THEN 1 ELSE 0 END" for i, j in PENTAGON) + ") % 2 = 1"
+
+
+def side_of(a: str, i: int, j: int, b: str, k: int) -> str:
+    return f"sign(({a}.x{j} - {a}.x{i}) * ({b}.y{k} - {a}.y{i}) - ({a}.y{j} - {a}.y{i}) * ({b}.x{k} - {a}.x{i}))"
+
+
+def areas_cross(a: str, b: str) -> str:
+    return " OR ".join(f"({side_of(a, i, j, b, k)} * {side_of(a, i, j, b, m)} <= 0 AND {side_of(b, k, m, a, i)} * {side_of(b, k, m, a, j)} <= 0)" for i, j in PENTAGON for k, m in PENTAGON)
+
+
+LS = "(SELECT c_custkey AS id, c_custkey * 37 % 1200 + 400 AS s, (c_custkey * 37 % 1200 + 400) // 3 AS a, c_custkey % 90 + 10 AS r FROM customer)"
+OVERLAP = lambda w, s, e, n, w2, s2, e2, n2: f"greatest(0, least({e}, {e2}) - greatest({w}, {w2})) * greatest(0, least({n}, {n2}) - greatest({s}, {s2}))"
+#: An L as two boxes side by side: the foot and the rest of the stem.
+BOXES = lambda t, dx, dy: [(f"{dx}", f"{dy}", f"{t}.s + {dx}", f"{t}.a + {dy}"), (f"{dx}", f"{t}.a + {dy}", f"{t}.a + {dx}", f"{t}.s + {dy}")]
+
 ORACLES = {
     "utm_inverse": f"SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM {lonlat(P)}",
     "utm_round_trip": f"SELECT id, true AS same FROM {P}",
@@ -150,6 +173,17 @@ ORACLES = {
     "main_channel": f"{FLOW}, best AS (SELECT down, node FROM flow WHERE down IS NOT NULL QUALIFY row_number() OVER (PARTITION BY down ORDER BY acc DESC, node) = 1), up(node, step) AS (SELECT node, CAST(0 AS BIGINT) FROM outlet UNION ALL SELECT b.node, step + 1 FROM up JOIN best b ON b.down = up.node JOIN flow g ON g.node = b.node WHERE g.acc >= 5) SELECT node, step FROM up",
     "snap_outlet": f"{FLOW} SELECT row_number() OVER (ORDER BY d, acc DESC, row, col) AS place, row, col, acc, round(d, 6) AS distance_m FROM (SELECT *, sqrt(CAST((row - 20) * (row - 20) + (col - 20) * (col - 20) AS DOUBLE)) AS d FROM flow) WHERE acc >= 5 AND d <= 6",
     "mask_dilation": f"WITH {DEM.format(1)} SELECT DISTINCT d.row + dr AS row, d.col + dc AS col FROM dem d, range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE z < 1200 AND dr * dr + dc * dc <= 4",
+    # area, sides times radius, five round corners of sixteen pieces, and what two sides share at the corner that turns in
+    "areas_buffered": f"SELECT id, round((s * a + a * (s - a) + 4 * s * r + 5 * 8 * r * r * sin(pi() / 32) - r * r) / 1e6, 4) AS km2, 1 AS rings FROM {LS}",
+    "areas_combined": f"SELECT p.id, {' + '.join(OVERLAP(*b, *c) for b in BOXES('p', 0, 0) for c in BOXES('q', 100, -50))} AS m2 FROM {LS} p JOIN {LS} q ON q.id + 1 = p.id",
+    "mask_polygons": f"""WITH RECURSIVE {DEM.format(1)}, low AS (SELECT row, col FROM dem WHERE z < 9000), near(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+        part(row, col, v) USING KEY (row, col) AS (SELECT row, col, CAST(row AS BIGINT) * 4294967296 + col FROM low UNION SELECT l.row, l.col, min(p.v) FROM part p CROSS JOIN near JOIN low l ON l.row = p.row + dr AND l.col = p.col + dc JOIN recurring.part k ON k.row = l.row AND k.col = l.col WHERE p.v < k.v GROUP BY l.row, l.col),
+        pairs AS (SELECT a.v, count(*) AS n FROM part a CROSS JOIN near JOIN part b ON b.row = a.row + dr AND b.col = a.col + dc WHERE dr + dc = 1 GROUP BY a.v),
+        quads AS (SELECT a.v, count(*) AS n FROM part a JOIN part b ON b.row = a.row + 1 AND b.col = a.col JOIN part c ON c.row = a.row AND c.col = a.col + 1 JOIN part e ON e.row = a.row + 1 AND e.col = a.col + 1 GROUP BY a.v)
+        SELECT p.v AS label, count(*) AS cells, 1 - (count(*) - coalesce(any_value(e.n), 0) + coalesce(any_value(q.n), 0)) AS holes, 4 * count(*) - 2 * coalesce(any_value(e.n), 0) AS sides FROM part p LEFT JOIN pairs e ON e.v = p.v LEFT JOIN quads q ON q.v = p.v GROUP BY p.v""",
+    "points_in_areas": f"SELECT a.id AS area, p.id AS place FROM {AREAS} a JOIN {PLACES} p ON {in_area('a', 'p.x', 'p.y')}",
+    "areas_meeting": f"""SELECT a.id AS area, b.id AS other FROM {AREAS} a JOIN {AREAS} b ON a.id < b.id AND abs(a.x3 - b.x3) <= 2 * (a.s + b.s) AND abs(a.y3 - b.y3) <= 2 * (a.s + b.s)
+        WHERE {' OR '.join(in_area('a', f'b.x{k}', f'b.y{k}') for k in range(1, 6))} OR {' OR '.join(in_area('b', f'a.x{k}', f'a.y{k}') for k in range(1, 6))} OR {areas_cross('a', 'b')}""",
     "raster_mosaic": "SELECT CAST(l_orderkey % 60 AS INT) AS row, CAST(l_partkey % 60 AS INT) AS col, arg_min(l_extendedprice, (l_orderkey * 10 + l_linenumber, l_extendedprice)) AS z FROM lineitem WHERE l_quantity >= 10 GROUP BY 1, 2",
     "bilinear_sample": f"""WITH {DEM.format(1)} SELECT id, round(sum(w * z) / sum(w), 7) AS z FROM (SELECT id, CAST(floor(v - 0.5e0) AS INT) + r AS row, CAST(floor(u - 0.5e0) AS INT) + c AS col,
         CASE r WHEN 1 THEN v - 0.5e0 - floor(v - 0.5e0) ELSE 1 - (v - 0.5e0 - floor(v - 0.5e0)) END * CASE c WHEN 1 THEN u - 0.5e0 - floor(u - 0.5e0) ELSE 1 - (u - 0.5e0 - floor(u - 0.5e0)) END AS w FROM {SAMPLES}, range(0, 2) a(r), range(0, 2) b(c)) k JOIN dem USING (row, col) WHERE w > 0 GROUP BY id""",

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, geom, text
-from ..operators import hydro, layers, provenance, raster, tiles, validate
+from ..operators import hydro, layers, masks, overlay, provenance, raster, spatial, tiles, validate
 from ..schemas import utm_bases
 from ..session import checkpointed
-from .fixtures import boxes, catalogue, dem, points, requests, scenes, table
+from .fixtures import angles, areas, boxes, catalogue, dem, places, points, requests, scenes, table
 
 
 def utm_inverse(spark: SparkSession, d: str) -> DataFrame:
@@ -180,17 +180,28 @@ def number_parsing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.number(t).alias("value"), F.array_join(text.list_of(F.concat_ws(",", "c_mktsegment", F.lit(" A "), F.lit(""), F.lit("a"))), "+").alias("names"))
 
 
+def block_of(cells: DataFrame) -> int:
+    """The side of the blocks of a grid: a fifth of the grid's or a little more, so that several lie side by side at every size, and 512 at most."""
+    widest = cells.agg(F.max(F.greatest("row", "col"))).first()[0] or 0
+    return min(512, max(8, (widest + 5) // 5))
+
+
 def dem_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.seeds(dem(spark, d))
+    cells = checkpointed(dem(spark, d))
+    return hydro.seeds(cells, block_of(cells))
 
 
-def filled(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.fill(dem(spark, d), whole=True)
+def filled(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    cells = checkpointed(dem(spark, d))
+    block = block_of(cells)
+    return hydro.fill(cells, block, whole=True), block
 
 
-def flow(spark: SparkSession, d: str) -> DataFrame:
-    arrows = checkpointed(hydro.directions(filled(spark, d)))
-    return checkpointed(hydro.accumulation(arrows).join(arrows.select("node", "row", "col"), "node"))
+def flow(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(row, col, node, down, acc) and the side of the blocks."""
+    f, block = filled(spark, d)
+    arrows = checkpointed(hydro.directions(f, block=block))
+    return checkpointed(hydro.accumulation(arrows, block).join(arrows.select("node", "row", "col"), "node")), block
 
 
 def outlet(f: DataFrame) -> DataFrame:
@@ -199,51 +210,72 @@ def outlet(f: DataFrame) -> DataFrame:
 
 
 def fill_int(spark: SparkSession, d: str) -> DataFrame:
-    return filled(spark, d).select("row", "col", "z", "f")
+    return filled(spark, d)[0].select("row", "col", "z", "f")
 
 
 def d8_int(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.directions(filled(spark, d)).select("row", "col", "down")
+    f, block = filled(spark, d)
+    return hydro.directions(f, block=block).select("row", "col", "down")
 
 
 def flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
-    return flow(spark, d).select("row", "col", "acc")
+    return flow(spark, d)[0].select("row", "col", "acc")
 
 
 def upstream_basin(spark: SparkSession, d: str) -> DataFrame:
-    f = flow(spark, d)
-    return hydro.upstream(f.select("node", "down"), outlet(f)).select("node")
-
-
-def drains(f: DataFrame, sources: DataFrame) -> DataFrame:
-    pairs = sources.select(F.col("node").alias("source")).crossJoin(F.broadcast(outlet(f).withColumnRenamed("node", "target")))  # one target row
-    return hydro.drains_to(f.select("node", "down"), pairs)
+    f, block = flow(spark, d)
+    return hydro.upstream(f.select("node", "down"), outlet(f), block).select("node")
 
 
 def drains_to(spark: SparkSession, d: str) -> DataFrame:
     """Every cell against the outlet."""
-    f = flow(spark, d)
-    return drains(f, f)
-
-
-def drains_to_every(spark: SparkSession, d: str) -> DataFrame:
-    """As `drains_to`, under the name that it had while that asked about some cells only."""
-    return drains_to(spark, d)
+    f, block = flow(spark, d)
+    pairs = f.select(F.col("node").alias("source"), F.lit(outlet(f).first()["node"]).alias("target"))
+    return hydro.drains_to(f.select("node", "down"), pairs, block)
 
 
 def main_channel(spark: SparkSession, d: str) -> DataFrame:
-    f = flow(spark, d)
+    f, _ = flow(spark, d)
     return hydro.main_channel(f, outlet(f).first()["node"], 5)
 
 
 def snap_outlet(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.snap_candidates(flow(spark, d), 20, 20, 5, 6.0, 1.0, 1.0).select("place", "row", "col", "acc", F.round("distance_m", 6).alias("distance_m"))
+    f, _ = flow(spark, d)
+    return hydro.snap_candidates(f, 20, 20, 5, 6.0, 1.0, 1.0).select("place", "row", "col", "acc", F.round("distance_m", 6).alias("distance_m"))
 
 
 def mask_dilation(spark: SparkSession, d: str) -> DataFrame:
     return hydro.dilated(dem(spark, d, 1).where("z < 1200"), 2.0)
 
 
+def areas_buffered(spark: SparkSession, d: str) -> DataFrame:
+    """All within some metres of rings that aren't convex."""
+    grown = overlay.buffered(angles(spark, d), F.col("radius"), "id", unit=2.0**-18)
+    return grown.select("id", F.round(F.col("area") / 1e6, 4).alias("km2"), F.size("parts").alias("rings"))
+
+
+def areas_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Each L-shaped ring cut by the next one's, brought to one place: two Ls of one corner."""
+    shapes = angles(spark, d).select("id", F.transform("ring", lambda p: geom.point(p["x"] - F.get("ring", F.lit(0))["x"], p["y"] - F.get("ring", F.lit(0))["y"])).alias("ring"))
+    one = shapes.select("id", F.array("ring").alias("parts"))
+    other = shapes.select((F.col("id") + 1).alias("id"), F.array(F.transform("ring", lambda p: geom.point(p["x"] + 100, p["y"] - 50))).alias("parts")).join(one.select("id"), "id", "left_semi")
+    return overlay.combined(one.join(other.select("id"), "id", "left_semi"), other, "intersection", "id").select("id", F.round("area").cast("long").alias("m2"))
+
+
+def mask_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the low ground, as polygons with holes."""
+    cells = dem(spark, d, 1)
+    return masks.polygons(cells.where("z < 9000"), block=block_of(cells)).select("label", F.col("area").cast("long").alias("cells"), "holes", F.col("outline").cast("long").alias("sides"))
+
+
+def points_in_areas(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.meeting(areas(spark, d), places(spark, d)).select(F.col("left_id").alias("area"), F.col("right_id").alias("place"))
+
+
+def areas_meeting(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.meeting(areas(spark, d), areas(spark, d)).where("left_id < right_id").select(F.col("left_id").alias("area"), F.col("right_id").alias("other"))
+
+
 def raster_mosaic(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     parts = li.select((F.col("l_orderkey") % 60).cast("int").alias("row"), (F.col("l_partkey") % 60).cast("int").alias("col"), F.when(F.col("l_quantity") < 10, -9999.0).otherwise(F.col("l_extendedprice")).alias("z"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("priority"))
@@ -277,8 +309,8 @@ ALL = [
     utm_inverse, utm_round_trip, system_resolution, tile_code_names, hack_radius, aoi_preliminary, aoi_area, tile_candidates, tile_selection, tile_coverage, cover_tiles_3deg, sheet_codes,
     sheets_over_areas, coord_validation, zone_suggestion, on_land, region_lookup, admin_cascade, nearest_named, gazetteer_box, points_in_ring, scene_ranking, scene_early_stop, scene_choice,
     duplicate_content, url_filename, cache_hits, json_tags, size_labels, estimated_bytes, manifest_rollup, number_parsing, dem_seeds, fill_int, d8_int, flow_accumulation, upstream_basin,
-    drains_to, main_channel, snap_outlet, mask_dilation, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, zonal_class_pct,
+    drains_to, main_channel, snap_outlet, mask_dilation, areas_buffered, areas_combined, mask_polygons, points_in_areas, areas_meeting, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, zonal_class_pct,
 ]
 QUERIES = {f.__name__: f for f in ALL}
-#: Registered without SQL; held against a plain version in tests.
-WITHOUT_SQL = {"drains_to_every": drains_to_every}
+#: Registered without SQL; held against plain versions in tests.
+WITHOUT_SQL: dict = {}
