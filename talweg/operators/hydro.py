@@ -60,10 +60,45 @@ def seeds(cells: DataFrame, block: int = 256) -> DataFrame:
     return around(cells.select("row", "col"), block).groupBy("br", "bc").applyInPandas(kernel, "row int, col int")
 
 
-def fill(cells: DataFrame, block: int = 256, whole: bool = False) -> DataFrame:
+def fill(cells: DataFrame, block: int = 256, whole: bool = False, spill: bool | None = None) -> DataFrame:
     """`row, col, z, f`: depressions filled to their lowest way out, each step of the way up by the least amount: the next
-    double, or 1 with `whole` for elevations in integers. Ends when no border changes, after as many rounds as the
-    longest way out crosses blocks."""
+    double, or 1 with `whole` for elevations in integers.
+
+    With `spill` the levels of all depressions come first, from a graph of the catchments of the blocks' borders
+    (`levels`), in a number of passes that does not grow with the length of the way out; blocks then exchange steps only
+    within waters of one level that reach over their borders. Elevations that lie closer together than a water has steps
+    break what this start assumes; a last look at every cell finds that, and the fill starts again without it. Without
+    `spill` blocks whose neighbours changed at the border are filled again until none does, in as many rounds as the longest
+    way out crosses blocks. Both end at the same elevations; unset, grids of more than 24 blocks a side go by the graph.
+    """
+    kind = "long" if whole else "double"
+    start = cells.select("row", "col", F.col("z").cast(kind).alias("z"))
+    if spill is None:
+        b = start.agg(*[f(c).alias(f"{c}{i}") for c in ("row", "col") for i, f in enumerate((F.min, F.max))]).first()
+        spill = b["row0"] is not None and max(b["row1"] - b["row0"], b["col1"] - b["col0"]) > 24 * block
+    if not spill:
+        return relaxed(start, block, whole)
+    done = checkpointed(relaxed(levels(start, block), block, whole))
+    return done if unsettled(done, block, whole).limit(1).count() == 0 else relaxed(start, block, whole)
+
+
+def padded(r: np.ndarray, c: np.ndarray, n: int, values: np.ndarray, empty: float) -> list:
+    """Values of a block's cells on one line with a border of two; places without a cell hold `empty`."""
+    out = np.full(n * n, empty, values.dtype)
+    out[r * n + c] = values
+    return out.tolist()
+
+
+def rim_of(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Cells of a block with fewer than eight neighbours there."""
+    there = np.zeros((n, n), bool)
+    there[r, c] = True
+    return ~np.logical_and.reduce([there[r + dr, c + dc] for dr, dc in NEIGHBOURS])
+
+
+def relaxed(cells: DataFrame, block: int, whole: bool) -> DataFrame:
+    """`row, col, z, f` by lowering within blocks until no border changes. Where `cells` have a level `w`, cells that lie at
+    their own level beside a lower one start there, and only waters that reach over borders need further rounds."""
     kind = "long" if whole else "double"
     far = np.iinfo(np.int64).max if whole else np.inf
     up = (lambda v: v + 1) if whole else (lambda v: math.nextafter(v, math.inf))
@@ -72,17 +107,22 @@ def fill(cells: DataFrame, block: int = 256, whole: bool = False) -> DataFrame:
         r, c = frame(pdf, block)
         own, z, old = pdf["own"].to_numpy(), pdf["z"].to_numpy(), pdf["f"].to_numpy()
         n = block + 4
-        there = np.zeros((n, n), bool)
-        there[r, c] = True
-        rim = own & ~np.logical_and.reduce([there[r + dr, c + dc] for dr, dc in NEIGHBOURS])
+        rim = own & rim_of(r, c, n)
         start = np.where(rim, z, old)
-        # all cells on one padded line; places without a cell, and those of other blocks, are never lowered
-        zs, f, mine = [far] * (n * n), [far] * (n * n), bytearray(n * n)
-        for k, zi, fi, o in zip((r * n + c).tolist(), z.tolist(), start.tolist(), own.tolist(), strict=True):
-            zs[k], f[k], mine[k] = zi, fi, o
-        # the block's own cells have settled among themselves before: only its first rim and what neighbours bring can lower any
-        bring = (start != far) & (~own | (rim & (old == far)))
-        heap = list(zip(start[bring].tolist(), (r * n + c)[bring].tolist(), strict=True))
+        if "w" in pdf:
+            w = pdf["w"].to_numpy()
+            grid = np.full((n, n), far, w.dtype)
+            grid[r, c] = w
+            beside = np.logical_or.reduce([grid[r + dr, c + dc] < w for dr, dc in NEIGHBOURS])
+            start = np.where(own & beside & (z == w), np.minimum(start, w), start)
+        # the block's own cells have settled among themselves before: only its first starts and what neighbours bring can lower any
+        bring = (start != far) & (~own | ((start != old) & (old == far)))
+        mine = bytearray(n * n)
+        at = r * n + c
+        for k in at[own].tolist():
+            mine[k] = 1
+        zs, f = padded(r, c, n, z, far), padded(r, c, n, start, far)
+        heap = list(zip(start[bring].tolist(), at[bring].tolist(), strict=True))
         heapq.heapify(heap)
         steps = [dr * n + dc for dr, dc in NEIGHBOURS]
         pop, push = heapq.heappop, heapq.heappush
@@ -99,26 +139,165 @@ def fill(cells: DataFrame, block: int = 256, whole: bool = False) -> DataFrame:
                         f[j] = new
                         push(heap, (new, j))
         out = pdf.loc[own, ["row", "col", "z"]].copy()
-        out["f"] = np.array([f[k] for k in (r * n + c)[own].tolist()], old.dtype)
+        out["f"] = np.array([f[k] for k in at[own].tolist()], old.dtype)
         out["changed"] = out["f"].to_numpy() != old[own]
         return out
 
-    state = cells.select("row", "col", F.col("z").cast(kind).alias("z")).withColumn("f", F.lit(int(far) if whole else float("inf")).cast(kind))
+    state = cells.withColumn("f", F.lit(int(far) if whole else float("inf")).cast(kind))
     woken = None
     for rounds in itertools.count():
-        dealt = around(state, block)
+        dealt = around(state if woken is None else state.select("row", "col", "z", "f"), block)
         dealt = dealt if woken is None else dealt.join(woken, ["br", "bc"], "left_semi")
         done = checkpointed(dealt.groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
         fresh = done.drop("changed")
         state = fresh if woken is None else state.join(fresh.select("row", "col"), ["row", "col"], "left_anti").unionByName(fresh)
         if woken is not None and rounds % 8 == 0:
             state = checkpointed(state)
-        woken = checkpointed(around(done.where("changed").select("row", "col"), block).where("NOT own").select("br", "bc").distinct())
+        # a block is woken where a neighbour's border cell lies lower than its own cell beside it can make use of
+        edge = done.where("changed").where((F.pmod("row", F.lit(block)).isin(0, block - 1)) | (F.pmod("col", F.lit(block)).isin(0, block - 1)))
+        woken = checkpointed(useful(edge, state, block).select("br", "bc").distinct())
         if woken.limit(1).count() == 0:
             return state
     raise AssertionError
 
 
+def useful(edge: DataFrame, state: DataFrame, block: int) -> DataFrame:
+    """The blocks (br, bc) that changed border cells of other blocks (row, col, f) can lower."""
+    near = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in NEIGHBOURS])).alias("n")
+    size = F.lit(block)
+    reached = edge.select(F.col("f").alias("by"), F.floor(F.col("row") / size).alias("r0"), F.floor(F.col("col") / size).alias("c0"), near).select("by", "r0", "c0", "n.row", "n.col")
+    reached = reached.withColumn("br", F.floor(F.col("row") / size).cast("int")).withColumn("bc", F.floor(F.col("col") / size).cast("int")).where("br <> r0 OR bc <> c0")
+    lowest = reached.groupBy("row", "col", "br", "bc").agg(F.min("by").alias("by"))
+    return lowest.join(state.select("row", "col", F.col("z").alias("_z"), F.col("f").alias("_f")), ["row", "col"]).where("by < _f AND _z < _f")
+
+
+def unsettled(filled: DataFrame, block: int, whole: bool) -> DataFrame:
+    """Cells that neither start a fill nor lie where their lowest neighbour leaves them."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame(pdf, block)
+        n = block + 4
+        f, z = pdf["f"].to_numpy(), pdf["z"].to_numpy()
+        grid = np.full((n, n), np.iinfo(np.int64).max - 1 if whole else np.inf, f.dtype)
+        grid[r, c] = f
+        low = np.minimum.reduce([grid[r + dr, c + dc] for dr, dc in NEIGHBOURS])
+        want = np.where(rim_of(r, c, n), z, np.maximum(z, low + 1 if whole else np.nextafter(low, np.inf)))
+        return pdf.loc[pdf["own"] & (want != f), ["row", "col"]]
+
+    return around(filled.select("row", "col", "z", "f"), block).groupBy("br", "bc").applyInPandas(kernel, "row int, col int")
+
+
+#: What lies beyond the grid, as a catchment.
+BEYOND = -(1 << 62)
+
+
+def levels(cells: DataFrame, block: int) -> DataFrame:
+    """`row, col, z, w`: the lowest level at which water can leave the grid from each cell, without any step up.
+
+    Each block is flooded from its border: every cell belongs to the catchment of the border cell (or of a cell at the
+    grid's own rim) that it drains to, and catchments that touch have a pass. Over the blocks' borders the passes make a
+    graph of border catchments; Boruvka's rounds give each catchment its level, and a last join takes it back to the cells.
+    """
+    kind = dict(cells.dtypes)["z"]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame(pdf, block)
+        n = block + 4
+        own, z = pdf["own"].to_numpy(), pdf["z"].to_numpy()
+        at, node_ = r * n + c, pdf["row"].to_numpy().astype(np.int64) * ROW + pdf["col"].to_numpy()
+        rim = own & rim_of(r, c, n)
+        border = own & ((r == 2) | (r == block + 1) | (c == 2) | (c == block + 1))
+        zs = padded(r, c, n, z, 0)
+        names: list = [None] * (n * n)
+        for k, i, b in zip(at[rim | border].tolist(), node_[rim | border].tolist(), rim[rim | border].tolist(), strict=True):
+            names[k] = BEYOND if b else i
+        heap = list(zip(z[rim | border].tolist(), at[rim | border].tolist(), strict=True))
+        heapq.heapify(heap)
+        mine = bytearray(n * n)
+        for k in at[own].tolist():
+            mine[k] = 1
+        f = list(zs)
+        passes: dict = {}
+        steps = [dr * n + dc for dr, dc in NEIGHBOURS]
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            v, k = pop(heap)
+            mark = names[k]
+            for s in steps:
+                j = k + s
+                if not mine[j]:
+                    continue
+                other = names[j]
+                if other is None:
+                    names[j] = mark
+                    f[j] = zs[j] if zs[j] > v else v
+                    push(heap, (f[j], j))
+                elif other != mark:
+                    over = f[j] if f[j] > v else v
+                    pair = (mark, other) if mark < other else (other, mark)
+                    if pair not in passes or over < passes[pair]:
+                        passes[pair] = over
+        line = at[own].tolist()
+        inner = pd.DataFrame({"row": pdf.loc[own, "row"], "col": pdf.loc[own, "col"], "z": z[own], "f": np.array([f[k] for k in line], z.dtype), "a": np.array([names[k] for k in line], np.int64), "b": np.int64(0), "cell": True})
+        # over the border: to each neighbour in another block, at the higher of the two
+        grid, held = np.zeros((n, n), z.dtype), np.zeros((n, n), np.int64)
+        grid[r, c], held[r, c] = z, np.where(own, 0, 1)
+        number = np.zeros((n, n), np.int64)
+        number[r, c] = node_
+        edge = np.flatnonzero(border)
+        over = [(node_[e], number[r[e] + dr, c[e] + dc], np.maximum(z[e], grid[r[e] + dr, c[e] + dc])) for dr, dc in NEIGHBOURS for e in [edge[held[r[edge] + dr, c[edge] + dc] == 1]]]
+        beyond = dict(zip(node_[rim & border].tolist(), itertools.repeat(BEYOND)))
+        pairs = [(p, q, w) for (p, q), w in passes.items()] + [(beyond.get(p, p), q, w) for a, b, o in over for p, q, w in zip(a.tolist(), b.tolist(), o.tolist(), strict=True)]
+        graph = pd.DataFrame(pairs, columns=["a", "b", "f"]).astype({"a": "int64", "b": "int64", "f": z.dtype}).assign(row=0, col=0, z=np.zeros(1, z.dtype)[0], cell=False)
+        # a neighbour at the rim goes by the name of what lies beyond; its own block says so
+        rims = pd.DataFrame({"a": np.array(sorted(beyond), np.int64)}).assign(b=np.int64(BEYOND), f=np.array([zs[k] for k in at[rim & border][np.argsort(node_[rim & border])].tolist()], z.dtype), row=0, col=0, z=np.zeros(1, z.dtype)[0], cell=False)
+        return pd.concat([inner, graph, rims])[["row", "col", "z", "f", "a", "b", "cell"]]
+
+    local = checkpointed(around(cells.select("row", "col", "z"), block).groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, a long, b long, cell boolean"))
+    passes = local.where("NOT cell").select("a", "b", F.col("f").alias("w"))
+    known = spilled(passes)
+    inner = local.where("cell").select("row", "col", "z", "f", F.col("a").alias("node"))
+    return checkpointed(inner.join(known, "node", "left").select("row", "col", "z", F.greatest("f", "level").alias("w")))
+
+
+def spilled(passes: DataFrame) -> DataFrame:
+    """(node, level) for catchments joined by `passes` (a, b, w): the least height of the highest pass on a way to BEYOND.
+
+    Boruvka's rounds: every group of catchments takes its lowest pass, which all its members have to cross at least; what
+    groups take gets lower along a chain of takings, so that one height is the level of the whole chain so far.
+    """
+    low = lambda rows: rows.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
+    edges = checkpointed(low(passes))
+    known = None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        order = F.struct("w", F.least("a", "b"), F.greatest("a", "b"))
+        taken = checkpointed(both.where(F.col("a") != BEYOND).groupBy(F.col("a").alias("node")).agg(F.min_by("b", order).alias("to"), F.min("w").alias("w")))
+        back = taken.select(F.col("node").alias("to"), F.col("to").alias("_back"))
+        roots = ends(taken.join(back, "to", "left").select("node", F.when((F.col("_back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to")))
+        joined = taken.select("node", "w").join(roots, "node")
+        if known is None:
+            known = joined.select("node", F.col("root").alias("group"), F.col("w").alias("level"))
+        else:
+            after = joined.select(F.col("node").alias("group"), F.col("root").alias("_root"), F.col("w").alias("_w"))
+            known = known.join(after, "group", "left").select("node", F.coalesce("_root", "group").alias("group"), F.greatest("level", "_w").alias("level"))
+        known = checkpointed(known)
+        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        edges = checkpointed(low(edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "w")))
+    return known.select("node", "level") if known is not None else edges.select(F.col("a").alias("node"), F.col("w").alias("level"))
+
+
+def ends(pointers: DataFrame) -> DataFrame:
+    """(node, root) for pointers (node, to) of trees whose roots point to themselves or have none: where each ends, by doubling."""
+    state = checkpointed(pointers.select("node", F.col("to").alias("root")))
+    while True:
+        ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        after = checkpointed(state.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), (F.col("_next") != F.col("root")).alias("moved")))
+        if after.where("moved").limit(1).count() == 0:
+            return state
+        state = after.drop("moved")
+
+
 def directions(filled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = 256) -> DataFrame:
     """(row, col, f, node, down): down is the neighbour of the steepest descent, the first in order among equals, null without one."""
     reach = np.array([math.hypot(dr * dy, dc * dx) for dr, dc in NEIGHBOURS])[:, None]

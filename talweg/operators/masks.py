@@ -16,17 +16,6 @@ from ..session import checkpointed, ship
 from . import hydro, overlay
 
 
-def settled(parents: DataFrame) -> DataFrame:
-    """(node, root) for pointers (node, to) that lead to smaller nodes or to the node itself: where each ends, by doubling."""
-    state = checkpointed(parents.select("node", F.col("to").alias("root")))
-    while True:
-        ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        after = checkpointed(state.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), (F.col("_next") < F.col("root")).alias("moved")))
-        if after.where("moved").limit(1).count() == 0:
-            return state
-        state = after.drop("moved")
-
-
 def merged(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (a, b): the smallest node that it reaches. Each round hooks every node to its
     smallest neighbour, follows these hooks to their ends and goes on with links between the ends; it halves the nodes at least."""
@@ -34,7 +23,7 @@ def merged(links: DataFrame) -> DataFrame:
     known = None
     while links.limit(1).count():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        hooks = hydro.ends(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
         known = checkpointed(hooks if known is None else known.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root")))
         a, b = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         links = checkpointed(links.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
