@@ -1,9 +1,10 @@
 """Operator 2, chat formatting: a grammar that is checked by a round trip.
 
 A conversation becomes one text of turns: `<<SYS>>…<</SYS>>` for system, `[INST] … [/INST]` for user, `…</s>`
-for assistant and `<|turn:ROLE|>…<|end|>` for any other role. A deterministic parser reads the text back. Turns
-that do not come back identical hold control strings (or look-alikes of escaped ones): one backslash goes behind
-the first character of each such string in them, and the text is rendered and parsed again until it is identical.
+for assistant and `<|turn:ROLE|>…<|end|>` for any other role. A deterministic parser reads the text back; a control string amid a
+turn breaks its grammar, whether or not it would end the turn, since a tokenizer that knows the template would take it
+for one. Turns that do not come back identical hold control strings (or look-alikes of escaped ones): one backslash goes
+behind the first character of each such string in them, and the text is rendered and parsed again until it is identical.
 The parser drops one backslash from every escaped string, so escaping is reversible for any text.
 
 Defined results: null texts and null roles count as empty strings; turns are ordered by (turn, role, text), nulls
@@ -32,6 +33,9 @@ OTHER_OPEN, OTHER_MID, OTHER_CLOSE = "<|turn:", "|>", "<|end|>"
 CONTROL = re.compile(r"(<)(\\*)(</?SYS>>|/SYS>>|/s>|\|turn:|\|end\|>)|(\[)(\\*)(/?INST\])|(\|)(\\*)(>)")
 ESCAPED = re.compile(r"([<\[|])\\(\\*)(<?/?SYS>>|/s>|\|turn:|\|end\|>|/?INST\]|>)")
 
+#: What no turn holds as it is.
+RAW = re.compile(r"<<SYS>>|<</SYS>>|\[/?INST\]|</s>|<\|turn:|<\|end\|>")
+
 Turn = tuple[str, str]
 
 
@@ -60,7 +64,7 @@ def render(turns: list[Turn], escaped: set[int]) -> tuple[str, list[tuple[int, i
 
 
 def parse(text: str) -> list[Turn] | None:
-    """The turns of a rendered text; None where it breaks the grammar. The opening decides, then the first closing ends the turn."""
+    """The turns of a rendered text; None where it breaks the grammar. The opening decides, then the first closing ends the turn, and no control string lies between."""
     turns, at = [], 0
     while at < len(text):
         role = next((r for r in ("system", "user") if text.startswith(OPEN[r], at)), "assistant")
@@ -70,9 +74,12 @@ def parse(text: str) -> list[Turn] | None:
             mid = text.find(OTHER_MID, at + len(OTHER_OPEN))
             if mid < 0:
                 return None
-            role, closing, at = unescape(text[at + len(OTHER_OPEN) : mid]), OTHER_CLOSE, mid + len(OTHER_MID)
+            role, closing, at = text[at + len(OTHER_OPEN) : mid], OTHER_CLOSE, mid + len(OTHER_MID)
+            if RAW.search(role):
+                return None
+            role = unescape(role)
         end = text.find(closing, at)
-        if end < 0:
+        if end < 0 or RAW.search(text, at, end):
             return None
         turns.append((role, unescape(text[at:end])))
         at = end + len(closing)
@@ -147,14 +154,14 @@ def query(convs: DataFrame) -> DataFrame:
     return read_back(format_chats(asked, "_probe"))
 
 
-#: The same in DuckDB SQL. A turn conflicts if it holds an escaped control string, its own closing, or an opening at the start of an assistant's text.
+#: The same in DuckDB SQL. A turn conflicts if it holds a control string, an escaped one, its own closing, or an opening at the start of an assistant's text.
 CONTROLS = r"(?:<\\*(?:</?SYS>>|/SYS>>|/s>|\|turn:|\|end\|>)|\[\\*/?INST\]|\|\\*>)"
 ORACLE = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', true), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', true)),
 framed AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '' ELSE '<|turn:' || role || '|>' END AS opening,
     CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '<|end|>' END AS closing FROM t),
-judged AS (SELECT *, strpos(text || closing, closing) <= length(text) OR regexp_matches(text, '(?:[<\[|]\\+(?:<?/?SYS>>|/s>|\|turn:|\|end\|>|/?INST\]|>))')
+judged AS (SELECT *, regexp_matches(text, '<<SYS>>|<</SYS>>|\[/?INST\]|</s>|<\|turn:|<\|end\|>') OR strpos(text || closing, closing) <= length(text) OR regexp_matches(text, '(?:[<\[|]\\+(?:<?/?SYS>>|/s>|\|turn:|\|end\|>|/?INST\]|>))')
     OR (role = 'assistant' AND (starts_with(text, '<<SYS>>') OR starts_with(text, '[INST] ') OR starts_with(text, '<|turn:'))) AS conflict FROM framed),
 sized AS (SELECT *, length(opening) + length(text) + length(closing) + CASE WHEN conflict THEN len(regexp_extract_all(text, '{CONTROLS}')) ELSE 0 END AS chars FROM judged),
 grouped AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,

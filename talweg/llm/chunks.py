@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_tasks, pieces, ship
+from .common import in_tasks, pieces, ship, unused
 
 WINDOW = 32
 #: The gear values, by a rule: 32 bits of the XXH64 of each byte.
@@ -262,13 +262,13 @@ def passages(docs: DataFrame, text: str = "text", passage: int = 80, every: int
 
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without the repeated spans that are not the first of their kind; bytes of a character cut in two go too."""
-    drop = found.select(F.col("doc_id").alias("_id"), F.filter("spans", lambda x: ~x["first"]).alias("_drop"))
-    raw = F.encode(F.col(text), "UTF-8")
-    kept = F.expr("""concat(transform(sequence(0, size(_drop)), i -> struct(
-        if(i = 0, 0, greatest(0, _drop[i - 1].end)) AS x, if(i = size(_drop), octet_length(_raw), _drop[i].start) AS y)), cast(array() AS array<struct<x:int,y:int>>))""")
-    joined = docs.join(drop, docs["doc_id"] == drop["_id"], "left").withColumn("_raw", raw).withColumn("_keep", F.when(F.size("_drop") > 0, kept))
-    glued = F.expr("aggregate(_keep, cast('' AS binary), (a, k) -> concat(a, substring(_raw, k.x + 1, greatest(0, k.y - k.x))))")
-    cleaned = F.when(F.col("_keep").isNull(), F.col(text)).otherwise(F.make_valid_utf8(glued.cast("string")))
+    own, drop, raw, keep = unused(docs, "_id", "_drop", "_raw", "_keep")
+    cut = found.select(F.col("doc_id").alias(own), F.filter("spans", lambda x: ~x["first"]).alias(drop))
+    kept = F.expr(f"""concat(transform(sequence(0, size({drop})), i -> struct(
+        if(i = 0, 0, greatest(0, {drop}[i - 1].end)) AS x, if(i = size({drop}), octet_length({raw}), {drop}[i].start) AS y)), cast(array() AS array<struct<x:int,y:int>>))""")
+    joined = docs.join(cut, docs["doc_id"] == cut[own], "left").withColumn(raw, F.encode(F.col(text), "UTF-8")).withColumn(keep, F.when(F.size(drop) > 0, kept))
+    glued = F.expr(f"aggregate({keep}, cast('' AS binary), (a, k) -> concat(a, substring({raw}, k.x + 1, greatest(0, k.y - k.x))))")
+    cleaned = F.when(F.col(keep).isNull(), F.col(text)).otherwise(F.make_valid_utf8(glued.cast("string")))
     return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns])
 
 

@@ -72,6 +72,12 @@ def drop_tree(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k).lower() not in taken) for name in names]
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, also where `body` uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -16,7 +16,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, words_of
+from .common import SPACES, let, words_of, unused
 
 SYMBOLS = "[#*$%&|<>]"
 #: A line of text ends in one of these, closing marks left aside: Latin and Greek, wide forms, Arabic, Indic, Armenian, Ethiopic.
@@ -107,9 +107,10 @@ def any_of(tests) -> Column:
 def clean(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_left: float = 0.5) -> DataFrame:
     """`docs` with the counts, `base_failed`, `clean_text` (lines that pass), `left_chars` (its length) and `kept`."""
     t = F.coalesce(F.col(text), F.lit(""))
-    own = F.struct(word_counts(t).alias("_w"), line_counts(t).alias("_l"))
+    words, lines = unused(docs, "_w", "_l")
+    own = F.struct(word_counts(t).alias(words), line_counts(t).alias(lines))
     out = docs.select("*", F.inline(F.array(own)))  # the generator keeps the optimizer from computing the lambdas once per use
-    w, x = F.col("_w"), F.col("_l")
+    w, x = F.col(words), F.col(lines)
     failed = (w["n_words"] < min_words) | (100 * w["n_repeat_words"] > max_repeat_percent * w["n_words"])
     left = F.length(x["clean_text"]).cast("long")
     new = {

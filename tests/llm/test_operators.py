@@ -375,3 +375,30 @@ def test_embeddings(spark):
     for block in (1024, 8):
         assert Counter((g["vec_id"], g["n_links"], g["component_id"]) for g in embeddings.near_duplicates(df, block=block).collect()) == want
     assert embeddings.query(df.where("false")).count() == 0
+
+
+def test_chat_escapes_every_control_string(spark):
+    strings = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "</s>", "<|turn:", "<|end|>"]
+    for role in ("system", "user", "assistant", "tool", "[INST]", "a</s>"):
+        for s in strings:
+            for text in (f"a {s} b", s, f"{s}{s}", f"see {s} x <\\/s> y"):
+                turns = [("user", "hi"), (role, text), ("assistant", "ok")]
+                out, spans, _ = chat.format_turns(turns)
+                assert chat.parse(out) == turns
+                bare = out
+                for opening in sorted({*filter(None, chat.OPEN.values()), *chat.CLOSE.values(), chat.OTHER_OPEN, chat.OTHER_CLOSE}, key=len, reverse=True):
+                    bare = bare.replace(opening, "") if opening.strip() != s else bare
+                framed = sum(s in (chat.OPEN.get(r, chat.OTHER_OPEN).strip(), chat.CLOSE.get(r, chat.OTHER_CLOSE).strip()) for r, _ in turns)
+                assert out.count(s) == framed, (role, s, text)
+                assert not any(chat.RAW.search(out[a:b]) for a, b in spans)
+    kept = spark.createDataFrame([(1, 0, "user", "x </s> y", 5)], "conv_id long, turn long, role string, text string, formatted int")
+    assert {r["conv_id"]: r["n_turns"] for r in chat.query(kept).collect()} == {1: 1, -7: 2} and chat.query(kept.limit(0)).count() == 1
+
+
+def test_columns_of_any_name_pass_through(spark):
+    long = " ".join(f"word{i}" for i in range(70)) + "."
+    docs = spark.createDataFrame([(1, f"{long}\n{long}", 3, 4, 5, 6, 7, 8), (2, long, 3, 4, 5, 6, 7, 8)], "doc_id long, text string, _w int, _l int, _drop int, _keep int, _raw int, _id int")
+    named = ["_w", "_l", "_drop", "_keep", "_raw", "_id"]
+    assert [tuple(r[c] for c in named) for r in rules.clean(docs).collect()] == [(3, 4, 5, 6, 7, 8)] * 2
+    gone = {r["doc_id"]: r for r in chunks.remove(docs, chunks.passages(docs)).collect()}
+    assert all(tuple(r[c] for c in named) == (3, 4, 5, 6, 7, 8) for r in gone.values()) and len(gone[2]["text"]) < len(long)
