@@ -102,20 +102,40 @@ def to_lonlat(x: Column, y: Column, epsg: Column) -> Column:
     return F.when(is_geographic(epsg), plain).when(is_psad56(epsg), old).when(is_utm(epsg), unprojected(x, y, meridian, south, WGS84))
 
 
-def from_lonlat(lon: Column, lat: Column, epsg: Column) -> Column:
-    """struct<x, y> in the UTM system `epsg` on WGS 84; null for other systems."""
+def projected(lon: Column, lat: Column, meridian: Column, south: Column, on: Ellipsoid) -> Column:
+    """struct<x, y> of longitude and latitude on an ellipsoid."""
     atanh = lambda v: 0.5 * F.log((1 + v) / (1 - v))
 
     def sphere(s: Column) -> Column:
-        t, d = F.sinh(atanh(s) - FIRST * atanh(FIRST * s)), F.radians(lon - central_meridian(epsg))
+        t, d = F.sinh(atanh(s) - on.first * atanh(on.first * s)), F.radians(lon - meridian)
         return let(F.struct(t.alias("t"), d.alias("d")), lambda q: F.struct(F.atan2(q["t"], F.cos(q["d"])).alias("xi"), atanh(F.sin(q["d"]) / F.sqrt(1 + q["t"] * q["t"])).alias("eta")))
 
     def plane(p: Column) -> Column:
-        xi = p["xi"] + sum((a * F.sin(2 * (j + 1) * p["xi"]) * F.cosh(2 * (j + 1) * p["eta"]) for j, a in enumerate(FORWARD)), F.lit(0.0))
-        eta = p["eta"] + sum((a * F.cos(2 * (j + 1) * p["xi"]) * F.sinh(2 * (j + 1) * p["eta"]) for j, a in enumerate(FORWARD)), F.lit(0.0))
-        return F.struct((FALSE_EAST + SCALE * RADIUS * eta).alias("x"), (F.when(is_south(epsg), FALSE_NORTH).otherwise(0.0) + SCALE * RADIUS * xi).alias("y"))
+        xi = p["xi"] + sum((a * F.sin(2 * (j + 1) * p["xi"]) * F.cosh(2 * (j + 1) * p["eta"]) for j, a in enumerate(on.forward)), F.lit(0.0))
+        eta = p["eta"] + sum((a * F.cos(2 * (j + 1) * p["xi"]) * F.sinh(2 * (j + 1) * p["eta"]) for j, a in enumerate(on.forward)), F.lit(0.0))
+        return F.struct((FALSE_EAST + SCALE * on.radius * eta).alias("x"), (F.when(south, FALSE_NORTH).otherwise(0.0) + SCALE * on.radius * xi).alias("y"))
+
+    return let(let(F.sin(F.radians(lat)), sphere), plane)
+
+
+def unshifted(lon: Column, lat: Column) -> Column:
+    """struct<lon, lat> in PSAD56 of WGS 84. Either way drops a height of some metres, which leaves millimetres; one step back takes these out."""
+    back = tuple(-v for v in PSAD56_SHIFT)
+    ll = lambda a, b: F.struct(a.alias("lon"), b.alias("lat"))
+    near = shifted(ll(lon, lat), WGS84, INTERNATIONAL, back)
+    return let(near, lambda p: let(shifted(p, INTERNATIONAL, WGS84, PSAD56_SHIFT), lambda q: ll(p["lon"] + (lon - q["lon"]), p["lat"] + (lat - q["lat"]))))
+
+
+def from_lonlat(lon: Column, lat: Column, epsg: Column) -> Column:
+    """struct<x, y> in the UTM system `epsg`, of WGS 84 or PSAD56; null for other systems."""
+    meridian, south = central_meridian(epsg), is_south(epsg)
+    old = let(unshifted(lon, lat), lambda p: projected(p["lon"], p["lat"], meridian, south, INTERNATIONAL))
+    return F.when(is_psad56(epsg), old).when(is_utm(epsg), projected(lon, lat, meridian, south, WGS84))
+
 
-    return F.when(is_utm(epsg) & ~is_psad56(epsg), let(let(F.sin(F.radians(lat)), sphere), plane))
+def known(epsg: int) -> bool:
+    """Whether a code is one of the systems that coordinates can be brought to."""
+    return epsg in GEOGRAPHIC or any(a <= epsg <= z for a, z, *_ in UTM_RANGES)
 
 
 def resolve_system(requests: DataFrame, bases: DataFrame) -> DataFrame:

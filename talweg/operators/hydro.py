@@ -494,39 +494,13 @@ def snap_candidates(flow: DataFrame, row: int, col: int, threshold: int, radius_
     return found.withColumn("place", F.row_number().over(W.orderBy("distance_m", F.desc("acc"), "row", "col")))  # a window of radius_m: bounded
 
 
-def ring(mask: DataFrame) -> list[tuple[int, int]]:
-    """The outline of a cell set (row, col) as corner points (col, row): of its largest 4-connected part, holes left out.
+def ring(mask: DataFrame, block: int = 256) -> list[tuple[int, int]]:
+    """The outline of a cell set (row, col) as corner points (col, row): of its largest part of cells that share sides, holes
+    left out. Only that ring comes to the driver."""
+    from . import masks
 
-    The sides without a neighbour are found by anti-joins; only they, the perimeter, come to the driver to be walked.
-    """
-    sides = None
-    for dr, dc, start, end in ((-1, 0, (0, 0), (0, 1)), (0, 1, (0, 1), (1, 1)), (1, 0, (1, 1), (1, 0)), (0, -1, (1, 0), (0, 0))):
-        other = mask.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"))
-        bare = mask.join(other, ["row", "col"], "left_anti").select((F.col("row") + start[0]).alias("r0"), (F.col("col") + start[1]).alias("c0"), (F.col("row") + end[0]).alias("r1"), (F.col("col") + end[1]).alias("c1"))
-        sides = bare if sides is None else sides.unionByName(bare)
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r0, c0, r1, c1 in sorted(map(tuple, sides.collect())):
-        after.setdefault((r0, c0), []).append((r1, c1))
-    best: tuple[float, list[tuple[int, int]]] = (0.0, [])
-    while after:
-        at = start = next(iter(after))
-        heading, line = None, []
-        while True:
-            ways = after[at]
-            # where two parts touch at a corner, the sharper right turn stays with its own part
-            turn = lambda p, at=at, heading=heading: 0 if heading is None else heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0])
-            to = min(ways, key=lambda p: -turn(p))
-            ways.remove(to)
-            if not ways:
-                del after[at]
-            line.append(at)
-            heading, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-        size = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(line, line[1:] + line[:1], strict=True)) / 2
-        if abs(size) > best[0] and size > 0:
-            best = (abs(size), [(c, r) for r, c in line])
-    return best[1]
+    best = masks.outlines(mask, block).where("twice > 0").orderBy(F.desc("twice"), "label").limit(1).first()
+    return [(p["x"], -p["y"]) for p in best["points"]] if best else []
 
 
 def dilated(mask: DataFrame, radius: float) -> DataFrame:

@@ -16,22 +16,11 @@ def valid(cells: DataFrame, nodata: float | None = -9999.0) -> DataFrame:
     return cells.where(fine if nodata is None else fine & (z != nodata))
 
 
-def target_grid(ring: Column, cell: float) -> Column:
-    """struct<x0, y0, width, height>: the grid over a ring's bounds, its corner on multiples of the cell size."""
-    b = geom.bounds(ring)
-    x0, y0 = F.floor(b["west"] / cell) * cell, F.ceil(b["north"] / cell) * cell
-    return F.struct(x0.alias("x0"), y0.alias("y0"), F.ceil((b["east"] - x0) / cell).cast("long").alias("width"), F.ceil((y0 - b["south"]) / cell).cast("long").alias("height"))
-
-
 def mosaic(parts: DataFrame) -> DataFrame:
     """Cells (row, col, z, priority) of overlapping tiles: the first valid one of each place, the lowest among equals."""
     return valid(parts).groupBy("row", "col").agg(F.min_by("z", F.struct("priority", "z")).alias("z"))
 
 
-def cell_of(x: Column, y: Column, x0: float, y0: float, cell: float) -> Column:
-    return F.struct(F.floor((y0 - y) / cell).cast("int").alias("row"), F.floor((x - x0) / cell).cast("int").alias("col"))
-
-
 def centre(row: Column, col: Column, x0: float, y0: float, cell: float) -> Column:
     return geom.point(x0 + (col + 0.5) * cell, y0 - (row + 0.5) * cell)
 
@@ -68,6 +57,27 @@ def cloud_counts(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*by).agg(cloudy.alias("cloudy"), seen.alias("seen"), (100 * cloudy / F.greatest(seen, F.lit(1))).alias("cloud_pct"))
 
 
-def zero_trap(cells: DataFrame) -> DataFrame:
-    """Cells of elevation exactly 0 amid higher ground, the sign of a mask written as zero: their number."""
-    return cells.agg(F.count_if(F.col("z") == 0).alias("zeros"), F.count("*").alias("cells"), F.min("z").alias("lowest"))
+def spans(shapes: DataFrame, x0: float, y0: float, cell: float, height: int, width: int, key: str = "id") -> DataFrame:
+    """(key, row, lo, hi): for every row of a grid that a polygon of `shapes` (key, parts) covers, the stretches of x inside, at
+    the height of the row's cell centres. Edges are dealt to the rows whose centres they pass, so no cell meets an edge; the
+    crossings of a row, sorted, bound its stretches. Odd numbers of rings are inside."""
+    a, b = F.col("e.a"), F.col("e.b")
+    row = lambda y: (y0 - y) / cell - 0.5
+    edge = shapes.select(key, F.explode("parts").alias("r")).select(key, F.explode(geom.edges(F.col("r"))).alias("e")).where(a["y"] != b["y"])
+    first, last = F.greatest(F.lit(0), F.floor(row(F.greatest(a["y"], b["y"])))), F.least(F.lit(height - 1), F.ceil(row(F.least(a["y"], b["y"]))))
+    dealt = edge.where(first <= last).select(key, "e", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("row"))
+    y = y0 - (F.col("row") + 0.5) * cell
+    met = dealt.where((a["y"] > y) != (b["y"] > y)).select(key, "row", ((b["x"] - a["x"]) * ((y - a["y"]) / (b["y"] - a["y"])) + a["x"]).alias("x"))
+    line = met.groupBy(key, "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", 2 * i).alias("lo"), F.get("xs", 2 * i + 1).alias("hi")))
+    return line.select(key, "row", F.inline(pairs)).where((F.col("hi") > x0) & (F.col("lo") < x0 + width * cell) & (F.col("lo") < F.col("hi")))
+
+
+def covered(shapes: DataFrame, x0: float, y0: float, cell: float, height: int, width: int, key: str = "id") -> DataFrame:
+    """(key, row, col): the cells of a grid whose centres are in the polygons of `shapes` (key, parts)."""
+    column = lambda x: (x - x0) / cell - 0.5
+    first, last = F.greatest(F.lit(0), F.floor(column(F.col("lo")))), F.least(F.lit(width - 1), F.ceil(column(F.col("hi"))))
+    rows = spans(shapes, x0, y0, cell, height, width, key).where(first <= last)
+    at = rows.select(key, "row", "lo", "hi", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("col"))
+    x = x0 + (F.col("col") + 0.5) * cell
+    return at.where((x >= F.col("lo")) & (x < F.col("hi"))).select(key, "row", "col")

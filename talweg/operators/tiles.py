@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, geom, text
 from ..schemas import SHEET_WEST, Parameters
+from ..session import checkpointed
+from . import overlay
 
 TILE_TOLERANCE, SHEET_TOLERANCE = 1e-9, 1e-10
 TILE = "array<struct<lat0:int,lon0:int,size:int>>"
@@ -27,14 +29,33 @@ def preliminary_aoi(requests: DataFrame, params: Parameters = Parameters()) -> D
     return requests.withColumn("margin_m", margin).withColumn("method", method).withColumn("ring", F.when(hx.isNotNull(), shape).otherwise(geom.circle(x, y, m)))
 
 
+def widened(aois: DataFrame, metres: Column, key: str = "id") -> DataFrame:
+    """`aois` with `ring` grown to all within `metres` (a column) of it. Convex rings are grown in place, the others by an
+    overlay; of these the outer line counts, so an enclosed hole is part of the area."""
+    marked = aois.withColumn("_metres", metres).withColumn("_round", geom.is_convex(F.col("ring")))
+    convex = marked.where("_round").withColumn("ring", geom.buffered(F.col("ring"), F.col("_metres"))).select(*aois.columns)
+    other = checkpointed(marked.where("NOT _round"))
+    if other.limit(1).count() == 0:
+        return convex
+    grown = overlay.buffered(other.select(key, "ring", "_metres"), F.col("_metres"), key).select(key, F.get("parts", F.lit(0)).alias("_ring"))
+    return convex.unionByName(other.join(grown, key).withColumn("ring", F.col("_ring")).select(*aois.columns))
+
+
 def enlarged(ring: Column, factor: float) -> Column:
-    """All within the equal-area radius times (factor - 1) of a convex ring."""
+    """All within the equal-area radius times (factor - 1) of a convex ring; another ring is an error."""
     return geom.let(ring, lambda r: geom.buffered(r, F.sqrt(geom.area(r) / F.pi()) * (factor - 1)))
 
 
-def two_point_box(x: Column, y: Column, hx: Column, hy: Column, margin: float = 0.0) -> Column:
-    """The rectangle of two points with a margin."""
-    return geom.box(F.least(x, hx) - margin, F.least(y, hy) - margin, F.greatest(x, hx) + margin, F.greatest(y, hy) + margin)
+def enlarged_areas(aois: DataFrame, factor: float, key: str = "id") -> DataFrame:
+    """`aois` with `ring`, of any shape, grown by its equal-area radius times (factor - 1)."""
+    return widened(aois, F.sqrt(geom.area(F.col("ring")) / F.pi()) * (factor - 1), key)
+
+
+def final_area(basins: DataFrame, params: Parameters = Parameters(), key: str = "id") -> DataFrame:
+    """`basins` (key, ring) with `margin_m` and the ring grown by it: a share of the diagonal of its bounds, a minimum at least."""
+    b = geom.bounds(F.col("ring"))
+    margin = F.greatest(F.lit(float(params.margen_final_min_m)), params.margen_final_frac * F.hypot(b["east"] - b["west"], b["north"] - b["south"]))
+    return widened(basins.withColumn("margin_m", margin), F.col("margin_m"), key)
 
 
 def to_lonlat(aois: DataFrame, step: float = 250.0) -> DataFrame:

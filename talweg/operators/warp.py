@@ -40,11 +40,13 @@ def shape(ring: Ring) -> Column:
 
 
 def between(x: Column, y: Column, source: int, target: int) -> Column:
-    """struct<x, y> of a point of one system in another."""
+    """struct<x, y> of a point of one system in another; an unknown system is an error."""
+    if unknown := [e for e in (source, target) if not crs.known(e)]:
+        raise ValueError(f"unknown coordinate system {unknown[0]}")
     if source == target:
         return geom.point(x, y)
     ll = crs.to_lonlat(x, y, F.lit(source))
-    return geom.let(ll, lambda p: geom.point(p["lon"], p["lat"]) if target == 4326 else crs.from_lonlat(p["lon"], p["lat"], F.lit(target)))
+    return geom.let(ll, lambda p: geom.point(p["lon"], p["lat"]) if target in crs.GEOGRAPHIC else crs.from_lonlat(p["lon"], p["lat"], F.lit(target)))
 
 
 def box_in(spark: SparkSession, ring: Ring, source: int, target: int, pad: float = 0.0) -> tuple[float, float, float, float]:
@@ -66,9 +68,9 @@ def warped(spark: SparkSession, paths: list[str], ring: Ring, epsg: int, cell: f
     """
     grid = grid_over(ring, cell, epsg, most)
     number = F.col("id")
-    at = spark.range(grid.width * grid.height).select("id", F.floor(number / grid.width).cast("int").alias("row"), (number % grid.width).cast("int").alias("col"))
-    centre = raster.centre(F.col("row"), F.col("col"), grid.x0, grid.y1, cell)
-    target = at.withColumn("p", centre).where(geom.contains(shape(ring), F.col("p.x"), F.col("p.y")))
+    area = spark.createDataFrame([(1, [[{"x": float(x), "y": float(y)} for x, y in ring]])], f"area int, parts array<{geom.POINTS}>")
+    inside = raster.covered(area, grid.x0, grid.y1, cell, grid.height, grid.width, "area")
+    target = inside.select((F.col("row").cast("long") * grid.width + F.col("col")).alias("id"), "row", "col", raster.centre(F.col("row"), F.col("col"), grid.x0, grid.y1, cell).alias("p"))
     lattices: dict[tuple, list[str]] = {}
     for path in dict.fromkeys(paths):
         a = rasters.layout(path)

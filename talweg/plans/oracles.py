@@ -114,6 +114,8 @@ OVERLAP = lambda w, s, e, n, w2, s2, e2, n2: f"greatest(0, least({e}, {e2}) - gr
 #: An L as two boxes side by side: the foot and the rest of the stem.
 BOXES = lambda t, dx, dy: [(f"{dx}", f"{dy}", f"{t}.s + {dx}", f"{t}.a + {dy}"), (f"{dx}", f"{t}.a + {dy}", f"{t}.a + {dx}", f"{t}.s + {dy}")]
 
+NOTCHED = [(3.2, 3.1), (36.3, 8.4), (30.7, 35.2), (18.1, 17.3), (5.4, 30.6)]
+
 ORACLES = {
     "utm_inverse": f"SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM {lonlat(P)}",
     "utm_round_trip": f"SELECT id, true AS same FROM {P}",
@@ -189,5 +191,7 @@ ORACLES = {
         CASE r WHEN 1 THEN v - 0.5e0 - floor(v - 0.5e0) ELSE 1 - (v - 0.5e0 - floor(v - 0.5e0)) END * CASE c WHEN 1 THEN u - 0.5e0 - floor(u - 0.5e0) ELSE 1 - (u - 0.5e0 - floor(u - 0.5e0)) END AS w FROM {SAMPLES}, range(0, 2) a(r), range(0, 2) b(c)) k JOIN dem USING (row, col) WHERE w > 0 GROUP BY id""",
     "nearest_sample": f"WITH {DEM.format(1)} SELECT id, z FROM {SAMPLES} s JOIN dem ON row = floor(v) AND col = floor(u)",
     "polygon_mask": f"WITH {DEM.format(1)} SELECT row, col, z FROM dem WHERE {in_ring([(3.2, 3.1), (36.3, 8.4), (30.7, 35.2), (18.1, 17.3), (5.4, 30.6)], '(col + 0.5e0)', '(39.5e0 - row)')}",
+    "scanline_mask": f"""WITH {DEM.format(1)}, g AS (SELECT {WIDTH} AS w) SELECT row, col, z FROM dem, g WHERE ({' + '.join(f"CASE WHEN ({a[1]}e0 * (w / 40e0) > w - (row + 0.5e0)) <> ({b[1]}e0 * (w / 40e0) > w - (row + 0.5e0)) AND col + 0.5e0 < ({b[0]}e0 * (w / 40e0) - {a[0]}e0 * (w / 40e0)) * ((w - (row + 0.5e0) - {a[1]}e0 * (w / 40e0)) / ({b[1]}e0 * (w / 40e0) - {a[1]}e0 * (w / 40e0))) + {a[0]}e0 * (w / 40e0) THEN 1 ELSE 0 END"
+        for a, b in zip(NOTCHED, NOTCHED[1:] + NOTCHED[:1], strict=True))}) % 2 = 1""",
     "zonal_class_pct": f"WITH {DEM.format(1)} SELECT zone, class, cells, round(100e0 * cells / sum(cells) OVER (PARTITION BY zone), 6) AS percent FROM (SELECT CAST(row // 20 * 2 + col // 20 AS BIGINT) AS zone, CAST(z % 5 AS INT) AS class, count(*) AS cells FROM dem WHERE z % 5 > 0 GROUP BY 1, 2)",
 }

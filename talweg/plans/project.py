@@ -39,7 +39,7 @@ def analyse(request: DataFrame, params: Parameters = Parameters(), catalogue: Da
     if checked["error"]:
         raise InputError(checked["error"])
     aoi = tiles.to_lonlat(tiles.preliminary_aoi(request, params))
-    padded = tiles.to_lonlat(aoi.withColumn("ring", geom.buffered(F.col("ring"), F.lit(params.relleno_tiles_m))))
+    padded = tiles.to_lonlat(tiles.widened(aoi.drop("ring_ll"), F.lit(float(params.relleno_tiles_m))))
     metres = aoi.select(tiles.dem_metres(geom.area(F.col("ring")) / 1e6, params).alias("m")).first()["m"]
     names, plans, failures = active_providers(params), {}, {}
     for name in names:
@@ -64,9 +64,3 @@ def delineate_growing(read_cells: Callable[[tuple[float, float, float, float]],
         r = ((box[2] - box[0]) * (box[3] - box[1]) / 3.141592653589793) ** 0.5 * (params.factor_expansion - 1)
         box = (box[0] - r, box[1] - r, box[2] + r, box[3] + r)
     raise AssertionError
-
-
-def final_margin(mask: DataFrame, cell: float, params: Parameters = Parameters()) -> float:
-    """Metres around the basin for the thematic layers: a share of its diagonal, at least a minimum."""
-    b = mask.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).first()
-    return max(params.margen_final_min_m, params.margen_final_frac * cell * ((b["r1"] - b["r0"] + 1) ** 2 + (b["c1"] - b["c0"] + 1) ** 2) ** 0.5)

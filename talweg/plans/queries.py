@@ -9,7 +9,7 @@ from ..functions import crs, geom, text
 from ..operators import hydro, layers, masks, overlay, provenance, raster, spatial, tiles, validate
 from ..schemas import utm_bases
 from ..session import checkpointed
-from .fixtures import angles, areas, boxes, catalogue, dem, places, points, requests, scenes, table
+from .fixtures import angles, areas, boxes, catalogue, dem, places, points, requests, scenes, side, table
 
 
 def utm_inverse(spark: SparkSession, d: str) -> DataFrame:
@@ -300,6 +300,15 @@ def polygon_mask(spark: SparkSession, d: str) -> DataFrame:
     return raster.masked(dem(spark, d, 1), ring, 0.0, 40.0, 1.0).select("row", "col", "z")
 
 
+def scanline_mask(spark: SparkSession, d: str) -> DataFrame:
+    """The cells in a notched ring that spans the whole grid, by the rows that its edges pass."""
+    cells = dem(spark, d, 1)
+    width = side(table(spark, d, "lineitem").count())
+    ring = F.array(*[geom.point(F.lit(x) * F.lit(width / 40.0), F.lit(y) * F.lit(width / 40.0)) for x, y in ((3.2, 3.1), (36.3, 8.4), (30.7, 35.2), (18.1, 17.3), (5.4, 30.6))])
+    area = spark.range(1).select("id", F.array(ring).alias("parts"))
+    return cells.join(raster.covered(area, 0.0, float(width), 1.0, width, width), ["row", "col"]).select("row", "col", "z")
+
+
 def zonal_class_pct(spark: SparkSession, d: str) -> DataFrame:
     cells = dem(spark, d, 1).select((F.floor(F.col("row") / 20) * 2 + F.floor(F.col("col") / 20)).alias("zone"), (F.col("z") % 5).cast("int").alias("class"))
     return raster.class_shares(cells, "zone").select("zone", "class", "cells", F.round("percent", 6).alias("percent"))
@@ -309,7 +318,7 @@ ALL = [
     utm_inverse, utm_round_trip, system_resolution, tile_code_names, hack_radius, aoi_preliminary, aoi_area, tile_candidates, tile_selection, tile_coverage, cover_tiles_3deg, sheet_codes,
     sheets_over_areas, coord_validation, zone_suggestion, on_land, region_lookup, admin_cascade, nearest_named, gazetteer_box, points_in_ring, scene_ranking, scene_early_stop, scene_choice,
     duplicate_content, url_filename, cache_hits, json_tags, size_labels, estimated_bytes, manifest_rollup, number_parsing, dem_seeds, fill_int, d8_int, flow_accumulation, upstream_basin,
-    drains_to, main_channel, snap_outlet, mask_dilation, areas_buffered, areas_combined, mask_polygons, points_in_areas, areas_meeting, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, zonal_class_pct,
+    drains_to, main_channel, snap_outlet, mask_dilation, areas_buffered, areas_combined, mask_polygons, points_in_areas, areas_meeting, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, scanline_mask, zonal_class_pct,
 ]
 QUERIES = {f.__name__: f for f in ALL}
 #: Registered without SQL; held against plain versions in tests.

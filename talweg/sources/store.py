@@ -118,6 +118,15 @@ def fetched(url: str, path: str, expected: int | None, attempts: int, pause: flo
     raise OSError("no attempt was made")
 
 
+def digest_of(path: str, chunk: int = 1 << 20) -> str:
+    fs, where = opened(path)
+    digest = hashlib.sha256()
+    with fs.open_input_stream(where, compression=None) as f:
+        while part := f.read(chunk):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def index(spark: SparkSession, root: str) -> DataFrame:
     """Every record of the store, over all runs."""
     fs, where = opened(f"{root}/_index")
@@ -136,15 +145,21 @@ def history(records: DataFrame) -> DataFrame:
 def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0, tasks: int = 16) -> DataFrame:
     """`wanted` (url, folder, expected size or null) in the store: a record per URL, state reused, downloaded, downloaded, duplicate or failed.
 
-    An indexed file is used again if it still passes its check. Null URLs get no record; of repeated ones the first folder
-    by name counts.
+    An indexed file is used again if it still passes its check and has the digest of its record. A file lies under its URL's
+    own name in its folder; where another URL has that path (by the index, or the first of those now asked for), it lies in
+    a folder of the URL's digest there. Null URLs get no record; of repeated ones the first folder by name counts.
     """
     spark = ship(wanted.sparkSession)
     seq = time.time_ns() // 1000
     known = index(spark, root).where("sha256 IS NOT NULL").groupBy("url").agg(F.max_by(F.struct("path", "bytes", "sha256"), "seq").alias("_i"))
     once = wanted.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct(F.coalesce("folder", F.lit("")).alias("folder"), F.col("expected").cast("long").alias("expected"))).alias("_w"))
-    path = F.concat_ws("/", F.lit(root), F.nullif(F.col("_w.folder"), F.lit("")), text.file_name(F.col("url")))
-    asked = once.join(known, "url", "left").select("url", path.alias("path"), F.col("_w.expected").alias("expected"), F.col("_i.path").alias("old"), F.col("_i.bytes").alias("bytes"), F.col("_i.sha256").alias("sha256"))
+    under = lambda *more: F.concat_ws("/", F.lit(root), F.nullif(F.col("_w.folder"), F.lit("")), *more, text.file_name(F.col("url")))
+    named = once.select("url", "_w", under().alias("plain"), under(F.substring(F.sha2("url", 256), 1, 16)).alias("apart"))
+    owners = index(spark, root).where("sha256 IS NOT NULL").groupBy(F.col("path").alias("plain")).agg(F.max_by("url", "seq").alias("_owner"))
+    firsts = named.groupBy("plain").agg(F.min("url").alias("_first"))
+    placed = named.join(firsts, "plain").join(owners, "plain", "left")
+    path = F.when(F.col("url") == F.coalesce("_owner", "_first"), F.col("plain")).otherwise(F.col("apart"))
+    asked = placed.join(known, "url", "left").select("url", path.alias("path"), F.col("_w.expected").alias("expected"), F.col("_i.path").alias("old"), F.col("_i.bytes").alias("bytes"), F.col("_i.sha256").alias("sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,6 +168,8 @@ def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0,
                 if r["old"] == r["path"]:
                     try:
                         check(r["path"], r["path"], r["bytes"])
+                        if digest_of(r["path"]) != r["sha256"]:
+                            raise ValueError("another content than that of the record")
                         row = (r["url"], r["path"], r["bytes"], r["sha256"], "reused", None, seq)
                     except (OSError, ValueError):
                         pass  # fetched again below

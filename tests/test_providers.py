@@ -118,6 +118,23 @@ def test_store(spark, served, tmp_path):
     assert "99" in store.obtain(sized, root, 1, 0.0).first()["error"]
 
 
+def test_store_keeps_files_of_one_name_apart(spark, served, tmp_path):
+    server, base = served
+    for folder in ("a", "b", "c"):
+        put(server, f"{folder}/map.txt", f"map of {folder}")
+    wanted = lambda *names: spark.createDataFrame([(f"{base}/{n}/map.txt", "f", None) for n in names], "url string, folder string, expected long")
+    root = str(tmp_path / "store")
+    for state, names in (("downloaded", "ab"), ("reused", "ab"), ("reused", "b")):
+        got = store.obtain(wanted(*names), root, 1, 0.0).collect()
+        assert {r["state"] for r in got} == {state} and {open(r["path"]).read() for r in got} == {f"map of {n}" for n in names}
+        assert all(open(r["path"]).read() == f"map of {r['url'].split('/')[-2]}" for r in got)
+    assert {r["state"] for r in store.obtain(wanted("c", "a"), root, 1, 0.0).collect()} == {"downloaded", "reused"}
+    with open(f"{root}/f/map.txt", "w") as f:
+        f.write("map of X")  # as long as before
+    again = {r["url"]: r for r in store.obtain(wanted("a", "b", "c"), root, 1, 0.0).collect()}
+    assert all(open(r["path"]).read() == f"map of {u.split('/')[-2]}" for u, r in again.items()) and sorted(r["state"] for r in again.values()) == ["downloaded", "reused", "reused"]
+
+
 def test_warp_joins_tiles_without_a_seam(spark, tmp_path):
     cell = 1 / 120
     paths = []

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import crs, geom, text
-from talweg.operators import hydro, layers, provenance, raster, tiles, validate
+from talweg.operators import hydro, layers, provenance, raster, tiles, validate, warp
 from talweg.plans import project
 from talweg.schemas import InputError, Parameters, active_providers, load_request, utm_bases
 from talweg.sources import files, http as web
@@ -86,7 +86,7 @@ def valley(spark, side=60, change=lambda r, c, z: z):
     return spark.createDataFrame([(r, c, change(r, c, 1000.0 - 5 * r + 3 * abs(c - 30))) for r in range(side) for c in range(side)], "row int, col int, z double")
 
 
-def heap_fill(z):
+def heap_fill(z, up=lambda v: math.nextafter(v, math.inf)):
     near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     f = {k: v for k, v in z.items() if any((k[0] + a, k[1] + b) not in z for a, b in near)}
     heap = [(v, k) for k, v in f.items()]
@@ -96,7 +96,7 @@ def heap_fill(z):
         for a, b in near:
             n = (r + a, c + b)
             if n in z and n not in f:
-                f[n] = max(z[n], math.nextafter(v, math.inf))
+                f[n] = max(z[n], up(v))
                 heapq.heappush(heap, (f[n], n))
     return f
 
@@ -292,3 +292,40 @@ def test_plan_of_a_corridor_leaves_out_the_corner_tile(spark):
     padded = tiles.to_lonlat(a.withColumn("ring", geom.buffered(F.col("ring"), F.lit(100.0))))
     got = {(x["lat0"], x["lon0"]): x["status"] for x in tiles.select(padded).collect()}
     assert len(got) == 4 and sum(s == "needed" for s in got.values()) == 3
+
+
+def test_areas_of_any_shape_grow(spark):
+    """A notched ring grows as its distance says, a basin by its final margin; the column form refuses such rings."""
+    notched = [(0, 0), (1000, 0), (1000, 1000), (520, 1000), (520, 500), (480, 500), (480, 1000), (0, 1000)]
+    whole = [(0, 0), (1000, 0), (1000, 1000), (0, 1000)]
+    rows = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in ring]) for i, ring in enumerate((notched, whole))], "id int, ring array<struct<x:double,y:double>>")
+    area = lambda df: {r["id"]: r["a"] for r in df.select("id", geom.area(F.col("ring")).alias("a")).collect()}
+    grown = area(tiles.widened(rows, F.lit(100.0)))
+    full = 1000 * 1000 + 4000 * 100 + 4 * 16 * 100 * 100 / 2 * math.sin(math.pi / 32)
+    assert abs(grown[1] - full) < 1 and full - 100 < grown[0] < full
+    assert area(tiles.enlarged_areas(rows, 1.6))[0] > 1.6 * 980_000
+    final = tiles.final_area(rows, Parameters(margen_final_min_m=10.0, margen_final_frac=0.05))
+    assert abs(final.first()["margin_m"] - 0.05 * 1000 * math.sqrt(2)) < 1e-9 and final.columns == ["id", "ring", "margin_m"]
+    with pytest.raises(Exception, match="not convex"):
+        rows.select(tiles.enlarged(F.col("ring"), 1.6)).collect()
+
+
+def test_old_datum_both_ways(spark):
+    rows = spark.createDataFrame([(z, x, y) for z in (24877, 24878, 24879, 24818) for x in (250_000.0, 500_000.0, 780_000.0) for y in (1e6, 8.7e6)], "epsg int, x double, y double")
+    back = rows.select("x", "y", "epsg", crs.to_lonlat(F.col("x"), F.col("y"), F.col("epsg")).alias("p")).select("x", "y", crs.from_lonlat(F.col("p.lon"), F.col("p.lat"), F.col("epsg")).alias("q"))
+    assert back.agg(F.max(F.hypot(F.col("q.x") - F.col("x"), F.col("q.y") - F.col("y")))).first()[0] < 1e-3
+    with pytest.raises(ValueError, match="unknown"):
+        warp.between(F.lit(1.0), F.lit(2.0), 4326, 3857)
+
+
+@pytest.mark.parametrize("spill", [True, False])
+def test_fill_by_a_graph_of_passes(spark, spill):
+    """Both ways on grids with holes, plateaus and steps of one unit, against a heap over all cells."""
+    r = random.Random(9)
+    for k in range(4):
+        n, gap, high = r.randint(12, 34), [1, 1 << 20][k % 2], r.choice([4, 90])
+        z = {(i - 5, j - 9): r.randint(0, high) * gap for i in range(n) for j in range(n) if r.random() > 0.02}
+        cells = spark.createDataFrame([(*p, v) for p, v in z.items()], "row int, col int, z long")
+        got = {(x["row"], x["col"]): x["f"] for x in hydro.fill(cells, 8, True, spill).collect()}
+        assert got == heap_fill(z, lambda v: v + 1)
+    assert hydro.fill(cells.limit(0), 8, True, spill).count() == 0
