@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import geom, text
 from ..schemas import PLACES, WATERCOURSES, WATERWAYS
 from ..session import checkpointed
+from . import overlay
 
 
 def inside(points: DataFrame, ring: list[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
@@ -18,14 +19,24 @@ def inside(points: DataFrame, ring: list[tuple[float, float]], x: str = "x", y:
     return points.where(F.col(x).between(min(xs), max(xs)) & F.col(y).between(min(ys), max(ys))).where(geom.contains(shape, F.col(x), F.col(y)))
 
 
-def meets_box(ring: Column, west: float, south: float, east: float, north: float) -> Column:
-    """Whether a ring and a box share area."""
-    return geom.overlap_area(ring, *[F.lit(float(v)) for v in (west, south, east, north)]) > 0
-
-
-def holds(features: DataFrame, x: float, y: float) -> DataFrame:
-    """`features` (ring) with `sel`: the feature contains the point."""
-    return features.withColumn("sel", geom.contains(F.col("ring"), F.lit(float(x)), F.lit(float(y))))
+def clip(features: DataFrame, ring: list[tuple[float, float]], unit: float = overlay.DEGREES) -> DataFrame:
+    """`features` (kind, parts, attributes) within a simple ring: points inside it, the parts of lines inside it, and polygons cut
+    by it. Only polygons whose border the ring crosses are overlaid; the others are inside as a whole, around the ring, or out.
+    `unit` is the overlay's grid: degrees, or `overlay.METRES`."""
+    shape = F.array(*[geom.point(float(x), float(y)) for x, y in ring])
+    first = F.get(F.get("parts", F.lit(0)), F.lit(0))
+    points = features.where("kind = 'point'").where(geom.contains(shape, first["x"], first["y"]))
+    lines = features.where("kind = 'line'").withColumn("parts", geom.clipped_lines(F.col("parts"), shape)).where(F.size("parts") > 0)
+    polygons = features.where("kind = 'polygon'").where(geom.intersects(F.col("kind"), F.col("parts"), shape))
+    crossing = geom.let(geom.edges(shape), lambda es: F.exists("parts", lambda r: F.exists(geom.edges(r), lambda e: F.exists(es, lambda f: geom.cross(e["a"], e["b"], f["a"], f["b"])))))
+    around = geom.within_parts(F.col("parts"), F.lit(float(ring[0][0])), F.lit(float(ring[0][1])))
+    known = checkpointed(polygons.withColumn("_n", F.monotonically_increasing_id()).withColumn("_cross", crossing))
+    whole = known.where("NOT _cross").withColumn("parts", F.when(around, F.concat(F.array(shape), F.filter("parts", lambda r: geom.contains(shape, F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"])))).otherwise(F.col("parts")))
+    parted = known.where("_cross")
+    left = parted.select("_n", "parts")
+    cut = overlay.combined(left, parted.select("_n", F.array(shape).alias("parts")), "intersection", "_n", unit).select("_n", F.col("parts").alias("_cut"))
+    inner = parted.join(cut, "_n").withColumn("parts", F.col("_cut")).select(*features.columns)
+    return points.unionByName(lines).unionByName(whole.select(*features.columns)).unionByName(inner)
 
 
 def clip_lines(lines: DataFrame, ring: Column) -> DataFrame:

@@ -1,15 +1,19 @@
 """GeoTIFF files: a data source that reads the tiles of a window by byte ranges, and a writer.
 
 spark.read.format("geotiff").option("box", "[w, s, e, n]").load(path): rows (path, row, col, x, y, z) of the valid cells, a
-partition for each group of tiles (or strips); only their bytes and the header are read, by file or by HTTP. Uncompressed
-and deflated files with predictors 1 to 3 are understood, plain and BigTIFF; others are errors.
+partition for each group of tiles (or strips); only their bytes and the header are read, by file or by HTTP. The window is
+an option and no pushed condition: Spark 4.1 keeps what was pushed with the relation, and the next query on the same
+DataFrame would get its tiles. Uncompressed and deflated files with predictors 1 to 3 are understood, plain and BigTIFF; others are errors.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import http.client
 import json
 import struct
+import time
+import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Iterator
@@ -32,13 +36,39 @@ STRIPS, STRIP_BYTES, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 273, 279, 322,
 COLOURS, SCALE, TIE, GEO_KEYS, NODATA = 320, 33550, 33922, 34735, 42113
 
 
-def read_range(path: str, offset: int, length: int) -> bytes:
-    """Bytes of a file or of an HTTP address; fewer at its end."""
+#: The file of the last server that answered a range with all of it, so that it is fetched once a worker and not once a block.
+_whole: dict[str, bytes] = {}
+WHOLE_MOST = 1 << 29
+
+
+def fetched_range(path: str, offset: int, length: int) -> bytes:
+    if path in _whole:
+        return _whole[path][offset : offset + length]
+    asked = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + length - 1}", "User-Agent": AGENT})
+    with urllib.request.urlopen(asked, timeout=60) as answer:
+        if answer.status != 200:
+            return answer.read(length)
+        data = answer.read(WHOLE_MOST + 1)
+    if len(data) > WHOLE_MOST:
+        raise ValueError(f"{path}: the server ignores ranges and the file has more than {WHOLE_MOST} bytes")
+    _whole.clear()
+    _whole[path] = data
+    return data[offset : offset + length]
+
+
+def read_range(path: str, offset: int, length: int, attempts: int = 3, pause: float = 1.0) -> bytes:
+    """Bytes of a file or of an HTTP address; fewer at its end. A request that fails is made again after a growing pause, unless the address is unknown."""
     if path.startswith(("http://", "https://")):
-        asked = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + length - 1}", "User-Agent": AGENT})
-        with urllib.request.urlopen(asked, timeout=60) as answer:
-            data = answer.read(length + offset if answer.status == 200 else length)
-            return data[offset:] if answer.status == 200 else data
+        for attempt in range(attempts):
+            try:
+                return fetched_range(path, offset, length)
+            except urllib.error.HTTPError as e:
+                if e.code in (401, 403, 404, 410, 416) or attempt + 1 == attempts:
+                    raise
+            except (OSError, http.client.HTTPException):
+                if attempt + 1 == attempts:
+                    raise
+            time.sleep(pause * 2**attempt)
     fs, where = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     with fs.open_input_file(where) as f:
         return f.read_at(min(length, max(0, f.size() - offset)), offset)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import geom
-from talweg.operators import hydro, masks, overlay, spatial
+from talweg.operators import hydro, layers, masks, overlay, spatial
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -178,3 +178,23 @@ def test_a_large_feature_is_spread_over_cells(spark):
     table = spark.createDataFrame([(1, "polygon", [[{"x": x, "y": y} for x, y in ring]])], kind)
     sizes = spatial.in_cells(spatial.levelled(table), []).select(F.size("edges").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert sizes[0] < 60 and sizes[1] > 10_000
+
+
+def test_clip_of_points_lines_and_polygons(spark):
+    """Every kind within a notched ring, polygons also where they hold the ring, a hole of it, or lie in its notch."""
+    ring = [(0, 0), (100, 0), (100, 100), (60, 100), (60, 40), (40, 40), (40, 100), (0, 100)]
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
+    rows = [
+        ("point", [[(50, 50)]], 1), ("point", [[(50, 20)]], 2), ("line", [[(-10, 50), (110, 50)]], 3), ("polygon", [box(10, 10, 20, 20)], 4), ("polygon", [box(30, 50, 70, 60)], 5), ("polygon", [box(45, 60, 55, 70)], 6),
+        ("polygon", [box(-50, -50, 150, 150), box(45, 60, 55, 70), box(10, 10, 20, 20)], 7), ("polygon", [box(80, 80, 200, 200), box(90, 90, 120, 120)], 8), ("polygon", [box(500, 500, 600, 600)], 9),
+    ]
+    table = spark.createDataFrame([(k, [[{"x": float(x), "y": float(y)} for x, y in p] for p in ps], i) for k, ps, i in rows], f"kind string, parts array<{RING}>, _id int")
+    got = {r["_id"]: [[(p["x"], p["y"]) for p in part] for part in r["parts"]] for r in layers.clip(table, ring, overlay.METRES).collect()}
+    assert set(got) == {2, 3, 4, 5, 7, 8} and got[3] == [[(0.0, 50.0), (40.0, 50.0)], [(60.0, 50.0), (100.0, 50.0)]]
+    g = np.random.default_rng(3)
+    x, y = g.uniform(-20, 220, 20_000), g.uniform(-20, 220, 20_000)
+    for kind, parts, i in rows:
+        if kind == "polygon":
+            want = inside(parts, x, y) & inside([ring], x, y)
+            assert (inside(got[i], x, y) == want).all() if i in got else not want.any(), i
+    assert layers.clip(table.limit(0), ring).count() == 0

@@ -135,6 +135,31 @@ def test_store_keeps_files_of_one_name_apart(spark, served, tmp_path):
     assert all(open(r["path"]).read() == f"map of {u.split('/')[-2]}" for u, r in again.items()) and sorted(r["state"] for r in again.values()) == ["downloaded", "reused", "reused"]
 
 
+def test_ranges_are_asked_for_again(served, monkeypatch):
+    server, base = served
+    put(server, "x.bin", bytes(range(200)))
+    broken = {"n": 2}
+    plain = rasters.fetched_range
+
+    def sometimes(*a):
+        if broken["n"]:
+            broken["n"] -= 1
+            raise ConnectionResetError("gone")
+        return plain(*a)
+
+    monkeypatch.setattr(rasters, "fetched_range", sometimes)
+    assert rasters.read_range(f"{base}/x.bin", 50, 3, pause=0.0) == bytes([50, 51, 52])
+    broken["n"] = 3
+    with pytest.raises(ConnectionResetError):
+        rasters.read_range(f"{base}/x.bin", 50, 3, pause=0.0)
+    broken["n"] = 0
+    with pytest.raises(Exception, match="404"):
+        rasters.read_range(f"{base}/none.bin", 0, 3)
+    monkeypatch.setattr(server.RequestHandlerClass, "handle_one", lambda self, body: (server.asked.append(("GET", self.path)), self.send_response(200), self.end_headers(), self.wfile.write(bytes(range(200)))))
+    server.asked.clear()
+    assert [rasters.read_range(f"{base}/whole.bin", a, 2) for a in (10, 100)] == [bytes([10, 11]), bytes([100, 101])] and len(server.asked) == 1
+
+
 def test_warp_joins_tiles_without_a_seam(spark, tmp_path):
     cell = 1 / 120
     paths = []
