@@ -93,9 +93,9 @@ def within(points: DataFrame, places: DataFrame, key: str, name: str, cell: floa
     return best.select(key, f"b.{name}", "b.place_id", "b.distance")
 
 
-def by_distance(places: DataFrame, x: float, y: float) -> DataFrame:
-    """`places` (x, y) with dist_m from a point, to a tenth of a metre, the nearest first."""
-    return places.withColumn("dist_m", F.round(F.hypot(F.col("x") - x, F.col("y") - y), 1)).orderBy("dist_m")
+def by_distance(places: DataFrame, x: float, y: float, *ties: str) -> DataFrame:
+    """`places` (x, y) with dist_m from a point, to a tenth of a metre, the nearest first; `ties` order equals."""
+    return places.withColumn("dist_m", F.round(F.hypot(F.col("x") - x, F.col("y") - y), 1)).orderBy("dist_m", *ties)
 
 
 def gazetteer(rows: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

@@ -60,12 +60,13 @@ def run_totals(downloads: DataFrame, since: int = 0) -> DataFrame:
 
 
 def first_resource(plans: DataFrame) -> DataFrame:
-    """One record per product of window and API methods: the first resource of its plan (provider, method, resources)."""
+    """(provider, method, resource): the first resource of each plan (provider, method, resources) that is read by window or asked of a service."""
     return plans.where(F.size("resources") > 0).select("provider", "method", F.get("resources", F.lit(0)).alias("resource"))
 
 
-def unit_note(unit_km2: Column, basin_km2: Column) -> Column:
-    return F.when(unit_km2 > 5 * basin_km2, "the unit belongs to the receiving river")
+def unit_note(unit_km2: float, basin_km2: float | None) -> str | None:
+    """What to say of a basin unit that drains far more than the basin."""
+    return "the unit belongs to the receiving river" if basin_km2 and unit_km2 > 5 * basin_km2 else None
 
 
 def numbered(sections: DataFrame) -> DataFrame:
@@ -75,10 +76,10 @@ def numbered(sections: DataFrame) -> DataFrame:
     return sections.where("kept").withColumn("number", F.row_number().over(W.orderBy("place")))  # the sections of one report
 
 
-def manifest_json(request: dict, decisions: list[str], downloads: DataFrame, products: DataFrame, errors: DataFrame, generated: str) -> str:
+def manifest_json(request: dict, decisions: list[str], downloads: DataFrame, products: DataFrame, errors: DataFrame, generated: str, services: DataFrame | None = None) -> str:
     """The manifest of one project: its lists are what a project fetched and made, small by nature."""
     rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
-    return json.dumps({"tool": "talweg", "generated": generated, "input": request, "decisions": decisions, "downloads": rows(downloads), "products": rows(products), "errors": rows(errors)}, ensure_ascii=False, indent=2, default=str)
+    return json.dumps({"tool": "talweg", "generated": generated, "input": request, "decisions": decisions, "downloads": rows(downloads), "products": rows(products), "errors": rows(errors)} | ({"services": rows(services)} if services is not None else {}), ensure_ascii=False, indent=2, default=str)
 
 
 def manifest_csv(downloads: DataFrame) -> bytes:

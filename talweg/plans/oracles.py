@@ -195,3 +195,4 @@ ORACLES = {
         for a, b in zip(NOTCHED, NOTCHED[1:] + NOTCHED[:1], strict=True))}) % 2 = 1""",
     "zonal_class_pct": f"WITH {DEM.format(1)} SELECT zone, class, cells, round(100e0 * cells / sum(cells) OVER (PARTITION BY zone), 6) AS percent FROM (SELECT CAST(row // 20 * 2 + col // 20 AS BIGINT) AS zone, CAST(z % 5 AS INT) AS class, count(*) AS cells FROM dem WHERE z % 5 > 0 GROUP BY 1, 2)",
 }
+ORACLES["drains_to_every"] = ORACLES["drains_to"]

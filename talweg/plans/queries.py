@@ -197,13 +197,17 @@ def filled(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     return hydro.fill(cells, block, whole=True), block
 
 
-def flow(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def flow_in_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """(row, col, node, down, acc) and the side of the blocks."""
     f, block = filled(spark, d)
     arrows = checkpointed(hydro.directions(f, block=block))
     return checkpointed(hydro.accumulation(arrows, block).join(arrows.select("node", "row", "col"), "node")), block
 
 
+def flow(spark: SparkSession, d: str) -> DataFrame:
+    return flow_in_blocks(spark, d)[0]
+
+
 def outlet(f: DataFrame) -> DataFrame:
     """The cell of most accumulation, the lowest number among equals."""
     return f.agg(F.max_by("node", F.struct("acc", -F.col("node"))).alias("node"))
@@ -219,29 +223,33 @@ def d8_int(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
-    return flow(spark, d)[0].select("row", "col", "acc")
+    return flow(spark, d).select("row", "col", "acc")
 
 
 def upstream_basin(spark: SparkSession, d: str) -> DataFrame:
-    f, block = flow(spark, d)
+    f, block = flow_in_blocks(spark, d)
     return hydro.upstream(f.select("node", "down"), outlet(f), block).select("node")
 
 
 def drains_to(spark: SparkSession, d: str) -> DataFrame:
     """Every cell against the outlet."""
-    f, block = flow(spark, d)
+    f, block = flow_in_blocks(spark, d)
     pairs = f.select(F.col("node").alias("source"), F.lit(outlet(f).first()["node"]).alias("target"))
     return hydro.drains_to(f.select("node", "down"), pairs, block)
 
 
+def drains_to_every(spark: SparkSession, d: str) -> DataFrame:
+    """As `drains_to`, under the name that it had while that asked about some cells only."""
+    return drains_to(spark, d)
+
+
 def main_channel(spark: SparkSession, d: str) -> DataFrame:
-    f, _ = flow(spark, d)
+    f = flow(spark, d)
     return hydro.main_channel(f, outlet(f).first()["node"], 5)
 
 
 def snap_outlet(spark: SparkSession, d: str) -> DataFrame:
-    f, _ = flow(spark, d)
-    return hydro.snap_candidates(f, 20, 20, 5, 6.0, 1.0, 1.0).select("place", "row", "col", "acc", F.round("distance_m", 6).alias("distance_m"))
+    return hydro.snap_candidates(flow(spark, d), 20, 20, 5, 6.0, 1.0, 1.0).select("place", "row", "col", "acc", F.round("distance_m", 6).alias("distance_m"))
 
 
 def mask_dilation(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +326,7 @@ ALL = [
     utm_inverse, utm_round_trip, system_resolution, tile_code_names, hack_radius, aoi_preliminary, aoi_area, tile_candidates, tile_selection, tile_coverage, cover_tiles_3deg, sheet_codes,
     sheets_over_areas, coord_validation, zone_suggestion, on_land, region_lookup, admin_cascade, nearest_named, gazetteer_box, points_in_ring, scene_ranking, scene_early_stop, scene_choice,
     duplicate_content, url_filename, cache_hits, json_tags, size_labels, estimated_bytes, manifest_rollup, number_parsing, dem_seeds, fill_int, d8_int, flow_accumulation, upstream_basin,
-    drains_to, main_channel, snap_outlet, mask_dilation, areas_buffered, areas_combined, mask_polygons, points_in_areas, areas_meeting, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, scanline_mask, zonal_class_pct,
+    drains_to, drains_to_every, main_channel, snap_outlet, mask_dilation, areas_buffered, areas_combined, mask_polygons, points_in_areas, areas_meeting, raster_mosaic, bilinear_sample, nearest_sample, polygon_mask, scanline_mask, zonal_class_pct,
 ]
 QUERIES = {f.__name__: f for f in ALL}
 #: Registered without SQL; held against plain versions in tests.

@@ -138,4 +138,5 @@ def run(ctx: providers.Context, headwater: tuple[float, float] | None = None) ->
         ctx.decisions.append("no delineation: the preliminary area is the final one")
     planned = providers.plan(ctx)
     planned.outputs += made
+    providers.publish(ctx.place("results", "plan.txt"), planned.text(ctx).encode())
     return Result(ctx, providers.run(ctx, planned), found, rounds, work, ctx.ring)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..progress import fetched_bytes
 from ..session import ship
 from . import rasters
 from .http import AGENT
@@ -150,6 +151,7 @@ def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0,
     a folder of the URL's digest there. Null URLs get no record; of repeated ones the first folder by name counts.
     """
     spark = ship(wanted.sparkSession)
+    counted = fetched_bytes(spark.sparkContext)
     seq = time.time_ns() // 1000
     known = index(spark, root).where("sha256 IS NOT NULL").groupBy("url").agg(F.max_by(F.struct("path", "bytes", "sha256"), "seq").alias("_i"))
     once = wanted.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct(F.coalesce("folder", F.lit("")).alias("folder"), F.col("expected").cast("long").alias("expected"))).alias("_w"))
@@ -176,6 +178,7 @@ def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0,
                 if row is None:
                     try:
                         size, digest = fetched(r["url"], r["path"], r["expected"], attempts, pause)
+                        counted.add(size)
                         row = (r["url"], r["path"], size, digest, "downloaded", None, seq)
                     except (OSError, ValueError) as e:
                         row = (r["url"], None, None, None, "failed", f"{type(e).__name__}: {e}", seq)

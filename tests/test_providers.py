@@ -11,6 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from talweg import progress
 from talweg.operators import warp
 from talweg.plans import providers
 from talweg.schemas import Parameters
@@ -135,6 +136,26 @@ def test_store_keeps_files_of_one_name_apart(spark, served, tmp_path):
     assert all(open(r["path"]).read() == f"map of {u.split('/')[-2]}" for u, r in again.items()) and sorted(r["state"] for r in again.values()) == ["downloaded", "reused", "reused"]
 
 
+def test_progress_tells_of_tasks_and_bytes(spark, served, tmp_path):
+    server, base = served
+    for i in range(6):
+        put(server, f"{i}.txt", b"x" * 1000 * (i + 1))
+    wanted = spark.createDataFrame([(f"{base}/{i}.txt", "f", None) for i in range(6)], "url string, folder string, expected long")
+    said = []
+    spark.sparkContext.setLocalProperty(progress.GROUP, "mine")
+    with progress.watched(spark, said.append, 0.05):
+        store.obtain(wanted, str(tmp_path / "store"), 1, 0.0).collect()
+    assert spark.sparkContext.getLocalProperty(progress.GROUP) == "mine"
+    spark.sparkContext.setLocalProperty(progress.GROUP, None)
+    last = said[-1]
+    assert last.bytes_fetched == 21_000 and last.jobs >= 2 and last.running == 0 and 0 < last.tasks_done <= last.tasks
+    assert all(a.tasks_done <= b.tasks_done and a.bytes_fetched <= b.bytes_fetched for a, b in zip(said, said[1:])) and "21000 bytes" in str(last)
+    quiet = []
+    with pytest.raises(KeyError), progress.watched(spark, quiet.append, 0.05):
+        raise KeyError
+    assert quiet[-1].jobs == 0
+
+
 def test_ranges_are_asked_for_again(served, monkeypatch):
     server, base = served
     put(server, "x.bin", bytes(range(200)))
@@ -246,6 +267,9 @@ def test_every_provider(spark, served, tmp_path):
 
     kept = json.load(open(f"{ctx.folder}/10_Resultados/manifest.json"))
     assert len(kept["products"]) == len(project.outputs) and len(kept["downloads"]) == len(ctx.records) and kept["errors"] == []
+    assert {(r["provider"], r["method"]) for r in kept["services"]} == {("imagen", "window"), ("osm", "service"), ("cobertura", "window")}
+    lines = project.text(ctx).splitlines()
+    assert [x.split(":")[0] for x in lines] == list(project.plans) and "cached" in lines[0]
     text = open(f"{ctx.folder}/10_Resultados/report.md").read()
     assert "## 1. Location" in text and "Problems" not in text and "[año]" not in text
 

@@ -48,6 +48,7 @@ def test_from_outlet_to_layers(spark, served, tmp_path):  # noqa: F811
     kept = json.load(open(f"{folder}/manifest.json"))
     assert sum("enlargement" in d for d in kept["decisions"]) == 2 and len(kept["products"]) == 6
     text = open(f"{folder}/report.md").read()
+    assert open(f"{folder}/plan.txt").read().startswith("dem: 1 resources") and kept["services"] == []
     assert "Basin" in text and "Main channel" in text and os.path.exists(f"{ctx.folder}/01_Coordenadas/puntos_entrada.gpkg")
     with pytest.raises(InputError):
         run.start(spark, str(tmp_path), str(tmp_path), (1.0, 2.0), EPSG)

@@ -329,3 +329,15 @@ def test_fill_by_a_graph_of_passes(spark, spill):
         got = {(x["row"], x["col"]): x["f"] for x in hydro.fill(cells, 8, True, spill).collect()}
         assert got == heap_fill(z, lambda v: v + 1)
     assert hydro.fill(cells.limit(0), 8, True, spill).count() == 0
+
+
+def test_records_are_added_once(spark):
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "url string, n int")
+    rows = spark.createDataFrame([(9, "b"), (8, "c")], "n int, url string")
+    assert sorted(map(tuple, provenance.upsert(index, rows).collect())) == [("a", 1), ("b", 9), ("c", 8)]
+    registry = spark.createDataFrame([("x", "old")], "sha256 string, path string")
+    files_ = spark.createDataFrame([(2, "later", "y"), (1, "first", "y"), (3, "new", "x")], "seq int, path string, sha256 string")
+    assert sorted(map(tuple, provenance.registered(registry, files_).collect())) == [("x", "old"), ("y", "first")]
+    assert provenance.unit_note(50.0, 9.0) and provenance.unit_note(40.0, 9.0) is None and provenance.unit_note(40.0, None) is None
+    near = layers.by_distance(spark.createDataFrame([(2, 3.0, 4.0), (1, 4.0, 3.0), (3, 0.0, 0.04)], "id int, x double, y double"), 0.0, 0.0, "id")
+    assert [(r["id"], r["dist_m"]) for r in near.collect()] == [(3, 0.0), (1, 5.0), (2, 5.0)]
