@@ -17,7 +17,7 @@ import operator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -42,6 +42,13 @@ def around(cells: DataFrame, block: int) -> DataFrame:
     return dealt.select(*cells.columns, "_b.br", "_b.bc", ((F.floor(F.col("row") / size) == F.col("_b.br")) & (F.floor(F.col("col") / size) == F.col("_b.bc"))).alias("own"))
 
 
+def by_block(dealt: DataFrame, *keys: str) -> GroupedData:
+    """Groups of blocks over a fixed number of tasks: they are small in bytes but not in work, and would else be put into one."""
+    spark = dealt.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(tasks, *keys).groupBy(*keys)
+
+
 def frame(pdf: pd.DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of a block's cells in an array with a border of two, so that neighbours always exist."""
     return (pdf["row"] - pdf["br"] * block + 2).to_numpy(), (pdf["col"] - pdf["bc"] * block + 2).to_numpy()
@@ -57,7 +64,7 @@ def seeds(cells: DataFrame, block: int = 256) -> DataFrame:
         near = sum(valid[r + dr, c + dc].astype(int) for dr, dc in NEIGHBOURS)
         return pdf.loc[pdf["own"] & (near < 8), ["row", "col"]]
 
-    return around(cells.select("row", "col"), block).groupBy("br", "bc").applyInPandas(kernel, "row int, col int")
+    return by_block(around(cells.select("row", "col"), block), "br", "bc").applyInPandas(kernel, "row int, col int")
 
 
 def fill(cells: DataFrame, block: int = 256, whole: bool = False, spill: bool | None = None) -> DataFrame:
@@ -148,7 +155,7 @@ def relaxed(cells: DataFrame, block: int, whole: bool) -> DataFrame:
     for rounds in itertools.count():
         dealt = around(state if woken is None else state.select("row", "col", "z", "f"), block)
         dealt = dealt if woken is None else dealt.join(woken, ["br", "bc"], "left_semi")
-        done = checkpointed(dealt.groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
+        done = checkpointed(by_block(dealt, "br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
         fresh = done.drop("changed")
         state = fresh if woken is None else state.join(fresh.select("row", "col"), ["row", "col"], "left_anti").unionByName(fresh)
         if woken is not None and rounds % 8 == 0:
@@ -184,7 +191,7 @@ def unsettled(filled: DataFrame, block: int, whole: bool) -> DataFrame:
         want = np.where(rim_of(r, c, n), z, np.maximum(z, low + 1 if whole else np.nextafter(low, np.inf)))
         return pdf.loc[pdf["own"] & (want != f), ["row", "col"]]
 
-    return around(filled.select("row", "col", "z", "f"), block).groupBy("br", "bc").applyInPandas(kernel, "row int, col int")
+    return by_block(around(filled.select("row", "col", "z", "f"), block), "br", "bc").applyInPandas(kernel, "row int, col int")
 
 
 #: What lies beyond the grid, as a catchment.
@@ -253,7 +260,7 @@ def levels(cells: DataFrame, block: int) -> DataFrame:
         rims = pd.DataFrame({"a": np.array(sorted(beyond), np.int64)}).assign(b=np.int64(BEYOND), f=np.array([zs[k] for k in at[rim & border][np.argsort(node_[rim & border])].tolist()], z.dtype), row=0, col=0, z=np.zeros(1, z.dtype)[0], cell=False)
         return pd.concat([inner, graph, rims])[["row", "col", "z", "f", "a", "b", "cell"]]
 
-    local = checkpointed(around(cells.select("row", "col", "z"), block).groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, a long, b long, cell boolean"))
+    local = checkpointed(by_block(around(cells.select("row", "col", "z"), block), "br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, a long, b long, cell boolean"))
     passes = local.where("NOT cell").select("a", "b", F.col("f").alias("w"))
     known = spilled(passes)
     inner = local.where("cell").select("row", "col", "z", "f", F.col("a").alias("node"))
@@ -320,7 +327,7 @@ def directions(filled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int =
         return out
 
     kind = dict(filled.dtypes)["f"]
-    return around(filled.select("row", "col", "f"), block).groupBy("br", "bc").applyInPandas(kernel, f"row int, col int, f {kind}, node long, down long")
+    return by_block(around(filled.select("row", "col", "f"), block), "br", "bc").applyInPandas(kernel, f"row int, col int, f {kind}, node long, down long")
 
 
 def in_block(node_: Column, block: int) -> Column:
@@ -384,13 +391,13 @@ def accumulation(edges: DataFrame, block: int = 256) -> DataFrame:
 
     ship(edges.sparkSession)
     keyed = edges.select("node", "down", in_block(F.col("node"), block).alias("_b"))
-    local = checkpointed(keyed.groupBy("_b").applyInPandas(first, "node long, down long, acc long, leaves long, _b long"))
+    local = checkpointed(by_block(keyed, "_b").applyInPandas(first, "node long, down long, acc long, leaves long, _b long"))
     entered = checkpointed(local.where(in_block(F.col("down"), block) != F.col("_b")).groupBy(F.col("down").alias("node")).agg(F.sum("acc").alias("weight")))
     if entered.limit(1).count() == 0:
         return local.select("node", "down", "acc")
     between = entered.join(local.select("node", F.col("leaves").alias("down")), "node")
     more = doubled_sums(between)
-    return local.join(more, "node", "left").select("node", "down", "acc", "more", "_b").groupBy("_b").applyInPandas(second, "node long, down long, acc long")
+    return by_block(local.join(more, "node", "left").select("node", "down", "acc", "more", "_b"), "_b").applyInPandas(second, "node long, down long, acc long")
 
 
 def doubled_sums(edges: DataFrame) -> DataFrame:
@@ -424,7 +431,7 @@ def upstream(edges: DataFrame, outlets: DataFrame, block: int = 256) -> DataFram
     marks = outlets.select("node", F.lit(True).alias("mark")).distinct()
     ship(edges.sparkSession)
     keyed = edges.select("node", "down").join(marks, "node", "left").select("node", "down", F.coalesce("mark", F.lit(False)).alias("mark"), in_block(F.col("node"), block).alias("_b"))
-    local = checkpointed(keyed.groupBy("_b").applyInPandas(run, "node long, outlet long, leaves long"))
+    local = checkpointed(by_block(keyed, "_b").applyInPandas(run, "node long, outlet long, leaves long"))
     here = local.where("outlet IS NOT NULL").select("node", "outlet")
     leaving = local.where("leaves IS NOT NULL")
     state = checkpointed(leaving.select(F.col("leaves").alias("node")).distinct().join(local, "node").select("node", F.col("leaves").alias("jump"), "outlet"))

@@ -60,7 +60,7 @@ def labelled(mask: DataFrame, block: int = 256) -> DataFrame:
     ship(mask.sparkSession)
     size = F.lit(block)
     placed = mask.select("row", "col").distinct().select("row", "col", F.floor(F.col("row") / size).cast("int").alias("br"), F.floor(F.col("col") / size).cast("int").alias("bc"))
-    local = checkpointed(placed.groupBy("br", "bc").applyInPandas(kernel, "row int, col int, part long"))
+    local = checkpointed(hydro.by_block(placed, "br", "bc").applyInPandas(kernel, "row int, col int, part long"))
     links = None
     for along, across in (("row", "col"), ("col", "row")):
         last = local.where(F.pmod(F.col(across), size) == block - 1).select(along, (F.col(across) + 1).alias(across), F.col("part").alias("a"))
@@ -111,7 +111,7 @@ def sides(cells: DataFrame, block: int = 256) -> DataFrame:
             out.append(pd.DataFrame({"shape": of[row0, col0], "x0": x0, "y0": y0, "x1": x1, "y1": y1}))
         return pd.concat(out).astype("int64")
 
-    return hydro.around(cells.select("row", "col", "label"), block).groupBy("br", "bc").applyInPandas(kernel, "shape long, x0 long, y0 long, x1 long, y1 long")
+    return hydro.by_block(hydro.around(cells.select("row", "col", "label"), block), "br", "bc").applyInPandas(kernel, "shape long, x0 long, y0 long, x1 long, y1 long")
 
 
 def outlines(mask: DataFrame, block: int = 256) -> DataFrame:
