@@ -128,10 +128,11 @@ class Secrets:
         inside = re.search(m.NAMED + "[=:]+>?[\"'`]*([^\"'`]+)", x)
         found = inside[1] if inside else ""
         if not found:
-            ahead = re.search(m.NAMED + "[=:]+>?$", one) or (re.search("^[=:]+>?$", one) and re.search(m.NAMED + "$", two)) or re.search("(?i)^[\"'`]?bearer$", one) or (re.search(m.NAMED + "$", one) and re.search("^[=:]", x))
+            ahead = re.search(m.NAMED + "[=:]+>?$", one) or (re.search("^[=:]+>?$", one) and re.search(m.NAMED + "$", two)) or re.search("(?i)^[\"'`]?bearer$", one) or (re.search(m.NAMED + "$", one) and re.search("^[=:]", x)) or (one in m.MEANS and re.search(m.NAMED + "$", two))
             after = re.search("^[=:>\"'`(\\[{]*([^\"'`]+)", x) if ahead else None
             prefixed = re.search(f"(?:^|[^A-Za-z0-9])({m.PREFIX}[^\"'`,;()<>]+)", x)
-            found = after[1] if after else prefixed[1] if prefixed else ""
+            login = re.search(m.LOGIN, x)
+            found = after[1] if after else prefixed[1] if prefixed else login[1] if login else ""
         return found if re.search("[\"'`][,;.)}\\]]*$", x) else re.sub("(?<=[^.,;:)}\\]])[.,;:)}\\]]+$", "", found)
 
     def runs(self, x, two, one):
@@ -150,9 +151,10 @@ class Secrets:
         low = run.lower()
         odds = [self.forest.known.odds[code(a) * 28 + code(b)] for a, b in zip(low, low[1:])]
         return [
-            n, len(set(run)), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("(?<=[a-z])(?=[0-9A-Z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[A-Za-z0-9])(?=[_/+-])"), flag(re.search("^[0-9a-f]+$", run)),
+            n, len(set(run)), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("(?<=[a-z])(?=[0-9A-Z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[A-Za-z0-9])(?=[_/+-])"), flag(re.search("^(?:[0-9a-f]+|[0-9A-F]+)$", run)),
             sum(odds) / len(odds) if odds else 0.0, 1 - len(self.listed.sub("", low)) / n, flag(re.search(r"[/\\]", lead) or re.search("/.*/", run)), flag(re.search(m.KEYS, near)), flag(re.search(m.BENIGN, f"{near} {after}")), flag(re.search(m.PREFIXES, run)),
             flag(re.search("[=:]\\s*[\"']?$", lead) or (re.search("^[\"']?$", lead) and re.search("[=:]$", one))), flag(re.search("[\"'`]$", lead)), count("[^A-Za-z0-9]"),
+            flag(re.search("://[^/:@]*:$", lead)), flag(re.search(m.HOOK, lead + run)), flag(one in m.MEANS and re.search(m.NAMED + "$", two)),
         ]
 
     def score(self, f):

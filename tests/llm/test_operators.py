@@ -320,6 +320,24 @@ def test_secrets_without_digits_or_length(spark):
     assert red[2000] == 'pwd = "[SECRET]" but Xq9!kk and aXq9!k stay' and all(x not in red[i] for i, x in true.items() if (i, x) in got)
 
 
+def test_secrets_of_many_forms(spark):
+    """Logins, hooks, prefixes and prose are found and their harmless likes left; most of a family is found by a forest that saw none of it."""
+    true = {
+        "xoxb-123456789012-1234567890123-AbCdEfGhIjKlMnOpQrStUvWx": "xoxb-", "postgres://admin:s3cr3tPw9@host": "s3cr3tPw9", "mysql://root:Tr0ub4dor&3@db.example.com:3306/app": "Tr0ub4dor&3",
+        "https://hooks.slack.com/services/T00000000/B00000000/Qz7Rabcd1234efgh5678ijkl": "Qz7R", "the passphrase is Xq9-zzTop71 ok": "Xq9-zzTop71", "the password is hunter2024! ok": "hunter2024!", "export DB_PASS=Zk91mmQ2": "Zk91mmQ2",
+    }
+    false = ["see the mountain pass is closed", "password is required", "tests PASS: 12 FAIL: 0", "postgres://user:password@localhost/db", "https://docs.example.com/webhooks/guide/setting-up-a-hook", "http://localhost:8080/api/items", "the token is expired now", "key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B was"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*true, *false])], "doc_id long, text string")
+    forest = secrets.fit(secrets.example_findings(spark))
+    assert len(forest.trees) == 25 and forest.depth() == 7
+    got = {x["doc_id"]: x["run"] for x in secrets.findings(docs, forest).collect()}
+    assert set(got) == set(range(len(true))) and all(part in got[i] for i, part in enumerate(true.values()))
+    said = secrets.by_family(secrets.example_findings(spark, 1500, 7)).collect()
+    assert sum(x["n"] for x in said) == 1500
+    share = lambda label: sum(x["taken"] for x in said if x["label"] == label) / sum(x["n"] for x in said if x["label"] == label)
+    assert share(1) > 0.9 and share(0) < 0.2
+
+
 def test_secrets_against_words(spark, sf):
     """Candidates, features, scores and redaction of whole documents, word by word; an untrained forest finds nothing."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
