@@ -1,7 +1,9 @@
 """The download store: files by URL in a shared folder, each whole and checked before it appears under its name.
 
-The index is a folder of JSON lines that Spark appends to, a line per URL and run. Tasks fetch, check and rename, so that
-nothing but records passes through the driver; a task that is run again fetches again and renames over its own file.
+The index is a Parquet table, partitioned by a bucket of the file's name, that each run appends a record per URL to: Spark's
+committer shows a run's records together or not at all. A look-up reads the buckets of the names asked for. `compact` writes
+the next generation of the table with only the records that still decide. Tasks fetch, check and rename, so that nothing
+but records passes through the driver; a task that is run again fetches again and renames over its own file.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -27,6 +29,8 @@ from . import rasters
 from .http import AGENT
 
 RECORD = "url string, path string, bytes long, sha256 string, state string, error string, seq long"
+#: Folders of the index. A name's bucket holds every URL and path that ends in it, so one look-up finds URLs and owners of paths.
+BUCKETS = 64
 KINDS = {"zip": "zip", "tif": "raster", "tiff": "raster", "json": "json", "geojson": "json"}
 
 
@@ -128,17 +132,58 @@ def digest_of(path: str, chunk: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
-def index(spark: SparkSession, root: str) -> DataFrame:
-    """Every record of the store, over all runs."""
+def bucket(name: Column) -> Column:
+    return F.pmod(F.crc32(name), F.lit(BUCKETS)).cast("int")
+
+
+def generations(root: str) -> list[int]:
+    """The numbers of the index's tables, the last one being in force."""
     fs, where = opened(f"{root}/_index")
-    if fs.get_file_info(where).type == pafs.FileType.NotFound:
+    found = fs.get_file_info(pafs.FileSelector(where, allow_not_found=True))
+    return sorted(int(f.base_name) for f in found if f.type == pafs.FileType.Directory and f.base_name.isdigit())
+
+
+def index(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
+    """The records of the store over all runs (since the last `compact`: those that decide), or those of some buckets."""
+    numbers = generations(root)
+    if not numbers:
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).json(f"{root}/_index")
+    records = spark.read.schema(f"{RECORD}, bucket int").parquet(f"{root}/_index/{numbers[-1]}")
+    return (records if buckets is None else records.where(F.col("bucket").isin(buckets))).drop("bucket")
 
 
-def history(records: DataFrame) -> DataFrame:
-    """Records with first_path, and state `downloaded, duplicate` where that content came earlier under another path."""
-    first = records.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(F.struct("seq", "path")).alias("_f"))
+def append(records: DataFrame, root: str) -> None:
+    """Adds records to the index: all of them, or none if a task fails for good. A run makes one file a bucket."""
+    numbers = generations(root) or [0]
+    placed = records.withColumn("bucket", bucket(text.file_name(F.col("url")))).repartition("bucket")
+    placed.write.mode("append").partitionBy("bucket").option("parquet.bloom.filter.enabled#url", "true").parquet(f"{root}/_index/{numbers[-1]}")
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """The next generation of the index: of every URL and path the last record with content, of every content the first.
+
+    `obtain` gives the same results before and after it. Failures and older records go. The new table appears by one rename;
+    the one before it stays for look-ups under way, older ones are deleted. No run may append meanwhile. An empty store stays so.
+    """
+    numbers = generations(root)
+    if not numbers:
+        return
+    last = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq"), "url")) == 1
+    first = F.row_number().over(Window.partitionBy("sha256").orderBy("seq", "path")) == 1
+    kept = index(spark, root).where("sha256 IS NOT NULL").select("*", last("url").alias("_u"), last("path").alias("_p"), first.alias("_c")).where("_u OR _p OR _c")
+    fs, base = opened(f"{root}/_index")
+    name = f".next-{uuid.uuid4().hex}"
+    placed = kept.select(*index(spark, root).columns, bucket(text.file_name(F.col("url"))).alias("bucket")).repartition("bucket")
+    placed.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#url", "true").parquet(f"{root}/_index/{name}")
+    fs.move(f"{base}/{name}", f"{base}/{numbers[-1] + 1}")
+    for n in numbers[:-1]:
+        fs.delete_dir(f"{base}/{n}")
+
+
+def history(records: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Records with first_path, and state `downloaded, duplicate` where that content came earlier under another path in `among` (the records themselves)."""
+    known = records if among is None else among.join(records.select("sha256").distinct(), "sha256", "left_semi")
+    first = known.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(F.struct("seq", "path")).alias("_f"))
     twin = (F.col("state") == "downloaded") & (F.col("path") != F.col("_f.path"))
     return records.join(first, "sha256", "left").withColumn("state", F.when(twin, "downloaded, duplicate").otherwise(F.col("state"))).withColumn("first_path", F.col("_f.path")).select(*records.columns, "first_path")
 
@@ -153,11 +198,13 @@ def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0,
     spark = ship(wanted.sparkSession)
     counted = fetched_bytes(spark.sparkContext)
     seq = time.time_ns() // 1000
-    known = index(spark, root).where("sha256 IS NOT NULL").groupBy("url").agg(F.max_by(F.struct("path", "bytes", "sha256"), "seq").alias("_i"))
+    used = [r["b"] for r in wanted.where("url IS NOT NULL").select(bucket(text.file_name(F.col("url"))).alias("b")).distinct().collect()]  # 64 at most
+    stored = index(spark, root, used).where("sha256 IS NOT NULL")
+    known = stored.groupBy("url").agg(F.max_by(F.struct("path", "bytes", "sha256"), "seq").alias("_i"))
     once = wanted.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct(F.coalesce("folder", F.lit("")).alias("folder"), F.col("expected").cast("long").alias("expected"))).alias("_w"))
     under = lambda *more: F.concat_ws("/", F.lit(root), F.nullif(F.col("_w.folder"), F.lit("")), *more, text.file_name(F.col("url")))
     named = once.select("url", "_w", under().alias("plain"), under(F.substring(F.sha2("url", 256), 1, 16)).alias("apart"))
-    owners = index(spark, root).where("sha256 IS NOT NULL").groupBy(F.col("path").alias("plain")).agg(F.max_by("url", "seq").alias("_owner"))
+    owners = stored.groupBy(F.col("path").alias("plain")).agg(F.max_by("url", "seq").alias("_owner"))
     firsts = named.groupBy("plain").agg(F.min("url").alias("_first"))
     placed = named.join(firsts, "plain").join(owners, "plain", "left")
     path = F.when(F.col("url") == F.coalesce("_owner", "_first"), F.col("plain")).otherwise(F.col("apart"))
@@ -185,5 +232,5 @@ def obtain(wanted: DataFrame, root: str, attempts: int = 3, pause: float = 3.0,
                 types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["url", "path", "bytes", "sha256", "state", "error", "seq"])
 
-    asked.repartition(tasks).mapInArrow(run, RECORD).write.mode("append").json(f"{root}/_index")
-    return history(index(spark, root)).where(F.col("seq") == seq)
+    append(asked.repartition(tasks).mapInArrow(run, RECORD), root)
+    return history(index(spark, root, used).where(F.col("seq") == seq), index(spark, root))

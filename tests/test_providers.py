@@ -15,7 +15,7 @@ from talweg import progress
 from talweg.operators import warp
 from talweg.plans import providers
 from talweg.schemas import Parameters
-from talweg.sources import rasters, store, vectors
+from talweg.sources import rasters, scenes, store, vectors
 
 OUTLET, EPSG = (459_329.7, 8_769_071.2), 32718
 RING = [(458_000.0, 8_768_000.0), (460_500.0, 8_768_000.0), (460_500.0, 8_770_000.0), (459_000.0, 8_769_500.0), (458_000.0, 8_770_000.0)]  # not convex
@@ -23,7 +23,7 @@ SHAPE = vectors.GEOMETRY
 
 
 class Files(http.server.BaseHTTPRequestHandler):
-    """A folder with byte ranges; `answers` of posts by path; every request is noted."""
+    """A folder with byte ranges; `answers` of posts by path, or functions of their bodies; every request is noted."""
 
     def handle_one(self, body: bool) -> None:
         path = os.path.join(self.server.root, self.path.lstrip("/"))
@@ -47,9 +47,10 @@ class Files(http.server.BaseHTTPRequestHandler):
         self.handle_one(False)
 
     def do_POST(self):
-        self.rfile.read(int(self.headers["Content-Length"]))
+        body = self.rfile.read(int(self.headers["Content-Length"]))
         self.server.asked.append((self.command, self.path))
         answer = self.server.answers.get(self.path)
+        answer = answer(json.loads(body)) if callable(answer) else answer
         self.send_response(200 if answer else 504)
         self.end_headers()
         self.wfile.write(json.dumps(answer).encode() if answer else b"")
@@ -136,6 +137,80 @@ def test_store_keeps_files_of_one_name_apart(spark, served, tmp_path):
     assert all(open(r["path"]).read() == f"map of {u.split('/')[-2]}" for u, r in again.items()) and sorted(r["state"] for r in again.values()) == ["downloaded", "reused", "reused"]
 
 
+def test_store_index_reads_its_buckets_and_survives_failures_and_compaction(spark, served, tmp_path):
+    server, base = served
+    names = [f"{i}.txt" for i in range(12)]
+    for n in names:
+        put(server, n, f"text {int(n[:-4]) % 5}")
+    ask = lambda some, folder="f": spark.createDataFrame([(f"{base}/{n}", folder, None) for n in some], "url string, folder string, expected long")
+    root = str(tmp_path / "store")
+    assert store.index(spark, root).count() == 0 and store.obtain(ask(names).limit(0), root, 1, 0.0).count() == 0
+    store.compact(spark, str(tmp_path / "none"))
+    assert store.generations(str(tmp_path / "none")) == []
+    store.obtain(ask(names[:6]), root, 1, 0.0).collect()
+    last = store.obtain(ask([*names[6:], "none.txt"]), root, 1, 0.0).collect()
+    assert {r["state"] for r in last} == {"downloaded, duplicate", "failed"}
+    # a run that fails in one of its tasks leaves no record
+    broken = store.index(spark, root).withColumn("sha256", F.when(F.col("url").endswith("/7.txt"), F.raise_error(F.lit("lost"))).otherwise(F.col("sha256")))
+    with pytest.raises(Exception, match="lost"):
+        store.append(broken, root)
+    assert store.index(spark, root).count() == 13
+    # what lies in other buckets isn't read
+    of = lambda n: spark.range(1).select(store.bucket(F.lit(n))).first()[0]
+    mine, kept = of("3.txt"), {}
+    for where, _, found in os.walk(f"{root}/_index/0"):
+        for n in found:
+            if n.startswith("part-") and not where.endswith(f"bucket={mine}"):
+                kept[f"{where}/{n}"] = open(f"{where}/{n}", "rb").read()
+                open(f"{where}/{n}", "wb").write(b"broken")
+                if os.path.exists(f"{where}/.{n}.crc"):
+                    os.remove(f"{where}/.{n}.crc")
+    assert kept and f"{base}/3.txt" in {r["url"] for r in store.index(spark, root, [mine]).collect()}
+    for where, data in kept.items():
+        open(where, "wb").write(data)
+    # compaction keeps what decides: the same states, paths and first paths before and after it
+    store.obtain(ask(names[:3]), root, 1, 0.0).collect()
+    told = lambda: sorted(tuple(r[c] for c in ("url", "path", "state", "first_path")) for r in store.obtain(ask([*names, "none.txt"]), root, 1, 0.0).collect())
+    before = told()
+    for generation in (1, 2):
+        store.compact(spark, root)
+        assert store.generations(root) == [generation - 1, generation] and store.index(spark, root).count() == len(names) + 5  # and the first records of five contents
+        assert told() == before
+    put(server, "other/3.txt", "text of another")
+    assert {r["path"].startswith(f"{root}/f/") and r["path"] != f"{root}/f/3.txt" for r in store.obtain(ask(["other/3.txt"]), root, 1, 0.0).collect()} == {True}
+
+
+def test_scenes_by_spans_and_pages(spark, served):
+    server, base = served
+    box = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
+    made = [{"id": f"s{i:02}", "geometry": {"type": "Polygon" if i else "MultiPolygon", "coordinates": [box] if i else [[box]]}, "properties": {"datetime": f"2024-01-{i + 1:02}T00:00:00Z", "eo:cloud_cover": i}, "assets": {"visual": {"href": f"v{i}"}, "none": {}}} for i in range(20)]
+    seen = []
+
+    def answer(body):
+        seen.append(body)
+        inside = [f for f in made if "datetime" not in body or body["datetime"].split("/")[0] <= f["properties"]["datetime"].replace("Z", "+00:00") <= body["datetime"].split("/")[1]]
+        at = body.get("token", 0)
+        links = [{"rel": "self", "href": "x"}] + ([{"rel": "next", "href": f"{base}/search", "method": "POST", "merge": True, "body": {"token": at + 4}}] if at + 4 < len(inside) else [])
+        return {"features": inside[at : at + 4], "links": links}
+
+    server.answers["/search"] = answer
+    over = scenes.spans("2024-01-01", "2024-01-18", 7)
+    assert [b for _, b in over] == ["2024-01-08T00:00:00+00:00", "2024-01-15T00:00:00+00:00", "2024-01-18T00:00:00+00:00"]
+    got = scenes.search(spark, f"{base}/search", {"limit": 4}, over, pause=0.0)
+    assert got.rdd.getNumPartitions() == 3
+    rows = sorted(got.collect(), key=lambda r: r["scene"])
+    assert [r["scene"] for r in rows] == [f"s{i:02}" for i in range(17)]  # each once, also at the ends of spans, and none of the 18th
+    assert rows[0]["ring"] is None and len(rows[1]["ring"]) == 5 and rows[3]["assets"] == {"visual": "v3"} and rows[3]["scene_cloud"] == 3.0
+    assert len(seen) == 2 + 2 + 1 and all(b["limit"] == 4 for b in seen)
+    seen.clear()
+    assert [r["scene"] for r in scenes.search(spark, f"{base}/search", {}, most=6).collect()] == [f"s{i:02}" for i in range(6)] and len(seen) == 2
+    server.answers["/loop"] = {"features": made[:1], "links": [{"rel": "next", "href": f"{base}/loop", "method": "POST", "merge": True}]}
+    looped = scenes.search(spark, f"{base}/loop", {"a": 1}, attempts=1).collect()
+    assert [r["scene"] for r in looped] == ["s00", None] and "earlier" in looped[1]["error"]
+    assert "504" in scenes.search(spark, f"{base}/gone", {}, attempts=2, pause=0.0).first()["error"]
+    assert scenes.search(spark, f"{base}/search", {}, [("2030-01-01", "2030-01-02")]).count() == 0
+
+
 def test_progress_tells_of_tasks_and_bytes(spark, served, tmp_path):
     server, base = served
     for i in range(6):
