@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..schemas import CLOUD_CLASSES
+from ..session import ship
 
 
 def valid(cells: DataFrame, nodata: float | None = -9999.0) -> DataFrame:
@@ -38,6 +41,48 @@ def nearest(points: DataFrame, cells: DataFrame, key: str = "id") -> DataFrame:
     return placed.join(cells.select("row", "col", "z"), ["row", "col"]).select(key, "z")
 
 
+def sampled(points: DataFrame, cells: DataFrame, key: str = "id", how: str = "bilinear", block: int = 256, piece: Column | None = None) -> DataFrame:
+    """(key, z) as by `bilinear` or `nearest`, for many points: these meet their source block and its next row and column as
+    one array, so that a point is shuffled once and no corner is.
+
+    `piece` numbers the groups that share a block, so that one crowded with points is shared out; a group holds the points of
+    a piece in a block and (block + 1)^2 cells. Points without a place or with no valid corner get no row; cells are unique.
+    """
+    ship(points.sparkSession)
+    smooth = how == "bilinear"
+    shift = 0.5 if smooth else 0.0
+    home = lambda x: F.floor(x / block).cast("int")
+    u, v = F.col("u") - shift, F.col("v") - shift
+    fine = F.col("u").isNotNull() & F.col("v").isNotNull() & ~F.isnan("u") & ~F.isnan("v")
+    placed = points.where(fine).select(key, u.alias("u"), v.alias("v"), home(v).alias("br"), home(u).alias("bc"), F.coalesce(F.lit(0) if piece is None else piece, F.lit(-1)).cast("long").alias("piece"))
+    # A block's first row and column serve the block before it too.
+    blocks = lambda x: F.array_distinct(F.array(home(x), home(x - 1))) if smooth else F.array(home(x))
+    dealt = cells.where(F.col("z").isNotNull()).select("row", "col", "z", F.explode(blocks(F.col("row"))).alias("br"))
+    dealt = dealt.select("row", "col", "z", "br", F.explode(blocks(F.col("col"))).alias("bc"))
+    near = dealt.join(placed.select("br", "bc", "piece").distinct(), ["br", "bc"]).select("row", "col", "z", *[F.col(c).alias(f"_{c}") for c in ("br", "bc", "piece")])
+
+    def kernel(where: tuple, at: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        br, bc, _ = where
+        grid = np.full((block + 1, block + 1), np.nan)
+        grid[known["row"] - br * block, known["col"] - bc * block] = known["z"]
+        x, y = at["u"].to_numpy(), at["v"].to_numpy()
+        r, c = np.floor(y), np.floor(x)
+        fy, fx = y - r, x - c
+        r, c = r.astype(np.int64) - br * block, c.astype(np.int64) - bc * block
+        total, weight = np.zeros(len(at)), np.zeros(len(at))
+        for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)) if smooth else ((0, 0),):
+            w = (fy if dr else 1 - fy) * (fx if dc else 1 - fx) if smooth else np.ones(len(at))
+            z = grid[r + dr, c + dc]
+            w = np.where(np.isnan(z), 0.0, w)
+            total += np.where(w > 0, w * np.nan_to_num(z), 0.0)
+            weight += w
+        some = weight > 0
+        return pd.DataFrame({key: at[key][some], "z": (total[some] / weight[some]).astype(known["z"].dtype if not smooth else float)})
+
+    kind = "double" if smooth else dict(cells.dtypes)["z"]
+    return placed.groupBy("br", "bc", "piece").cogroup(near.groupBy("_br", "_bc", "_piece")).applyInPandas(kernel, f"{key} {dict(points.dtypes)[key]}, z {kind}")
+
+
 def masked(cells: DataFrame, ring: Column, x0: float, y0: float, cell: float) -> DataFrame:
     """Cells whose centre is in a ring; others become missing, never 0."""
     x, y = x0 + (F.col("col") + 0.5) * cell, y0 - (F.col("row") + 0.5) * cell

@@ -1,4 +1,4 @@
-"""Raster files brought to the grid of an area: window, mosaic, resampling and mask as one job."""
+"""Raster files brought to the grid of an area: window, mosaic, resampling by blocks and mask as one job."""
 
 from __future__ import annotations
 
@@ -68,6 +68,8 @@ def warped(spark: SparkSession, paths: list[str], ring: Ring, epsg: int, cell: f
     """
     grid = grid_over(ring, cell, epsg, most)
     number = F.col("id")
+    # 512 x 512 target cells a group at most, however coarse the files are.
+    piece = F.floor(number / grid.width / 512) * (grid.width // 512 + 1) + F.floor(number % grid.width / 512)
     area = spark.createDataFrame([(1, [[{"x": float(x), "y": float(y)} for x, y in ring]])], f"area int, parts array<{geom.POINTS}>")
     inside = raster.covered(area, grid.x0, grid.y1, cell, grid.height, grid.width, "area")
     target = inside.select((F.col("row").cast("long") * grid.width + F.col("col")).alias("id"), "row", "col", raster.centre(F.col("row"), F.col("col"), grid.x0, grid.y1, cell).alias("p"))
@@ -84,7 +86,7 @@ def warped(spark: SparkSession, paths: list[str], ring: Ring, epsg: int, cell: f
         cells = rasters.read(spark, files, box, band).where(F.lit(True) if skip is None else F.col("z") != skip)
         source = raster.mosaic(cells.select(F.round((first.y1 - F.col("y")) / dy - 0.5).cast("int").alias("row"), F.round((F.col("x") - first.x0) / dx - 0.5).cast("int").alias("col"), "z", order[F.col("path")].alias("priority")))
         q = target.withColumn("q", between(F.col("p.x"), F.col("p.y"), epsg, system)).select("id", ((F.col("q.x") - first.x0) / dx).alias("u"), ((first.y1 - F.col("q.y")) / dy).alias("v"))
-        found = (raster.bilinear if how == "bilinear" else raster.nearest)(q, source, "id").select("id", "z", F.lit(place).alias("priority"))
+        found = raster.sampled(q, source, "id", how, piece=piece).select("id", "z", F.lit(place).alias("priority"))
         layers = found if layers is None else layers.unionByName(found)
     if layers is None:
         raise ValueError("no files to warp")

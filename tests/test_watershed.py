@@ -8,6 +8,7 @@ import random
 import threading
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,25 @@ def test_growing_until_contained(spark):
     assert rounds == 1 and box[0] < 2700.0
 
 
+
+def test_resampling_by_blocks_equals_that_by_joins(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-12, 32, (n, 2)))]
+    spots += [(n + i, float(x), float(y)) for i, (x, y) in enumerate((a / 2, b / 2) for a in range(-20, 60, 3) for b in range(-20, 60, 3))]  # on centres and edges
+    spots += [(-i - 1, 3.25, 4.75) for i in range(2000)] + [(-9000, None, 1.0), (-9001, 1.0, None), (-9002, float("nan"), 1.0)]  # a crowd in one block, and no place
+    points = spark.createDataFrame(spots, "id long, u double, v double")
+    cells = spark.createDataFrame([(r, c, None if (r * 7 + c) % 50 == 1 else float(rng.integers(-500, 500))) for r in range(-10, 30) for c in range(-10, 30) if (r * r + c) % 9], "row int, col int, z double")
+    for how, plain in (("bilinear", raster.bilinear), ("nearest", raster.nearest)):
+        want = {r["id"]: r["z"] for r in plain(points.where("NOT isnan(u) AND u IS NOT NULL AND v IS NOT NULL"), cells.where("z IS NOT NULL")).collect()}
+        for block, piece in ((8, F.col("id") % 3), (256, None)):
+            got = raster.sampled(points, cells, "id", how, block, piece).collect()
+            assert len(got) == len(want) and max(abs(r["z"] - want[r["id"]]) for r in got) < 1e-9
+    whole = raster.sampled(points, cells.where("z IS NOT NULL").withColumn("z", F.col("z").cast("int")), "id", "nearest", 8)
+    assert dict(whole.dtypes)["z"] == "int" and whole.count() == len(want)
+    assert raster.sampled(points, cells.limit(0)).count() == 0 and raster.sampled(points.limit(0), cells).count() == 0
+
+
 def test_grids(spark):
     cells = spark.createDataFrame([(0, 0, 0.0), (0, 1, 10.0), (1, 0, 20.0)], "row int, col int, z double")
     at = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0), (3, 0.5, 0.5)], "id int, u double, v double")
