@@ -67,8 +67,9 @@ def stop(source: str) -> str:
 
 
 RANK = "row_number() OVER (PARTITION BY request ORDER BY complete DESC, per_mille, date DESC, place)"
-USABLE = f"""(SELECT * REPLACE (row_number() OVER (PARTITION BY request ORDER BY scene_cloud, scene) AS place) FROM
-    (SELECT *, max(CAST(complete AS INT)) OVER (PARTITION BY request) AS anyfull FROM {SCENES} WHERE scene_cloud < 30) WHERE anyfull = 0 OR complete QUALIFY place <= 5)"""
+#: The first five of a request by cloud. The limit stands a level above: QUALIFY beside REPLACE would take the place that is replaced.
+USABLE = f"""(SELECT * FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY request ORDER BY scene_cloud, scene) AS place) FROM
+    (SELECT *, max(CAST(complete AS INT)) OVER (PARTITION BY request) AS anyfull FROM {SCENES} WHERE scene_cloud < 30) WHERE anyfull = 0 OR complete) WHERE place <= 5)"""
 
 WIDTH = "(SELECT greatest(40, CAST(floor(sqrt(count(*) // 10)) AS BIGINT) // 8 * 8) FROM lineitem)"
 DEM = f"dem AS (SELECT CAST(l_orderkey % {WIDTH} AS INT) AS row, CAST(l_partkey % {WIDTH} AS INT) AS col, min(CAST(round(l_extendedprice) AS BIGINT)) * {{}} AS z FROM lineitem GROUP BY 1, 2)"

@@ -45,3 +45,13 @@ def test_drains_to_every_cell(spark, sf):
     got = __spark_entry__.queries()["drains_to_every"](spark, sf).collect()
     assert sorted(r["source"] for r in got) == sorted(down) and len({r["target"] for r in got}) == 1
     assert all(r["drains"] == (r["target"] in way(r["source"])) for r in got)
+
+
+def test_scene_choice_of_many_scenes(spark, tmp_path):
+    """Requests of more than five scenes, whose order by cloud isn't that of their numbers."""
+    events = spark.range(9000).selectExpr("id AS event_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 30 AS int)) AS ts", "id * 7 % 900 AS user_id")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    mine = sorted(tuple(r) for r in QUERIES["scene_choice"](spark, str(tmp_path)).collect())
+    assert mine == sorted(c.sql(ORACLES["scene_choice"]).fetchall()) and len(mine) == 50
