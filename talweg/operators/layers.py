@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -61,16 +63,19 @@ def cascade(levels: list[tuple[DataFrame, str, str | None]], chosen: DataFrame)
     return out
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str = "id", name: str = "name", cell: float = 20_000.0) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, key: str = "id", name: str = "name", cell: float | None = None) -> DataFrame:
     """(key, name, place_id, distance): the nearest place of each point, however far; the lowest place_id among equals.
 
     Places are found in the grid cells around a point, an equality join in place of all pairs. Within one cell's length a
-    find is sure; points without one ask again on a grid of eight times the cell, until none is left. Points without
-    finite coordinates, and all points where there are no places, give no row.
+    find is sure; points without one ask again on a grid of eight times the cell, until none is left. Unset, the first cell
+    is one of few places, so that a point meets no more of them where there are more in all. Points without finite
+    coordinates, and all points where there are no places, give no row.
     """
     left = points.select(key, "x", "y").where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & ~F.isnan("x") & ~F.isnan("y"))
-    there = checkpointed(places.select("place_id", name, F.col("x").alias("px"), F.col("y").alias("py")))
+    # of places on one spot the lowest number is the nearest to every point
+    there = checkpointed(places.groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min(F.struct("place_id", name)).alias("p")).select("p.place_id", f"p.{name}", "px", "py"))
     edges = there.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    cell = cell or sparse_cell(there)
     found = None
     while True:
         best = checkpointed(within(left, there, key, name, cell))
@@ -83,11 +88,27 @@ def nearest(points: DataFrame, places: DataFrame, key: str = "id", name: str = "
         cell *= 8
 
 
+def sparse_cell(places: DataFrame, most: float = 4.0) -> float:
+    """The side of a grid cell in which a place has `most` others or fewer on average: two a cell where they lie evenly, smaller where they crowd."""
+    finite = places.where((F.abs("px") < float("inf")) & (F.abs("py") < float("inf")))
+    b = finite.agg(F.count("*").alias("n"), (F.max("px") - F.min("px")).alias("width"), (F.max("py") - F.min("py")).alias("height")).first()
+    if not b["n"] or not max(b["width"], b["height"]):
+        return 20_000.0
+    cell = max(math.sqrt(2 * b["width"] * b["height"] / b["n"]), 2 * max(b["width"], b["height"]) / b["n"])
+    for _ in range(24):
+        n = F.col("n").cast("double")
+        crowd = finite.groupBy(F.floor(F.col("px") / cell), F.floor(F.col("py") / cell)).agg(F.count("*").alias("n")).agg(F.sum(n * n) / F.sum(n)).first()[0]
+        if crowd <= most + 1:
+            break
+        cell /= 4
+    return cell
+
+
 def within(points: DataFrame, places: DataFrame, key: str, name: str, cell: float) -> DataFrame:
-    """The best place of each point among those in its grid cell and the eight around it."""
+    """The best place of each point among those in its grid cell and the eight around it: each place is dealt to nine cells, a point to one."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = points.select(key, "x", "y", F.explode(steps).alias("s")).select(key, "x", "y", (F.floor(F.col("x") / cell) + F.col("s.i")).alias("gx"), (F.floor(F.col("y") / cell) + F.col("s.j")).alias("gy"))
-    dealt = places.select("*", F.floor(F.col("px") / cell).alias("gx"), F.floor(F.col("py") / cell).alias("gy"))
+    asked = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
+    dealt = places.select("*", F.explode(steps).alias("s")).select("place_id", name, "px", "py", (F.floor(F.col("px") / cell) + F.col("s.i")).alias("gx"), (F.floor(F.col("py") / cell) + F.col("s.j")).alias("gy"))
     d = F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
     best = asked.join(dealt, ["gx", "gy"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("place_id"), F.col(name))).alias("b"))
     return best.select(key, f"b.{name}", "b.place_id", "b.distance")

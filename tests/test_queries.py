@@ -55,3 +55,23 @@ def test_scene_choice_of_many_scenes(spark, tmp_path):
     c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     mine = sorted(tuple(r) for r in QUERIES["scene_choice"](spark, str(tmp_path)).collect())
     assert mine == sorted(c.sql(ORACLES["scene_choice"]).fetchall()) and len(mine) == 50
+
+
+def test_nearest_meets_few_places_however_many_there_are(spark):
+    """The cells follow the places: a point's candidates don't grow with them, crowded or not, and the answers are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from talweg.operators import layers
+
+    for most in (500, 20_000):
+        n = spark.range(most)
+        x, y = F.col("id") * 7919 % 40_009 * 1.0, F.col("id") * 104_729 % 39_989 * 1.0
+        places = n.select(F.col("id").alias("place_id"), F.concat(F.lit("p"), "id").alias("name"), F.when(F.col("id") % 2 == 0, x / 100).otherwise(x).alias("px"), F.when(F.col("id") % 2 == 0, y / 100).otherwise(y).alias("py"))
+        cell = layers.sparse_cell(places)
+        met = layers.within(n.select("id", (x + 0.5).alias("x"), (y + 0.5).alias("y")), places, "id", "name", cell).count()
+        cells = places.groupBy(F.floor(F.col("px") / cell), F.floor(F.col("py") / cell)).count()
+        assert cells.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] <= 5 and met > 0
+    some = spark.range(60).select("id", (F.col("id") * 641.5).alias("x"), (F.col("id") * 911 % 40_000 * 1.0).alias("y"))
+    got = {r["id"]: r["place_id"] for r in layers.nearest(some, places.withColumnRenamed("px", "x").withColumnRenamed("py", "y")).collect()}
+    rows = places.collect()
+    assert got == {p["id"]: min(rows, key=lambda r: ((r["px"] - p["x"]) ** 2 + (r["py"] - p["y"]) ** 2, r["place_id"]))["place_id"] for p in some.collect()}
