@@ -4,6 +4,8 @@ A feature (id, kind, parts) lies on a level of square cells, of a size that suit
 is cut up by them: a cell holds the edges that pass it, the points that lie in it and, for polygons, whether its
 south-west corner is inside. Two features meet on the coarser of their levels, by an equality join on cells, and are
 tested there with what the cell holds. A feature of many points is so spread over many cells, and no row carries it whole.
+A polygon has several cells a side, more where it is larger than most, so that most of what shares a cell with it does meet
+it: cells without its edges, and corners inside both of two polygons, answer without a test of edges.
 
 What meets: polygons all; lines lines and polygons; points polygons. A point is in a polygon where it is inside an odd
 number of its rings (on a border it may go either way); borders that touch do meet, but for edges that lie on one line.
@@ -20,6 +22,8 @@ from ..session import checkpointed
 #: Where the cells' corners lie within a cell's size, off the places where coordinates tend to be round.
 OFF_X, OFF_Y = 0.381966011, 0.171572875
 MOST, POINTS_A_CELL = 256, 8
+#: Cells along the side of a polygon: of the usual extent, and at most for larger ones of few points.
+USUAL, LARGE = 4.0, 16.0
 POINT_LEVEL = -40
 
 
@@ -36,19 +40,23 @@ def row_of(y: Column, level: Column) -> Column:
 
 
 def levelled(features: DataFrame) -> DataFrame:
-    """`features` (id, kind, parts) with `own`: the level on which a feature is cut into about as many cells as it has groups of points."""
+    """`features` (id, kind, parts) with their bounds `b`, number of points `n` and `own`: the level on which a feature is cut into
+    about as many cells as it has groups of points, a polygon into some more."""
     points = geom.let(F.flatten("parts"), lambda r: F.struct(geom.bounds(r).alias("b"), F.size(r).alias("n")))
     known = features.select("id", "kind", "parts", points.alias("p"))
     b, n = F.col("p.b"), F.col("p.n")
     extent = F.greatest(b["east"] - b["west"], b["north"] - b["south"])
-    cells = F.greatest(F.lit(1.0), F.least(F.lit(float(MOST)), n / POINTS_A_CELL))
-    return known.where(n > 0).select("id", "kind", "parts", F.when((F.col("kind") == "point") | (extent <= 0), F.lit(POINT_LEVEL)).otherwise(F.ceil(F.log2(extent / cells))).cast("int").alias("own"))
+    known = checkpointed(known.where(n > 0).select("id", "kind", "parts", "p.b", "p.n", extent.alias("extent")))
+    usual = known.where("kind = 'polygon' AND extent > 0").agg(F.percentile_approx("extent", 0.5)).first()[0] or 1.0
+    least = F.when(F.col("kind") == "polygon", F.greatest(F.lit(USUAL), F.least(F.lit(LARGE), USUAL * F.col("extent") / usual))).otherwise(1.0)
+    cells = F.greatest(least, F.least(F.lit(float(MOST)), F.col("n") / POINTS_A_CELL))
+    return known.select("id", "kind", "parts", "b", "n", F.when((F.col("kind") == "point") | (F.col("extent") <= 0), F.lit(POINT_LEVEL)).otherwise(F.ceil(F.log2(F.col("extent") / cells))).cast("int").alias("own"))
 
 
 def in_cells(features: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, kind, own, level, cx, cy, edges, spots, inside): each feature on its own level and on the coarser ones of `levels`."""
-    placed = features.select("id", "kind", "own", "parts", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter(F.array(*map(F.lit, levels)), lambda v: v > F.col("own"))) if levels else F.array("own"))).alias("level"))
-    keys = ["id", "kind", "own", "level"]
+    """(id, kind, own, b, level, cx, cy, edges, spots, inside): each feature on its own level and on the coarser ones of `levels`."""
+    placed = features.select("id", "kind", "own", "b", "parts", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter(F.array(*map(F.lit, levels)), lambda v: v > F.col("own"))) if levels else F.array("own"))).alias("level"))
+    keys = ["id", "kind", "own", "b", "level"]
     size = step(F.col("level"))
     closed = F.col("kind") == "polygon"
     lines = placed.where("kind <> 'point'").select(*keys, F.explode("parts").alias("line")).select(*keys, F.explode(F.when(closed, geom.edges(F.col("line"))).otherwise(geom.edges(F.col("line"), False))).alias("e"))
@@ -93,15 +101,29 @@ def holds(edges: Column, corner_inside: Column, west: Column, south: Column, p:
     return F.aggregate(edges, corner_inside.cast("int"), lambda s, e: s + up(e) + across(e)) % 2 == 1
 
 
-def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): the pairs of features of two tables (id, kind, parts) that meet."""
+def meeting(left: DataFrame, right: DataFrame, ascending: bool = False) -> DataFrame:
+    """(left_id, right_id): the pairs of features of two tables (id, kind, parts) that meet; with `ascending` those whose left number is the smaller."""
     a, b = checkpointed(levelled(left)), checkpointed(levelled(right))
     # Levels are whole numbers between POINT_LEVEL and some fifty: a bounded list.
     of = {side: sorted(r["own"] for r in rows.where("kind <> 'point'").select("own").distinct().collect()) for side, rows in (("a", a), ("b", b))}
     own = F.col("own") == F.col("level")
-    named = lambda rows, n: rows.select("level", "cx", "cy", own.alias(f"{n}_own"), F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("kind", "edges", "spots", "inside")])
-    met = named(in_cells(a, of["b"]), "left").join(named(in_cells(b, of["a"]), "right"), ["level", "cx", "cy"]).where("(left_own OR right_own) AND (left_kind = 'polygon' OR right_kind = 'polygon' OR (left_kind = 'line' AND right_kind = 'line'))")
+    named = lambda rows, n: rows.select("level", "cx", "cy", own.alias(f"{n}_own"), F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("kind", "b", "edges", "spots", "inside")])
+    both = named(in_cells(a, of["b"]), "left").join(named(in_cells(b, of["a"]), "right"), ["level", "cx", "cy"])
+    near = [F.col(f"{n}_b.{lo}") <= F.col(f"{o}_b.{hi}") for n, o in (("left", "right"), ("right", "left")) for lo, hi in (("west", "east"), ("south", "north"))]
+    met = both.where("(left_own OR right_own) AND (left_kind = 'polygon' OR right_kind = 'polygon' OR (left_kind = 'line' AND right_kind = 'line'))").where(near[0] & near[1] & near[2] & near[3])
+    met = met.where("left_id < right_id") if ascending else met
     west, south = (F.col("cx") - OFF_X) * step(F.col("level")), (F.col("cy") - OFF_Y) * step(F.col("level"))
-    inside = lambda n, o: (F.col(f"{n}_kind") == "polygon") & F.exists(F.col(f"{o}_spots"), lambda p: holds(F.col(f"{n}_edges"), F.col(f"{n}_inside"), west, south, p))
-    crossing = F.exists("left_edges", lambda e: F.exists("right_edges", lambda f: geom.cross(e["a"], e["b"], f["a"], f["b"])))
-    return met.where(inside("left", "right") | inside("right", "left") | crossing).select("left_id", "right_id").distinct()
+    held = lambda n, o: F.exists(F.col(f"{o}_spots"), lambda p: holds(F.col(f"{n}_edges"), F.col(f"{n}_inside"), west, south, p))
+    inside = lambda n, o: F.when((F.col(f"{n}_kind") != "polygon") | (F.size(f"{o}_spots") == 0), False).when(F.size(f"{n}_edges") == 0, F.col(f"{n}_inside")).otherwise(held(n, o))
+    crossing = F.when((F.size("left_edges") == 0) | (F.size("right_edges") == 0), False).otherwise(F.exists("left_edges", lambda e: F.exists("right_edges", lambda f: geom.cross(e["a"], e["b"], f["a"], f["b"]))))
+    # a corner inside two polygons, or what passes a cell that is inside as a whole, is common to both
+    within = lambda n, o: (F.col(f"{n}_kind") == "polygon") & F.col(f"{n}_inside") & (F.col(f"{o}_inside") | ((F.size(f"{n}_edges") == 0) & (F.size(f"{o}_spots") > 0)))
+    pairs = met.where(F.when(within("left", "right") | within("right", "left"), True).otherwise(inside("left", "right") | inside("right", "left") | crossing)).select("left_id", "right_id")
+    return pairs if once(a, b) or once(b, a) else pairs.distinct()
+
+
+def once(polygons: DataFrame, points: DataFrame) -> bool:
+    """Whether each pair shares one cell only: single points against polygons, each number given once."""
+    if polygons.where("kind <> 'polygon'").limit(1).count() or points.where("kind <> 'point' OR n > 1").limit(1).count():
+        return False
+    return not any(rows.groupBy("id").count().where("count > 1").limit(1).count() for rows in (polygons, points))

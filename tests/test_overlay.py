@@ -198,3 +198,18 @@ def test_clip_of_points_lines_and_polygons(spark):
             want = inside(parts, x, y) & inside([ring], x, y)
             assert (inside(got[i], x, y) == want).all() if i in got else not want.any(), i
     assert layers.clip(table.limit(0), ring).count() == 0
+
+
+def test_joins_of_many_features_test_few_edges(spark, sf):
+    """Larger polygons have more cells, pairs of points and polygons need no distinct, and `ascending` leaves out the mirrored half."""
+    from talweg.operators import spatial
+    from talweg.plans.fixtures import areas, places
+
+    rows = spatial.levelled(areas(spark, sf)).selectExpr("own", "greatest(b.east - b.west, b.north - b.south) / pow(2, own) AS across").collect()
+    assert all(2 <= r["across"] <= 16 for r in rows) and max(r["across"] for r in rows) >= 8
+    pairs = spatial.meeting(areas(spark, sf), areas(spark, sf))
+    assert sorted(pairs.where("left_id < right_id").collect()) == sorted(spatial.meeting(areas(spark, sf), areas(spark, sf), ascending=True).collect())
+    assert spatial.once(areas(spark, sf).withColumn("n", F.lit(5)), places(spark, sf).withColumn("n", F.lit(1)))
+    assert not spatial.once(areas(spark, sf).withColumn("n", F.lit(5)), areas(spark, sf).withColumn("n", F.lit(5)))
+    found = spatial.meeting(areas(spark, sf), places(spark, sf))
+    assert found.count() == found.distinct().count()
