@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, geom, text
 from ..schemas import SHEET_WEST, Parameters
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from . import overlay
 
 TILE_TOLERANCE, SHEET_TOLERANCE = 1e-9, 1e-10
@@ -81,7 +81,7 @@ def select(aois: DataFrame, catalogue: DataFrame | None = None, key: str = "id",
     `catalogue` (lat0, lon0): tiles that exist; without one all do. It is joined by equality; the optimizer broadcasts it
     where its size allows.
     """
-    rows = aois.select(key, F.col("ring_ll"), geom.area(F.col("ring_ll")).alias("total"), geom.bounds(F.col("ring_ll")).alias("b"))
+    rows = spread(aois.select(key, "ring_ll"), key).select(key, F.col("ring_ll"), geom.area(F.col("ring_ll")).alias("total"), geom.bounds(F.col("ring_ll")).alias("b"))
     tiles = rows.select(key, "ring_ll", "total", "b", F.explode(candidates(F.col("b"), size)).alias("t"))
     w, s = F.col("t.lon0").cast("double"), F.col("t.lat0").cast("double")
     inter = tiles.select(key, "total", "t.lat0", "t.lon0", geom.overlap_area(F.col("ring_ll"), w, s, w + size, s + size).alias("inter"), geom.edge_meets(F.col("ring_ll"), w, s, w + size, s + size).alias("meets"))
@@ -113,7 +113,7 @@ def sheets(aois: DataFrame, key: str = "id") -> DataFrame:
     rows = F.greatest(F.lit(0), F.ceil((top - b["south"]) / 0.5)).cast("int")
     left = SHEET_WEST + F.floor((b["west"] - SHEET_WEST) / 0.5) * 0.5
     cols = F.greatest(F.lit(0), F.ceil((b["east"] - left) / 0.5)).cast("int")
-    grid = aois.where((rows > 0) & (cols > 0)).select(key, "ring_ll", top.alias("top"), left.alias("left"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), cols.alias("cols"))
+    grid = spread(aois.select(key, "ring_ll"), key).where((rows > 0) & (cols > 0)).select(key, "ring_ll", top.alias("top"), left.alias("left"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), cols.alias("cols"))
     cells = grid.select(key, "ring_ll", (F.col("top") - 0.5 * F.col("i")).alias("n"), "left", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j")).select(key, "ring_ll", "n", (F.col("left") + 0.5 * F.col("j")).alias("w"))
     met = cells.where(geom.overlap_area(F.col("ring_ll"), F.col("w"), F.col("n") - 0.5, F.col("w") + 0.5, F.col("n")) > SHEET_TOLERANCE)
     return met.select(key, text.sheet_code(F.col("w") + 0.25, F.col("n") - 0.25).alias("sheet")).where("sheet IS NOT NULL").distinct()

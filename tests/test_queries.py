@@ -75,3 +75,13 @@ def test_nearest_meets_few_places_however_many_there_are(spark):
     got = {r["id"]: r["place_id"] for r in layers.nearest(some, places.withColumnRenamed("px", "x").withColumnRenamed("py", "y")).collect()}
     rows = places.collect()
     assert got == {p["id"]: min(rows, key=lambda r: ((r["px"] - p["x"]) ** 2 + (r["py"] - p["y"]) ** 2, r["place_id"]))["place_id"] for p in some.collect()}
+
+
+def test_tile_work_is_spread_over_tasks(spark, sf):
+    """Areas that a reader puts into one task are dealt to all cores before their tiles and sheets are found."""
+    from talweg.operators import tiles
+    from talweg.plans.fixtures import boxes
+
+    one = boxes(spark, sf).coalesce(1)
+    for found in (tiles.select(one, size=3), tiles.sheets(one)):
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
