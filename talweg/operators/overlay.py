@@ -10,7 +10,8 @@ in four steps, each a join on small keys:
 4. pieces with the wanted region on one side only are its border: each is followed by the piece that turns off first at
    its end, and pointer doubling ranks the pieces of each ring.
 
-So a ring is never walked by one process, and a shape of many edges is spread over the cluster. Coordinates of a shape
+So a ring is never walked by one process, and a shape of many edges is spread over the cluster. Shapes of few edges take the
+same steps many at a time within a task (`compact.py`), without joins. Coordinates of a shape
 may span up to 2**30 units: with the unit of 2**-10 that is 1000 km of metres; beyond it Spark reports an overflow.
 """
 
@@ -23,18 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..session import checkpointed
+from ..session import checkpointed, ship, spread
+from . import compact
 
 #: Grid units of metres, and of degrees.
 METRES, DEGREES = 2.0**-10, 2.0**-22
 ENDS = ("x0", "y0", "x1", "y1")
 
 
-def edges_of(shapes: DataFrame, parts: Column, layer: int = 0, unit: float = METRES) -> DataFrame:
+def edges_of(shapes: DataFrame, parts: Column, layer: int | Column = 0, unit: float = METRES) -> DataFrame:
     """The edges of `shapes` (shape; `parts`: an array of rings), in grid units; those without length are left out."""
     snap = lambda v: F.round(v / unit).cast("long")
-    each = shapes.select("shape", F.explode(parts).alias("r")).select("shape", F.explode(geom.edges(F.col("r"))).alias("e"))
-    return each.select("shape", F.lit(layer).alias("layer"), *[snap(F.col(f"e.{p}.{c}")).alias(f"{c}{i}") for i, p in enumerate("ab") for c in "xy"]).where("x0 <> x1 OR y0 <> y1")
+    each = shapes.select("shape", F.lit(layer).alias("layer"), F.explode(parts).alias("r")).select("shape", "layer", F.explode(geom.edges(F.col("r"))).alias("e"))
+    return each.select("shape", "layer", *[snap(F.col(f"e.{p}.{c}")).alias(f"{c}{i}") for i, p in enumerate("ab") for c in "xy"]).where("x0 <> x1 OR y0 <> y1")
 
 
 def side(a: str, b: str, p: str) -> Column:
@@ -183,18 +185,39 @@ def left_turning(ring: Column) -> Column:
     return geom.let(ring, lambda r: F.when(geom.signed_area(r) >= 0, r).otherwise(F.reverse(r)))
 
 
+def outlined(rows: DataFrame, parts: Callable[[Column], Column], most: Column, inside: Callable, layers: int, unit: float) -> DataFrame:
+    """(shape, parts, area): the region that `inside` accepts, for `rows` (shape, layer, given) of whose `given` the function
+    `parts` makes rings, of `most` edges at most. Shapes of few edges are held as one row each; of the others no row holds all."""
+    known = checkpointed(rows.where("given IS NOT NULL").withColumn("most", most.cast("long")))
+    many = checkpointed(known.groupBy("shape").agg(F.sum("most").alias("all")).where(F.coalesce("all", F.lit(0)) > compact.FEW).select("shape"))
+    general = lambda r: polygons(rings(border(edges_of(r.select("shape", "layer", parts(F.col("given")).alias("parts")), F.col("parts"), F.col("layer"), unit), inside, layers)), unit)
+    none_many = many.limit(1).count() == 0
+    few = known if none_many else known.join(many, "shape", "left_anti")
+    ship(known.sparkSession)
+    snap = lambda v: F.round(v / unit).cast("long")
+    ends = lambda layer, r: F.transform(geom.edges(r), lambda e: F.struct(layer.alias("layer"), *[snap(e[p][c]).alias(f"{c}{i}") for i, p in enumerate("ab") for c in "xy"]))
+    held = spread(few.where("shape IS NOT NULL").select("shape", "layer", "given"), "shape", rows=10_000).groupBy("shape").agg(F.collect_list(F.struct("layer", "given")).alias("g"))
+    whole = lambda r: F.filter(r, lambda v: v.isNotNull())
+    lines = F.flatten(F.flatten(whole(F.transform("g", lambda g: F.transform(whole(parts(g["given"])), lambda r: ends(g["layer"], r))))))
+    cut = held.select("shape", F.filter(lines, lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"])).alias("edges"))
+    kind = dict(cut.dtypes)["shape"]
+    done = cut.mapInArrow(lambda batches: compact.overlaid(batches, inside, layers, unit), f"shape {kind}, parts array<array<struct<x:double,y:double>>>, area double")
+    return done if none_many else done.unionByName(general(known.join(many, "shape", "left_semi")))
+
+
 def dissolved(shapes: DataFrame, key: str = "shape", unit: float = METRES) -> DataFrame:
     """(shape, parts, area): the union of all rings of each key. `shapes` has `parts`, whose outer rings turn left and holes right."""
-    return polygons(rings(border(edges_of(named(shapes, key), F.col("parts"), unit=unit), lambda w: w > 0)), unit).withColumnRenamed("shape", key)
+    rows = named(shapes, key).select("shape", F.lit(0).alias("layer"), F.col("parts").alias("given"))
+    return outlined(rows, lambda g: g, F.size(F.flatten("given")), lambda w: w > 0, 1, unit).withColumnRenamed("shape", key)
 
 
 def combined(left: DataFrame, right: DataFrame, how: str = "intersection", key: str = "shape", unit: float = METRES) -> DataFrame:
     """(shape, parts, area): `left` and `right` (key, parts) of equal keys. A point is in a polygon where it is inside an odd
     number of its rings, so their directions don't matter; `how` is intersection, union, difference or either (but not both)."""
     rule = {"intersection": lambda a, b: a & b, "union": lambda a, b: a | b, "difference": lambda a, b: a & ~b, "either": lambda a, b: a != b}[how]
-    edges = edges_of(named(left, key), F.col("parts"), 0, unit).unionByName(edges_of(named(right, key), F.col("parts"), 1, unit))
-    odd = lambda w: F.pmod(w, F.lit(2)) == 1
-    return polygons(rings(border(edges, lambda a, b: rule(odd(a), odd(b)), 2)), unit).withColumnRenamed("shape", key)
+    rows = named(left, key).select("shape", F.lit(0).alias("layer"), F.col("parts").alias("given")).unionByName(named(right, key).select("shape", F.lit(1).alias("layer"), F.col("parts").alias("given")))
+    odd = lambda w: w % 2 != 0
+    return outlined(rows, lambda g: g, F.size(F.flatten("given")), lambda a, b: rule(odd(a), odd(b)), 2, unit).withColumnRenamed("shape", key)
 
 
 def buffered(shapes: DataFrame, radius: Column, key: str = "shape", ring: str = "ring", per_quarter: int = 16, unit: float = METRES) -> DataFrame:
@@ -204,6 +227,6 @@ def buffered(shapes: DataFrame, radius: Column, key: str = "shape", ring: str =
     this curve, which may cross itself, the parts with a positive winding number are the buffer. Arcs are cut into
     `per_quarter` pieces a quarter, whose corners lie on the true line.
     """
-    curve = geom.offset_curve(F.col(ring), radius, per_quarter)
-    ready = named(shapes, key).select("shape", F.array(curve).alias("parts"))
-    return polygons(rings(border(edges_of(ready, F.col("parts"), unit=unit), lambda w: w > 0)), unit).withColumnRenamed("shape", key)
+    rows = named(shapes.withColumn("_given", F.struct(F.col(ring).alias("ring"), radius.alias("radius"))), key).select("shape", F.lit(0).alias("layer"), F.col("_given").alias("given"))
+    curve = lambda g: F.array(geom.offset_curve(g["ring"], g["radius"], per_quarter))
+    return outlined(rows, curve, F.size("given.ring") * (2 * per_quarter + 2), lambda w: w > 0, 1, unit).withColumnRenamed("shape", key)

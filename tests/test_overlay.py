@@ -213,3 +213,21 @@ def test_joins_of_many_features_test_few_edges(spark, sf):
     assert not spatial.once(areas(spark, sf).withColumn("n", F.lit(5)), areas(spark, sf).withColumn("n", F.lit(5)))
     found = spatial.meeting(areas(spark, sf), places(spark, sf))
     assert found.count() == found.distinct().count()
+
+
+def test_shapes_of_few_edges_are_overlaid_within_tasks(spark, sf, monkeypatch):
+    """Rows of the same parts and areas as by joins, in one stage after the shapes are dealt: no shuffle of edges, no rounds."""
+    from talweg.plans.fixtures import angles
+
+    rng = random.Random(5)
+    star = lambda: [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(7)]
+    kind = "id int, parts array<array<struct<x:double,y:double>>>"
+    a, b = (spark.createDataFrame([(i, [star(), star()]) for i in range(12)], kind) for _ in range(2))
+    some = angles(spark, sf).where("id < 40")
+    runs = [lambda: overlay.buffered(some, F.col("radius"), "id"), *[lambda how=how: overlay.combined(a, b, how, "id") for how in ("intersection", "either")]]
+    few = [sorted(run().collect()) for run in runs]
+    plan = runs[0]()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(overlay.compact, "FEW", 0)
+    for found, run in zip(few, runs, strict=True):
+        assert found and found == sorted(run().collect())
