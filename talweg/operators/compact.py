@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Edges that a shape may have here, and pairs of edges that are looked at together.
-FEW, PAIRS = 1024, 1 << 20
+FEW, PAIRS = 1024, 1 << 21
 PARTS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
@@ -25,13 +25,16 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def pairs_of(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs of rows of equal `shape`, which is sorted."""
-    first = np.flatnonzero(starts_of(shape))
-    n = np.diff(np.append(first, len(shape)))
-    each = np.repeat(n, n)
-    i = np.repeat(np.arange(len(shape)), each)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(first, n), each)
+def spans(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with every number from its `first` up to its `stop`, that left out."""
+    n = np.maximum(stop - first, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def placed(shape: np.ndarray, x: np.ndarray, west: np.ndarray) -> np.ndarray:
+    """Numbers in order of shape and x, for x less than 2**32 from the shape's west."""
+    return (shape << 32) + (x - west)
 
 
 def turned(e: np.ndarray, a: np.ndarray, f: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -42,11 +45,14 @@ def turned(e: np.ndarray, a: np.ndarray, f: np.ndarray, b: np.ndarray, k: int) -
 def cut(shape: np.ndarray, layer: np.ndarray, e: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The edges (x0, y0, x1, y1) in pieces that meet at their ends only."""
     for _ in range(rounds):
-        i, j = pairs_of(shape)
         lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-        near = i < j
-        for c in (0, 1):
-            near &= (lo[i, c] <= hi[j, c]) & (lo[j, c] <= hi[i, c])
+        # in order of their west ends an edge can meet those after it that begin before it ends
+        order = np.lexsort((lo[:, 0], shape))
+        shape, layer, e, lo, hi = shape[order], layer[order], e[order], lo[order], hi[order]
+        new = starts_of(shape)
+        number, west = np.cumsum(new) - 1, lo[np.flatnonzero(new), 0][np.cumsum(new) - 1]
+        i, j = spans(np.arange(1, len(e) + 1), np.searchsorted(placed(number, lo[:, 0], west), placed(number, hi[:, 0], west), "right"))
+        near = (lo[i, 1] <= hi[j, 1]) & (lo[j, 1] <= hi[i, 1])
         i, j = i[near], j[near]
         sa, sb = [turned(e, j, e, i, k) for k in (0, 1)], [turned(e, i, e, j, k) for k in (0, 1)]
         proper = (np.sign(sa[0]) * np.sign(sa[1]) < 0) & (np.sign(sb[0]) * np.sign(sb[1]) < 0)
@@ -88,8 +94,14 @@ def border(shape: np.ndarray, layer: np.ndarray, e: np.ndarray, inside: Callable
     shape, e, turns = shape[first][some], e[first][some], turns[some]
     if not len(shape):
         return shape, e
-    i, j = pairs_of(shape)  # i beside its middle, j below it
     mx, my, upright = e[:, 0] + e[:, 2], e[:, 1] + e[:, 3], e[:, 0] == e[:, 2]
+    new = starts_of(shape)
+    number, west = np.cumsum(new) - 1, 2 * e[np.flatnonzero(new), 0][np.cumsum(new) - 1]  # pieces lie in order of their west ends
+    order = np.lexsort((mx, shape))
+    middles = placed(number, mx[order], west)
+    # i beside its middle, j below it
+    j, i = spans(np.searchsorted(middles, placed(number, 2 * e[:, 0], west), "left"), np.searchsorted(middles, placed(number, 2 * e[:, 2], west), "right"))
+    i = order[i]
     w0, w1 = 2 * e[j, 0], 2 * e[j, 2]
     here = (w0 < w1) & np.where(upright[i], (w0 < mx[i]) & (mx[i] <= w1), (w0 <= mx[i]) & (mx[i] < w1))
     i, j = i[here], j[here]
