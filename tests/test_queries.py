@@ -85,3 +85,22 @@ def test_tile_work_is_spread_over_tasks(spark, sf):
     one = boxes(spark, sf).coalesce(1)
     for found in (tiles.select(one, size=3), tiles.sheets(one)):
         assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_rounds_of_a_fill_join_border_cells_only(spark, monkeypatch):
+    """What wakes a block is looked up among the cells at block borders, not among all."""
+    from pyspark.sql import functions as F
+
+    from talweg.operators import hydro
+
+    rounds, useful = [], hydro.useful
+
+    def watched(edge, state, block):
+        inner = state.where(F.pmod("row", F.lit(block)).between(1, block - 2) & F.pmod("col", F.lit(block)).between(1, block - 2))
+        rounds.append(inner.count())
+        return useful(edge, state, block)
+
+    monkeypatch.setattr(hydro, "useful", watched)
+    cells = spark.range(256).selectExpr("cast(id div 16 as int) AS row", "cast(id % 16 as int) AS col", "id * 7919 % 1009 AS z")
+    hydro.fill(cells, 8, whole=True).count()
+    assert rounds and not any(rounds)
