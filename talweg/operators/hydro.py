@@ -14,6 +14,7 @@ import heapq
 import itertools
 import math
 import operator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ def around(cells: DataFrame, block: int) -> DataFrame:
     """Every cell in its block, and again in each block that it borders: columns br, bc and own."""
     ship(cells.sparkSession)  # the blocks go to Python workers
     size = F.lit(block)
-    targets = F.array_distinct(F.array(*[F.struct(F.floor((F.col("row") + r) / size).cast("int").alias("br"), F.floor((F.col("col") + c) / size).cast("int").alias("bc")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
+    at = lambda r, c: F.struct(F.floor((F.col("row") + r) / size).cast("int").alias("br"), F.floor((F.col("col") + c) / size).cast("int").alias("bc"))
+    inner = F.pmod("row", size).between(1, block - 2) & F.pmod("col", size).between(1, block - 2)
+    targets = F.when(inner, F.array(at(0, 0))).otherwise(F.array_distinct(F.array(*[at(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)])))
     dealt = cells.select(*cells.columns, F.explode(targets).alias("_b"))
     return dealt.select(*cells.columns, "_b.br", "_b.bc", ((F.floor(F.col("row") / size) == F.col("_b.br")) & (F.floor(F.col("col") / size) == F.col("_b.bc"))).alias("own"))
 
@@ -103,70 +106,132 @@ def rim_of(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return ~np.logical_and.reduce([there[r + dr, c + dc] for dr, dc in NEIGHBOURS])
 
 
+#: Above every elevation, and below.
+FAR, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+#: A block as one row: which places of it hold a cell, elevations and fill of these, packed; its border cells and which of them changed.
+PACKED = "br int, bc int, cells binary, z binary, f binary, at array<int>, edge_z array<long>, edge_f array<long>, fresh array<boolean>, woken boolean"
+
+
+def ranked(v: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order, so that the next double is one more; whole numbers as they are."""
+    if v.dtype.kind != "f":
+        return v.astype(np.int64)
+    bits = v.astype(np.float64).view(np.int64)
+    return np.where(bits < 0, LEAST - bits, bits)
+
+
+def unranked(v: np.ndarray, whole: bool) -> np.ndarray:
+    return v if whole else np.where(v < 0, LEAST - v, v).view(np.float64)
+
+
+def packed(v: np.ndarray) -> bytes:
+    return zlib.compress(v.tobytes(), 1)
+
+
+def unpacked(block_row: pd.Series, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of a block's cells, row by row, their elevations and their fill."""
+    read = lambda name, kind: np.frombuffer(zlib.decompress(block_row[name]), kind)
+    z = read("z", np.int64)
+    return np.flatnonzero(np.unpackbits(read("cells", np.uint8), count=block * block)), z, z + read("f", np.int64)
+
+
+def lowered(place: np.ndarray, z: np.ndarray, f: np.ndarray, start: np.ndarray, block: int) -> np.ndarray:
+    """The fill of a block's cells once what starts below it has run through the block, each step of the way up by one."""
+    n = block + 2
+    at = (place // block + 1) * n + place % block + 1
+    low = np.flatnonzero(start < f)
+    over, under = np.full(n * n, LEAST), np.zeros(n * n, np.int64)
+    over[at], under[at] = np.minimum(f, start), z
+    fs, zs = over.tolist(), under.tolist()  # places without a cell lie below all, so nothing lowers them
+    bits = (n * n).bit_length()
+    mask = (1 << bits) - 1
+    heap = [v << bits | k for v, k in zip(start[low].tolist(), at[low].tolist(), strict=True)]
+    heapq.heapify(heap)
+    steps = [dr * n + dc for dr, dc in NEIGHBOURS]
+    pop, push = heapq.heappop, heapq.heappush
+    while heap:
+        x = pop(heap)
+        v, k = x >> bits, x & mask
+        if v > fs[k]:
+            continue
+        v += 1
+        for s in steps:
+            j = k + s
+            old = fs[j]
+            if old > v:
+                new = zs[j]
+                if new < v:
+                    new = v
+                if new < old:
+                    fs[j] = new
+                    push(heap, new << bits | j)
+    return np.array(fs, np.int64)[at]
+
+
+def block_row(br: int, bc: int, place: np.ndarray, z: np.ndarray, f: np.ndarray, after: np.ndarray, block: int) -> pd.DataFrame:
+    """The row of a block whose fill was `f` and is `after`."""
+    there = np.zeros(block * block, bool)
+    there[place] = True
+    r, c = place // block, place % block
+    edge = (r == 0) | (r == block - 1) | (c == 0) | (c == block - 1)
+    lines = {"at": place[edge].astype(np.int32), "edge_z": z[edge], "edge_f": after[edge], "fresh": after[edge] != f[edge]}
+    return pd.DataFrame({"br": [br], "bc": [bc], "cells": [packed(np.packbits(there))], "z": [packed(z)], "f": [packed(after - z)]} | {k: [v] for k, v in lines.items()} | {"woken": [True]})
+
+
 def relaxed(cells: DataFrame, block: int, whole: bool) -> DataFrame:
     """`row, col, z, f` by lowering within blocks until no border changes. Where `cells` have a level `w`, cells that lie at
-    their own level beside a lower one start there, and only waters that reach over borders need further rounds."""
+    their own level beside a lower one start there, and only waters that reach over borders need further rounds.
+
+    A block is a row from the first round on. A round reads the border cells, finds by them what their changes lower in
+    other blocks, and runs that through those blocks; cells are dealt once before and once after all rounds.
+    """
     kind = "long" if whole else "double"
-    far = np.iinfo(np.int64).max if whole else np.inf
-    up = (lambda v: v + 1) if whole else (lambda v: math.nextafter(v, math.inf))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = frame(pdf, block)
-        own, z, old = pdf["own"].to_numpy(), pdf["z"].to_numpy(), pdf["f"].to_numpy()
-        n = block + 4
-        rim = own & rim_of(r, c, n)
-        start = np.where(rim, z, old)
+        own, z = pdf["own"].to_numpy(), ranked(pdf["z"].to_numpy())
+        start = np.where(rim_of(r, c, block + 4), z, FAR)
         if "w" in pdf:
-            w = pdf["w"].to_numpy()
-            grid = np.full((n, n), far, w.dtype)
+            w = ranked(pdf["w"].to_numpy())
+            grid = np.full((block + 4, block + 4), FAR)
             grid[r, c] = w
             beside = np.logical_or.reduce([grid[r + dr, c + dc] < w for dr, dc in NEIGHBOURS])
-            start = np.where(own & beside & (z == w), np.minimum(start, w), start)
-        # the block's own cells have settled among themselves before: only its first starts and what neighbours bring can lower any
-        bring = (start != far) & (~own | ((start != old) & (old == far)))
-        mine = bytearray(n * n)
-        at = r * n + c
-        for k in at[own].tolist():
-            mine[k] = 1
-        zs, f = padded(r, c, n, z, far), padded(r, c, n, start, far)
-        heap = list(zip(start[bring].tolist(), at[bring].tolist(), strict=True))
-        heapq.heapify(heap)
-        steps = [dr * n + dc for dr, dc in NEIGHBOURS]
-        pop, push = heapq.heappop, heapq.heappush
-        while heap:
-            v, k = pop(heap)
-            if v > f[k]:
-                continue
-            step = up(v)
-            for s in steps:
-                j = k + s
-                if mine[j]:
-                    new = zs[j] if zs[j] > step else step
-                    if new < f[j]:
-                        f[j] = new
-                        push(heap, (new, j))
-        out = pdf.loc[own, ["row", "col", "z"]].copy()
-        out["f"] = np.array([f[k] for k in at[own].tolist()], old.dtype)
-        out["changed"] = out["f"].to_numpy() != old[own]
-        return out
-
-    state = cells.withColumn("f", F.lit(int(far) if whole else float("inf")).cast(kind))
-    woken = None
-    for rounds in itertools.count():
-        dealt = around(state if woken is None else state.select("row", "col", "z", "f"), block)
-        dealt = dealt if woken is None else dealt.join(woken, ["br", "bc"], "left_semi")
-        done = checkpointed(by_block(dealt, "br", "bc").applyInPandas(kernel, f"row int, col int, z {kind}, f {kind}, changed boolean"))
-        fresh = done.drop("changed")
-        state = fresh if woken is None else state.join(fresh.select("row", "col"), ["row", "col"], "left_anti").unionByName(fresh)
-        # later rounds read all that came before: the table is written again before they read more than it holds
-        if woken is not None and rounds % 3 == 0:
-            state = checkpointed(state)
-        # a block is woken where a neighbour's border cell lies lower than its own cell beside it can make use of
-        at_border = F.pmod("row", F.lit(block)).isin(0, block - 1) | F.pmod("col", F.lit(block)).isin(0, block - 1)
-        woken = checkpointed(useful(done.where("changed").where(at_border), state.where(at_border), block).select("br", "bc").distinct())
+            start = np.where(beside & (z == w), np.minimum(start, w), start)
+        if not own.any():  # beyond the grid
+            return pd.DataFrame(columns=["br", "bc", "cells", "z", "f", "at", "edge_z", "edge_f", "fresh", "woken"])
+        place = ((r - 2) * block + c - 2)[own]
+        order = np.argsort(place)
+        place, z, start = place[order], z[own][order], start[own][order]
+        f = np.full(len(z), FAR)
+        return block_row(pdf["br"].iloc[0], pdf["bc"].iloc[0], place, z, f, lowered(place, z, f, start, block), block)
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pdf.iloc[0]
+        place, z, f = unpacked(held, block)
+        met = np.searchsorted(place, np.asarray(held["met"], np.int64))
+        start = np.full(len(z), FAR)
+        start[met] = np.maximum(z[met], np.asarray(held["by"], np.int64) + 1)
+        return block_row(held["br"], held["bc"], place, z, f, lowered(place, z, f, start, block), block)
+
+    def cell_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pdf.iloc[0]
+        place, z, f = unpacked(held, block)
+        f = f if whole else np.minimum(f, ranked(np.array([np.inf]))[0])
+        return pd.DataFrame({"row": held["br"] * block + place // block, "col": held["bc"] * block + place % block, "z": unranked(z, whole), "f": unranked(f, whole)})
+
+    row, col = F.col("br") * block + F.floor(F.col("at") / block).cast("int"), F.col("bc") * block + F.col("at") % block
+    blocks = checkpointed(by_block(around(cells, block), "br", "bc").applyInPandas(first, PACKED), 16)
+    while True:
+        border = blocks.select("br", "bc", "woken", F.inline(F.arrays_zip("at", "edge_z", "edge_f", "fresh")))
+        border = border.select(row.alias("row"), col.alias("col"), F.col("edge_z").alias("z"), F.col("edge_f").alias("f"), (F.col("woken") & F.col("fresh")).alias("changed"))
+        lower = useful(border.where("changed"), border, block).select("br", "bc", F.struct(((F.col("row") - F.col("br") * block) * block + F.col("col") - F.col("bc") * block).alias("met"), "by").alias("m"))
+        woken = checkpointed(lower.groupBy("br", "bc").agg(F.collect_list("m").alias("m")).select("br", "bc", "m.met", "m.by"))
         if woken.limit(1).count() == 0:
-            return state
-    raise AssertionError
+            return by_block(blocks.select("br", "bc", "cells", "z", "f"), "br", "bc").applyInPandas(cell_rows, f"row int, col int, z {kind}, f {kind}")
+        done = by_block(blocks.select("br", "bc", "cells", "z", "f").join(woken, ["br", "bc"]), "br", "bc").applyInPandas(again, PACKED)
+        still = blocks.join(woken.select("br", "bc"), ["br", "bc"], "left_anti").withColumn("woken", F.lit(False))
+        blocks = checkpointed(done.unionByName(still), 16)
 
 
 def useful(edge: DataFrame, state: DataFrame, block: int) -> DataFrame:

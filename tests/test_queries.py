@@ -104,3 +104,37 @@ def test_rounds_of_a_fill_join_border_cells_only(spark, monkeypatch):
     cells = spark.range(256).selectExpr("cast(id div 16 as int) AS row", "cast(id % 16 as int) AS col", "id * 7919 % 1009 AS z")
     hydro.fill(cells, 8, whole=True).count()
     assert rounds and not any(rounds)
+
+
+def test_rounds_of_a_fill_write_blocks_not_cells(spark, monkeypatch):
+    """From the first round on no table holds a row for each cell: rows of fills are those of blocks, and of border cells to lower."""
+    from talweg.operators import hydro
+
+    written, cut = [], hydro.checkpointed
+
+    def watched(df, *more):
+        done = cut(df, *more)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(hydro, "checkpointed", watched)
+    cells = spark.range(1600).selectExpr("cast(id div 40 as int) AS row", "cast(id % 40 as int) AS col", "id * 7919 % 1009 AS z")
+    assert hydro.fill(cells, 8, whole=True, spill=False).count() == 1600
+    assert len(written) > 4 and max(written) <= 25
+
+
+def test_fill_of_doubles_steps_over_zero(spark):
+    """Steps up by the next double, below zero, over it and from minus zero on, over block borders."""
+    import math
+    import struct
+
+    from talweg.operators import hydro
+    from test_watershed import heap_fill
+
+    tiny = struct.unpack("d", struct.pack("q", 1))[0]
+    z = {(r, c): [-3 * tiny, -0.0, -2 * tiny, -1.5, tiny, 1e300][r * 7919 % 101 * (c + 3) % 6] for r in range(20) for c in range(19) if (r, c) != (9, 9)}
+    z |= {(r, c): -5 * tiny for r in range(3, 16) for c in range(3, 6)}
+    cells = spark.createDataFrame([(*k, v) for k, v in z.items()], "row int, col int, z double")
+    for spill in (False, True):
+        got = {(x["row"], x["col"]): (x["z"], x["f"]) for x in hydro.fill(cells, 8, spill=spill).collect()}
+        assert got == {k: (z[k], v) for k, v in heap_fill(z).items()} and any(math.isclose(v, 0, abs_tol=9 * tiny) and v > z[k] for k, (_, v) in got.items())
