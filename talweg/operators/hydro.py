@@ -34,6 +34,13 @@ def node(row: Column | str = "row", col: Column | str = "col") -> Column:
     return c(row) * ROW + c(col)
 
 
+def placed(nodes: DataFrame) -> DataFrame:
+    """`nodes` with the row and col that their numbers were made of, also of cells below zero."""
+    half = 1 << 31
+    up = F.col("node") + half
+    return nodes.select("*", F.shiftright(up, 32).cast("int").alias("row"), (up.bitwiseAND(F.lit(ROW - 1)) - half).cast("int").alias("col"))
+
+
 def around(cells: DataFrame, block: int) -> DataFrame:
     """Every cell in its block, and again in each block that it borders: columns br, bc and own."""
     ship(cells.sparkSession)  # the blocks go to Python workers
@@ -652,7 +659,7 @@ def delineate(cells: DataFrame, origin: tuple[float, float], cell: float, outlet
     if spots["outlet"] not in heights:
         raise ValueError("the outlet is outside the grid or on a cell without data")
     arrows = checkpointed(directions(fill(cells, block), cell, cell, block))
-    flow = checkpointed(accumulation(arrows, block).join(arrows.select("node", "row", "col"), "node"))
+    flow = checkpointed(placed(accumulation(arrows, block)))
     threshold = max(2, round(channel_km2 * 1e6 / cell**2))
     near = snap_candidates(flow, *spots["outlet"], threshold, snap_m, cell, cell).orderBy("place").collect()
     notes |= {"fallback"} if near[0]["fallback"] else set()

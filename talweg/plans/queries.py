@@ -201,7 +201,7 @@ def flow_in_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """(row, col, node, down, acc) and the side of the blocks."""
     f, block = filled(spark, d)
     arrows = checkpointed(hydro.directions(f, block=block))
-    return checkpointed(hydro.accumulation(arrows, block).join(arrows.select("node", "row", "col"), "node")), block
+    return checkpointed(hydro.placed(hydro.accumulation(arrows, block))), block
 
 
 def flow(spark: SparkSession, d: str) -> DataFrame:

@@ -138,3 +138,17 @@ def test_fill_of_doubles_steps_over_zero(spark):
     for spill in (False, True):
         got = {(x["row"], x["col"]): (x["z"], x["f"]) for x in hydro.fill(cells, 8, spill=spill).collect()}
         assert got == {k: (z[k], v) for k, v in heap_fill(z).items()} and any(math.isclose(v, 0, abs_tol=9 * tiny) and v > z[k] for k, (_, v) in got.items())
+
+
+def test_flow_takes_places_from_numbers(spark, sf, monkeypatch):
+    """Rows and columns of a flow come without a join of all cells; they are those of the numbers, below zero too."""
+    from talweg.operators import hydro
+    from talweg.plans import queries
+
+    plans, cut = [], queries.checkpointed
+    monkeypatch.setattr(queries, "checkpointed", lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, *more))
+    queries.flow(spark, sf)
+    assert plans[-1].count("Join") <= 1  # what enters blocks
+    spots = [(0, 0), (3, -1), (-2, 5), (-1, -(1 << 31)), ((1 << 31) - 1, (1 << 31) - 1)]
+    got = hydro.placed(spark.createDataFrame(spots, "r int, c int").withColumn("node", hydro.node("r", "c")))
+    assert all((x["row"], x["col"]) == (x["r"], x["c"]) for x in got.collect())
