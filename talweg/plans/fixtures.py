@@ -7,8 +7,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 UNIT = 1048576
 
+#: Rows of a table that a task makes cells of: as many as it groups in memory.
+ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,10 +83,15 @@ def side(rows: int) -> int:
 
 
 def dem(spark: SparkSession, sf_dir: str, unit: int = UNIT) -> DataFrame:
-    """(row, col, z): a square grid of whole elevations that grows with the table; places without a row are holes."""
+    """(row, col, z): a square grid of whole elevations that grows with the table; places without a row are holes.
+
+    Few rows of a cell lie together, so rows are dealt to more tasks the more there are, none of which spills its cells. The
+    lowest price is rounded, not every one: rounding keeps their order.
+    """
     li = table(spark, sf_dir, "lineitem")
     width = side(li.count())
-    return li.groupBy((F.col("l_orderkey") % width).cast("int").alias("row"), (F.col("l_partkey") % width).cast("int").alias("col")).agg((F.min(F.round("l_extendedprice").cast("long")) * unit).alias("z"))
+    rows = li.select((F.col("l_orderkey") % width).cast("int").alias("row"), (F.col("l_partkey") % width).cast("int").alias("col"), "l_extendedprice")
+    return spread(rows, "row", "col", rows=ROWS).groupBy("row", "col").agg((F.round(F.min("l_extendedprice")).cast("long") * unit).alias("z"))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

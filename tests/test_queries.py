@@ -152,3 +152,22 @@ def test_flow_takes_places_from_numbers(spark, sf, monkeypatch):
     spots = [(0, 0), (3, -1), (-2, 5), (-1, -(1 << 31)), ((1 << 31) - 1, (1 << 31) - 1)]
     got = hydro.placed(spark.createDataFrame(spots, "r int, c int").withColumn("node", hydro.node("r", "c")))
     assert all((x["row"], x["col"]) == (x["r"], x["c"]) for x in got.collect())
+
+
+def test_a_grid_is_made_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """Rows are dealt to more tasks the more there are; prices are rounded as ever, halves away from zero."""
+    from pyspark.sql import functions as F
+
+    from talweg.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "ROWS", 100, raising=False)
+    rows = spark.range(4000).selectExpr("id * 7919 % 100003 AS l_orderkey", "id * 104729 % 100019 AS l_partkey", "IF(id % 50 = 7, NULL, (id * 37 % 1001 - 500) / 2D) AS l_extendedprice")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    want: dict = {}
+    for x in rows.collect():
+        at, v = (x["l_orderkey"] % 40, x["l_partkey"] % 40), x["l_extendedprice"]
+        want[at] = min((w for w in (want.get(at), v and int(abs(v) + 0.5) * (1 if v > 0 else -1)) if w is not None), default=None)
+    cells = fixtures.dem(spark, str(tmp_path), 3)
+    assert {(x["row"], x["col"]): x["z"] for x in cells.collect()} == {k: v if v is None else 3 * v for k, v in want.items()}
+    made = cells.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(made) >= 30 and max(x["count"] for x in made) < 100
