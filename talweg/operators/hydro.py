@@ -547,8 +547,9 @@ def drains_to(edges: DataFrame, pairs: DataFrame, block: int = 256) -> DataFrame
 def main_channel(flow: DataFrame, outlet: int, threshold: int) -> DataFrame:
     """(node, step): the channel from an outlet up, each time to the child of most accumulation (the lowest number among
     equals) while that reaches the threshold. `flow` has node, down, acc."""
-    child = flow.where("down IS NOT NULL").groupBy("down").agg(F.max_by(F.struct("node", "acc"), F.struct("acc", -F.col("node"))).alias("c")).where(F.col("c.acc") >= threshold)
-    state = child.select(F.col("c.node").alias("node"), F.col("down").alias("jump"), F.lit(1).cast("long").alias("step"))
+    channel = flow.where(F.col("down").isNotNull() & (F.col("acc") >= threshold))
+    child = channel.groupBy("down").agg(F.max_by("node", F.struct("acc", -F.col("node"))).alias("node"))
+    state = child.select("node", F.col("down").alias("jump"), F.lit(1).cast("long").alias("step"))
     for _ in range(64):
         state = checkpointed(state)
         open_ = state.where(F.col("jump") != outlet)

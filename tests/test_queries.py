@@ -171,3 +171,32 @@ def test_a_grid_is_made_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
     assert {(x["row"], x["col"]): x["z"] for x in cells.collect()} == {k: v if v is None else 3 * v for k, v in want.items()}
     made = cells.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
     assert len(made) >= 30 and max(x["count"] for x in made) < 100
+
+
+def watched_cuts(monkeypatch, plan):
+    """The plans, by `plan` of what Spark made of each, of all that the flow's operators cut."""
+    from talweg.operators import hydro
+
+    plans, cut = [], hydro.checkpointed
+    monkeypatch.setattr(hydro, "checkpointed", lambda df, *more: plans.append(plan(df._jdf.queryExecution()).toString()) or cut(df, *more))
+    return plans
+
+
+def test_a_channel_is_sought_among_channel_cells(spark, monkeypatch):
+    """Cells below the threshold are left out before children are compared; the channel is that of a plain walk up."""
+    from talweg.operators import hydro
+
+    down = {i: (i - 1) // 2 if i else None for i in range(64)} | {64: 40, 65: 64, 66: None}
+    acc = {i: 1 for i in down}
+    for i in sorted(down, reverse=True):
+        if down[i] is not None:
+            acc[down[i]] += acc[i]
+    flow = spark.createDataFrame([(i, down[i], acc[i]) for i in down], "node long, down long, acc long")
+    for threshold in (1, 2, 5, 1000):
+        plans = watched_cuts(monkeypatch, lambda q: q.optimizedPlan())
+        want, at = [], 0
+        while at is not None:
+            want.append((at, len(want)))
+            at = max((i for i in down if down[i] == at and acc[i] >= threshold), key=lambda i: (acc[i], -i), default=None)
+        assert sorted(map(tuple, hydro.main_channel(flow, 0, threshold).collect())) == sorted(want)
+        assert threshold == 1 or plans[0].index("Aggregate") < plans[0].index(f">= {threshold}")
