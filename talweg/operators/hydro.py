@@ -538,7 +538,7 @@ def drains_to(edges: DataFrame, pairs: DataFrame, block: int = 256) -> DataFrame
     """
     targets = pairs.select("target").distinct().limit(2).collect()
     if len(targets) == 1:
-        basin = upstream(edges, pairs.select(F.col("target").alias("node")).distinct(), block).select(F.col("node").alias("source"), F.lit(True).alias("_met"))
+        basin = upstream(edges, pairs.select(F.col("target").alias("node")).limit(1), block).select(F.col("node").alias("source"), F.lit(True).alias("_met"))
         return pairs.join(basin, "source", "left").select(*pairs.columns, F.col("_met").isNotNull().alias("drains"))
     ways = downstream(edges, pairs.select(F.col("source").alias("node")).distinct()).select(F.col("start").alias("source"), F.col("node").alias("target"), F.lit(True).alias("_met"))
     return pairs.join(ways, ["source", "target"], "left").select(*pairs.columns, F.col("_met").isNotNull().alias("drains"))

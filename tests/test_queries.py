@@ -200,3 +200,19 @@ def test_a_channel_is_sought_among_channel_cells(spark, monkeypatch):
             at = max((i for i in down if down[i] == at and acc[i] >= threshold), key=lambda i: (acc[i], -i), default=None)
         assert sorted(map(tuple, hydro.main_channel(flow, 0, threshold).collect())) == sorted(want)
         assert threshold == 1 or plans[0].index("Aggregate") < plans[0].index(f">= {threshold}")
+
+
+def test_one_target_meets_cells_without_a_shuffle(spark, monkeypatch):
+    """The target that all pairs share goes to the cells as one row, not as what is distinct among all pairs once more."""
+    from talweg.operators import hydro
+
+    plans = watched_cuts(monkeypatch, lambda q: q.sparkPlan())
+    edges = spark.range(2000).selectExpr("id AS node", "IF(id % 50 = 0, NULL, id - 1) AS down")
+    pairs = edges.selectExpr("node AS source", "IF(node < 0, 0L, 100L) AS target")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100)
+    try:
+        got = hydro.drains_to(edges, pairs, 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {x["source"] for x in got if x["drains"]} == set(range(100, 150)) and len(got) == 2000
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
