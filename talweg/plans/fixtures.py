@@ -11,7 +11,7 @@ from ..session import spread
 
 UNIT = 1048576
 
-#: Rows of a table that a task makes cells of: as many as it groups in memory.
+#: Rows of a table that a task makes cells of.
 ROWS = 1_000_000
 
 
@@ -85,7 +85,7 @@ def side(rows: int) -> int:
 def dem(spark: SparkSession, sf_dir: str, unit: int = UNIT) -> DataFrame:
     """(row, col, z): a square grid of whole elevations that grows with the table; places without a row are holes.
 
-    Few rows of a cell lie together, so rows are dealt to more tasks the more there are, none of which spills its cells. The
+    Few rows of a cell lie together, so rows are dealt to more tasks the more there are, to bound what a task holds. The
     lowest price is rounded, not every one: rounding keeps their order.
     """
     li = table(spark, sf_dir, "lineitem")
