@@ -281,7 +281,8 @@ def points_in_areas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def areas_meeting(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.meeting(areas(spark, d), areas(spark, d), ascending=True).select(F.col("left_id").alias("area"), F.col("right_id").alias("other"))
+    each = areas(spark, d)
+    return spatial.meeting(each, each, ascending=True).select(F.col("left_id").alias("area"), F.col("right_id").alias("other"))
 
 
 def raster_mosaic(spark: SparkSession, d: str) -> DataFrame:

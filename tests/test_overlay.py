@@ -215,6 +215,30 @@ def test_joins_of_many_features_test_few_edges(spark, sf):
     assert found.count() == found.distinct().count()
 
 
+def test_copies_of_a_shape_are_tested_once_and_pairs_made_last(spark):
+    """Features of equal parts share a row, up to a bound; pairs are whole and come once, without a distinct, also one way round within a table."""
+    r = random.Random(8)
+    ring = lambda x, y, s, n: [(x + s * r.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), y + s * r.uniform(0.4, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    shapes = [("polygon", [ring(0, 0, 80, 9)]), ("polygon", [ring(10, 5, 20, 5), ring(10, 5, 4, 3)]), ("line", [ring(5, 5, 30, 6), ring(40, 0, 9, 2)]), ("line", [ring(6, 3, 25, 4)]), ("line", [[(3.0, 2.0)]]), ("polygon", [ring(500, 0, 70, 7)]), ("polygon", [ring(560, 20, 60, 60), ring(0, 0, 9, 9)])]
+    some = [shapes[i] for i in [0] * 70 + [1] * 3 + [2] * 4 + [3, 4, 5, 5, 6, 6]]
+    r.shuffle(some)
+    kind = f"id long, kind string, parts array<{RING}>"
+    table = lambda rows: spark.createDataFrame([(i, k, [[{"x": x, "y": y} for x, y in p] for p in ps]) for i, (k, ps) in rows], kind)
+    one = table(enumerate(some))
+    want = [(i, j) for i, a in enumerate(some) for j, b in enumerate(some) if i < j and meets(a, b)]
+    known, count = spatial.shapes(one)
+    assert sum(count.values()) == known.count() == len(shapes) + 1 and max(len(x["ids"]) for x in known.collect()) == spatial.COPIES
+    each = spatial.meeting(one, one, ascending=True)
+    assert sorted(map(tuple, each.collect())) == want
+    assert sorted(map(tuple, spatial.meeting(one, table(enumerate(some)), ascending=True).collect())) == want
+    few = spatial.meeting(*[one.where(F.size(F.flatten("parts")) <= spatial.FEW)] * 2, ascending=True)
+    assert "Aggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    # a number that is given twice, and none
+    named = [(1, shapes[0]), (1, shapes[1]), (None, shapes[1]), (2, shapes[5])]
+    got = spatial.meeting(table(named), table([(7, shapes[0]), (8, shapes[2]), (8, shapes[3])])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted({(i, j) for i, a in named for j, b in ((7, shapes[0]), (8, shapes[2]), (8, shapes[3])) if meets(a, b)}, key=str)
+
+
 def test_shapes_of_few_edges_are_overlaid_within_tasks(spark, sf, monkeypatch):
     """Rows of the same parts and areas as by joins, in one stage after the shapes are dealt: no shuffle of edges, no rounds."""
     from talweg.plans.fixtures import angles
