@@ -19,6 +19,7 @@ number of its rings (on a border it may go either way); borders that touch do me
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ USUAL, LARGE = 4.0, 16.0
 POINT_LEVEL = -40
 #: Points of a feature that a cell holds whole, features of one shape that a row stands for, rows a task.
 FEW, COPIES, ROWS = 64, 64, 2000
-PAIR = ["left_id", "left_ids", "right_id", "right_ids"]
+#: Features of a cell that come to a worker as one row, pairs that it looks at together, numbers on the right of a found row.
+BUNDLE, PAIRS, NUMBERS = 256, 500_000, 256
+#: Shapes that meet, by the numbers of their features; `same` where it is one row of one table.
+MET = ["left_ids", "right_ids", "same"]
 
 
 def step(level: Column) -> Column:
@@ -139,14 +143,14 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
 
 
 def points_within(polygons: DataFrame, points: DataFrame, n: int) -> DataFrame:
-    """(left_id, left_ids, right_id, right_ids): polygons and the single points in them, each pair once."""
+    """MET: polygons and the single points in them, each pair once."""
     west, south, size = (F.col("cx") - OFF_X) * F.col("size"), (F.col("cy") - OFF_Y) * F.col("size"), step(F.col("level"))
     cells = checkpointed(in_cells(polygons, []).select("id", "level", "cx", "cy", west.alias("west"), south.alias("south"), "inside", "edges"))
-    spot = points.select("id", "ids", F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("p"), F.explode(F.array(*map(F.lit, levels(polygons))).cast("array<int>")).alias("level"))
-    spot = spot.select(F.col("id").alias("right_id"), F.col("ids").alias("right_ids"), "p.x", "p.y", "level", column_of(F.col("p.x"), size).alias("cx"), row_of(F.col("p.y"), size).alias("cy"))
+    spot = points.select("ids", F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("p"), F.explode(F.array(*map(F.lit, levels(polygons))).cast("array<int>")).alias("level"))
+    spot = spot.select(F.col("ids").alias("right_ids"), "p.x", "p.y", "level", column_of(F.col("p.x"), size).alias("cx"), row_of(F.col("p.y"), size).alias("cy"))
 
     def met(cells: DataFrame, *columns: Column | str) -> DataFrame:
-        left = cells.join(polygons.select("id", "ids"), "id").select("level", "cx", "cy", F.col("id").alias("left_id"), F.col("ids").alias("left_ids"), *columns)
+        left = cells.join(polygons.select("id", "ids"), "id").select("level", "cx", "cy", F.col("ids").alias("left_ids"), F.lit(False).alias("same"), *columns)
         return dealt(left, n).join(dealt(spot, n), ["level", "cx", "cy"])
 
     # Most cells have one edge or none: what tests them has no lambdas, and so is compiled.
@@ -155,16 +159,15 @@ def points_within(polygons: DataFrame, points: DataFrame, n: int) -> DataFrame:
     none = met(none.where("inside"))
     one = met(one, "inside", "west", "south", F.col("edges")[0]["a"].alias("a"), F.col("edges")[0]["b"].alias("b")).where((F.col("inside").cast("int") + crossed_before(west, south, x, y, F.col("a"), F.col("b"))) % 2 == 1)
     more = met(more, "inside", "west", "south", "edges").where(holds(F.col("edges"), F.col("inside"), west, south, F.struct("x", "y")))
-    return none.select(*PAIR).unionByName(one.select(*PAIR)).unionByName(more.select(*PAIR))
+    return none.select(*MET).unionByName(one.select(*MET)).unionByName(more.select(*MET))
 
 
-def touch(left: pa.Array, right: pa.Array, left_closed: pa.Array, right_closed: pa.Array) -> pa.Array:
-    """Whether features meet that are given as lists of ax, ay, bx, by, an edge from each of their points: by the same sums as
-    `geom.contains` and `geom.cross`."""
-    starts, values = zip(*((v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)) for v in (left, right)), strict=True)
-    closed = [v.to_numpy(zero_copy_only=False).astype(bool) for v in (left_closed, right_closed)]
-    n, m = (np.diff(s) // 4 for s in starts)
-    found = np.zeros(len(n), bool)
+def touching(left: dict, right: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether features `i` of the left meet features `j` of the right, by the same sums as `geom.contains` and `geom.cross`."""
+    starts, values = [side["edges"].offsets.to_numpy() for side in (left, right)], [side["edges"].values.to_numpy(zero_copy_only=False) for side in (left, right)]
+    closed = left["closed"][i], right["closed"][j]
+    n, m = (((s[of + 1] - s[of]) // 4).astype(int) for s, of in zip(starts, (i, j), strict=True))
+    found = np.zeros(len(i), bool)
 
     def held(e, f):
         """Whether a ring of edges holds the start of another edge."""
@@ -180,19 +183,78 @@ def touch(left: pa.Array, right: pa.Array, left_closed: pa.Array, right_closed:
         return ((first * second <= 0) & (side(c, d, a) * side(c, d, b) <= 0) & ((first != 0) | (second != 0))).any(axis=(0, 1))
 
     with np.errstate(all="ignore"):
-        for size in np.unique(n * (FEW + 1) + m):
-            rows = np.flatnonzero(n * (FEW + 1) + m == size)
-            k, j = int(size) // (FEW + 1), int(size) % (FEW + 1)
-            at_once = max(16, 65536 // max(1, k * j))
-            for i in range(0, len(rows), at_once):
-                some = rows[i : i + at_once]
-                e, f = (v[s[some][None, :] + np.arange(4 * c)[:, None]].reshape(c, 4, -1) for v, s, c in zip(values, starts, (k, j), strict=True))
-                # each test sees only what those before it left open
-                for test in (lambda o: held(e[..., o], f[..., o]) & closed[0][some[o]], lambda o: held(f[..., o], e[..., o]) & closed[1][some[o]], lambda o: crossing(e[..., o], f[..., o])):
-                    o = np.flatnonzero(~found[some])
-                    if len(o):
-                        found[some[o]] = test(o)
-    return pa.array(found)
+        sizes = n * (FEW + 1) + m
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            k, q = int(size) // (FEW + 1), int(size) % (FEW + 1)
+            at_once = max(16, 65536 // max(1, k * q))
+            for at in range(0, len(rows), at_once):
+                some = rows[at : at + at_once]
+                e, f = (v[s[of[some]][None, :] + np.arange(4 * c)[:, None]].reshape(c, 4, -1) for v, s, of, c in zip(values, starts, (i, j), (k, q), strict=True))
+                # each test sees only what those before it left open; the first is quick and settles most
+                tests = [
+                    lambda e, f, o: held(e, f[:1]) & closed[0][o],
+                    lambda e, f, o: held(e, f[1:]) & closed[0][o],
+                    lambda e, f, o: held(f, e) & closed[1][o],
+                    lambda e, f, o: crossing(e, f),
+                ]
+                for test in tests:
+                    hit = test(e, f, some)
+                    found[some[hit]] = True
+                    some, e, f = some[~hit], e[..., ~hit], f[..., ~hit]
+                    if not len(some):
+                        break
+    return found
+
+
+def met_in_cells(batches: Iterator[pa.RecordBatch], alike: bool) -> Iterator[pa.RecordBatch]:
+    """MET of rows (level, cx, cy, size, left, right): a bundle of features of either side that share a cell."""
+
+    def side(column: pa.ListArray) -> dict:
+        rows = column.values
+        fields = {rows.type.field(k).name: rows.field(k) for k in range(rows.type.num_fields)}
+        return {"starts": column.offsets.to_numpy()} | {c: v if c in ("ids", "edges") else v.to_numpy(zero_copy_only=False) for c, v in fields.items()}
+
+    for batch in batches:
+        left, right = side(batch.column("left")), side(batch.column("right"))
+        level, cx, cy, size = (batch.column(c).to_numpy() for c in ("level", "cx", "cy", "size"))
+        n, m = (np.diff(s["starts"]).astype(int) for s in (left, right))
+        total = np.cumsum(n * m)
+        first = 0
+        while first < len(total):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
+            rows = np.arange(first, last)
+            row = np.repeat(rows, (n * m)[rows])
+            k = np.arange(len(row)) - np.repeat(total[rows] - (n * m)[rows] - (total[first - 1] if first else 0), (n * m)[rows])
+            i, j = left["starts"][row] + k // m[row], right["starts"][row] + k % m[row]
+            first = last
+            for near in (
+                lambda: (left["west"][i] <= right["east"][j]) & (right["west"][j] <= left["east"][i]),
+                lambda: (left["south"][i] <= right["north"][j]) & (right["south"][j] <= left["north"][i]),
+                lambda: ((right["own"][j] < level[row]) | (left["id"][i] <= right["id"][j])) if alike else (left["own"][i] == level[row]) | (right["own"][j] == level[row]),
+                lambda: np.floor(np.maximum(left["west"][i], right["west"][j]) / size[row] + OFF_X) == cx[row],
+                lambda: np.floor(np.maximum(left["south"][i], right["south"][j]) / size[row] + OFF_Y) == cy[row],
+                lambda: left["closed"][i] | right["closed"][j] | (left["line"][i] & right["line"][j]),
+                lambda: touching(left, right, i, j),
+            ):
+                kept = near()
+                row, i, j = row[kept], i[kept], j[kept]
+            same = left["id"][i] == right["id"][j] if alike else np.zeros(len(i), bool)
+            yield pa.RecordBatch.from_arrays([left["ids"].take(pa.array(i[same])), right["ids"].take(pa.array(j[same])), pa.array(same[same])], MET)
+            i, j = i[~same], j[~same]
+            if len(i):
+                # the numbers on the right of each feature on the left, one after another, in pieces
+                starts = right["ids"].offsets.to_numpy().astype(int)
+                much = starts[j + 1] - starts[j]
+                ends = np.cumsum(much)
+                numbers = right["ids"].values.take(pa.array(np.repeat(starts[j] - ends + much, much) + np.arange(ends[-1])))
+                groups = np.flatnonzero(np.diff(i, prepend=-1))
+                begin = (ends - much)[groups]
+                pieces = -(-np.diff(begin, append=ends[-1]) // NUMBERS)
+                of = np.repeat(np.arange(len(groups)), pieces)
+                cuts = begin[of] + NUMBERS * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, ends[-1]), pa.int32()), numbers)
+                yield pa.RecordBatch.from_arrays([left["ids"].take(pa.array(i[groups][of])), lists, pa.array(np.zeros(len(of), bool))], MET)
 
 
 def whole(rows: DataFrame, coarser: list[int]) -> DataFrame:
@@ -206,22 +268,22 @@ def whole(rows: DataFrame, coarser: list[int]) -> DataFrame:
     return placed.withColumn("size", step(F.col("level"))).withColumn("cx", F.explode(F.sequence(*across))).withColumn("cy", F.explode(F.sequence(*up)))
 
 
+def bundled(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """(level, cx, cy, size, `name`): the features of a cell as lists of up to BUNDLE."""
+    placed = dealt(rows, n).withColumn("_group", F.floor((F.row_number().over(W.partitionBy("level", "cx", "cy").orderBy("id")) - 1) / BUNDLE))
+    feature = F.struct("id", "ids", (F.col("kind") == "polygon").alias("closed"), (F.col("kind") == "line").alias("line"), "b.west", "b.south", "b.east", "b.north", "own", "edges")
+    return placed.groupBy("level", "cx", "cy", "size", "_group").agg(F.collect_list(feature).alias(name)).drop("_group")
+
+
 def few_meeting(a: DataFrame, b: DataFrame, n: int, alike: bool) -> DataFrame:
-    """(left_id, left_ids, right_id, right_ids): features of few points that meet, each pair once; if the tables are `alike`, also only one way round."""
+    """MET: features of few points that meet, each pair once; if the tables are `alike`, also only one way round."""
     # cells twice as large as where features are cut up: they are taken whole
     a, b = (rows.withColumn("own", F.when(F.col("own") == POINT_LEVEL, POINT_LEVEL).otherwise(F.col("own") + 1)) for rows in (a, b))
-    named = lambda rows, n: rows.select("level", "cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "ids", "kind", "b", "own", "size", "edges")])
-    left, right = named(whole(a, [] if alike else levels(b)), "left"), named(whole(b, levels(a)), "right")
-    both = dealt(left, n).join(dealt(right, n), ["level", "cx", "cy"])
-    own = lambda n: F.col(f"{n}_own") == F.col("level")
-    both = both.where(~own("right") | (F.col("left_id") <= F.col("right_id"))) if alike else both.where(own("left") | own("right"))
-    near = [F.col(f"{n}_b.{lo}") <= F.col(f"{o}_b.{hi}") for n, o in (("left", "right"), ("right", "left")) for lo, hi in (("west", "east"), ("south", "north"))]
-    shared = lambda side: F.greatest(F.col(f"left_b.{side}"), F.col(f"right_b.{side}"))
-    here = (column_of(shared("west"), F.col("left_size")) == F.col("cx")) & (row_of(shared("south"), F.col("left_size")) == F.col("cy"))
-    closed = lambda n: F.col(f"{n}_kind") == "polygon"
-    kinds = closed("left") | closed("right") | ((F.col("left_kind") == "line") & (F.col("right_kind") == "line"))
+    left, right = bundled(whole(a, [] if alike else levels(b)), n, "left"), bundled(whole(b, levels(a)), n, "right")
+    both = left.join(right.drop("size"), ["level", "cx", "cy"]).select("level", "cx", "cy", "size", "left", "right")
     ship(a.sparkSession)
-    return both.where(near[0] & near[1] & near[2] & near[3] & here & kinds).where(F.arrow_udf(touch, "boolean")("left_edges", "right_edges", closed("left"), closed("right"))).select(*PAIR)
+    kinds = [dict(rows.dtypes)["ids"] for rows in (a, b)]
+    return both.mapInArrow(functools.partial(met_in_cells, alike=alike), f"left_ids {kinds[0]}, right_ids {kinds[1]}, same boolean")
 
 
 def cut_meeting(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -252,8 +314,8 @@ def meeting(left: DataFrame, right: DataFrame, ascending: bool = False) -> DataF
     n = sum(of_a.values()) + sum(of_b.values())
     only = lambda rows, *how: rows.where(F.col("how").isin(*how))
     polygons = lambda rows: rows.where("how <> 'point' AND kind = 'polygon'")
-    swapped = lambda pairs: pairs.select(*[F.col(x).alias(y) for x, y in zip(PAIR, PAIR[2:] + PAIR[:2], strict=True)])
-    with_ids = lambda pairs: pairs.join(a.select(F.col("id").alias("left_id"), F.col("ids").alias("left_ids")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("ids").alias("right_ids")), "right_id").select(*PAIR)
+    swapped = lambda pairs: pairs.withColumnsRenamed({"left_ids": "right_ids", "right_ids": "left_ids"})
+    with_ids = lambda pairs: pairs.join(a.select(F.col("id").alias("left_id"), F.col("ids").alias("left_ids")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("ids").alias("right_ids")), "right_id").select("left_ids", "right_ids", (F.col("left_id") == F.col("right_id")).alias("same"))
     shaped = lambda of: of.keys() - {"point"}
     found = []
     if "point" in of_b and shaped(of_a):
@@ -270,7 +332,7 @@ def meeting(left: DataFrame, right: DataFrame, ascending: bool = False) -> DataF
     if not found:
         return left.limit(0).select(F.col("id").alias("left_id")).crossJoin(right.limit(0).select(F.col("id").alias("right_id")))
     rows = functools.reduce(DataFrame.unionByName, found)
-    pairs = rows.select((F.col("left_id") == F.col("right_id")).alias("same"), F.explode("left_ids").alias("left_id"), "right_ids").select("same", "left_id", F.explode("right_ids").alias("right_id"))
+    pairs = rows.select("same", F.explode("left_ids").alias("left_id"), "right_ids").select("same", "left_id", F.explode("right_ids").alias("right_id"))
     if alike:
         pairs = pairs.where((F.col("left_id") < F.col("right_id")) | (~F.col("same") & (F.col("left_id") > F.col("right_id")))).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
     else:
