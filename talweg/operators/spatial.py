@@ -39,7 +39,7 @@ POINT_LEVEL = -40
 #: Points of a feature that a cell holds whole, features of one shape that a row stands for, rows a task.
 FEW, COPIES, ROWS = 64, 64, 2000
 #: Features of a cell that come to a worker as one row, pairs that it looks at together, numbers on the right of a found row.
-BUNDLE, PAIRS, NUMBERS = 256, 500_000, 256
+BUNDLE, PAIRS, NUMBERS = 256, 100_000, 256
 #: Shapes that meet, by the numbers of their features; `same` where it is one row of one table.
 MET = ["left_ids", "right_ids", "same"]
 
@@ -187,7 +187,7 @@ def touching(left: dict, right: dict, i: np.ndarray, j: np.ndarray) -> np.ndarra
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             k, q = int(size) // (FEW + 1), int(size) % (FEW + 1)
-            at_once = max(16, 65536 // max(1, k * q))
+            at_once = max(16, 131072 // max(1, k * q))
             for at in range(0, len(rows), at_once):
                 some = rows[at : at + at_once]
                 e, f = (v[s[of[some]][None, :] + np.arange(4 * c)[:, None]].reshape(c, 4, -1) for v, s, of, c in zip(values, starts, (i, j), (k, q), strict=True))
@@ -314,7 +314,7 @@ def meeting(left: DataFrame, right: DataFrame, ascending: bool = False) -> DataF
     n = sum(of_a.values()) + sum(of_b.values())
     only = lambda rows, *how: rows.where(F.col("how").isin(*how))
     polygons = lambda rows: rows.where("how <> 'point' AND kind = 'polygon'")
-    swapped = lambda pairs: pairs.withColumnsRenamed({"left_ids": "right_ids", "right_ids": "left_ids"})
+    swapped = lambda pairs: pairs.select(F.col("right_ids").alias("left_ids"), F.col("left_ids").alias("right_ids"), "same")
     with_ids = lambda pairs: pairs.join(a.select(F.col("id").alias("left_id"), F.col("ids").alias("left_ids")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("ids").alias("right_ids")), "right_id").select("left_ids", "right_ids", (F.col("left_id") == F.col("right_id")).alias("same"))
     shaped = lambda of: of.keys() - {"point"}
     found = []

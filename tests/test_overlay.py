@@ -232,13 +232,33 @@ def test_copies_of_a_shape_are_tested_once_and_pairs_made_last(spark):
     assert sorted(map(tuple, each.collect())) == want
     assert sorted(map(tuple, spatial.meeting(one, table(enumerate(some)), ascending=True).collect())) == want
     few = spatial.meeting(*[one.where(F.size(F.flatten("parts")) <= spatial.FEW)] * 2, ascending=True)
-    assert "Aggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[left_id" not in few._jdf.queryExecution().executedPlan().toString()
     # a number that is given twice, and none
     named = [(1, shapes[0]), (1, shapes[1]), (None, shapes[1]), (2, shapes[5])]
     got = spatial.meeting(table(named), table([(7, shapes[0]), (8, shapes[2]), (8, shapes[3])])).collect()
     assert sorted(map(tuple, got), key=str) == sorted({(i, j) for i, a in named for j, b in ((7, shapes[0]), (8, shapes[2]), (8, shapes[3])) if meets(a, b)}, key=str)
 
 
+def test_points_of_one_spot_are_tested_once(spark):
+    """Copies of points and polygons are a row each; cells with one edge or none are tested without lambdas; pairs are whole and come once."""
+    r = random.Random(9)
+    star = lambda x, y, s, n: [(x + s * r.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), y + s * r.uniform(0.4, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rings = [star(r.uniform(0, 100), r.uniform(0, 100), r.choice([4, 9, 60]), r.choice([3, 5, 90])) for _ in range(12)]
+    spots = [(r.uniform(-10, 110), r.uniform(-10, 110)) for _ in range(60)]
+    kind = f"id int, kind string, parts array<{RING}>"
+    table = lambda rows, k: spark.createDataFrame([(i, k, [[{"x": x, "y": y} for x, y in p]]) for i, p in rows], kind)
+    areas, places = table([(i, rings[i % 12]) for i in range(36)], "polygon"), table([(i, [spots[i % 60]]) for i in range(180)], "point")
+    found = spatial.meeting(areas, places)
+    want = sorted((i, j) for i in range(36) for j in range(180) if inside([rings[i % 12]], *spots[j % 60]))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 50
+    assert sorted((j, i) for i, j in spatial.meeting(places, areas).collect()) == want
+    (a, _), (b, of_b) = spatial.shapes(areas), spatial.shapes(places)
+    assert a.count() == 12 and of_b == {"point": 60}
+    plan = spatial.points_within(a, b, 72)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "level" in line]
+    assert len(joins) == 3 and sum("lambda" in line for line in joins) == 1
+
+
 def test_shapes_of_few_edges_are_overlaid_within_tasks(spark, sf, monkeypatch):
     """Rows of the same parts and areas as by joins, in one stage after the shapes are dealt: no shuffle of edges, no rounds."""
     from talweg.plans.fixtures import angles
